@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import exact_dedup, pii, sharding
+from mosaiq.llm import exact_dedup, mixing, pii, sharding
 from mosaiq.llm._common import table
 
 #: Production parameters of op1: a hundred slots a shard keep the shares within a percent.
@@ -36,10 +36,16 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = (F.col("size") * F.size("shards")).alias("taken")
+    return mixing.plan(table(spark, sf_dir, "documents")).select(F.col("row_id").alias("doc_id"), "size", "source_size", "target", taken)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_pii": op3_pii,
+    "op6_mixing": op6_mixing,
 }
 
 _OP1 = f"""
@@ -50,13 +56,15 @@ prefs AS (
     CAST(('0x' || substr(md5('offset|' || shard), 1, 15)) AS BIGINT) % {N_SLOTS} AS o,
     CAST(('0x' || substr(md5('skip|' || shard), 1, 15)) AS BIGINT) % ({N_SLOTS} - 1) + 1 AS s
   FROM names),
-lists AS (SELECT list(list_transform(range({N_SLOTS}), lambda j: (o + j * s) % {N_SLOTS}) ORDER BY i) AS p FROM prefs),
+lists AS (SELECT list(o ORDER BY i) AS o, list(s ORDER BY i) AS s FROM prefs),
 turns AS (
   SELECT 0 AS t, list_transform(range({N_SLOTS}), lambda x: -1) AS tab, CAST(NULL AS BIGINT) AS slot
   UNION ALL
-  SELECT t + 1,
-    list_concat(list_concat(tab[:c], [t % {N_SHARDS}]), tab[c + 2:]), c
-  FROM (SELECT t, tab, list_filter(p[t % {N_SHARDS} + 1], lambda x: tab[x + 1] < 0)[1] AS c FROM turns, lists WHERE t < {N_SLOTS})
+  SELECT t + 1, list_concat(list_concat(tab[:c], [t % {N_SHARDS}]), tab[c + 2:]), c
+  FROM (
+    SELECT t, tab, (a + b * list_filter(range({N_SLOTS}), lambda j: tab[(a + j * b) % {N_SLOTS} + 1] < 0)[1]) % {N_SLOTS} AS c
+    FROM (SELECT t, tab, o[t % {N_SHARDS} + 1] AS a, s[t % {N_SHARDS} + 1] AS b FROM turns, lists WHERE t < {N_SLOTS})
+  )
 ),
 owner AS (SELECT slot, (t - 1) % {N_SHARDS} AS i FROM turns WHERE slot IS NOT NULL)
 SELECT d.doc_id, d.slot, n.shard
@@ -71,4 +79,28 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
-ORACLES: dict[str, str] = {"op1_sharding": _OP1, "op2_exact_dedup": _OP2}
+_H60 = "CAST(('0x' || substr(md5(%s), 1, 15)) AS BIGINT)"
+_OP6 = rf"""
+WITH RECURSIVE
+d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM d GROUP BY source),
+r AS (SELECT *, {mixing.CAP} * source_size AS lim, [{", ".join(map(str, mixing.WEIGHTS))}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)}] AS weight FROM s),
+o AS (SELECT *, row_number() OVER w AS turn,
+    ((SELECT sum(source_size) FROM s) - coalesce(sum(lim) OVER b, 0)) / ((SELECT sum(weight) FROM r) - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM r WINDOW w AS (ORDER BY lim / weight, source NULLS LAST), b AS (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, least(CAST(lim AS DOUBLE), weight * (SELECT level FROM o WHERE level <= lim / weight ORDER BY turn LIMIT 1)) AS target,
+    least({mixing.BLOCKS}, n_docs) AS n_blocks FROM o),
+f AS (SELECT d.doc_id, d.size, t.* , {_H60 % f"'block|{mixing.SEED}|' || CAST(doc_id AS VARCHAR)"} % n_blocks AS block FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT source, block, CAST(sum(size) AS BIGINT) AS words, min(target) - floor(min(target) / greatest(min(source_size), 1)) * min(source_size) AS lft,
+    row_number() OVER (PARTITION BY source ORDER BY {_H60 % f"'order|{mixing.SEED}|' || coalesce(source, '') || '|' || CAST(block AS VARCHAR)"}, block) AS i
+  FROM f GROUP BY source, block),
+g AS (
+  SELECT source, block, i, CASE WHEN words <= lft THEN lft - words ELSE lft END AS rest, CAST(words <= lft AS INTEGER) AS more FROM k WHERE i = 1
+  UNION ALL
+  SELECT k.source, k.block, k.i, CASE WHEN k.words <= g.rest THEN g.rest - k.words ELSE g.rest END, CAST(k.words <= g.rest AS INTEGER)
+  FROM g JOIN k ON k.source IS NOT DISTINCT FROM g.source AND k.i = g.i + 1)
+SELECT f.doc_id, f.size, f.source_size, f.target, CAST(f.size * (floor(f.target / greatest(f.source_size, 1)) + g.more) AS BIGINT) AS taken
+FROM f JOIN g ON g.source IS NOT DISTINCT FROM f.source AND g.block = f.block
+"""
+
+ORACLES: dict[str, str] = {"op6_mixing": _OP6, "op1_sharding": _OP1, "op2_exact_dedup": _OP2}
