@@ -1,11 +1,11 @@
 """Exact deduplication by content-defined chunk recipes.
 
 A text is normalised and cut into chunks where its content says so, so that equal
-passages give equal chunks wherever they stand. Chunks get identifiers, whose
-uniqueness is verified against the chunks' contents in one dictionary over the corpus.
-A document is then only its recipe, the ordered list of its chunks' identifiers, and
-documents are equal exactly when their recipes are. Each distinct chunk crosses the
-network once; afterwards only recipes do.
+passages give equal chunks wherever they stand. Chunks get short identifiers, verified
+in one dictionary over the corpus: an identifier that stands for chunks of different
+SHA-256 digests is told apart. A document is then only its recipe, the ordered list of
+its chunks' identifiers, and documents are equal exactly when their recipes are. No text
+crosses the network; identifiers, digests and recipes do.
 """
 
 from __future__ import annotations
@@ -46,25 +46,29 @@ def chunk_hash(chunk: Column) -> Column:
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(row_id, text_sha256, recipe, chunks)`` for each row, without a shuffle."""
+    """``(row_id, text_sha256, recipe, digests)`` for each row, without a shuffle."""
     return (
         docs.select(F.col(id_col).alias("row_id"), normalise(F.col(text_col)).alias("norm"))
         .select("row_id", F.sha2("norm", 256).alias("text_sha256"), chunks(F.col("norm")).alias("chunks"))
-        .select("row_id", "text_sha256", F.transform("chunks", chunk_hash).alias("recipe"), "chunks")
+        .select(
+            "row_id",
+            "text_sha256",
+            F.transform("chunks", chunk_hash).alias("recipe"),
+            F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("digests"),
+        )
     )
 
 
 def colliding(staged: DataFrame) -> DataFrame:
-    """``(hash, chunk, ordinal)`` of all chunks whose hash another chunk has as well; as a rule none.
+    """``(hash, digest, ordinal)`` of all chunks whose hash a different chunk has as well; as a rule none.
 
     The dictionary is aggregated before the shuffle, so copies of a chunk leave each task once.
     """
-    found = staged.select(F.explode("chunks").alias("chunk")).select(chunk_hash(F.col("chunk")).alias("hash"), "chunk")
-    entries = found.distinct()
-    shared = entries.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    found = staged.select(F.explode(F.arrays_zip(F.col("recipe").alias("hash"), F.col("digests").alias("digest"))).alias("x"))
+    entries = found.select("x.hash", "x.digest").distinct()
     # Contents of one 64-bit hash are few, whatever the corpus.
-    listed = entries.join(shared, "hash", "left_semi").groupBy("hash").agg(F.sort_array(F.collect_list("chunk")).alias("all"))
-    return listed.select("hash", F.posexplode("all").alias("ordinal", "chunk"))
+    listed = entries.groupBy("hash").agg(F.sort_array(F.collect_list("digest")).alias("all")).where(F.size("all") > 1)
+    return listed.select("hash", F.posexplode("all").alias("ordinal", "digest"))
 
 
 def verified(staged: DataFrame) -> DataFrame:
@@ -77,11 +81,11 @@ def verified(staged: DataFrame) -> DataFrame:
     extra = written(colliding(staged))
     if extra.isEmpty():
         return staged.select("row_id", "text_sha256", "recipe")
-    used = staged.select("row_id", F.posexplode("chunks").alias("pos", "chunk")).join(extra, "chunk")
-    ranks = used.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ordinal"))).alias("ranks"))
-    ranks = ranks.select("row_id", F.transform("ranks", lambda x: x["ordinal"].cast("long")).alias("ranks"))
+    used = staged.select("row_id", F.posexplode("digests").alias("pos", "digest")).join(extra, "digest")
+    ranks = used.groupBy("row_id").agg(F.sort_array(F.collect_set(F.struct("pos", "ordinal"))).alias("ranks"))
+    ranks = ranks.select(F.col("row_id").alias("of"), F.transform("ranks", lambda x: x["ordinal"].cast("long")).alias("ranks"))
     empty = F.array().cast("array<bigint>")
-    return staged.join(ranks, "row_id", "left").select(
+    return staged.join(ranks, F.col("row_id").eqNullSafe(F.col("of")), "left").select(
         "row_id", "text_sha256", F.concat("recipe", F.coalesce("ranks", empty)).alias("recipe")
     )
 
@@ -96,7 +100,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are not read, so their names cannot clash. An empty table gives an
     empty result.
 
-    The text is read once and chunked once (the chunks are a table in the shared folder).
+    The text is read once (recipes are a small table in the shared folder).
     Groups are counted with partial aggregation; the join back has one row per group on
     one side, so Spark can split a group of any size on the other.
     """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import exact_dedup, mixing, pii, sharding
+from mosaiq.llm import exact_dedup, mixing, packing, pii, sharding
 from mosaiq.llm._common import table
 
 #: Production parameters of op1: a hundred slots a shard keep the shares within a percent.
@@ -41,11 +41,23 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select(F.col("row_id").alias("doc_id"), "size", "source_size", "target", taken)
 
 
+def vocabulary() -> str:
+    """The vocabulary file that op9 counts with; it stays where its package keeps it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_pii": op3_pii,
     "op6_mixing": op6_mixing,
+    "op9_packing": op9_packing,
 }
 
 _OP1 = f"""
