@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import exact_dedup, mixing, packing, pii, sharding
+from mosaiq.llm import exact_dedup, langid, mixing, packing, pii, sharding, warc
 from mosaiq.llm._common import table
 
 #: Production parameters of op1: a hundred slots a shard keep the shares within a percent.
@@ -41,6 +41,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select(F.col("row_id").alias("doc_id"), "size", "source_size", "target", taken)
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """The fold that language models may not learn from."""
+    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out()))
+    return langid.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
 def vocabulary() -> str:
     """The vocabulary file that op9 counts with; it stays where its package keeps it."""
     import public_tokenizers
@@ -52,12 +63,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_pii": op3_pii,
     "op6_mixing": op6_mixing,
+    "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
 }
 
 _OP1 = f"""
@@ -115,4 +132,13 @@ SELECT f.doc_id, f.size, f.source_size, f.target, CAST(f.size * (floor(f.target
 FROM f JOIN g ON g.source IS NOT DISTINCT FROM f.source AND g.block = f.block
 """
 
-ORACLES: dict[str, str] = {"op6_mixing": _OP6, "op1_sharding": _OP1, "op2_exact_dedup": _OP2}
+_OP10 = rf"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= {warc.LEAST_REVISIT} AND page_id > f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {warc.LEAST_REVISIT} AND page_id > f THEN f END AS refers_to
+FROM q
+"""
+
+ORACLES: dict[str, str] = {"op10_warc": _OP10, "op6_mixing": _OP6, "op1_sharding": _OP1, "op2_exact_dedup": _OP2}
