@@ -27,8 +27,8 @@ from mosaiq.llm._components import components
 from mosaiq.runtime import ship
 
 WORDS, SEED, DISTANCE = 3, 42, 2
-#: Leaves below a node of the cut: between these, and about a 200th of all within them.
-CELL_LEAST, CELL_MOST = 256, 4096
+#: Leaves below a node of the cut at most, and rows a task should have.
+CELL, TASK_ROWS = 1024, 16_384
 HALF = 32
 _BLOCK = 1 << 15
 
@@ -65,50 +65,50 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def walk(a: np.ndarray, b: np.ndarray, same: bool, level: int, half: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the pairs of ``a`` and ``b`` (sorted, distinct, each below one node of ``level``) within the budget.
+def walk(v: np.ndarray, nodes_a: np.ndarray, nodes_b: np.ndarray, level: int, half: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the pairs of leaves within the budget, below the given pairs of nodes, all pairs walked down at once.
 
-    ``half`` bounds the differing bits of the first 32 levels, ``most`` those of all. With
-    ``same``, ``a`` is ``b`` and each unordered pair of different leaves comes once.
+    ``v`` holds the leaves, sorted and distinct; a node is the first ``level`` bits of its
+    leaves. ``half`` bounds the differing bits of the first 32 levels, ``most`` those of
+    all. Below a node paired with itself each unordered pair of different leaves comes once.
     """
     one, empty = np.uint64(1), np.zeros(0, dtype=np.int64)
-    if not len(a) or not len(b):
-        return empty, empty
     above = np.uint64(64 - level)
-    err = int(np.bitwise_count((a[0] >> above) ^ (b[0] >> above))) if level else 0
-    pairs = np.array([[0], [len(a)], [0], [len(b)], [err]], dtype=np.int64)  # ranges of leaves, differing bits
+
+    def ends(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not level:
+            return np.zeros(len(nodes), dtype=np.int64), np.full(len(nodes), len(v))
+        first = nodes << above
+        return np.searchsorted(v, first), np.searchsorted(v, first | ((one << above) - one), side="right")
+
+    (alo, ahi), (blo, bhi) = ends(nodes_a), ends(nodes_b)
+    # A column is a pair of nodes: their ranges of leaves, and the bits in which their paths differ.
+    pairs = np.stack([alo, ahi, blo, bhi, np.bitwise_count(nodes_a ^ nodes_b).astype(np.int64)])
     out_a, out_b = [empty], [empty]
     for depth in range(level, 65):
-        alo, ahi, blo, bhi, err = pairs
-        keep = err <= (half if depth <= HALF else most)
-        pairs = pairs[:, keep]
+        pairs = pairs[:, (pairs[1] > pairs[0]) & (pairs[3] > pairs[2]) & (pairs[4] <= (half if depth <= HALF else most))]
         alo, ahi, blo, bhi, err = pairs
         single = (ahi - alo == 1) & (bhi - blo == 1)
-        x, y = a[alo[single]], b[blo[single]]
-        differ = x ^ y
-        good = (np.bitwise_count(differ) <= most) & (np.bitwise_count(differ >> np.uint64(HALF)) <= half)
-        if same:
-            good &= alo[single] != blo[single]
-        out_a.append(alo[single][good])
-        out_b.append(blo[single][good])
+        x, y = alo[single], blo[single]
+        differ = v[x] ^ v[y]
+        good = (x != y) & (np.bitwise_count(differ) <= most) & (np.bitwise_count(differ >> np.uint64(HALF)) <= half)
+        out_a.append(x[good])
+        out_b.append(y[good])
         pairs = pairs[:, ~single]
         if depth == 64 or not pairs.shape[1]:
             break
         alo, ahi, blo, bhi, err = pairs
         bit = np.uint64(63 - depth)
-        amid = np.searchsorted(a, ((a[alo] >> bit) | one) << bit).clip(alo, ahi)
-        bmid = np.searchsorted(b, ((b[blo] >> bit) | one) << bit).clip(blo, bhi)
-        children = [
+        amid = np.searchsorted(v, ((v[alo] >> bit) | one) << bit).clip(alo, ahi)
+        bmid = np.searchsorted(v, ((v[blo] >> bit) | one) << bit).clip(blo, bhi)
+        other = alo != blo  # below a node paired with itself, one order of its two children is enough
+        children = (
             (alo, amid, blo, bmid, err),
             (amid, ahi, bmid, bhi, err),
             (alo, amid, bmid, bhi, err + 1),
-            (amid, ahi, blo, bmid, err + 1),
-        ]
-        if same:  # below a node paired with itself, one order of its two children is enough
-            itself = alo == blo
-            children[3] = tuple(v[~itself] for v in children[3])
+            (amid[other], ahi[other], blo[other], bmid[other], err[other] + 1),
+        )
         pairs = np.concatenate([np.stack(c) for c in children], axis=1)
-        pairs = pairs[:, (pairs[1] > pairs[0]) & (pairs[3] > pairs[2])]
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
@@ -125,16 +125,14 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def _cut_level(fps: DataFrame, n: int) -> tuple[int, int]:
-    """Level of the cut, and the most leaves that a task takes of one node."""
-    cell = min(CELL_MOST, max(CELL_LEAST, n // 200))
-    level = min(HALF, max(0, int(np.ceil(np.log2(max(1, n / cell))))))
-    while level < HALF:
-        most = fps.groupBy(_node(level)).count().agg(F.max("count")).first()[0]
-        if (most or 0) <= cell:
-            break
-        level = min(HALF, level + 4)
-    return level, cell
+def _cut_level(fps: DataFrame, n: int) -> int:
+    """The first level, in steps of four, at which no node has more than ``CELL`` leaves; 32 if there is none."""
+    least = min(HALF, max(0, int(np.ceil(np.log2(max(1, n / CELL))))))
+    levels = [*range(least, HALF, 4), HALF]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), _node(k).alias("node")) for k in levels))).alias("x")
+    sizes = fps.select(each).groupBy("x").count().groupBy("x.level").agg(F.max("count").alias("most"))
+    # One row a level comes to the driver.
+    return min([r["level"] for r in sizes.where(F.col("most") <= CELL).collect()], default=HALF)
 
 
 def _node(level: int) -> Column:
@@ -142,36 +140,38 @@ def _node(level: int) -> Column:
 
 
 def _join(fps: DataFrame, n: int, half: int, most: int, all_links: bool) -> DataFrame:
-    level, cell = _cut_level(fps, n)
-    # A node with more leaves than a task takes, which only happens at level 32, is dealt out in blocks.
-    nodes = written(fps.groupBy(_node(level).alias("node")).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("blocks")))
+    level = _cut_level(fps, n)
     flips = [0]
     for _ in range(min(half, level)):
         flips = sorted({f ^ (1 << k) for f in flips for k in range(level)} | set(flips))
-    near = nodes.select(F.col("node").alias("na"), F.col("blocks").alias("ka"), F.explode(F.array(*(F.col("node").bitwiseXOR(F.lit(f).cast("long")) for f in flips))).alias("node"))
-    pairs = near.where("na <= node").join(nodes, "node").select("na", "ka", F.col("node").alias("nb"), F.col("blocks").alias("kb"))
-    pairs = written(pairs)
-    leaves = fps.withColumn("node", _node(level))
+    # A node with more leaves than a task takes, which only happens at level 32, is dealt out in blocks.
+    nodes = written(fps.groupBy(_node(level).alias("node")).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks")))
+    flipped = F.explode(F.array(*(F.col("node").bitwiseXOR(F.lit(f).cast("long")) for f in flips)))
+    near = nodes.select(F.col("node").alias("na"), F.col("blocks").alias("ka"), flipped.alias("node")).where("na <= node")
+    pairs = written(near.join(nodes, "node").select("na", "ka", F.col("node").alias("nb"), F.col("blocks").alias("kb")))
+    # Pairs of small nodes share tasks; a pair of blocks has its own.
+    tasks = max(1, n * (len(flips) + 1) // TASK_ROWS)
     mine = lambda k: F.pmod(F.xxhash64("fp"), k).cast("int")
     others = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
-    left = leaves.join(pairs, leaves["node"] == pairs["na"]).select("na", "nb", mine(F.col("ka")).alias("i"), others(F.col("kb")).alias("j"), "fp", F.lit(True).alias("left"))
-    right = leaves.join(pairs, leaves["node"] == pairs["nb"]).select("na", "nb", others(F.col("ka")).alias("i"), mine(F.col("kb")).alias("j"), "fp", F.lit(False).alias("left"))
-    # Of a node paired with itself, block pairs come once, and a block paired with itself needs one side only.
-    sides = left.where("na < nb or i <= j").union(right.where("na < nb or i < j"))
-
-    def task(part: pd.DataFrame) -> pd.DataFrame:
-        v, side = part["fp"].to_numpy().view(np.uint64), part["left"].to_numpy()
-        a, same = np.sort(v[side]), bool(side.all())
-        b = a if same else np.sort(v[~side])
-        i, j = walk(a, b, same, level, half, most)
+    leaves = fps.withColumn("node", _node(level))
+    left = leaves.join(pairs, leaves["node"] == pairs["na"]).select("na", "nb", "ka", "kb", mine(F.col("ka")).alias("i"), others(F.col("kb")).alias("j"), "fp")
+    right = leaves.join(pairs.where("na < nb or ka > 1"), leaves["node"] == F.col("nb")).select("na", "nb", "ka", "kb", others(F.col("ka")).alias("i"), mine(F.col("kb")).alias("j"), "fp")
+    sides = left.union(right).where("na < nb or i <= j")
+    whole = (F.col("ka") == 1) & (F.col("kb") == 1)
+    task = F.when(whole, F.pmod(F.xxhash64("na", "nb"), F.lit(tasks))).otherwise(F.xxhash64("na", "nb", "i", "j")).alias("task")
+    alone = F.when(whole, 0).otherwise(1).alias("alone")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        v = np.unique(part["fp"].to_numpy().view(np.uint64))
+        a, b = np.unique(part[["na", "nb"]].to_numpy(), axis=0).view(np.uint64).T
+        i, j = walk(v, a, b, level, half, most)
         if all_links:
-            return pd.DataFrame({"a": a[i].view(np.int64), "b": b[j].view(np.int64)})
-        every = a if same else np.concatenate([a, b])
-        root = spanning(len(every), i, j if same else j + len(a))
-        moved = np.flatnonzero(root != np.arange(len(every)))
-        return pd.DataFrame({"a": every[root[moved]].view(np.int64), "b": every[moved].view(np.int64)})
+            return pd.DataFrame({"a": v[i].view(np.int64), "b": v[j].view(np.int64)})
+        root = spanning(len(v), i, j)
+        moved = np.flatnonzero(root != np.arange(len(v)))
+        return pd.DataFrame({"a": v[root[moved]].view(np.int64), "b": v[moved].view(np.int64)})
 
-    return sides.groupBy("na", "nb", "i", "j").applyInPandas(task, "a long, b long")
+    return sides.select(task, alone, "na", "nb", "fp").groupBy("task", "alone").applyInPandas(compare, "a long, b long")
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, all_links: bool = True) -> DataFrame:
