@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.runtime import ship
 
-#: Labelled documents the model is fitted on at most, and entries it keeps per language and kind: these bound its size.
+#: Labelled documents the model is fitted on, and entries it keeps per language and kind: these bound its size.
 TRAIN_DOCS, MAX_WORDS, MAX_GRAMS, MAX_LANGS = 20_000, 20_000, 5_000, 200
 #: Lengths of the character n-grams, longest first; words carry a mark at either end.
 GRAMS = (5, 4, 3, 2, 1)
@@ -96,14 +96,15 @@ def _rows(counts: pd.DataFrame, langs: list[str], totals: dict[str, float]) -> d
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on at most ``train_docs`` rows of ``labelled``: those whose id hashes lowest, rows without a language left out.
+    """Fit on about ``train_docs`` rows of ``labelled`` that a hash of the id picks, or all if they are fewer; rows without a language are left out.
 
     Counting is done by Spark, each language's most frequent entries are kept, and only they
     come to the driver: ``MAX_WORDS`` and ``MAX_GRAMS`` a language and kind, ``MAX_LANGS`` languages.
     """
     ship(labelled.sparkSession)
-    known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(order_col).alias("h"), F.col(order_col).alias("o"))
-    sample = known.orderBy("h", "o").limit(train_docs)
+    known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(order_col).alias("id"))
+    share = train_docs / max(1, known.count())
+    sample = known if share >= 1 else known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
