@@ -1,4 +1,392 @@
-"""Registered queries and their SQL."""
+"""The registered queries: each operator on the tables at hand, with the same result in SQL where SQL can express it.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Vectors are ``embeddings``, texts ``documents`` and ``conversations``. Doubles are rounded
+to six places in both engines.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mosaiq.functions import text as T
+from mosaiq.functions import vectors as V
+from mosaiq.operators import cluster, diversity, grouping, labels, sampling, scoring, selection, stats, topk
+from mosaiq.plans import oracles
+from mosaiq.plans.constants import AFFINITY, SCENARIOS
+
+DIM, K = 64, 5
+VALUES = ["functional", "emotional", "social", "epistemic", "ethical"]
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings")
+
+
+def _five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the first five labels."""
+    return _emb(spark, sf_dir).where(F.col("label") < K)
+
+
+def vector_norms(spark, sf_dir):
+    e = F.col("embedding")
+    return _emb(spark, sf_dir).select("vec_id", _r6(V.norm(e)).alias("norm"), _r6(V.norm(V.normalise(e))).alias("unit_norm"), _r6(V.norm(V.normalise(e, added=True))).alias("unit_norm_added"))
+
+
+def exact_topk(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    found = topk.batch_search(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+    return found.select("query_id", "vec_id", "rank", _r6("score").alias("score"))
+
+
+def topk_excluding(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    q = e.where("vec_id = 7").first()["embedding"]
+    return topk.search(e, q, 10, exclude=[7, 11, 13]).select("vec_id", _r6("score").alias("score"))
+
+
+def ivf_topk(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    index = topk.CellIndex(e, 16)
+    found = index.search(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, 12)
+    return found.select("query_id", "vec_id", "rank", _r6("score").alias("score"))
+
+
+def cluster_centroids(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    by = labels.centroids(e, "label", "embedding", DIM).withColumnRenamed("centroid", "v").select(F.col("label").cast("string").alias("label"), "v", "n")
+    every = labels.overall_mean(e, "embedding", DIM).crossJoin(e.agg(F.count(F.lit(1)).alias("n"))).select(F.lit("ALL").alias("label"), F.col("mean").alias("v"), "n")
+    return by.union(every).select("label", "n", F.posexplode("v").alias("pos", "x")).select("label", "n", "pos", _r6("x").alias("x"))
+
+
+def _sims(spark, sf_dir, shift: int = 0) -> DataFrame:
+    """Anchors are the first vector of each label, named in another order if ``shift`` asks for it."""
+    e = _five(spark, sf_dir)
+    anchors = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(((F.col("label") + shift) % K).alias("anchor"), "vector")
+    clusters = labels.centroids(e, "label", "embedding", DIM).select(F.col("label").alias("cluster"), "centroid")
+    return labels.similarity_matrix(anchors, clusters, labels.overall_mean(e, "embedding", DIM))
+
+
+def anchor_similarity_matrix(spark, sf_dir):
+    return _sims(spark, sf_dir).select("anchor", "cluster", _r6("sim").alias("sim"))
+
+
+def optimal_assignment(spark, sf_dir):
+    return labels.assign(_sims(spark, sf_dir, 2)).select("anchor", "cluster", _r6("sim").alias("sim"))
+
+
+def assignment_margins(spark, sf_dir):
+    return labels.margins(_sims(spark, sf_dir)).select("anchor", _r6("margin").alias("margin"), "low_conf")
+
+
+def assignment_quality(spark, sf_dir):
+    sims = _sims(spark, sf_dir)
+    return labels.assignment_quality(labels.assign(sims), labels.margins(sims)).select(*(_r6(c).alias(c) for c in ("min_cos", "mean_cos", "min_margin")))
+
+
+def cluster_medoids(spark, sf_dir):
+    return labels.medoids(_emb(spark, sf_dir), "label", "vec_id", "embedding", DIM, 3).select("label", "vec_id", "rank", _r6("distance").alias("distance"))
+
+
+def medoid_and_others(spark, sf_dir):
+    return labels.medoid_and_others(_emb(spark, sf_dir), "label", "vec_id", "embedding", DIM, 4).select("label", "vec_id", "rank")
+
+
+def entropy_noise(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    found = labels.noise_by_entropy(e, "embedding", labels.centroids(_five(spark, sf_dir), "label", "embedding", DIM))
+    return found.select("vec_id", _r6("entropy").alias("entropy"), "noise_dist")
+
+
+def crosstab_all(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang")
+    marks = _read(spark, sf_dir, "labels").select("doc_id", "quality")
+    return stats.crosstab(docs.join(marks, "doc_id"), "lang", "quality", docs, spark.range(3).select(F.col("id").cast("int").alias("quality")))
+
+
+def crosstab_clean(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang")
+    marks = _read(spark, sf_dir, "labels").where("toxic = 0").select("doc_id", "quality")
+    return stats.crosstab(docs.join(marks, "doc_id"), "lang", "quality", docs, marks)
+
+
+def value_shares(spark, sf_dir):
+    return stats.value_shares(_read(spark, sf_dir, "documents"), "source", 20).select("source", "n", _r6("share").alias("share"))
+
+
+def cluster_imbalance(spark, sf_dir):
+    sizes = _emb(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return stats.imbalance(sizes).select(*(_r6(c).alias(c) for c in ("max_share", "min_share", "balance")), "too_large", "too_small")
+
+
+def _values(spark, sf_dir) -> DataFrame:
+    """Five values of a row: the first components of its vector, moved to be positive."""
+    return _emb(spark, sf_dir).select("vec_id", "label", *((F.col("embedding")[i].cast("double") * 4 + 4).alias(c) for i, c in enumerate(VALUES)))
+
+
+def _value_centres(spark) -> DataFrame:
+    rows = [(f"type{i}", *(5.0 if i == j else 2.0 + 0.25 * j for j in range(K))) for i in range(K)]
+    return spark.createDataFrame(rows, "type string, " + ", ".join(f"{c} double" for c in VALUES))
+
+
+def centroid_rescale(spark, sf_dir):
+    return labels.rescaled_centroids(_value_centres(spark), _values(spark, sf_dir), VALUES).select("type", *(_r6(c).alias(c) for c in VALUES))
+
+
+def top2_types(spark, sf_dir):
+    values = _values(spark, sf_dir)
+    centres = labels.rescaled_centroids(_value_centres(spark), values, VALUES).select("type", F.array(*VALUES).alias("centroid"))
+    return labels.top2_types(values, F.array(*VALUES), centres, ["vec_id"], 0.97).select("vec_id", "type1", "type2", _r6("top1_sim").alias("top1_sim"), _r6("top2_sim").alias("top2_sim"))
+
+
+def _anchor_raw(spark, sf_dir) -> DataFrame:
+    e = _emb(spark, sf_dir)
+    anchors = e.where("label < 5 AND vec_id < 100").select(F.col("label").alias("anchor_group"), F.col("embedding").alias("anchor_vector"))
+    return scoring.anchor_max(e, anchors, "vec_id", "embedding")
+
+
+def anchor_max_scaled(spark, sf_dir):
+    raw = _anchor_raw(spark, sf_dir)
+    scored = scoring.clip_scaled(raw, "raw", scoring.pooled_percentiles(raw, "raw"))
+    return scored.select("vec_id", "anchor_group", _r6("raw").alias("raw"), _r6("score").alias("score"))
+
+
+def _neighbours(spark, sf_dir) -> DataFrame:
+    e = _emb(spark, sf_dir)
+    hobbies = e.where("vec_id < 100").select(F.col("vec_id").alias("h"), F.col("embedding").alias("hv"), (F.col("vec_id") % 6).cast("double").alias("functional"), (F.col("vec_id") % 4).cast("double").alias("social"))
+    sims = e.crossJoin(F.broadcast(hobbies)).where("vec_id <> h").select("vec_id", "functional", "social", V.cosine(F.col("embedding"), F.col("hv")).alias("sim"))  # 100 rows at every size
+    return scoring.weighted_neighbours(sims, ["functional", "social"], "vec_id", e, 0.25)
+
+
+def weighted_knn_score(spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("vec_id", _r6("functional").alias("functional"), _r6("social").alias("social"))
+
+
+def score_fusion(spark, sf_dir):
+    values = _values(spark, sf_dir).select("vec_id", F.col("functional").alias("f"), F.col("social").alias("s"))
+    both = _neighbours(spark, sf_dir).join(values, "vec_id")
+    valid = F.col("functional") + F.col("social") > 0
+    return both.select("vec_id", _r6(scoring.fused(F.col("functional"), F.col("f"), valid, 0.5, 1.5)).alias("functional"), _r6(scoring.fused(F.col("social"), F.col("s"), valid, 0.5, 1.5)).alias("social"))
+
+
+def structural_noise(spark, sf_dir):
+    """The four blocks of a vector stand for four columns' vectors."""
+    e, wide = _emb(spark, sf_dir), DIM // 4
+    means = labels.overall_mean(e, "embedding", DIM)
+    rows = e.crossJoin(F.broadcast(means))  # one row
+    parts = [V.block(F.col("embedding"), i, wide) for i in range(4)]
+    away = [V.euclidean(p, V.block(F.col("mean"), i, wide)) for i, p in enumerate(parts)]
+    centre = V.scale(V.add(V.add(parts[0], parts[1]), V.add(parts[2], parts[3])), F.lit(0.25))
+    spread = [V.total(F.transform(V.subtract(p, centre), lambda x: x * x)) for p in parts]
+    signals = rows.select("vec_id", ((away[0] + away[1] + away[2] + away[3]) / 4).alias("distinct"), V.norm(centre).alias("emb_norm"), (V.total(F.array(*spread)) / 4 / wide).alias("consistency"))
+    found = labels.consensus_noise(signals, {"distinct": "low", "emb_norm": "high", "consistency": "low"}, 0.2)
+    return found.select("vec_id", _r6("distinct").alias("distinct"), _r6("emb_norm").alias("emb_norm"), _r6("consistency").alias("consistency"), "flags", "noise_struct")
+
+
+def quota_sample(spark, sf_dir):
+    """Customers by band of their balance, the last band left out."""
+    band = F.when(F.col("c_acctbal") < 0, "a").when(F.col("c_acctbal") < 1000, "b").when(F.col("c_acctbal") < 6000, "c").otherwise("other")
+    return sampling.quota_sample(_read(spark, sf_dir, "customer"), 500, band, "c_custkey").select("c_custkey", "stratum")
+
+
+def stratified_sample(spark, sf_dir):
+    """As quota_sample, without passing on what small bands leave."""
+    return sampling.quota_sample(_read(spark, sf_dir, "customer"), 500, F.col("c_mktsegment"), "c_custkey", excluded=("MACHINERY",), carry=False).select("c_custkey", "stratum")
+
+
+def exact_hash_sample(spark, sf_dir):
+    return sampling.exact_sample(_read(spark, sf_dir, "documents").select("doc_id", "lang"), 100, "doc_id")
+
+
+def keep_first(spark, sf_dir):
+    return stats.keep_first(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["text"], ["doc_id"]).select("doc_id", "source")
+
+
+def stat_bundle(spark, sf_dir):
+    return stats.bundle_by(_read(spark, sf_dir, "events"), "event_type", "value").select("event_type", *(_r6(c).alias(c) for c in ("mean", "p50", "p95", "min", "max")), "n")
+
+
+def trial_rates(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").where("value IS NOT NULL")
+    passed = F.avg((F.col("value") >= 25).cast("double"))
+    users = e.groupBy("user_id").agg(passed.alias("pass_rate"), F.count_distinct("event_type").alias("k"))
+    return users.select("user_id", _r6("pass_rate").alias("pass_rate"), (F.col("k") == 3).alias("three_types"))
+
+
+def threshold_loss_curve(spark, sf_dir):
+    values = _values(spark, sf_dir)
+    centres = labels.rescaled_centroids(_value_centres(spark), values, VALUES).select("type", F.array(*VALUES).alias("centroid"))
+    best = labels.top2_types(values, F.array(*VALUES), centres, ["vec_id"], -1.0)
+    return stats.loss_curve(best, "top1_sim", [round(0.80 + 0.01 * i, 2) for i in range(19)]).select(_r6("threshold").alias("threshold"), _r6("share").alias("share"))
+
+
+def token_stats(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("lang", F.size(T.tokens(F.col("text"))).cast("double").alias("tokens"))
+    return stats.bundle_by(rows, "lang", "tokens").select("lang", *(_r6(c).alias(c) for c in ("mean", "p50", "p95", "min", "max")), "n")
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
+    return diversity.first_n(turns, "conv_id", "turn", 3)
+
+
+def lexical_diversity(spark, sf_dir):
+    rows = _answers(spark, sf_dir)
+    found = diversity.report(rows, diversity.lexical(rows, "conv_id", "ordinal", "text"), "conv_id")
+    return found.select("conv_id", "n_pairs", _r6("mean_score").alias("mean_score"), "passed", "worst_i", "worst_j")
+
+
+def ngram_counts(spark, sf_dir):
+    rows = _answers(spark, sf_dir)
+    return diversity.word_counts(rows, ["conv_id"], "text", 2).where("n > 1")
+
+
+def embedding_diversity(spark, sf_dir):
+    rows = _emb(spark, sf_dir).select(F.floor(F.col("vec_id") / 3).alias("grp"), (F.col("vec_id") % 3).alias("ordinal"), "embedding")
+    found = diversity.report(rows, diversity.by_vectors(rows, "grp", "ordinal", "embedding"), "grp")
+    return found.select("grp", "n_pairs", _r6("mean_score").alias("mean_score"), "passed", "worst_i", "worst_j")
+
+
+def scorer_ablation(spark, sf_dir):
+    rows = _emb(spark, sf_dir).select(F.floor(F.col("vec_id") / 3).alias("grp"), (F.col("vec_id") % 3).alias("ordinal"), "embedding")
+    parts = {"first": F.slice("embedding", 1, 32), "second": F.slice("embedding", 33, 32), "all": F.col("embedding")}
+    each = [diversity.by_vectors(rows.withColumn("v", v), "grp", "ordinal", "v").withColumn("model", F.lit(k)) for k, v in parts.items()]
+    found = diversity.compare_scorers(each[0].unionByName(each[1]).unionByName(each[2]), "model", "grp")
+    return found.select("model", *(_r6(c).alias(c) for c in ("mean", "median", "min", "max")), "n")
+
+
+def response_postprocess(spark, sf_dir):
+    p = T.postprocess(F.col("text"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", p["text"].alias("text"), p["is_valid"].alias("is_valid"), F.length(p["text"]).cast("long").alias("n_chars"))
+
+
+def retry_gate(spark, sf_dir):
+    """Turns of a conversation stand for the attempts of two slots."""
+    turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request"), (F.col("turn") % 2).cast("int").alias("slot"), F.floor(F.col("turn") / 2).cast("int").alias("attempt"), "text")
+    return diversity.gate(turns).select("request", "slot", "attempt", "is_valid", _r6("mean_score").alias("mean_score"), "passed")
+
+
+def prefix_saturation(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
+    return stats.prefix_saturation(words, "doc_id", "word", [100, 200, 300, 400, 500], docs.count()).select("prefix", "n_unique", _r6("growth").alias("growth"), "saturated")
+
+
+def _scenarios(spark) -> DataFrame:
+    rows = [(k, c, list(t), i, p) for k, c, t, i, p in SCENARIOS]
+    return spark.createDataFrame(rows, "request_id string, category string, reasons array<string>, item string, price int")
+
+
+def tag_inference(spark, sf_dir):
+    tags = selection.inferred_tags(F.lit(None).cast("array<string>"), F.col("reasons"), F.col("category"), F.col("price"))
+    block = selection.context_block(F.col("reasons"), F.col("item"), F.col("category"), F.col("price"), F.lit(""))
+    query = selection.context_query(F.col("reasons"), F.col("item"), F.col("category"), F.lit(""))
+    return _scenarios(spark).select("request_id", F.array_join(tags, ",").alias("tags"), query.alias("query"), block.alias("block"))
+
+
+def affinity_scores(spark, sf_dir):
+    tags = selection.inferred_tags(F.lit(None).cast("array<string>"), F.col("reasons"), F.col("category"), F.col("price"))
+    scores = selection.affinity(_scenarios(spark).select("request_id", tags.alias("tags")), selection.long_matrix(spark, AFFINITY))
+    return scores.select("request_id", "arch", "score")
+
+
+def _panel_inputs(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    tag = F.element_at(F.array(*map(F.lit, selection.TAGS)), (F.floor(F.col("vec_id") / 5) % 5 + 1).cast("int"))
+    arch = F.concat(F.lit("Arch_"), (F.col("vec_id") % 5).cast("string"))
+    cards = e.select(F.col("vec_id").alias("card_id"), F.col("vec_id").alias("ord"), arch.alias("arch"), tag.alias("tag"), (F.col("vec_id") % 3).cast("double").alias("coherence"), F.col("embedding").alias("vector"))
+    tags = F.array(F.element_at(F.array(*map(F.lit, selection.TAGS)), (F.col("vec_id") % 5 + 1).cast("int")), F.element_at(F.array(*map(F.lit, selection.TAGS)), (F.floor(F.col("vec_id") / 7) % 5 + 1).cast("int")))
+    favourites = F.when(F.col("vec_id") % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.lit(-1).cast("bigint"), F.col("vec_id") + 1))
+    requests = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("request_id"), tags.alias("tags"), favourites.alias("favourites"), F.col("embedding").alias("vector"))
+    return requests, cards
+
+
+def mentor_selection(spark, sf_dir):
+    requests, cards = _panel_inputs(spark, sf_dir)
+    hits = selection.search_hits(requests, cards)
+    return selection.select(requests, cards, selection.long_matrix(spark, AFFINITY), hits)
+
+
+def mentor_selection_reliable(spark, sf_dir):
+    requests, cards = _panel_inputs(spark, sf_dir)
+    return selection.select(requests, cards, selection.long_matrix(spark, AFFINITY))
+
+
+def greedy_dedupe(spark, sf_dir):
+    items = _emb(spark, sf_dir)
+    pairs = grouping.similar_pairs(items, "vec_id", "embedding", "label", 0.3)
+    grouped = grouping.groups(items, pairs, "vec_id")
+    chosen = grouping.representatives(grouped, items, "vec_id", "embedding", DIM)
+    return grouping.aliases(grouped, chosen).select(F.col("id").alias("vec_id"), "representative")
+
+
+def fixed_label_quality(spark, sf_dir):
+    q = stats.cluster_quality(_emb(spark, sf_dir), "label", "embedding", DIM)
+    return q.select("k", "n", _r6("davies_bouldin").alias("davies_bouldin"), _r6("calinski_harabasz").alias("calinski_harabasz"))
+
+
+def sampled_silhouette(spark, sf_dir):
+    sample = sampling.exact_sample(_emb(spark, sf_dir), 300, "vec_id")
+    return stats.silhouette(sample, "vec_id", "label", "embedding").select(_r6("silhouette").alias("silhouette"))
+
+
+def label_agreement(spark, sf_dir):
+    pairs = _emb(spark, sf_dir).select("label", F.floor((F.col("label") + F.col("vec_id") % 3) / 2).alias("other"))
+    return stats.adjusted_rand(pairs, "label", "other").select(_r6("ari").alias("ari"))
+
+
+def rank_correlation(spark, sf_dir):
+    return stats.spearman(_values(spark, sf_dir), VALUES[:3]).select("a", "b", _r6("rho").alias("rho"))
+
+
+def value_histogram(spark, sf_dir):
+    return stats.histogram(_read(spark, sf_dir, "events").where("value IS NOT NULL"), "value", 0.0, 200.0, 20)
+
+
+def regress_out(spark, sf_dir):
+    e = _emb(spark, sf_dir).withColumn("len", (F.col("vec_id") % 37).cast("double")).withColumn("kind", (F.col("label") % 3).cast("string"))
+    return cluster.regress_out(e, "embedding", DIM, ["len"], ["kind"]).select("vec_id", _r6(V.norm(F.col("residual"))).alias("residual_norm"))
+
+
+def pca_kmeans(spark, sf_dir):
+    config = cluster.Config(k=10, starts=3, pca=16)
+    return cluster.spherical_pipeline(_emb(spark, sf_dir), "embedding", config).select("vec_id", "cluster")
+
+
+def bootstrap_ari(spark, sf_dir):
+    return spark.createDataFrame([(cluster.bootstrap_ari(_emb(spark, sf_dir), "embedding", "vec_id", k=5, starts=2),)], "ari double")
+
+
+def prompt_parts(spark, sf_dir):
+    """Parts of a prompt from conversation texts: head, keyword, list, type."""
+    c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    words = T.tokens(F.col("text"))
+    return c.select(
+        "conv_id", "turn", T.head_replaced(F.col("text"), {"a": "b"}, "unknown").alias("head"), T.first_keyword(F.col("text"), ["the", "und", "de"], "none").alias("keyword"),
+        F.array_join(F.slice(words, 1, 5), ", ").alias("first_words"), T.lookup(F.col("role"), {"user": 1, "assistant": 2}, 0).alias("type"),
+        T.labelled({"role": F.col("role"), "turn": F.col("turn").cast("string")}).alias("labelled"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        vector_norms, exact_topk, topk_excluding, ivf_topk, cluster_centroids, anchor_similarity_matrix, optimal_assignment, assignment_margins, assignment_quality,
+        cluster_medoids, medoid_and_others, entropy_noise, crosstab_all, crosstab_clean, value_shares, cluster_imbalance, centroid_rescale, top2_types,
+        anchor_max_scaled, weighted_knn_score, score_fusion, structural_noise, quota_sample, stratified_sample, exact_hash_sample, keep_first, stat_bundle,
+        trial_rates, threshold_loss_curve, token_stats, lexical_diversity, ngram_counts, embedding_diversity, scorer_ablation, response_postprocess, retry_gate,
+        prefix_saturation, tag_inference, affinity_scores, mentor_selection, mentor_selection_reliable, greedy_dedupe, fixed_label_quality, sampled_silhouette,
+        label_agreement, rank_correlation, value_histogram, regress_out, pca_kmeans, bootstrap_ari, prompt_parts,
+    )
+}
+ORACLES: dict[str, str] = oracles.SQL

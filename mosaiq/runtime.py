@@ -24,3 +24,14 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("mosaiq", os.path.relpath(full, top)))
     sc.addPyFile(path)
     sc._mosaiq_shipped = True
+
+
+def saved(df):
+    """``df`` computed once, its lineage cut by a checkpoint in the folder that the cluster shares (``spark.checkpoint.dir``).
+
+    Only where that setting is missing, as in tests, a temporary folder takes its place.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return df.checkpoint()
