@@ -1,3 +1,331 @@
-"""The queries' results in DuckDB's SQL."""
+"""The queries' results in DuckDB's SQL.
 
-SQL: dict[str, str] = {}
+DuckDB indexes lists from 1 and keeps ``FLOAT[]`` products in single precision, so vectors
+are cast to ``DOUBLE[]`` first.
+"""
+
+from __future__ import annotations
+
+from itertools import permutations
+
+from mosaiq.functions.text import SPACE
+from mosaiq.operators import selection
+from mosaiq.plans.constants import AFFINITY, SCENARIOS
+
+_E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+_ALL = "SELECT *, unnest(range(1, 65)) AS pos, unnest(v) AS x FROM e"
+_NORM = "sqrt(list_inner_product({0}, {0}))"
+_SPACE = SPACE
+
+
+def _dist(a: str, b: str) -> str:
+    return f"list_distance({a}, {b})"
+
+
+def _unit(v: str, eps: str = "greatest({0}, 1e-10)") -> str:
+    n = eps.format(_NORM.format(v))
+    return f"list_transform({v}, lambda x: x / {n})"
+
+
+def _added(v: str) -> str:
+    return _unit(v, "({0} + 1e-9)")
+
+
+def _sub(a: str, b: str) -> str:
+    return f"list_transform(list_zip({a}, {b}), lambda z: z[1] - z[2])"
+
+
+def _mean(source: str, keys: str = "") -> str:
+    """Element-wise means as lists, by keys."""
+    k = f"{keys}, " if keys else ""
+    return (
+        f"SELECT {k}list(x ORDER BY pos) AS c, any_value(n) AS n FROM (SELECT {k}pos, avg(x) AS x, count(*) AS n FROM "
+        f"(SELECT {k}unnest(range(1, 65)) AS pos, unnest(v) AS x FROM {source}) GROUP BY {k}pos) {f'GROUP BY {keys}' if keys else ''}"
+    )
+
+
+def _sims(shift: int = 0) -> str:
+    u = "list_transform({0}, lambda x: x / greatest(sqrt(list_inner_product({0}, {0})), 1e-10))"
+    return f"""{_E}, f AS (SELECT * FROM e WHERE label < 5), m AS ({_mean("f")}),
+cs AS (SELECT label AS cluster, c FROM ({_mean("f", "label")})),
+ans AS (SELECT (label + {shift}) % 5 AS anchor, arg_min(v, vec_id) AS v FROM f GROUP BY label),
+ca AS (SELECT anchor, {_sub("v", "m.c")} AS w FROM ans, m), cc AS (SELECT cluster, {_sub("cs.c", "m.c")} AS w FROM cs, m),
+na AS (SELECT anchor, {u.format("w")} AS w FROM ca), nc AS (SELECT cluster, {u.format("w")} AS w FROM cc),
+sims AS (SELECT anchor, cluster, list_inner_product(na.w, nc.w) AS sim FROM na, nc)"""
+
+
+_PERMS = "perms AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {i}, {j})" for n, p in enumerate(permutations(range(5))) for i, j in enumerate(p)) + ") t(n, i, j))"
+_BEST = f"""{_PERMS}, totals AS (SELECT n, sum(sim) AS total FROM perms JOIN sims ON anchor = i AND cluster = j GROUP BY n),
+chosen AS (SELECT anchor, cluster, sim FROM perms JOIN sims ON anchor = i AND cluster = j WHERE n = (SELECT n FROM totals ORDER BY total DESC, n LIMIT 1))"""
+_MARGIN = "mg AS (SELECT anchor, s[1] - s[2] AS margin FROM (SELECT anchor, list_reverse_sort(list(sim)) AS s FROM sims GROUP BY anchor))"
+
+_VAL = ["functional", "emotional", "social", "epistemic", "ethical"]
+_VALUES = "vals AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * 4 + 4 AS {c}" for i, c in enumerate(_VAL)) + " FROM embeddings)"
+_CENTRES = (
+    "cen AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('type{i}', " + ", ".join(f"CAST({5.0 if i == j else 2.0 + 0.25 * j} AS DOUBLE)" for j in range(5)) + ")" for i in range(5))
+    + ") t(type, "
+    + ", ".join(_VAL)
+    + "))"
+)
+
+
+def _moved(c: str) -> str:
+    low = f"least(7.0, greatest(1.0, (SELECT avg({c}) - 1.5 * stddev_pop({c}) FROM vals)))"
+    high = f"least(7.0, greatest(1.0, (SELECT avg({c}) + 1.5 * stddev_pop({c}) FROM vals)))"
+    a, b = f"(SELECT min({c}) FROM cen)", f"(SELECT max({c}) FROM cen)"
+    return f"{low} + ({c} - {a}) / CASE WHEN {b} = {a} THEN 1e-9 ELSE {b} - {a} END * ({high} - {low}) AS {c}"
+
+
+_RESCALED = f"{_VALUES}, {_CENTRES}, resc AS (SELECT type, {', '.join(map(_moved, _VAL))} FROM cen)"
+_TYPED = f"""{_RESCALED},
+ru AS (SELECT type, [{", ".join(_VAL)}] AS c FROM resc), vu AS (SELECT vec_id, [{", ".join(_VAL)}] AS v FROM vals),
+rn AS (SELECT type, {_added("c")} AS c FROM ru), vn AS (SELECT vec_id, {_added("v")} AS v FROM vu),
+rk AS (SELECT vec_id, type, list_inner_product(v, c) AS sim, row_number() OVER (PARTITION BY vec_id ORDER BY list_inner_product(v, c) DESC, type DESC) AS r FROM rn, vn),
+two AS (SELECT a.vec_id, a.type AS t1, b.type AS t2, a.sim AS s1, b.sim AS s2 FROM rk a JOIN rk b ON a.vec_id = b.vec_id AND a.r = 1 AND b.r = 2)"""
+
+_BUNDLE = """round(coalesce(avg({0}), 0), 6) AS mean, round(coalesce(quantile_cont({0}, 0.5), 0), 6) AS p50, round(coalesce(quantile_cont({0}, 0.95), 0), 6) AS p95,
+round(coalesce(min({0}), 0), 6) AS min, round(coalesce(max({0}), 0), 6) AS max, count({0}) AS n"""
+
+_TOKENS = f"list_filter(regexp_split_to_array({{0}}, '{_SPACE}'), lambda x: x <> '')"
+_ANSWERS = "ans AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3)"
+
+
+def _report(group: str, pairs: str, groups: str, extra: str = "") -> str:
+    return f"""SELECT g.{group}, coalesce(n, 0) AS n_pairs, round(coalesce(m, 0), 6) AS mean_score, coalesce(m >= 0.25, false) AS passed, w.i AS worst_i, w.j AS worst_j{extra}
+FROM (SELECT DISTINCT {group} FROM {groups}) g
+LEFT JOIN (SELECT {group}, count(*) AS n, avg(dist) AS m, min({{'dist': dist, 'i': i, 'j': j}}) AS w FROM {pairs} GROUP BY {group}) s ON s.{group} = g.{group}"""
+
+
+def _lexical(rows: str, group: str, ordinal: str, text: str) -> str:
+    """CTEs that end in ``pairs``: distances of the texts of a group."""
+    return f"""w AS (SELECT {group}, {ordinal} AS o, word, count(*) AS n FROM (SELECT {group}, {ordinal}, unnest({_TOKENS.format(text)}) AS word FROM {rows}) GROUP BY ALL),
+len AS (SELECT {group}, {ordinal} AS o, len({_TOKENS.format(text)}) AS l FROM {rows}),
+ov AS (SELECT a.{group}, a.o AS i, b.o AS j, sum(least(a.n, b.n)) AS c FROM w a JOIN w b ON a.{group} = b.{group} AND a.word = b.word AND a.o < b.o GROUP BY ALL),
+pairs AS (SELECT a.{group}, a.o AS i, b.o AS j, 1 - CASE WHEN a.l = 0 THEN 0 ELSE coalesce(ov.c, 0) / a.l END AS dist
+  FROM len a JOIN len b ON a.{group} = b.{group} AND a.o < b.o LEFT JOIN ov ON ov.{group} = a.{group} AND ov.i = a.o AND ov.j = b.o)"""
+
+
+_GRP = f"{_E}, g AS (SELECT vec_id // 3 AS grp, vec_id % 3 AS o, v FROM e)"
+
+
+def _vec_pairs(part: str) -> str:
+    a, b = part.format("a.v"), part.format("b.v")
+    return f"SELECT a.grp, a.o AS i, b.o AS j, 1 - list_cosine_similarity({a}, {b}) AS dist FROM g a JOIN g b ON a.grp = b.grp AND a.o < b.o"
+
+
+def _literal(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _map(values: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"{_literal(k)}: {_literal(v)}" for k, v in values.items()) + "}"
+
+
+_SCEN = (
+    "sc AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({_literal(k)}, {_literal(c)}, [{', '.join(map(_literal, t))}], {_literal(i)}, {p})" for k, c, t, i, p in SCENARIOS)
+    + ") t(request_id, category, reasons, item, price))"
+)
+_TAGGED = f"""{_SCEN}, raw AS (SELECT *, list_filter(list_concat(list_transform(reasons, lambda r: {_map(selection.REASON_TAGS)}[r]),
+  [{_map(selection.CATEGORY_TAGS)}[category], CASE WHEN price < 10000 THEN '{selection.LOW_TAG}' WHEN price >= 50000 THEN '{selection.HIGH_TAG}' END]), lambda x: x IS NOT NULL) AS l FROM sc),
+tg AS (SELECT *, CASE WHEN len(l) = 0 THEN ['{selection.DEFAULT_TAG}'] ELSE list_filter(l, lambda x, i: list_position(l, x) = i) END AS tags FROM raw)"""
+_MATRIX = (
+    "mx AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {i}, {_literal(t)}, CAST({s} AS DOUBLE))" for i, (a, row) in enumerate(AFFINITY.items()) for t, s in row.items()) + ") t(arch, arch_ord, tag, score))"
+)
+_TAGLIST = "[" + ", ".join(map(_literal, selection.TAGS)) + "]"
+
+
+def _sample(stratum: str, source: str, id_col: str, n: int, excluded: str, carry: bool) -> str:
+    quota = (
+        "qt AS (SELECT stratum, size, i, least(CAST(@n AS BIGINT) // k, size) AS q, @n - least(CAST(@n AS BIGINT) // k, size) AS rest FROM sz WHERE i = 1 "
+        "UNION ALL SELECT sz.stratum, sz.size, sz.i, least(rest // (k - sz.i + 1), sz.size), rest - least(rest // (k - sz.i + 1), sz.size) FROM qt JOIN sz ON sz.i = qt.i + 1)"
+        if carry
+        else "qt AS (SELECT stratum, least(@n // k, size) AS q FROM sz)"
+    ).replace("@n", str(n))
+    return f"""WITH RECURSIVE r AS (SELECT *, {stratum} AS stratum FROM {source}), rr AS (SELECT * FROM r WHERE stratum <> '{excluded}'),
+sz AS (SELECT stratum, count(*) AS size, row_number() OVER (ORDER BY count(*), stratum) AS i, count(*) OVER () AS k FROM rr GROUP BY stratum), {quota},
+o AS (SELECT {id_col}, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('42|' || {id_col}), {id_col}) AS rn FROM rr)
+SELECT {id_col}, o.stratum FROM o JOIN qt ON qt.stratum = o.stratum WHERE rn <= q"""
+
+
+def _panel(with_hits: bool) -> str:
+    """Selection in SQL: windows and anti-joins slot by slot."""
+    context = (
+        """hit AS (SELECT request_id, card_id, arch, tag, coherence, r FROM (SELECT q.request_id, c.*, row_number() OVER (PARTITION BY q.request_id ORDER BY list_inner_product(q.v, c.v) DESC, c.card_id) AS r FROM q, c) WHERE r <= 200),
+ok AS (SELECT h.*, row_number() OVER (PARTITION BY h.request_id ORDER BY r) AS s FROM hit h JOIN two t ON t.request_id = h.request_id
+  WHERE h.arch NOT IN (t.fa, t.oa) AND h.tag NOT IN (t.ft, t.ot) AND h.card_id NOT IN (t.fc, t.oc)),
+walk AS (
+  SELECT request_id, s, [card_id] AS pool, [arch] AS archs, [tag] AS tags FROM ok WHERE s = 1
+  UNION ALL
+  SELECT w.request_id, o.s, CASE WHEN n THEN w.pool || [o.card_id] ELSE w.pool END, CASE WHEN n THEN w.archs || [o.arch] ELSE w.archs END, CASE WHEN n THEN w.tags || [o.tag] ELSE w.tags END
+  FROM walk w JOIN (SELECT * FROM ok) o ON o.request_id = w.request_id AND o.s = w.s + 1,
+    LATERAL (SELECT NOT list_contains(w.archs, o.arch) AND NOT list_contains(w.tags, o.tag) AND len(w.pool) < 5 AS n)
+),
+pool AS (SELECT request_id, unnest(pool) AS card_id FROM (SELECT request_id, arg_max(pool, s) AS pool FROM walk GROUP BY request_id)),
+pooled AS (SELECT request_id, arg_min(card_id, {'c': -coherence, 'h': md5('42|' || card_id)}) AS card_id FROM pool JOIN c USING (card_id) GROUP BY request_id),
+elig AS (SELECT t.request_id, arg_min(c.card_id, {'r': c.tag IN (t.ft, t.ot), 'o': c.ord}) AS card_id FROM two t JOIN c ON c.arch NOT IN (t.fa, t.oa) AND c.card_id NOT IN (t.fc, t.oc) GROUP BY t.request_id),
+ctx AS (SELECT t.request_id, coalesce(p.card_id, e.card_id) AS card_id FROM two t LEFT JOIN pooled p USING (request_id) LEFT JOIN elig e USING (request_id))"""
+        if with_hits
+        else """ctx AS (SELECT t.request_id, arg_min(c.card_id, {'r': c.tag IN (t.ft, t.ot), 'c': -c.coherence, 'h': md5('42|' || c.card_id)}) AS card_id FROM two t JOIN c ON c.arch NOT IN (t.fa, t.oa) AND c.card_id NOT IN (t.fc, t.oc) GROUP BY t.request_id)"""
+    )
+    return f"""WITH RECURSIVE {_MATRIX},
+c AS (SELECT vec_id AS card_id, vec_id AS ord, 'Arch_' || (vec_id % 5) AS arch, {_TAGLIST}[(vec_id // 5) % 5 + 1] AS tag, CAST(vec_id % 3 AS DOUBLE) AS coherence, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+q AS (SELECT vec_id AS request_id, [{_TAGLIST}[vec_id % 5 + 1], {_TAGLIST}[(vec_id // 7) % 5 + 1]] AS tags, vec_id % 4 = 0 AS nofav, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 = 0),
+qt AS (SELECT request_id, unnest(tags) AS tag FROM q),
+sc AS (SELECT request_id, arch, any_value(arch_ord) AS arch_ord, sum(score) AS score FROM qt JOIN mx USING (tag) GROUP BY request_id, arch),
+fav AS (SELECT q.request_id, coalesce(max(k.card_id), arg_min(c.card_id, {{'a': -sc.score, 'b': sc.arch_ord, 'c': -c.coherence, 'h': md5('42|' || c.card_id)}})) AS card_id
+  FROM q JOIN sc USING (request_id) JOIN c USING (arch) LEFT JOIN c k ON NOT q.nofav AND k.card_id = q.request_id + 1 GROUP BY q.request_id),
+ff AS (SELECT fav.request_id, c.card_id AS fc, c.arch AS fa, c.tag AS ft FROM fav JOIN c USING (card_id)),
+opp AS (SELECT ff.request_id, arg_min(c.card_id, {{'r': c.tag = ft, 'a': sc.score, 'b': sc.arch_ord, 'c': -c.coherence, 'h': md5('42|' || c.card_id)}}) AS card_id
+  FROM ff JOIN sc USING (request_id) JOIN c USING (arch) WHERE c.arch <> fa AND c.card_id <> fc GROUP BY ff.request_id),
+two AS (SELECT ff.*, c.card_id AS oc, c.arch AS oa, c.tag AS ot FROM ff JOIN opp USING (request_id) JOIN c USING (card_id)),
+{context},
+slots AS (SELECT request_id, 0 AS position, 'favourite' AS slot, fc AS card_id FROM two UNION ALL SELECT request_id, 1, 'context', card_id FROM ctx UNION ALL SELECT request_id, 2, 'opposite', oc FROM two)
+SELECT request_id, position, slot, card_id, arch, tag FROM slots JOIN c USING (card_id)"""
+
+
+_GATE_TURN = """
+n{t} AS (SELECT s.request, s.slot, s.at, s.done, coalesce(p.text, '[failed]') AS text, coalesce(p.ok, false) AS ok FROM s{t} s LEFT JOIN p ON p.request = s.request AND p.slot = s.slot AND p.attempt = s.at),"""
+
+
+def _gate() -> str:
+    """The three attempts one after the other."""
+    parts = [
+        f"""WITH t AS (SELECT conv_id AS request, turn % 2 AS slot, turn // 2 AS attempt, text FROM conversations),
+h AS (SELECT *, substr(text, 1, 300) AS head FROM t),
+p AS (SELECT request, slot, attempt, CASE WHEN length(text) <= 300 THEN text WHEN length(regexp_extract(head, '(?s)^.*[。!?.]')) > 21 THEN regexp_extract(head, '(?s)^.*[。!?.]') ELSE head END AS text, length(text) >= 20 AS ok FROM h),
+s0 AS (SELECT DISTINCT request, slot, 0 AS at, false AS done FROM t),"""
+    ]
+    for t in range(3):
+        parts.append(_GATE_TURN.format(t=t))
+        rows = f"n{t}" if t < 2 else "valid"
+        if t == 2:
+            parts.append("valid AS (SELECT * FROM n2 WHERE ok),")
+        parts.append(
+            f"""w{t} AS (SELECT request, slot AS o, word, count(*) AS n FROM (SELECT request, slot, unnest({_TOKENS.format("text")}) AS word FROM {rows}) GROUP BY ALL),
+l{t} AS (SELECT request, slot AS o, len({_TOKENS.format("text")}) AS l FROM {rows}),
+v{t} AS (SELECT a.request, a.o AS i, b.o AS j, sum(least(a.n, b.n)) AS c FROM w{t} a JOIN w{t} b ON a.request = b.request AND a.word = b.word AND a.o < b.o GROUP BY ALL),
+d{t} AS (SELECT a.request, a.o AS i, b.o AS j, 1 - CASE WHEN a.l = 0 THEN 0 ELSE coalesce(c, 0) / a.l END AS dist FROM l{t} a JOIN l{t} b ON a.request = b.request AND a.o < b.o LEFT JOIN v{t} x ON x.request = a.request AND x.i = a.o AND x.j = b.o),
+r{t} AS (SELECT request, avg(dist) AS m, min({{'d': dist, 'i': i, 'j': j}}).j AS wj FROM d{t} GROUP BY request),"""
+        )
+        if t < 2:
+            parts.append(
+                f"""f{t} AS (SELECT request, bool_and(ok) AS full_ FROM n{t} GROUP BY request),
+s{t + 1} AS (SELECT n.request, n.slot, n.at + CASE WHEN done THEN 0 WHEN NOT ok THEN 1 WHEN full_ AND NOT coalesce(m >= 0.25, false) AND slot = wj THEN 1 ELSE 0 END AS at, done OR (full_ AND coalesce(m >= 0.25, false)) AS done
+  FROM n{t} n JOIN f{t} USING (request) LEFT JOIN r{t} USING (request)),"""
+            )
+    parts.append("z AS (SELECT 1) SELECT n.request, n.slot, n.at AS attempt, n.ok AS is_valid, round(coalesce(m, 0), 6) AS mean_score, coalesce(m >= 0.25, false) AS passed FROM n2 n LEFT JOIN r2 USING (request)")
+    return "\n".join(parts)
+
+
+_POST = "CASE WHEN length(text) <= 300 THEN text WHEN length(regexp_extract(substr(text, 1, 300), '(?s)^.*[。!?.]')) > 21 THEN regexp_extract(substr(text, 1, 300), '(?s)^.*[。!?.]') ELSE substr(text, 1, 300) END"
+
+SQL: dict[str, str] = {
+    "vector_norms": f"""WITH {_E}, u AS (SELECT *, {_unit("v")} AS a, {_added("v")} AS b FROM e)
+SELECT vec_id, round({_NORM.format("v")}, 6) AS norm, round({_NORM.format("a")}, 6) AS unit_norm, round({_NORM.format("b")}, 6) AS unit_norm_added FROM u""",
+    "exact_topk": f"""WITH {_E}, s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v) AS score FROM e q, e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+    "topk_excluding": f"""WITH {_E} SELECT e.vec_id, round(list_inner_product(q.v, e.v), 6) AS score FROM e, e q WHERE q.vec_id = 7 AND e.vec_id NOT IN (7, 11, 13) ORDER BY list_inner_product(q.v, e.v) DESC, e.vec_id LIMIT 10""",
+    "cluster_centroids": f"""WITH {_E} SELECT CAST(label AS VARCHAR) AS label, count(*) AS n, pos - 1 AS pos, round(avg(x), 6) AS x FROM ({_ALL}) GROUP BY label, pos
+UNION ALL SELECT 'ALL', count(*), pos - 1, round(avg(x), 6) FROM ({_ALL}) GROUP BY pos""",
+    "anchor_similarity_matrix": f"WITH {_sims()} SELECT anchor, cluster, round(sim, 6) AS sim FROM sims",
+    "optimal_assignment": f"WITH {_sims(2)}, {_BEST} SELECT anchor, cluster, round(sim, 6) AS sim FROM chosen",
+    "assignment_margins": f"WITH {_sims()}, {_MARGIN} SELECT anchor, round(margin, 6) AS margin, margin < 0.05 AS low_conf FROM mg",
+    "assignment_quality": f"WITH {_sims()}, {_BEST}, {_MARGIN} SELECT round(min(sim), 6) AS min_cos, round(avg(sim), 6) AS mean_cos, (SELECT round(min(margin), 6) FROM mg) AS min_margin FROM chosen",
+    "cluster_medoids": f"""WITH {_E}, m AS ({_mean("e", "label")}), d AS (SELECT e.label, vec_id, {_dist("v", "c")} AS distance FROM e JOIN m ON e.label = m.label)
+SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) <= 3""",
+    "medoid_and_others": f"""WITH {_E}, m AS ({_mean("e", "label")}), d AS (SELECT e.label, vec_id, row_number() OVER (PARTITION BY e.label ORDER BY {_dist("v", "c")}, vec_id) AS r FROM e JOIN m ON e.label = m.label),
+o AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) AS rank FROM d WHERE r > 1)
+SELECT label, vec_id, 0 AS rank FROM d WHERE r = 1 UNION ALL SELECT label, vec_id, rank FROM o WHERE rank <= 4""",
+    "entropy_noise": f"""WITH {_E}, f AS (SELECT * FROM e WHERE label < 5), m AS ({_mean("f", "label")}),
+i AS (SELECT e.vec_id, m.label, 1.0 / greatest({_dist("e.v", "m.c")}, 1e-8) AS w FROM e, m), p AS (SELECT vec_id, w / sum(w) OVER (PARTITION BY vec_id) AS p FROM i),
+h AS (SELECT vec_id, -sum(p * ln(greatest(p, 1e-12))) AS entropy FROM p GROUP BY vec_id)
+SELECT vec_id, round(entropy, 6) AS entropy, CAST(entropy >= (SELECT quantile_cont(entropy, 0.9) FROM h) AS INTEGER) AS noise_dist FROM h""",
+    "crosstab_all": """SELECT g.lang, g.quality, coalesce(n, 0) AS n FROM (SELECT lang, quality FROM (SELECT DISTINCT lang FROM documents), (VALUES (0), (1), (2)) t(quality)) g
+LEFT JOIN (SELECT lang, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL) c ON c.lang = g.lang AND c.quality = g.quality""",
+    "crosstab_clean": """WITH l AS (SELECT * FROM labels WHERE toxic = 0)
+SELECT g.lang, g.quality, coalesce(n, 0) AS n FROM (SELECT lang, quality FROM (SELECT DISTINCT lang FROM documents), (SELECT DISTINCT quality FROM l)) g
+LEFT JOIN (SELECT lang, quality, count(*) AS n FROM documents JOIN l USING (doc_id) GROUP BY ALL) c ON c.lang = g.lang AND c.quality = g.quality""",
+    "value_shares": "SELECT source, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 20",
+    "cluster_imbalance": """WITH s AS (SELECT count(*) AS n FROM embeddings GROUP BY label)
+SELECT round(max(n) / sum(n), 6) AS max_share, round(min(n) / sum(n), 6) AS min_share, round(min(n) / max(n), 6) AS balance, max(n) / sum(n) > 0.5 AS too_large, min(n) / sum(n) < 0.05 AS too_small FROM s""",
+    "centroid_rescale": f"WITH {_RESCALED} SELECT type, {', '.join(f'round({c}, 6) AS {c}' for c in _VAL)} FROM resc",
+    "top2_types": f"WITH {_TYPED} SELECT vec_id, t1 AS type1, CASE WHEN s2 >= 0.97 THEN t2 END AS type2, round(s1, 6) AS top1_sim, round(s2, 6) AS top2_sim FROM two WHERE s1 >= 0.97",
+    "threshold_loss_curve": f"WITH {_TYPED} SELECT CAST(round(0.8 + 0.01 * i, 2) AS DOUBLE) AS threshold, round(avg(CASE WHEN s1 < CAST(round(0.8 + 0.01 * i, 2) AS DOUBLE) THEN 1.0 ELSE 0.0 END), 6) AS share FROM two, range(19) t(i) GROUP BY i",
+    "anchor_max_scaled": f"""WITH {_E}, r AS (SELECT e.vec_id, a.label AS anchor_group, max(list_inner_product(e.v, a.v) / greatest({_NORM.format("e.v")} * {_NORM.format("a.v")}, 1e-10)) AS raw FROM e, e a WHERE a.label < 5 AND a.vec_id < 100 GROUP BY ALL),
+p AS (SELECT quantile_cont(raw, 0.05) AS lo, quantile_cont(raw, 0.95) AS hi FROM r)
+SELECT vec_id, anchor_group, round(raw, 6) AS raw, round((greatest(lo, least(hi, raw)) - lo) / (hi - lo) * 6, 6) AS score FROM r, p""",
+    "weighted_knn_score": f"""WITH {_E}, s AS (SELECT e.vec_id, h.vec_id % 6 AS f, h.vec_id % 4 AS so, list_cosine_similarity(e.v, h.v) AS sim FROM e, e h WHERE h.vec_id < 100 AND e.vec_id <> h.vec_id),
+k AS (SELECT vec_id, sum(sim * f) / sum(sim) AS f, sum(sim * so) / sum(sim) AS so FROM s WHERE sim >= 0.25 GROUP BY vec_id)
+SELECT e.vec_id, round(coalesce(f, 0), 6) AS functional, round(coalesce(so, 0), 6) AS social FROM e LEFT JOIN k USING (vec_id)""",
+    "score_fusion": f"""WITH {_E}, {_VALUES}, s AS (SELECT e.vec_id, h.vec_id % 6 AS f, h.vec_id % 4 AS so, list_cosine_similarity(e.v, h.v) AS sim FROM e, e h WHERE h.vec_id < 100 AND e.vec_id <> h.vec_id),
+k AS (SELECT vec_id, sum(sim * f) / sum(sim) AS f, sum(sim * so) / sum(sim) AS so FROM s WHERE sim >= 0.25 GROUP BY vec_id),
+j AS (SELECT vals.*, coalesce(f, 0) AS f, coalesce(so, 0) AS so, CASE WHEN coalesce(f, 0) + coalesce(so, 0) > 0 THEN 0.5 ELSE 0 END AS a FROM vals LEFT JOIN k USING (vec_id))
+SELECT vec_id, round((a * f + 1.5 * functional) / (a + 1.5 + 1e-9), 6) AS functional, round((a * so + 1.5 * social) / (a + 1.5 + 1e-9), 6) AS social FROM j""",
+    "structural_noise": f"""WITH {_E}, m AS ({_mean("e")}),
+b AS (SELECT vec_id, list_transform(range(4), lambda i: v[i * 16 + 1:i * 16 + 16]) AS p, list_transform(range(4), lambda i: m.c[i * 16 + 1:i * 16 + 16]) AS q FROM e, m),
+c AS (SELECT *, list_transform(range(1, 17), lambda k: (p[1][k] + p[2][k] + p[3][k] + p[4][k]) / 4) AS ctr FROM b),
+s AS (SELECT vec_id, ({" + ".join(_dist(f"p[{i}]", f"q[{i}]") for i in range(1, 5))}) / 4 AS d, {_NORM.format("ctr")} AS n,
+  ({" + ".join(f"pow({_dist(f'p[{i}]', 'ctr')}, 2)" for i in range(1, 5))}) / 64 AS k FROM c),
+f AS (SELECT *, CAST(d <= (SELECT quantile_cont(d, 0.2) FROM s) AS INTEGER) + CAST(n >= (SELECT quantile_cont(n, 0.8) FROM s) AS INTEGER) + CAST(k <= (SELECT quantile_cont(k, 0.2) FROM s) AS INTEGER) AS flags FROM s)
+SELECT vec_id, round(d, 6) AS "distinct", round(n, 6) AS emb_norm, round(k, 6) AS consistency, flags, flags >= 2 AS noise_struct FROM f""",
+    "quota_sample": _sample("CASE WHEN c_acctbal < 0 THEN 'a' WHEN c_acctbal < 1000 THEN 'b' WHEN c_acctbal < 6000 THEN 'c' ELSE 'other' END", "customer", "c_custkey", 500, "other", True),
+    "stratified_sample": _sample("c_mktsegment", "customer", "c_custkey", 500, "MACHINERY", False),
+    "exact_hash_sample": "SELECT doc_id, lang FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 100",
+    "keep_first": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
+    "stat_bundle": f"SELECT coalesce(event_type, 'ALL') AS event_type, {_BUNDLE.format('value')} FROM events GROUP BY ROLLUP (event_type)",
+    "trial_rates": "SELECT user_id, round(avg(CASE WHEN value >= 25 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, count(DISTINCT event_type) = 3 AS three_types FROM events WHERE value IS NOT NULL GROUP BY user_id",
+    "token_stats": f"WITH t AS (SELECT lang, CAST(len({_TOKENS.format('text')}) AS DOUBLE) AS k FROM documents) SELECT coalesce(lang, 'ALL') AS lang, {_BUNDLE.format('k')} FROM t GROUP BY ROLLUP (lang)",
+    "lexical_diversity": f"WITH {_ANSWERS}, {_lexical('ans', 'conv_id', 'ordinal', 'text')} {_report('conv_id', 'pairs', 'ans')}",
+    "ngram_counts": f"""WITH {_ANSWERS}, w AS (SELECT conv_id, {_TOKENS.format("text")} AS w FROM ans)
+SELECT conv_id, gram, count(*) AS n FROM (SELECT conv_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w WHERE len(w) > 1) GROUP BY ALL HAVING count(*) > 1""",
+    "embedding_diversity": f"WITH {_GRP}, pairs AS ({_vec_pairs('{0}')}) {_report('grp', 'pairs', 'g')}",
+    "scorer_ablation": f"""WITH {_GRP}, d AS (SELECT 'all' AS model, * FROM ({_vec_pairs("{0}")}) UNION ALL SELECT 'first', * FROM ({_vec_pairs("{0}[1:32]")}) UNION ALL SELECT 'second', * FROM ({_vec_pairs("{0}[33:64]")})),
+m AS (SELECT model, grp, avg(dist) AS m FROM d GROUP BY ALL)
+SELECT model, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.5), 6) AS median, round(min(m), 6) AS min, round(max(m), 6) AS max, count(*) AS n FROM m GROUP BY model""",
+    "response_postprocess": f"SELECT conv_id, turn, {_POST} AS text, length(text) >= 20 AS is_valid, length({_POST}) AS n_chars FROM conversations",
+    "retry_gate": _gate(),
+    "prefix_saturation": f"""WITH f AS (SELECT word, min(doc_id) AS at FROM (SELECT doc_id, unnest({_TOKENS.format("text")}) AS word FROM documents) GROUP BY word),
+p AS (SELECT DISTINCT least(x, (SELECT count(*) FROM documents)) AS prefix FROM (VALUES (100), (200), (300), (400), (500), (1000000000000)) t(x)),
+c AS (SELECT prefix, count(f.at) AS n_unique FROM p LEFT JOIN f ON f.at < prefix GROUP BY prefix),
+g AS (SELECT *, coalesce(lag(n_unique) OVER (ORDER BY prefix), 0) AS b FROM c), h AS (SELECT *, (n_unique - b) / greatest(b, 1) * 100 AS growth FROM g)
+SELECT prefix, n_unique, round(growth, 6) AS growth, coalesce(prefix = (SELECT min(prefix) FROM h WHERE b > 0 AND growth < 5), false) AS saturated FROM h""",
+    "tag_inference": f"""WITH {_TAGGED} SELECT request_id, array_to_string(tags, ',') AS tags, array_to_string(reasons, ' ') || ' ' || item || ' ' || category AS query,
+'[아이의 고민]' || chr(10) || '상품: ' || item || ' (' || category || ') — ' || format('{{:,}}', price) || '원' || chr(10) || '구매 이유: ' || array_to_string(reasons, ' + ') AS block FROM tg""",
+    "affinity_scores": f"WITH {_TAGGED}, {_MATRIX}, u AS (SELECT request_id, unnest(tags) AS tag FROM tg) SELECT request_id, arch, sum(score) AS score FROM u JOIN mx USING (tag) GROUP BY ALL",
+    "mentor_selection": _panel(True),
+    "mentor_selection_reliable": _panel(False),
+    "greedy_dedupe": f"""WITH RECURSIVE {_E}, n AS (SELECT vec_id, label, {_added("v")} AS v FROM e),
+pr AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_inner_product(a.v, b.v) >= 0.3),
+near AS (SELECT a, list(b) AS bs FROM pr GROUP BY a),
+ord AS (SELECT n.vec_id, coalesce(bs, []) AS bs, row_number() OVER (ORDER BY n.vec_id) AS i FROM n LEFT JOIN near ON near.a = n.vec_id),
+walk AS (SELECT i, [vec_id] AS hs FROM ord WHERE i = 1 UNION ALL
+  SELECT o.i, CASE WHEN len(list_intersect(o.bs, w.hs)) = 0 THEN w.hs || [o.vec_id] ELSE w.hs END FROM walk w JOIN ord o ON o.i = w.i + 1),
+hd AS (SELECT unnest(hs) AS head FROM (SELECT hs FROM walk ORDER BY i DESC LIMIT 1)),
+gr AS (SELECT head, head AS vec_id FROM hd UNION ALL SELECT head, b FROM hd JOIN pr ON a = head),
+gm AS (SELECT head, list(x ORDER BY pos) AS m FROM (SELECT head, pos, avg(x) AS x FROM (SELECT head, unnest(range(1, 65)) AS pos, unnest(v) AS x FROM gr JOIN n USING (vec_id)) GROUP BY head, pos) GROUP BY head),
+rp AS (SELECT head, arg_max(vec_id, {{'s': round(list_inner_product(v, {_added("m")}), 12), 'i': -vec_id}}) AS representative FROM gr JOIN n USING (vec_id) JOIN gm USING (head) GROUP BY head)
+SELECT l.vec_id, representative FROM (SELECT vec_id, max(head) AS head FROM gr GROUP BY vec_id) l JOIN rp USING (head)""",
+    "fixed_label_quality": f"""WITH {_E}, m AS ({_mean("e", "label")}), a AS ({_mean("e")}),
+s AS (SELECT e.label, avg({_dist("v", "c")}) AS s, sum(pow({_dist("v", "c")}, 2)) AS w FROM e JOIN m ON e.label = m.label GROUP BY e.label),
+f AS (SELECT m.label, m.c, m.n, s.s, s.w FROM m JOIN s USING (label)),
+db AS (SELECT avg(w) AS db FROM (SELECT x.label, max((x.s + y.s) / {_dist("x.c", "y.c")}) AS w FROM f x JOIN f y ON x.label <> y.label GROUP BY x.label))
+SELECT count(*) AS k, CAST(sum(f.n) AS BIGINT) AS n, round((SELECT db FROM db), 6) AS davies_bouldin,
+  round((sum(f.n * pow({_dist("f.c", "a.c")}, 2)) / (count(*) - 1)) / (sum(w) / (sum(f.n) - count(*))), 6) AS calinski_harabasz FROM f, a""",
+    "sampled_silhouette": f"""WITH {_E}, s AS (SELECT * FROM e ORDER BY md5('42|' || vec_id), vec_id LIMIT 300),
+d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg({_dist("a.v", "b.v")}) AS d FROM s a JOIN s b ON a.vec_id <> b.vec_id GROUP BY ALL),
+o AS (SELECT vec_id, max(CASE WHEN la = lb THEN d END) AS own, min(CASE WHEN la <> lb THEN d END) AS other FROM d GROUP BY vec_id)
+SELECT round(avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 6) AS silhouette FROM o""",
+    "label_agreement": """WITH p AS (SELECT label AS a, (label + vec_id % 3) // 2 AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL),
+r AS (SELECT sum(n * (n - 1) / 2) AS x FROM (SELECT sum(n) AS n FROM c GROUP BY a)), q AS (SELECT sum(n * (n - 1) / 2) AS y FROM (SELECT sum(n) AS n FROM c GROUP BY b)),
+i AS (SELECT sum(n * (n - 1) / 2) AS i, sum(n) AS n FROM c)
+SELECT round((i - x * y / (n * (n - 1) / 2)) / ((x + y) / 2 - x * y / (n * (n - 1) / 2)), 6) AS ari FROM r, q, i""",
+    "rank_correlation": f"""WITH {_VALUES}, r AS (SELECT {", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in _VAL[:3])} FROM vals)
+SELECT 'functional' AS a, 'emotional' AS b, round(corr(functional, emotional), 6) AS rho FROM r UNION ALL SELECT 'functional', 'social', round(corr(functional, social), 6) FROM r
+UNION ALL SELECT 'emotional', 'social', round(corr(emotional, social), 6) FROM r""",
+    "value_histogram": "SELECT CASE WHEN value < 0 THEN 0 WHEN value >= 200 THEN 21 ELSE CAST(floor(value / 200 * 20) AS BIGINT) + 1 END AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY bin",
+    "prompt_parts": f"""WITH c AS (SELECT *, {_TOKENS.format("text")} AS w, replace(trim(split_part(text, ',', 1)), 'a', 'b') AS h FROM conversations)
+SELECT conv_id, turn, CASE WHEN h = '' THEN 'unknown' ELSE h END AS head, CASE WHEN contains(text, 'the') THEN 'the' WHEN contains(text, 'und') THEN 'und' WHEN contains(text, 'de') THEN 'de' ELSE 'none' END AS keyword,
+  array_to_string(w[1:5], ', ') AS first_words, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS type, 'role: ' || role || ' | turn: ' || turn AS labelled FROM c""",
+}
