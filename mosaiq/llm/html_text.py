@@ -46,7 +46,7 @@ _DROPPED = frozenset("head title form nav footer aside select button textarea la
 _RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "xmp", "svg", "math")
 #: Words in class, id or role that mark an element as not part of the article.
 _MARKS = frozenset(
-    """ad ads adbox adslot adsense adunit advert adverts advertisement advertising advertorial banner sponsor sponsored promo promos promotion
+    """ad ads adbox adsbygoogle adslot adsense adunit advert adverts advertisement advertising advertorial banner sponsor sponsored promo promos promotion
     promoted nav navbar navigation menu menus submenu sidebar sidebars aside rail footer footnav masthead topbar comment comments commentlist
     discussion disqus reply replies respond responses cookie cookies consent gdpr notice notices alert newsletter subscribe subscription
     signup signin share sharing sharebar social related recommended recommendations recirculation breadcrumb breadcrumbs pagination pager
@@ -55,7 +55,9 @@ _MARKS = frozenset(
 )
 #: Words that mark a page's header, unless they stand within the article.
 _HEADER = frozenset("header head hero topnav".split())
-_ARTICLE_MARKS = frozenset("articlebody entrycontent postcontent postbody storybody articlecontent maincontent articletext".split())
+_ARTICLE_MARKS = frozenset("articlebody entrycontent postcontent postbody storybody articlecontent articletext".split())
+#: Words that mark what holds the article, perhaps with more around it.
+_MAIN_MARKS = frozenset("main content maincontent pagecontent sitecontent story post entry".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"([A-Za-z_:@][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -69,7 +71,7 @@ class Block:
     text: str
     linked: int
     heading: bool
-    region: int
+    region: tuple[int, int]  # how surely it is the article (2: marked as one, 1: as holding it, 0: neither), and which
     outside: bool
     label: str = ""
 
@@ -78,7 +80,7 @@ class Block:
 class _Open:
     tag: str
     outside: bool
-    region: int
+    region: tuple[int, int]
     link: bool
     heading: bool
 
@@ -86,9 +88,9 @@ class _Open:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, without scripts, styles and comments; references are decoded."""
     found: list[Block] = []
-    stack = [_Open("", False, 0, False, False)]
+    stack = [_Open("", False, (0, 0), False, False)]
     pieces: list[tuple[str, bool]] = []
-    state = [False, 0, False]  # of the block begun: outside, region, heading
+    state = [False, (0, 0), False]  # of the block begun: outside, region, heading
     regions = at = 0
 
     def end_block() -> None:
@@ -136,11 +138,11 @@ def blocks_of(page: str) -> list[Block]:
         if name in _VOID or m[3].endswith("/"):
             continue
         top = stack[-1]
-        outside, main = _marks(name, m[3], top.region > 0)
+        outside, sure = _marks(name, m[3], top.region[0] == 2)
         region = top.region
-        if main and not region and not (outside or top.outside):
+        if sure > region[0] and not (outside or top.outside):
             regions += 1
-            region = regions
+            region = (sure, regions)
         stack.append(_Open(name, outside or top.outside, region, name == "a" or top.link, bool(re.fullmatch("h[1-6]", name)) or top.heading))
     add(page[at:])
     end_block()
@@ -158,65 +160,65 @@ def _imply_ends(stack: list[_Open], name: str) -> None:
             return
 
 
-def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element stands outside the article, and whether it is one."""
-    outside, main = name in _DROPPED or (name == "header" and not in_article), name in ("article", "main")
+def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element stands outside the article, and how surely it is one."""
+    outside, sure = name in _DROPPED or (name == "header" and not in_article), {"article": 2, "main": 1}.get(name, 0)
     for a in _ATTR.finditer(attributes):
         key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
             outside = True
         elif key == "itemprop" and value.lower() == "articlebody" or key == "role" and value.lower() in ("main", "article"):
-            main = True
+            sure = max(sure, 1 if value.lower() == "main" else 2)
         elif key in ("class", "id", "role", "aria-label", "data-role") and name not in ("html", "body"):
             for word in value.split():
                 parts = {p.lower() for p in _PARTS.findall(word)} | {word.lower()}
                 plain = re.sub(r"[^a-z]", "", word.lower())
                 if parts & _MARKS or plain in _MARKS or (not in_article and parts & _HEADER):
                     outside = True
-                main = main or plain in _ARTICLE_MARKS
-    return outside, main
+                sure = max(sure, 2 * (plain in _ARTICLE_MARKS), plain in _MAIN_MARKS)
+    return outside, sure
 
 
 def classify(found: list[Block]) -> None:
-    """Label blocks ``good`` or ``bad``."""
-    in_article = any(b.region and not b.outside for b in found)
+    """Label blocks ``good`` or ``bad``. Where parts of a page are marked as the article, the rest is not."""
+    surest = max((b.region[0] for b in found if not b.outside), default=0)
     for b in found:
         n = len(b.text)
         words = _WORDS.findall(b.text.lower())
         stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.outside or (in_article and not b.region) or b.linked > MOST_LINKS * n:
+        if b.outside or b.region[0] < surest:
+            b.label = "outside"
+        elif b.linked > MOST_LINKS * n:
             b.label = "bad"
-        elif b.region and stop >= LOW_STOP and n >= SHORT:
-            b.label = "good"
         elif n < SHORT:
-            b.label = "short" if not b.linked or b.region else "bad"
-        elif stop >= HIGH_STOP:
-            b.label = "good" if n >= LONG else "near"
+            b.label = "short" if not b.linked or surest else "bad"
+        elif surest and stop >= LOW_STOP or stop >= HIGH_STOP and n >= LONG:
+            b.label = "good"
         else:
-            b.label = "near" if stop >= LOW_STOP or b.region else "bad"
-    decided = [b.label in ("good", "bad") for b in found]
-    labels = [b.label for b in found]
-    for i, b in enumerate(found):
-        if not decided[i]:
-            b.label = _inherited(found, labels, decided, i)
+            b.label = "near" if surest or stop >= LOW_STOP else "bad"
+    # Longer doubtful blocks first, so that short ones between them can follow.
+    for open_label in ("near", "short"):
+        labels = [b.label for b in found]
+        for i, b in enumerate(found):
+            if b.label == open_label:
+                b.label = _inherited(found, labels, i)
 
 
-def _inherited(found: list[Block], labels: list[str], decided: list[bool], i: int) -> str:
+def _inherited(found: list[Block], labels: list[str], i: int) -> str:
     """From the nearest decided blocks on either side in the same region.
 
-    Within an article one good neighbour is enough, or none that is decided; elsewhere a
-    short block needs two, and a heading a good block after it.
+    Within an article, and for longer blocks, only bad blocks speak against it; elsewhere a
+    short block needs a good neighbour and no bad one, and a heading a good block after it.
     """
-    region = found[i].region
-    nearest = lambda steps: next((labels[k] for k in steps if decided[k] and found[k].region == region), None)
+    region, kind = found[i].region, labels[i]
+    nearest = lambda steps: next((labels[k] for k in steps if labels[k] in ("good", "bad") and found[k].region == region), None)
     before, after = nearest(range(i - 1, -1, -1)), nearest(range(i + 1, len(found)))
-    if region:
-        return "bad" if {before, after} - {None} == {"bad"} else "good"
+    sides = {before, after} - {None}
+    if region[0] or kind == "near":
+        return "bad" if sides == {"bad"} else "good"
     if found[i].heading:
         return after or "bad"
-    if labels[i] == "near":
-        return "bad" if before == after == "bad" else "good"
-    return "good" if "good" in (before, after) and "bad" not in (before, after) else "bad"
+    return "good" if sides == {"good"} else "bad"
 
 
 def main_text(page: str | None) -> str:
