@@ -68,9 +68,9 @@ def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int |
 class _Shard:
     """The files of one shard, written in order."""
 
-    def __init__(self, uri: str, shard: int) -> None:
+    def __init__(self, uri: str, shard: int, roll_bytes: int) -> None:
         self.fs, self.top = _fs(uri)
-        self.shard, self.files, self.out = shard, [], None
+        self.shard, self.roll_bytes, self.files, self.out = shard, roll_bytes, [], None
 
     def add(self, data: bytes) -> None:
         if self.out is None:
@@ -81,7 +81,7 @@ class _Shard:
         self.out.write(member)
         self.sha.update(member)
         self.size, self.n = self.size + len(member), self.n + 1
-        if self.size >= ROLL_BYTES:
+        if self.size >= self.roll_bytes:
             self.close()
 
     def close(self) -> None:
@@ -123,7 +123,7 @@ def boundaries(pages: DataFrame, id_col: str, shards: int, rows: int) -> list[in
     return sorted({ids[len(ids) * k // shards] for k in range(1, shards)}) if ids else []
 
 
-def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_rows: int = SHARD_ROWS) -> list[dict]:
+def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_rows: int = SHARD_ROWS, roll_bytes: int = ROLL_BYTES) -> list[dict]:
     """Write one record per row of ``pages`` and return the manifest: ``name, bytes, records, sha256`` of each file.
 
     ``uri`` must be a folder that all executors reach. Rows go to their shard by one
@@ -158,7 +158,7 @@ def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "u
             for at, page, url, payload, refers in zip(batch["shard"], batch["page"], batch["url"], batch["payload"], batch["refers_to"]):
                 if shard is None or shard.shard != at:
                     files += shard.commit() if shard else []
-                    shard = _Shard(uri, int(at))
+                    shard = _Shard(uri, int(at), roll_bytes)
                 if payload is None:
                     note = (page, int(refers))
                     continue
