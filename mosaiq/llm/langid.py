@@ -14,7 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,8 +28,8 @@ GRAMS = (5, 4, 3, 2, 1)
 LEAST_COUNT = 3
 #: Weight of a step of backing off.
 BACKOFF = 0.5
-#: Words whose scores a worker holds at most.
-CACHE = 300_000
+#: Scores of unseen words that a worker holds at most, and words scored at a time.
+CACHE, _PART = 1_200_000, 8_192
 UNDECIDED = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -44,44 +44,79 @@ class Model:
     """Log-frequency rows by language for words and for n-grams of each length."""
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]) -> None:
-        self.langs, self.words, self.grams, self.cache = langs, words, grams, {}
+        self.langs, self.words, self.grams, self.met = langs, words, grams, None
 
     def word(self, w: str) -> np.ndarray:
         """Scores of one word by language, with mean zero."""
-        got = self.words.get(w)
-        if got is not None:
-            return got
-        got = self.cache.get(w)
-        if got is None:
-            got = self._unseen(w)
-            if len(w) <= 40:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[w] = got
-        return got
-
-    def _unseen(self, w: str) -> np.ndarray:
-        marked, weight = f"<{w}>", 1.0
-        for n in GRAMS:
-            known = self.grams.get(n, {})
-            rows = [known[g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in known]
-            if rows:
-                return weight * (rows[0] if len(rows) == 1 else np.mean(rows, axis=0))
-            weight *= BACKOFF
-        return np.zeros(len(self.langs))
+        met = _Met(self)
+        at = met[w]
+        met.settle()
+        return met.table[at]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(words_of(text or ""))
-        if not counts or not self.langs:
+        words = words_of(text or "")
+        if not words or not self.langs:
             return UNDECIDED, 0.0
-        rows = np.array([self.word(w) for w in counts])
-        n = np.fromiter(counts.values(), dtype=float, count=len(counts))
-        mean = n @ rows / n.sum()
-        share = np.exp((mean - mean.max()) * min(n.sum(), 20.0))
+        total = np.zeros(len(self.langs))
+        for at in range(0, len(words), _PART):
+            if self.met is None or self.met.free() < _PART:
+                self.met = _Met(self)
+            rows = list(map(self.met.__getitem__, words[at : at + _PART]))
+            self.met.settle()
+            total += self.met.table.take(rows, axis=0).sum(axis=0)
+        mean = total / len(words)
+        share = np.exp((mean - mean.max()) * min(len(words), 20))
         best = int(np.argmax(mean))
         return self.langs[best], float(share[best] / share.sum())
 
 
+class _Met(dict):
+    """Word -> its row in ``table``: known words, then others as a worker meets them, as far as there is room.
+
+    A new word only notes which n-grams it is scored by; ``settle`` scores all new ones.
+    """
+
+    def __init__(self, model: Model) -> None:
+        super().__init__(zip(model.words, range(len(model.words))))
+        self.n = len(model.words)
+        self.table = np.zeros((self.n + max(_PART, CACHE // max(1, len(model.langs))), len(model.langs)))
+        if self.n:
+            self.table[: self.n] = list(model.words.values())
+        self.places, rows = [], []
+        for k, n in enumerate(GRAMS):
+            known = model.grams.get(n, {})
+            self.places.append((n, BACKOFF**k, dict(zip(known, range(len(rows), len(rows) + len(known))))))
+            rows += known.values()
+        self.grams = np.array(rows) if rows else self.table[:0]
+        self.new: list[tuple[int, int, float]] = []  # row, number of n-grams, weight
+        self.new_grams: list[int] = []
+
+    def free(self) -> int:
+        return len(self.table) - self.n
+
+    def __missing__(self, w: str) -> int:
+        at = self.n
+        self.n += 1
+        if len(w) <= 40:
+            self[w] = at
+        marked = f"<{w}>"
+        for n, weight, known in self.places:
+            found = [known[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in known]
+            if found:
+                self.new.append((at, len(found), weight / len(found)))
+                self.new_grams += found
+                break
+        return at
+
+    def settle(self) -> None:
+        if self.new:
+            at, sizes, weights = zip(*self.new)
+            starts = np.cumsum((0, *sizes[:-1]))
+            self.table[list(at)] = np.add.reduceat(self.grams[self.new_grams], starts, axis=0) * np.array(weights)[:, None]
+            self.new.clear()
+            self.new_grams.clear()
+
+
 def _rows(counts: pd.DataFrame, langs: list[str], totals: dict[str, float]) -> dict[str, np.ndarray]:
     """Centred log frequencies by item, half a count added to each."""
     at = {x: i for i, x in enumerate(langs)}
@@ -95,6 +130,13 @@ def _rows(counts: pd.DataFrame, langs: list[str], totals: dict[str, float]) -> d
     return table
 
 
+def _grams(chars: Column, n: int) -> Column:
+    """The ``(kind, item)`` of each run of ``n`` characters."""
+    gram = lambda i: F.struct(F.lit(n).alias("kind"), F.array_join(F.slice(chars, i, n), "").alias("item"))
+    found = F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), gram)
+    return F.when(F.size(chars) >= n, found).otherwise(F.array().cast("array<struct<kind:int,item:string>>"))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on about ``train_docs`` rows of ``labelled`` that a hash of the id picks, or all if they are fewer; rows without a language are left out.
 
@@ -112,15 +154,15 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
                 words: Counter = Counter()
                 for text in part["text"]:
                     words.update(words_of(text or ""))
-                found: Counter = Counter({(0, w): c for w, c in words.items()})
-                for w, c in words.items():
-                    marked = f"<{w}>"
-                    for n in GRAMS:
-                        for i in range(len(marked) - n + 1):
-                            found[n, marked[i : i + n]] += c
-                yield pd.DataFrame([(lang, k, item, c) for (k, item), c in found.items()], columns=["lang", "kind", "item", "n"])
-
-    counts = sample.select("text", "lang").mapInPandas(count, "lang string, kind int, item string, n long")
+                yield pd.DataFrame({"lang": lang, "item": list(words), "n": list(words.values())})
+
+    words = sample.select("text", "lang").mapInPandas(count, "lang string, item string, n long")
+    words = words.groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    # N-grams come from each word once, weighted by how often it was seen.
+    marked = words.withColumn("chars", F.split(F.concat(F.lit("<"), "item", F.lit(">")), ""))
+    grams = [_grams(F.col("chars"), n) for n in GRAMS]
+    items = F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col("item"))), *grams)
+    counts = marked.select("lang", "n", F.explode(items).alias("x")).select("lang", "n", "x.kind", "x.item")
     summed = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).where((F.col("kind") > 0) | (F.col("n") >= LEAST_COUNT))
     best = F.row_number().over(W.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
     most = F.when(F.col("kind") == 0, MAX_WORDS).otherwise(MAX_GRAMS)
