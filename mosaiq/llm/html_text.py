@@ -22,6 +22,8 @@ from mosaiq.runtime import ship
 #: Rules of the first pass.
 SHORT, LONG = 70, 200
 MOST_LINKS, LOW_STOP, HIGH_STOP = 0.5, 0.15, 0.30
+#: Weight of a readers' word among the words that speak against an element.
+READERS = 1_000_000
 
 #: Function words of the languages at hand.
 STOP_WORDS = frozenset(
@@ -55,6 +57,12 @@ _MARKS = frozenset(
 )
 #: Words that mark a page's header, unless they stand within the article.
 _HEADER = frozenset("header head hero topnav".split())
+#: Marks of what readers wrote: an article among them is hardly the page's.
+_READERS = frozenset("comment comments commentlist discussion disqus reply replies respond responses".split())
+#: Parts of a word that tell of a layout (``has-sidebar``), and first parts that file an article (``tag-popular``).
+_LAYOUT, _FILED = frozenset("has with without no not".split()), frozenset("category cat tag tags topic".split())
+#: Parts of a word that name a holder, of which the last part says what else it holds (``content-sidebar``).
+_HOLDERS = frozenset("layout content template columns column col grid body".split())
 _ARTICLE_MARKS = frozenset("articlebody entrycontent postcontent postbody storybody articlecontent articletext".split())
 #: Words that mark what holds the article, perhaps with more around it.
 _MAIN_MARKS = frozenset("main content maincontent pagecontent sitecontent story post entry".split())
@@ -73,6 +81,7 @@ class Block:
     heading: bool
     region: tuple[int, int]  # how surely it is the article (2: marked as one, 1: as holding it, 0: neither), and which
     outside: bool
+    doubt: int = 0  # how many words around the region speak against it, READERS for those of readers
     label: str = ""
 
 
@@ -83,6 +92,7 @@ class _Open:
     region: tuple[int, int]
     link: bool
     heading: bool
+    doubt: int = 0
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -90,24 +100,24 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     stack = [_Open("", False, (0, 0), False, False)]
     pieces: list[tuple[str, bool]] = []
-    state = [False, (0, 0), False]  # of the block begun: outside, region, heading
+    state = [False, (0, 0), False, 0]  # of the block begun: outside, region, heading, doubt
     regions = at = 0
 
     def end_block() -> None:
         text = " ".join("".join(p for p, _ in pieces).split())
         if text:
             linked = len(" ".join("".join(p for p, link in pieces if link).split()))
-            found.append(Block(text, linked, state[2], state[1], state[0]))
+            found.append(Block(text, linked, state[2], state[1], state[0] or (state[3] > 0 and not state[1][0]), state[3]))
         pieces.clear()
 
     def add(raw: str) -> None:
         top = stack[-1]
         if raw:
             if not pieces or not any(p.strip() for p, _ in pieces):
-                state[:] = [top.outside, top.region, top.heading]
-            elif [top.outside, top.region] != state[:2]:
+                state[:] = [top.outside, top.region, top.heading, top.doubt]
+            elif [top.outside, top.region, top.doubt] != [*state[:2], state[3]]:
                 end_block()
-                state[:] = [top.outside, top.region, top.heading]
+                state[:] = [top.outside, top.region, top.heading, top.doubt]
             pieces.append((html.unescape(raw), top.link))
 
     while m := _TOKEN.search(page, at):
@@ -138,12 +148,12 @@ def blocks_of(page: str) -> list[Block]:
         if name in _VOID or m[3].endswith("/"):
             continue
         top = stack[-1]
-        outside, sure = _marks(name, m[3], top.region[0] == 2)
-        region = top.region
+        outside, sure, doubt = _marks(name, m[3], top.region[0] == 2)
+        region = (0, 0) if doubt else top.region
         if sure > region[0] and not (outside or top.outside):
             regions += 1
             region = (sure, regions)
-        stack.append(_Open(name, outside or top.outside, region, name == "a" or top.link, bool(re.fullmatch("h[1-6]", name)) or top.heading))
+        stack.append(_Open(name, outside or top.outside, region, name == "a" or top.link, bool(re.fullmatch("h[1-6]", name)) or top.heading, top.doubt + doubt))
     add(page[at:])
     end_block()
     return found
@@ -160,33 +170,75 @@ def _imply_ends(stack: list[_Open], name: str) -> None:
             return
 
 
-def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, int]:
-    """Whether an element stands outside the article, and how surely it is one."""
-    outside, sure = name in _DROPPED or (name == "header" and not in_article), {"article": 2, "main": 1}.get(name, 0)
+def _marked(word: str, in_article: bool) -> int:
+    """How much a word of class, id or role speaks against its element: 0, 1, or ``READERS``.
+
+    The whole word counts, or its first or last part; others tell what an element holds or is next to.
+    """
+    parts = [p.lower() for p in _PARTS.findall(word)]
+    if not parts or _LAYOUT & set(parts) or parts[0] in _FILED:
+        return 0
+    told = {parts[0], word.lower(), re.sub(r"[^a-z]", "", word.lower())} | ({parts[-1]} if not _HOLDERS & set(parts) else set())
+    if told & _READERS:
+        return READERS
+    return int(bool(told & _MARKS) or (not in_article and bool(told & _HEADER)))
+
+
+def _comment(value: str) -> bool:
+    """Whether an article's words say that it is itself a comment, and not that it has some (``comments-open``)."""
+    return any(w.lower() in _READERS or re.split("[^a-z]", w.lower())[0] in ("comment", "reply", "response") for w in value.split())
+
+
+def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, int, int]:
+    """Whether an element stands outside the article for sure, how surely it is one, and how much its words speak against it."""
+    outside, sure, doubt = name in _DROPPED or (name == "header" and not in_article), {"article": 2, "main": 1}.get(name, 0), 0
+    named = sure > 0
     for a in _ATTR.finditer(attributes):
         key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
             outside = True
         elif key == "itemprop" and value.lower() == "articlebody" or key == "role" and value.lower() in ("main", "article"):
-            sure = max(sure, 1 if value.lower() == "main" else 2)
-        elif key in ("class", "id", "role", "aria-label", "data-role") and name not in ("html", "body"):
+            sure, named = max(sure, 1 if value.lower() == "main" else 2), True
+        elif key in ("class", "id", "role", "data-role") and name not in ("html", "body"):
             for word in value.split():
-                parts = {p.lower() for p in _PARTS.findall(word)} | {word.lower()}
                 plain = re.sub(r"[^a-z]", "", word.lower())
-                if parts & _MARKS or plain in _MARKS or (not in_article and parts & _HEADER):
-                    outside = True
+                doubt = max(doubt, _marked(word, in_article))
                 sure = max(sure, 2 * (plain in _ARTICLE_MARKS), plain in _MAIN_MARKS)
-    return outside, sure
+    if (named or sure == 2) and (doubt < READERS or not any(_comment(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(attributes) if a[1].lower() in ("class", "id"))):
+        doubt = 0
+    return outside, sure, doubt
 
 
 def classify(found: list[Block]) -> None:
-    """Label blocks ``good`` or ``bad``. Where parts of a page are marked as the article, the rest is not."""
-    surest = max((b.region[0] for b in found if not b.outside), default=0)
+    """Label blocks ``good`` or ``bad``. Where parts of a page are marked as the article, the rest is not.
+
+    Articles within elements that words speak against, as in ``<div class="sidebar-right">``,
+    count where they are longer than all that is good without them, and those among
+    readers' comments only where nothing else is good.
+    """
+    _decide(found, set())
+    sizes: dict[tuple[int, tuple[int, int]], int] = {}
     for b in found:
+        if b.doubt and not b.outside:
+            sizes[b.doubt, b.region] = sizes.get((b.doubt, b.region), 0) + len(b.text)
+    taken: set[tuple[int, int]] = set()
+    for doubt in sorted({d for d, _ in sizes}):
+        good = sum(len(b.text) for b in found if b.label == "good")
+        more = {region for (d, region), n in sizes.items() if d == doubt and n > good and (d < READERS or not good)}
+        if more:
+            taken |= more
+            _decide(found, taken)
+
+
+def _decide(found: list[Block], taken: set[tuple[int, int]]) -> None:
+    """Label blocks; of the doubtful regions those of ``taken`` count."""
+    inside = [not b.outside and (not b.doubt or b.region in taken) for b in found]
+    surest = max((b.region[0] for b, x in zip(found, inside) if x), default=0)
+    for b, x in zip(found, inside):
         n = len(b.text)
         words = _WORDS.findall(b.text.lower())
         stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.outside or b.region[0] < surest:
+        if not x or b.region[0] < surest:
             b.label = "outside"
         elif b.linked > MOST_LINKS * n:
             b.label = "bad"

@@ -190,6 +190,27 @@ def test_html(body, want):
     assert html_text.main_text(_PAGE % body) == "\n".join(want)
 
 
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f"<div class='content-sidebar-wrap'><article><p>{_P1}</p></article></div>", [_P1]),
+        (f"<div class='content-sidebar-wrap'><div id=content><p>{_P1}</p></div></div>", [_P1]),
+        (f"<main class='has-sidebar'><p>{_P1}</p></main>", [_P1]),
+        (f"<main class='sidebar'><p>{_P1}</p></main>", [_P1]),
+        (f"<div class='content with-sidebar'><p>{_P1}</p></div>", [_P1]),
+        (f"<article class='post category-legal'><p>{_P1}</p></article>", [_P1]),
+        (f"<article class='post tag-popular'><p>{_P1}</p></article><article class='post popular'><p>{_P2}</p></article>", [_P1, _P2]),
+        (f"<article class='post comments-open'><p>{_P1}</p></article>", [_P1]),
+        (f"<article aria-label='Search engines explained'><p>{_P1}</p></article>", [_P1]),
+        (f"<div class='sidebar-right'><article><p>{_P1}</p><p>{_P2}</p></article><div class='related'><article><p>{_P2}</p></article></div></div>", [_P1, _P2]),
+        (f"<article><p>{_P1}</p></article><div class='related-posts'><article><p>{_P1}</p></article></div><div id='comments'><article class='comment'><p>{_P2}{_P2}</p></article></div>", [_P1]),
+        (f"<article><p>{_P1}</p><div class='left-sidebar'>{_P2}</div><div class='site-footer'>{_P2}</div></article>", [_P1]),
+    ],
+)
+def test_html_words_around_the_article(body, want):
+    assert html_text.main_text(_PAGE % body) == "\n".join(want)
+
+
 def test_html_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "<p>a < b", "x"), (4, "<" * 5000 + "<p" * 3000, "x"), (5, "<div>" * 5000 + "x", "x")], "page_id long, html string, text string")
     got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
