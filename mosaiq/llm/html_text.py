@@ -4,6 +4,7 @@ A page is cut into blocks. The first pass looks at each block alone: where it st
 the page's structure, its length, how much of it is links and how many of its words are
 stop words. It decides clear cases and leaves short or doubtful ones open. In the second
 pass an open block takes the label of its nearest decided neighbours within its region.
+Where an article is marked, all of it stays but lists of links.
 """
 
 from __future__ import annotations
@@ -22,20 +23,28 @@ from mosaiq.runtime import ship
 #: Rules of the first pass.
 SHORT, LONG = 70, 200
 MOST_LINKS, LOW_STOP, HIGH_STOP = 0.5, 0.15, 0.30
+#: Below this share of any one language's stop words a page is in none of them; there, longer blocks with few links are prose.
+FOREIGN_STOP, LOW_LINKS = 0.15, 0.2
+#: Within an article, so many blocks in a row that are links almost throughout are a list of links.
+LINK_RUN, LINK_ONLY = 3, 0.9
 #: Weight of a readers' word among the words that speak against an element.
 READERS = 1_000_000
 
 #: Function words of the languages at hand.
-STOP_WORDS = frozenset(
-    """a about all also an and are as at be been but by can for from had has have he her his i if in into is it its more not of on one or
-    our she so than that the their them there they this to was we were what when which who will with would you
-    aber als am an auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich im in ist mit nach nicht
-    noch nur oder sich sie sind so über um und uns von vor war wie wird zu zum zur
-    au aux avec ce ces cette comme dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour qu que qui sa
-    se ses son sont sur un une vous
-    al con como de del el ella en entre era es esta este fue ha la las lo los más me mi muy no nos o para pero por que se si sin sobre su sus
-    también un una y ya""".split()
-)
+LANGUAGES = [
+    frozenset(words.split())
+    for words in (
+        """a about all also an and are as at be been but by can for from had has have he her his i if in into is it its more not of on one or
+        our she so than that the their them there they this to was we were what when which who will with would you""",
+        """aber als am an auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich im in ist mit nach nicht
+        noch nur oder sich sie sind so über um und uns von vor war wie wird zu zum zur""",
+        """au aux avec ce ces cette comme dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour qu que qui sa
+        se ses son sont sur un une vous""",
+        """al con como de del el ella en entre era es esta este fue ha la las lo los más me mi muy no nos o para pero por que se si sin sobre su sus
+        también un una y ya""",
+    )
+]
+STOP_WORDS = frozenset().union(*LANGUAGES)
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
@@ -71,6 +80,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|
 _ATTR = re.compile(r"([A-Za-z_:@][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _WORDS = re.compile(r"[^\W\d_]+")
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -234,20 +244,34 @@ def _decide(found: list[Block], taken: set[tuple[int, int]]) -> None:
     """Label blocks; of the doubtful regions those of ``taken`` count."""
     inside = [not b.outside and (not b.doubt or b.region in taken) for b in found]
     surest = max((b.region[0] for b, x in zip(found, inside) if x), default=0)
+    foreign = not surest and _foreign([b for b, x in zip(found, inside) if x])
     for b, x in zip(found, inside):
         n = len(b.text)
         words = _WORDS.findall(b.text.lower())
         stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         if not x or b.region[0] < surest:
             b.label = "outside"
+        elif surest:
+            b.label = "link" if b.linked > MOST_LINKS * n and not b.heading else "good"
         elif b.linked > MOST_LINKS * n:
-            b.label = "bad"
+            b.label = "short" if b.heading else "bad"
+        elif foreign and _weight(b.text) >= SHORT and b.linked <= LOW_LINKS * n:
+            b.label = "good"
         elif n < SHORT:
-            b.label = "short" if not b.linked or surest else "bad"
-        elif surest and stop >= LOW_STOP or stop >= HIGH_STOP and n >= LONG:
+            b.label = "short"
+        elif stop >= HIGH_STOP and n >= LONG:
             b.label = "good"
         else:
-            b.label = "near" if surest or stop >= LOW_STOP else "bad"
+            b.label = "near" if stop >= LOW_STOP else "bad"
+    # Within an article links speak against a block only where they follow each other as a list.
+    run: list[Block] = []
+    for b in [*(b for b in found if b.label != "outside"), None]:
+        if b and b.label == "link" and (not run or run[-1].region == b.region):
+            run.append(b)
+            continue
+        for x in run:
+            x.label = "bad" if len(run) >= LINK_RUN and all(y.linked >= LINK_ONLY * len(y.text) for y in run) else "good"
+        run = [b] if b and b.label == "link" else []
     # Longer doubtful blocks first, so that short ones between them can follow.
     for open_label in ("near", "short"):
         labels = [b.label for b in found]
@@ -256,17 +280,28 @@ def _decide(found: list[Block], taken: set[tuple[int, int]]) -> None:
                 b.label = _inherited(found, labels, i)
 
 
+def _foreign(found: list[Block]) -> bool:
+    """Whether the page's stop words are of no listed language."""
+    words = [w for b in found if b.linked <= LOW_LINKS * len(b.text) for w in _WORDS.findall(b.text.lower())]
+    return max(sum(w in listed for w in words) for listed in LANGUAGES) < FOREIGN_STOP * len(words)
+
+
+def _weight(text: str) -> int:
+    """Length, in which a character of a script that writes words with one or two counts for three."""
+    return len(text) + 2 * len(_DENSE.findall(text))
+
+
 def _inherited(found: list[Block], labels: list[str], i: int) -> str:
-    """From the nearest decided blocks on either side in the same region.
+    """From the nearest decided blocks on either side, on a page without a marked article.
 
-    Within an article, and for longer blocks, only bad blocks speak against it; elsewhere a
-    short block needs a good neighbour and no bad one, and a heading a good block after it.
+    For longer blocks only bad blocks speak against it; a short block needs a good neighbour
+    and no bad one, and a heading a good block after it.
     """
     region, kind = found[i].region, labels[i]
     nearest = lambda steps: next((labels[k] for k in steps if labels[k] in ("good", "bad") and found[k].region == region), None)
     before, after = nearest(range(i - 1, -1, -1)), nearest(range(i + 1, len(found)))
     sides = {before, after} - {None}
-    if region[0] or kind == "near":
+    if kind == "near":
         return "bad" if sides == {"bad"} else "good"
     if found[i].heading:
         return after or "bad"

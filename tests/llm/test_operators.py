@@ -190,6 +190,9 @@ def test_html(body, want):
     assert html_text.main_text(_PAGE % body) == "\n".join(want)
 
 
+_FOREIGN = "Pewnego dnia stary rybak wypłynął daleko na morze i wrócił dopiero wieczorem, kiedy światła portu już dawno zgasły."
+
+
 @pytest.mark.parametrize(
     "body,want",
     [
@@ -211,6 +214,24 @@ def test_html_words_around_the_article(body, want):
     assert html_text.main_text(_PAGE % body) == "\n".join(want)
 
 
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("<article><h1>Title</h1><p>Short.</p><ul><li><a>Report</a></li></ul></article>", ["Title", "Short.", "Report"]),
+        (f"<article><h2><a href=#x>Results</a></h2><p>{_P1}</p><p><a>A paper on the results</a>, 2020</p></article>", ["Results", _P1, "A paper on the results, 2020"]),
+        (f"<main><h2><a href=#x>Results</a></h2><p>{_P1}</p></main>", ["Results", _P1]),
+        (f"<article><p>{_P1}</p><ul><li><a>One page</a><li><a>Another page</a><li><a>A third page</a></ul><p>Short.</p></article>", [_P1, "Short."]),
+        (f"<article><p>{_FOREIGN}</p><p><a>Raport</a></p></article>", [_FOREIGN, "Raport"]),
+        (f"<div><p>{_FOREIGN}</p><p>{_FOREIGN}</p></div>", [_FOREIGN, _FOREIGN]),
+        (f"<div><h2><a href=#x>Morze</a></h2><p>{_FOREIGN}</p><p>Zobacz <a>port</a>, tam.</p><p>{_FOREIGN}</p></div>", ["Morze", _FOREIGN, "Zobacz port, tam.", _FOREIGN]),
+        (f"<div><p>{_P1} {_P2}</p><p>So it was, <a>said he</a>.</p><p>{_P1} {_P2}</p></div>", [f"{_P1} {_P2}", "So it was, said he.", f"{_P1} {_P2}"]),
+    ],
+)
+def test_html_links_and_languages(body, want):
+    plain = "<body>%s</body>" if "<div>" in body else _PAGE
+    assert html_text.main_text(plain % body) == "\n".join(want)
+
+
 def test_html_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "<p>a < b", "x"), (4, "<" * 5000 + "<p" * 3000, "x"), (5, "<div>" * 5000 + "x", "x")], "page_id long, html string, text string")
     got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
