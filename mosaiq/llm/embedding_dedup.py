@@ -6,12 +6,15 @@ cells are visited in order of the summed squared distances of their two centroid
 multi-sequence traversal of the two sorted lists) until the sum exceeds that of the first
 cell by a margin. The margin is set on the sample so that copies at exactly the linking
 similarity lie in a visited cell with the target recall. All candidates met are then
-verified by cosine in double precision.
+verified by cosine in double precision. Vectors of different lengths never link: each
+length has an index of its own, and one whose vectors fit a single block is compared
+exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from heapq import heappop, heappush
 
 import numpy as np
@@ -99,24 +102,30 @@ def near_vectors(
 ) -> DataFrame:
     """One row per row of ``vectors``: ``id_col, n_links, component_id, kept``.
 
-    Vectors of one label link at a cosine of ``threshold`` or more. ``n_links`` counts the
-    other rows linked directly; equal vectors are compared once and counted as often as they
-    occur. Vectors that are null, zero or not finite, those without a label, and those of
-    another length than the first sampled one link with nothing. Ids must be unique and
-    not null. Other columns are not read. An empty table gives an empty result.
+    Vectors of one label and length link at a cosine of ``threshold`` or more. ``n_links``
+    counts the other rows linked directly; equal vectors are compared once and counted as
+    often as they occur. Vectors that are null, zero or not finite and those without a label
+    link with nothing. Ids must be unique and not null. Other columns are not read. An empty
+    table gives an empty result.
     """
     ship(vectors.sparkSession)
     rows = written(vectors.select(F.col(id_col).alias("row_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")))
-    fit = rows.where(F.col("label").isNotNull() & usable(F.col("v"))).orderBy(F.xxhash64("row_id"), "row_id").limit(SAMPLE).select("v").toPandas()["v"]
-    found = vectors.sparkSession.createDataFrame([], "a long, b long, n long")
-    dim = len(fit[0]) if len(fit) else 0
-    ok = F.col("label").isNotNull() & usable(F.col("v")) & (F.size("v") == dim)
+    ok = F.col("label").isNotNull() & usable(F.col("v"))
     kinds = rows.where(ok).groupBy("label", "v").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = written(kinds)
-    if len(fit) and dim > 1:
-        sample = _unit(fit[[len(v) == dim for v in fit]])
-        index = vectors.sparkSession.sparkContext.broadcast(MultiIndex(sample, reps.count(), threshold, recall))
-        found = written(_compare(reps, index, threshold))
+    lengths = {r["dim"]: r["count"] for r in reps.groupBy(F.size("v").alias("dim")).count().collect()}
+    indexes = {}
+    for dim, n in sorted(lengths.items()):
+        if dim > 1 and n > BLOCK:
+            fit = rows.where(ok & (F.size("v") == dim)).orderBy(F.xxhash64("row_id"), "row_id").limit(SAMPLE).select("v").toPandas()["v"]
+            indexes[dim] = MultiIndex(_unit(fit), n, threshold, recall)
+    parts = [vectors.sparkSession.createDataFrame([], "a long, b long, n long")]
+    if any(dim > 1 for dim in lengths):
+        index = vectors.sparkSession.sparkContext.broadcast(indexes)
+        parts.append(_compare(reps.where(F.size("v") > 1) if 1 in lengths else reps, index, threshold))
+    if 1 in lengths:
+        parts += _numbers(reps.where(F.size("v") == 1))
+    found = written(reduce(DataFrame.unionByName, parts))
     groups = components(found.where("b is not null").select("a", "b"))
     direct = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     of = reps.join(groups, F.col("rep") == F.col("node"), "left").join(direct, "rep", "left").select(
@@ -131,27 +140,44 @@ def near_vectors(
     )
 
 
+def _numbers(reps: DataFrame) -> list[DataFrame]:
+    """What ``_compare`` gives, for vectors of length one: those of one sign have a cosine of one."""
+    reps = reps.select("label", (F.get("v", F.lit(0)) > 0).alias("sign"), "rep", "copies")
+    all_of = reps.groupBy("label", "sign").agg(F.sum("copies").alias("total"), F.min("rep").alias("first"))
+    reps = reps.join(all_of, ["label", "sign"])
+    counts = reps.select(F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("total") - F.col("copies")).alias("n"))
+    return [counts, reps.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"), F.lit(0).cast("long").alias("n"))]
+
+
 def _compare(reps: DataFrame, index, threshold: float) -> DataFrame:
-    """``(a, null, n)``: copies of other vectors that ``a`` links with, by task; ``(a, b, 0)``: links that connect."""
+    """``(a, null, n)``: copies of other vectors that ``a`` links with, by task; ``(a, b, 0)``: links that connect.
+
+    A pair counts once for both of its ends, whichever of them visits the other's cell.
+    """
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.iloc[at : at + 4096]
-                cells = list(index.value.visited(_unit(part["v"])))
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "label": part["label"].to_numpy(), "v": part["v"].to_numpy(), "copies": part["copies"].to_numpy(), "cells": [[p << 16 | q for p, q in c] for c in cells]})
-
-    placed = written(reps.mapInPandas(place, "rep long, label string, v array<double>, copies long, cells array<int>"))
-    visits = placed.select("label", F.explode("cells").alias("cell"))
-    own = placed.select("label", F.get("cells", F.lit(0)).alias("cell"))
-    blocks = lambda df, name: df.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    sizes = written(blocks(own, "km").join(blocks(visits, "kp"), ["label", "cell"]))
+            for dim, same in batch.groupby(batch["v"].map(len)):
+                for at in range(0, len(same), 4096):
+                    part = same.iloc[at : at + 4096]
+                    one = index.value.get(dim)
+                    cells = list(one.visited(_unit(part["v"]))) if one else [[(0, 0)]] * len(part)
+                    yield pd.DataFrame({"dim": dim, "rep": part["rep"].to_numpy(), "label": part["label"].to_numpy(), "v": part["v"].to_numpy(), "copies": part["copies"].to_numpy(), "cells": [[p << 16 | q for p, q in c] for c in cells]})
+
+    placed = written(reps.mapInPandas(place, "dim int, rep long, label string, v array<double>, copies long, cells array<int>"))
+    key = ["dim", "label", "cell"]
+    first = F.get("cells", F.lit(0))
+    visits = placed.select("dim", "label", F.explode("cells").alias("cell"))
+    own = placed.select("dim", "label", first.alias("cell"))
+    blocks = lambda df, name: df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    sizes = written(blocks(own, "km").join(blocks(visits, "kp"), key))
     mine = lambda k: F.pmod(F.xxhash64("rep"), k).cast("int")
     others = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
-    row = ("label", "cell", "rep", "v", "copies")
-    members = placed.select("rep", "label", "v", "copies", F.get("cells", F.lit(0)).alias("cell")).join(sizes, ["label", "cell"])
+    row = (*key, "rep", "v", "copies", "cells")
+    # A member brings the cells that it visits, a probe its own one.
+    members = placed.select("dim", "rep", "label", "v", "copies", first.alias("cell"), "cells").join(sizes, key)
     members = members.select(*row, mine(F.col("km")).alias("i"), others(F.col("kp")).alias("j"), F.lit(True).alias("member"))
-    probes = placed.select("rep", "label", "v", "copies", F.explode("cells").alias("cell")).join(sizes, ["label", "cell"])
+    probes = placed.select("dim", "rep", "label", "v", "copies", F.explode("cells").alias("cell"), F.array(first).alias("cells")).join(sizes, key)
     probes = probes.select(*row, others(F.col("km")).alias("i"), mine(F.col("kp")).alias("j"), F.lit(False).alias("member"))
 
     def task(part: pd.DataFrame) -> pd.DataFrame:
@@ -165,15 +191,27 @@ def _compare(reps: DataFrame, index, threshold: float) -> DataFrame:
         x = _unit(part["v"])
         p, m = np.flatnonzero(~member), np.flatnonzero(member)
         near = (x[p] @ x[m].T >= threshold) & (ids[p][:, None] != ids[m])
-        n = near @ copies[m]
+        # Where the member visits the probe's cell too, the pair is met twice, and the one whose probe comes first counts.
+        visited = part["cells"].to_numpy()[m]
+        homes, home = np.unique(np.concatenate(part["cells"].to_numpy()[p]), return_inverse=True)
+        flat = np.concatenate(visited)
+        slot = np.minimum(np.searchsorted(homes, flat), len(homes) - 1)
+        by = np.repeat(np.arange(len(m)), [len(c) for c in visited])
+        sees = np.zeros((len(m), len(homes)), dtype=bool)
+        hit = homes[slot] == flat
+        sees[by[hit], slot[hit]] = True
+        near &= ~sees[:, home].T | (ids[p][:, None] < ids[m])
+        n = np.zeros(len(ids), dtype=np.int64)
+        np.add.at(n, p, near @ copies[m])
+        np.add.at(n, m, copies[p] @ near)
         some = n > 0
         names, at = np.unique(ids, return_inverse=True)
         i, j = np.nonzero(near)
         root = spanning(len(names), at[p][i], at[m][j])
         moved = np.flatnonzero(root != np.arange(len(names)))
-        a = np.concatenate([ids[p][some], names[root[moved]]])
+        a = np.concatenate([ids[some], names[root[moved]]])
         b = pd.array([None] * int(some.sum()) + names[moved].tolist(), dtype="Int64")
         return pd.DataFrame({"a": a, "b": b, "n": np.concatenate([n[some], np.zeros(len(moved), dtype=np.int64)])})
 
     both = members.unionByName(probes)
-    return both.groupBy("label", "cell", "i", "j").applyInPandas(task, "a long, b long, n long")
+    return both.groupBy(*key, "i", "j").applyInPandas(task, "a long, b long, n long")

@@ -350,6 +350,67 @@ def test_embedding_dedup(spark, monkeypatch):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i, *_ in odd)
 
 
+def _links(rows):
+    """Brute force ``(n_links, component_id)`` by id, for usable vectors of any length."""
+    want = {}
+    for dim, label in {(len(v), c) for _, v, c in rows}:
+        ids = np.array([i for i, v, c in rows if (len(v), c) == (dim, label)])
+        x = np.array([v for _, v, c in rows if (len(v), c) == (dim, label)], dtype=float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T >= 0.98
+        np.fill_diagonal(near, False)
+        root = _reach(ids.tolist(), ((ids[a], ids[b]) for a, b in zip(*np.nonzero(near))))
+        want.update({i: (int(n), int(root[i])) for i, n in zip(ids.tolist(), near.sum(1))})
+    return want
+
+
+def test_vectors_of_several_lengths(spark, monkeypatch):
+    """Also with a stray length, whichever vector comes first, and numbers."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    rows = _vectors()
+    rows += [(2000 + i, v[:12], c) for i, v, c in rows[::2]]
+    rows += [(3000 + i, [1.0, 0.01 * i, 2.0], 1) for i in range(9)] + [(4000 + i, [float(x)], 1) for i, x in enumerate((3, 5, -2, 5, -1))]
+    rows += [(5000 + k, [1.0] * (20 + k), 1) for k in range(60)]
+    want = _links(rows)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert all((got[i]["n_links"], got[i]["component_id"]) == want[i] for i in want if i >= 3000)
+    for low, high in ((0, 2000), (2000, 3000)):
+        ids = [i for i in want if low <= i < high]
+        assert sum(got[i]["n_links"] for i in ids) >= 0.97 * sum(want[i][0] for i in ids) > 0
+        assert sum(got[i]["component_id"] != want[i][1] for i in ids) <= 0.02 * len(ids)
+
+
+@pytest.mark.parametrize("margin", [0.0, 0.05])
+def test_links_count_for_both_ends(spark, monkeypatch, margin):
+    """Also where only one end meets the other: the ends' counts add up to pairs, and no row that links with one says 0."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    fit = embedding_dedup.MultiIndex.__init__
+
+    def narrow(self, *args):
+        fit(self, *args)
+        self.margin = margin
+
+    monkeypatch.setattr(embedding_dedup.MultiIndex, "__init__", narrow)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(500, 6))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.05])
+    got = embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(r["n_links"] for r in got) % 2 == 0
+    sizes = Counter(r["component_id"] for r in got)
+    assert all((sizes[r["component_id"]] > 1) == (r["n_links"] > 0) for r in got)
+
+
+def test_vectors_recall_of_links(spark, sf_dir, monkeypatch):
+    """The production recall against brute force, with cells even where the table is small."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in e.collect()]
+    want = _links([(i, v, c) for i, v, c in rows if c is not None and v and any(v) and np.isfinite(v).all()])
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(e).collect()}
+    assert all(got[i] <= n for i, (n, _) in want.items())
+    assert sum(got[i] for i in want) >= 0.99 * sum(n for n, _ in want.values())
+
+
 def test_multi_sequence_order():
     index = embedding_dedup.MultiIndex(np.random.default_rng(0).normal(size=(500, 8)), 5000, 0.98, 0.99)
     x = np.random.default_rng(1).normal(size=(20, 8))
