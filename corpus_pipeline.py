@@ -14,9 +14,9 @@ from mosaiq.llm._common import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, for which no language can be told, go."""
+    """Documents without letters, for which no language can be told, go; those for which none was learned stay."""
     model = langid.fit(docs.where(~queries.held_out()))
-    return langid.predict(docs, model).where(F.col("lang_pred") != langid.UNDECIDED).select(docs.columns)
+    return langid.judged(docs, model).where("__lang.letters").select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

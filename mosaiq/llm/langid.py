@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from mosaiq.runtime import ship
 
-#: Labelled documents the model is fitted on, and entries it keeps per language and kind: these bound its size.
+#: Labelled documents the model is fitted on, and entries it keeps per language and kind; with more than ``MAX_LANGS`` languages
+#: each keeps fewer, so that the tables, a row an entry and a column a language, do not grow. All languages are kept.
 TRAIN_DOCS, MAX_WORDS, MAX_GRAMS, MAX_LANGS = 20_000, 20_000, 5_000, 200
 #: Lengths of the character n-grams, longest first; words carry a mark at either end.
 GRAMS = (5, 4, 3, 2, 1)
@@ -141,11 +142,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     """Fit on about ``train_docs`` rows of ``labelled`` that a hash of the id picks, or all if they are fewer; rows without a language are left out.
 
     Counting is done by Spark, each language's most frequent entries are kept, and only they
-    come to the driver: ``MAX_WORDS`` and ``MAX_GRAMS`` a language and kind, ``MAX_LANGS`` languages.
+    come to the driver: ``MAX_WORDS`` and ``MAX_GRAMS`` a language and kind, fewer if there are more than ``MAX_LANGS`` languages.
     """
     ship(labelled.sparkSession)
     known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(order_col).alias("id"))
-    share = train_docs / max(1, known.count())
+    size = known.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("lang").alias("langs")).first()
+    share = train_docs / max(1, size["rows"])
     sample = known if share >= 1 else known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,10 +167,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     counts = marked.select("lang", "n", F.explode(items).alias("x")).select("lang", "n", "x.kind", "x.item")
     summed = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).where((F.col("kind") > 0) | (F.col("n") >= LEAST_COUNT))
     best = F.row_number().over(W.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
-    most = F.when(F.col("kind") == 0, MAX_WORDS).otherwise(MAX_GRAMS)
+    fewer = min(1.0, (MAX_LANGS / max(1, size["langs"])) ** 2)
+    most = F.when(F.col("kind") == 0, max(1, int(MAX_WORDS * fewer))).otherwise(max(1, int(MAX_GRAMS * fewer)))
     kept = summed.withColumn("r", best).where(F.col("r") <= most).drop("r").toPandas()
-    langs = sorted(kept["lang"].unique(), key=str)[:MAX_LANGS]
-    kept = kept[kept["lang"].isin(langs)]
+    langs = sorted(kept["lang"].unique(), key=str)
     tables = {}
     for kind, part in kept.groupby("kind"):
         totals = part.groupby("lang")["n"].sum().to_dict()
@@ -182,14 +184,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     ``und`` and 0 where the text is null, empty or without letters, or nothing was learned.
     Columns of these names are replaced; ties go to the first language by code point.
     """
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return judged(docs, model, text_col).select(*rest, "__lang.lang_pred", "__lang.score")
+
+
+def judged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``__lang``: what ``predict`` gives, and ``letters``, whether the text has any, whatever was learned."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's parameters
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, letters boolean")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
-            yield pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([(*m.predict(t), _LETTERS.search(t or "") is not None) for t in texts], columns=["lang_pred", "score", "letters"])
 
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("__lang", label(F.col(text_col))).select(*rest, "__lang.lang_pred", "__lang.score")
+    return docs.withColumn("__lang", label(F.col(text_col)))

@@ -624,3 +624,13 @@ def test_warc_damage_is_noticed():
     assert warc.parse(data)[2] == b"abc"
     with pytest.raises(ValueError):
         warc.parse(data.replace(b"abc", b"abd"))
+
+
+def test_more_languages_than_keep_all_their_entries(spark, monkeypatch):
+    """No language is left out: each keeps fewer entries."""
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    names = "abcdef"
+    docs = spark.createDataFrame([(i, " ".join([x * 4] * 5), f"l{x}") for i, x in enumerate(names)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.langs == [f"l{x}" for x in names]
+    assert [r["lang_pred"] for r in langid.predict(docs, model).orderBy("doc_id").collect()] == model.langs

@@ -67,3 +67,9 @@ def test_registered(spark, sf_dir, name):
 def test_names_of_extra_columns_do_not_matter(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("kept", F.lit(1)).withColumn("shard", F.lit(1)).withColumn("lang_pred", F.lit("x"))
     assert dict(corpus_pipeline.STAGES)["exact_dedup"](spark, docs, sf_dir).columns == docs.columns
+
+
+def test_language_stage_without_labels(spark, sf_dir):
+    """Where nothing can be learned, documents with letters stay."""
+    docs = spark.createDataFrame([(1, "Some words", None), (2, "12 !", None), (3, None, None), (4, "été", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, sf_dir).collect()} == {1, 4}
