@@ -15,12 +15,29 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = KINDS[:4]
 
+#: Length of account numbers by country, as in the registry and in use besides it.
+IBAN_LENGTHS = {
+    w[:2]: int(w[2:])
+    for w in """AD24 AE23 AL28 AO25 AT20 AZ28 BA20 BE16 BF28 BG22 BH22 BI27 BJ28 BL27 BR29 BY28 CF27 CG27 CH21 CI28 CM27 CR22 CV25 CY28 CZ24 DE22
+    DJ27 DK18 DO28 DZ26 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GA27 GB22 GE22 GF27 GI23 GL18 GP27 GQ27 GR27 GT28 GW25 HN28 HR21 HU28 IE22
+    IL23 IQ23 IR26 IS26 IT27 JO30 KM27 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MA28 MC27 MD24 ME22 MF27 MG27 MK19 ML28 MN20 MQ27
+    MR27 MT31 MU30 MZ25 NC27 NE28 NI28 NL18 NO15 OM23 PF27 PK24 PL28 PM27 PS29 PT25 QA29 RE27 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19
+    SK24 SM27 SN28 SO23 ST25 SV28 TD27 TF27 TG28 TL23 TN24 TR26 UA29 VA22 VG24 WF27 XK20 YE30 YT27""".split()
+}
+
+
+def _iban() -> str:
+    """Spans of just the length that their country has, so that a word or number behind one is no part of it."""
+    of = {n: "|".join(c for c, m in IBAN_LENGTHS.items() if m == n) for n in sorted(set(IBAN_LENGTHS.values()))}
+    return r"\b(?:" + "|".join(rf"(?:{codes})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in of.items()) + r")\b"
+
+
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+    "iban": _iban(),
 }
 #: A text without this character or pattern cannot hold the kind.
 NEEDS = {"email": "@", "phone": "+"}

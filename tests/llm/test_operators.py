@@ -165,6 +165,30 @@ def test_pii_accounts_context_and_redaction(spark):
     assert found[0]["score"] == [1.0] and found[1]["score"] == [0.8]
 
 
+def test_pii_accounts_with_more_behind(spark):
+    """Brute force: any start at a word's edge, any end at one, the country's length, and mod 97."""
+    codes = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S", "DE89370400440532013001"]
+    behind = ["", " BIC COBADEFF", " BIC COBADEFFXXX", " EUR 50", " 50", ". X", " x", "X", " DE89370400440532013000", "-7"]
+    texts = [f"to {c}{b}" for c in codes for b in behind]
+
+    def want(text):
+        out, at = [], 0
+        for m in re.finditer(r"\b[A-Z]{2}[0-9]{2}", text):
+            for e in range(m.start() + 15, len(text) + 1):
+                span = text[m.start() : e]
+                code = span.replace(" ", "")
+                if m.start() >= at and re.fullmatch(r"[A-Z0-9](?: ?[A-Z0-9])*", span) and not re.match("[A-Za-z0-9_]", text[e:]) and len(code) == {"DE": 22, "GB": 22, "NO": 15, "FR": 27, "MT": 31}.get(code[:2]):
+                    if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+                        out.append(f"iban:{m.start()}:{e}")
+                        at = e
+        return ",".join(out)
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    only = F.filter("pii", lambda x: x["kind"] == "iban")
+    got = {r["text"]: r["s"] for r in pii.detect(df).select("text", pii.listed(only).alias("s")).collect()}
+    assert got == {t: want(t) for t in texts} and got["to DE89370400440532013000 BIC COBADEFF"] == "iban:3:25"
+
+
 # Web pages
 
 _PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="page">
