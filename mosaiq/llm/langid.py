@@ -9,8 +9,9 @@ words; the best language wins, and the score is its share in a softmax of means.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,12 @@ BACKOFF = 0.5
 #: Scores of unseen words that a worker holds at most, and words scored at a time.
 CACHE, _PART = 1_200_000, 8_192
 UNDECIDED = "und"
+#: Values of the hash that picks the training sample.
+HASHES = 1 << 60
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: What ``\w`` takes for part of a word though it is neither a letter nor a decimal digit: fractions, superscripts, Roman numerals.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -139,16 +144,20 @@ def _grams(chars: Column, n: int) -> Column:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on about ``train_docs`` rows of ``labelled`` that a hash of the id picks, or all if they are fewer; rows without a language are left out.
+    """Fit on about ``train_docs`` rows of ``labelled`` that a hash of id and text picks, or all if they are fewer.
+
+    Rows without a language are left out; those without letters teach nothing. Null or
+    repeated ids are ids like any other. Where nothing is learned, an empty table included,
+    the model knows no language. Other columns are not read.
 
     Counting is done by Spark, each language's most frequent entries are kept, and only they
     come to the driver: ``MAX_WORDS`` and ``MAX_GRAMS`` a language and kind, fewer if there are more than ``MAX_LANGS`` languages.
     """
     ship(labelled.sparkSession)
-    known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(order_col).alias("id"))
+    known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(order_col).alias("id"))
     size = known.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("lang").alias("langs")).first()
     share = train_docs / max(1, size["rows"])
-    sample = known if share >= 1 else known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = known if share >= 1 else known.where(F.pmod(F.xxhash64("id", "text"), F.lit(HASHES)) < int(share * HASHES))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -156,7 +165,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
                 words: Counter = Counter()
                 for text in part["text"]:
                     words.update(words_of(text or ""))
-                yield pd.DataFrame({"lang": lang, "item": list(words), "n": list(words.values())})
+                if words:
+                    yield pd.DataFrame({"lang": lang, "item": list(words), "n": list(words.values())})
 
     words = sample.select("text", "lang").mapInPandas(count, "lang string, item string, n long")
     words = words.groupBy("lang", "item").agg(F.sum("n").alias("n"))

@@ -52,8 +52,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """The fold that language models may not learn from."""
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    """The fold that language models may not learn from; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

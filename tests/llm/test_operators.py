@@ -541,6 +541,52 @@ def test_language_backoff():
     assert model.word("sch")[0] == langid.BACKOFF**3 and model.word("q")[1] == langid.BACKOFF**4 and not model.word("漢").any()
 
 
+@pytest.mark.parametrize("rows", [[(1, None, "en"), (2, "", "en")], [(1, "hello the world", "en"), (2, "123", "fr")], [(None, "a a a", "en"), (None, "\u00bd \u00b2 \u2167", None), (3, "b b b", "de")]])
+def test_language_of_texts_without_letters(spark, rows):
+    """Batches in which a language has no letters teach nothing and break nothing; numerals are no letters."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(docs.select("doc_id", queries.held_out().alias("held_out"), "text"), langid.fit(docs)).collect()
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 5 == 0)
+        learned = any(lang and any(c.isalpha() for c in t or "") for _, t, lang in rows)
+        assert (r["lang_pred"] != "und") == (learned and any(c.isalpha() for c in r["text"] or ""))
+
+
+def test_language_sample_is_never_empty_by_rounding(spark):
+    assert int(20_000 / 1e15 * langid.HASHES) > 1_000_000
+
+
+def test_language_scores_by_brute_force(spark, docs):
+    """The rules word by word, without the tables that the workers keep."""
+    model = langid.fit(docs.where("doc_id % 3 <> 0"))
+    odd = "Uncommonly stränge wörds für \u6f22\u5b57 ½ x\u00b2y Zzzzzq"
+
+    def score(word):
+        if word in model.words:
+            return model.words[word]
+        for k, n in enumerate(langid.GRAMS):
+            marked = f"<{word}>"
+            known = [model.grams[n][g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in model.grams.get(n, {})]
+            if known:
+                return np.mean(known, axis=0) * langid.BACKOFF**k
+        return np.zeros(len(model.langs))
+
+    for text in [odd, *(r["text"] for r in docs.limit(60).collect())]:
+        words, word = [], ""
+        for c in (text or "").lower() + " ":
+            if c.isalpha():
+                word += c
+            elif word:
+                words, word = [*words, word], ""
+        got = model.predict(text)
+        if not words:
+            assert got == ("und", 0.0)
+            continue
+        mean = np.mean([score(w) for w in words], axis=0)
+        share = np.exp((mean - mean.max()) * min(len(words), 20))
+        assert got[0] == model.langs[int(np.argmax(mean))] and got[1] == pytest.approx(share.max() / share.sum())
+
+
 # Packing
 
 
