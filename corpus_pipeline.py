@@ -10,35 +10,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.llm import exact_dedup, langid, mixing, packing, queries, simhash
-from mosaiq.llm._common import table, written
+from mosaiq.llm._common import one_of_each, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, for which no language can be told, go; those for which none was learned stay."""
+    """Rows whose text is null or without letters, for which no language can be told, go; those for which none was learned stay.
+
+    Rows are judged one by one, whatever their ids; a null id is in the held-out fold.
+    """
     model = langid.fit(docs.where(~queries.held_out()))
     return langid.judged(docs, model).where("__lang.letters").select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the first document stays."""
-    groups = written(exact_dedup.exact_groups(docs).select("doc_id", "kept"))
-    return docs.join(groups.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """Of equal texts one row stays, that of the smallest id, a null id counting as the smallest.
+
+    A null text is an empty one. Rows that repeat an id are judged each by its own text.
+    """
+    groups = exact_dedup.exact_groups(docs).select(F.col("doc_id").alias("row_id"), F.col("text_sha256").alias("tag"), F.col("kept").alias("keep"))
+    return one_of_each(docs, groups, "doc_id", F.sha2(exact_dedup.normalise(F.col("text")), 256))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that fingerprints link, the first document stays."""
-    groups = written(simhash.near_groups(docs).select("doc_id", "component_id"))
-    dropped = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of each group that fingerprints link one row stays, that of the smallest id, null ids coming last.
+
+    Fingerprints and links are those of the contract of op5: shingles of three words, two bits.
+    A null text is an empty one. Rows that repeat an id are judged each by its own text.
+    """
+    return one_of_each(docs, simhash.judged(docs), "doc_id", simhash.tag(F.col("text")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their sources' weights ask for, shuffled within output shards."""
-    return mixing.mixed(docs, mixing.plan(docs)).select(docs.columns)
+    """Documents as often as their sources' weights ask for, shuffled within output shards.
+
+    Sources are as in op6, null a source of its own; rows that repeat an id are drawn together.
+    """
+    return mixing.mix(docs).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in training sequences."""
+    """Pieces of all rows in training sequences; a null text has the end token alone, rows that repeat an id are packed each."""
     return packing.pack_documents(docs, queries.vocabulary())
 
 

@@ -6,19 +6,27 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word of the data contracts: anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Ids that a filter which travels to every executor is made from at most, and its bits for each id (64 bits a broadcast row).
+MAX_FILTER_IDS, BITS_PER_ID = 1 << 22, 16
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is missing, as in tests on one machine, a temporary
-    folder takes its place. The folder is removed when the driver's JVM ends.
+    Only where that setting is missing and all runs on one machine, as in tests, a
+    temporary folder takes its place; on a cluster the setting is required. The folder is
+    removed when the driver's JVM ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir()
     path = f"{base.rstrip('/')}/mosaiq-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
@@ -49,3 +57,43 @@ def hash60(*parts: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words, that is of maximal runs of anything but white space."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def one_of_each(docs: DataFrame, judged: DataFrame, id_col: str, tag: Column) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, without a shuffle of the others' texts.
+
+    ``judged`` has ``row_id, tag, keep``, one row per row of ``docs``; ``tag`` is the same tag
+    as an expression on ``docs``, which tells rows that repeat an id apart. Of rows that
+    repeat both, one stays, the first by a hash of all its columns; null ids are ids.
+
+    Few ids need care: those of which a row goes, and those that repeat. A bit filter made
+    from them is looked up on the map side. Rows that it does not meet stay as they are, and
+    only the rest is joined with the decisions. With more than ``MAX_FILTER_IDS`` such ids
+    there is no filter and all rows are joined.
+    """
+    by_row = judged.groupBy("row_id", "tag").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
+    by_id = by_row.groupBy("row_id").agg((F.min("keep") & (F.sum("n") == 1)).alias("plain"))
+    ids = by_id.where(~F.col("plain")).select(F.col("row_id").alias("care_id"))
+    care = written(by_row.join(ids, F.col("row_id").eqNullSafe(F.col("care_id"))).select(F.col("row_id").alias("__id"), F.col("tag").alias("__of"), F.col("keep").alias("__keep"), F.col("n").alias("__n")))
+    many = care.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("__keep") & (F.col("__n") > 1)).alias("repeats")).first()
+    if not many["rows"]:
+        return docs
+    rest, plain = docs, None
+    if many["rows"] <= MAX_FILTER_IDS:
+        bits = many["rows"] * BITS_PER_ID
+        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+        places = care.select(slot("__id").alias("slot")).select(F.floor(F.col("slot") / 64).alias("__word"), F.pmod("slot", F.lit(64)).cast("int").alias("at"))
+        words = places.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("__bits"))
+        met = docs.join(F.broadcast(words), F.floor(slot(id_col) / 64) == F.col("__word"), "left")
+        hit = F.coalesce(F.getbit("__bits", F.pmod(slot(id_col), F.lit(64)).cast("int")) == 1, F.lit(False))
+        plain, rest = met.where(~hit).select(docs.columns), met.where(hit).select(docs.columns)
+    rest = rest.withColumn("__tag", tag)
+    rest = rest.join(care, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__of")), "left")
+    single = rest.where(F.col("__keep").isNull() | (F.col("__keep") & (F.col("__n") == 1))).select(docs.columns)
+    kept = single if plain is None else plain.union(single)
+    if many["repeats"]:
+        order = F.xxhash64(*(F.col(f.name) for f in docs.schema.fields if f.dataType.typeName() != "map"))
+        turn = F.row_number().over(W.partitionBy("__id", "__of").orderBy(order))
+        again = rest.where(F.col("__keep") & (F.col("__n") > 1)).withColumn("__turn", turn).where("__turn = 1")
+        kept = kept.union(again.select(docs.columns))
+    return kept

@@ -106,8 +106,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     staged = written(recipes(docs, id_col, text_col))
     rows = verified(staged)
-    first = F.struct(F.col("row_id").isNotNull(), "row_id")
-    groups = rows.groupBy("recipe").agg(F.min(first)["row_id"].alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # A flag for null ids, not a struct: fixed-width buffers are aggregated by hash.
+    smallest = F.when(F.max(F.col("row_id").isNull()), None).otherwise(F.min("row_id"))
+    groups = rows.groupBy("recipe").agg(smallest.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return rows.join(groups, "recipe").select(
         F.col("row_id").alias(id_col),
         "keep_id",

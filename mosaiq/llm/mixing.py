@@ -2,7 +2,7 @@
 
 1. Sources get word targets: shares of all words by weight, none above ``cap`` times the
    source's own words, the excess reshared by weight.
-2. Each source's documents are dealt into at most ``blocks`` blocks by a hash. A target is
+2. Each source's documents are dealt into ``blocks`` blocks by a hash of their ids. A target is
    turned into an exact quota of block draws: whole passes over the source, then a part of
    a pass in a permuted order of the blocks.
 3. A binary tree splits the quotas among the output shards. At each node the left half's
@@ -12,8 +12,8 @@
    locally by a hash.
 
 Everything is DataFrame functions. What is gathered, the quotas, has one row per source
-and per block (``blocks`` a source at most), however large the corpus is; documents are
-only joined to their blocks, which a hash spreads evenly whatever a source's size.
+and per block (``blocks`` a source at most), however large the corpus is; documents look
+their blocks up, which a hash spreads evenly whatever a source's size.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ CAP = 3
 BLOCKS = 4096
 SHARDS = 64
 SEED = "42"
+#: Rows (sources times blocks) that travel to every executor at most; with more, Spark joins as it sees fit.
+MAX_LOOKED_UP = 1 << 20
+#: Length of the lists that results are gathered in.
+_LIST = 64
 #: Terms taken on either side of a hypergeometric distribution's mode, in standard deviations.
 _REACH = 12
 
@@ -39,13 +43,13 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """``(source, source_size, n_docs, weight, target)``, one row per source.
+    """``(source, source_size, weight, target)``, one row per source, from ``source`` and ``size``.
 
     Sources in ascending order of ``cap * size / weight`` reach their caps first; with the
     caps of the first k taken out, the rest share by weight. The first k whose share does
     not exceed the next one's cap is the answer, found with running sums.
     """
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     # One row per source from here on: the windows below see names, not documents.
     turn = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (turn % len(weights) + 1).cast("int"))
@@ -59,19 +63,40 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     fits = F.col("level") <= F.col("limit") / F.col("weight")
     water = F.min(F.when(fits, F.struct("turn", "level"))).over(every)["level"]
     return found.withColumn("water", water).select(
-        "source", "source_size", "n_docs", "weight",
+        "source", "source_size", "weight",
         F.least(F.col("limit").cast("double"), F.col("water") * F.col("weight")).alias("target"),
     )
 
 
-def block_of(row_id: Column, n_blocks: Column) -> Column:
-    return hash60(F.lit("block"), F.lit(SEED), row_id) % n_blocks
+def block_of(row_id: Column, blocks: int = BLOCKS) -> Column:
+    return hash60(F.lit("block"), F.lit(SEED), row_id) % blocks
 
 
 def _order(source: Column, item: Column) -> Column:
     return hash60(F.lit("order"), F.lit(SEED), F.coalesce(source, F.lit("")), item)
 
 
+def _scan(items: Column, start: Column, step, kind: str) -> Column:
+    """What ``step`` gives for each of the items in turn, as an array of ``kind``.
+
+    ``step(state, item)`` returns the next state and the item's result. Results are gathered
+    in lists of ``_LIST`` and those in a list, so that appending does not cost the square.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    lists = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _LIST).cast("int")), lambda i: F.slice(items, i * _LIST + 1, F.lit(_LIST)))
+
+    def one(a: Column, x: Column) -> Column:
+        state, got = step(a["state"], x)
+        return F.struct(state.alias("state"), F.concat(a["got"], F.array(got.cast(kind))).alias("got"))
+
+    def some(a: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(a["state"].alias("state"), none.alias("got")), one)
+        return _let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(a["all"], F.array(d["got"])).alias("all")))
+
+    start = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("all"))
+    return F.flatten(F.aggregate(lists, start, some, lambda a: a["all"]))
+
+
 def quotas(with_blocks: DataFrame) -> DataFrame:
     """``(source, block, passes, place)``: draws of each block and its place in the source's order.
 
@@ -87,14 +112,12 @@ def quotas(with_blocks: DataFrame) -> DataFrame:
     listed = with_blocks.groupBy("source").agg(
         F.sort_array(F.collect_list(item)).alias("items"), F.first(passes).cast("int").alias("full"), F.first(left).alias("left")
     )
-    start = F.struct(F.col("left").alias("left"), F.array().cast("array<int>").alias("more"))
 
-    def step(a: Column, x: Column) -> Column:
-        fits = x["words"] <= a["left"]
-        rest = F.when(fits, a["left"] - x["words"]).otherwise(a["left"])
-        return F.struct(rest.alias("left"), F.concat(a["more"], F.array(fits.cast("int"))).alias("more"))
+    def step(rest: Column, x: Column) -> tuple[Column, Column]:
+        fits = (x["words"] <= rest) & (rest > 0)
+        return F.when(fits, rest - x["words"]).otherwise(rest), fits
 
-    more = F.aggregate("items", start, step, lambda a: a["more"])
+    more = _scan(F.col("items"), F.col("left"), step, "int")
     return listed.select("source", "full", F.posexplode(F.arrays_zip("items", more.alias("more"))).alias("place", "x")).select(
         "source", "x.items.block", (F.col("full") + F.col("x.more")).alias("passes"), "place"
     )
@@ -166,14 +189,14 @@ def split_quotas(quota: DataFrame, shards: int = SHARDS) -> DataFrame:
         left = F.floor(F.col("wide") / 2)
         total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["quota"])
         nodes = nodes.withColumn("total", total).withColumn("drawn", F.floor(F.col("total") * left / F.col("wide")))
-        start = F.struct(F.col("total").alias("n"), F.col("drawn").alias("k"), F.array().cast("array<bigint>").alias("got"))
+        start = F.struct(F.col("total").alias("n"), F.col("drawn").alias("k"))
 
-        def step(a: Column, x: Column) -> Column:
+        def step(a: Column, x: Column) -> tuple[Column, Column]:
             u = hash60(F.lit("tree"), F.lit(SEED), F.col("first"), F.col("wide"), F.coalesce(x["source"], F.lit("\0"))) / float(1 << 60)
             got = _hypergeometric(x["quota"], a["n"], a["k"], u)
-            return F.struct((a["n"] - x["quota"]).alias("n"), (a["k"] - got).alias("k"), F.concat(a["got"], F.array(got)).alias("got"))
+            return F.struct((a["n"] - x["quota"]).alias("n"), (a["k"] - got).alias("k")), got
 
-        nodes = nodes.withColumn("got", F.aggregate("q", start, step, lambda a: a["got"]))
+        nodes = nodes.withColumn("got", _scan(F.col("q"), start, step, "bigint"))
         kept = F.zip_with("q", "got", lambda x, g: x.withField("quota", g))
         rest = F.zip_with("q", "got", lambda x, g: x.withField("quota", x["quota"] - g).withField("start", x["start"] + g))
         halves = F.array(
@@ -192,18 +215,17 @@ def draws(
     cap: int = CAP,
     blocks: int = BLOCKS,
     shards: int = SHARDS,
-) -> tuple[DataFrame, DataFrame]:
-    """``(by_source, by_block)``: the sources' targets, and ``(source, block, n_blocks, shards)``.
+) -> DataFrame:
+    """``(key, block, source_size, target, shards)``, a row for each block of each source that has documents.
 
-    ``shards`` lists the output shard of each draw of the block, one for each pass.
+    ``key`` is the source as a join key that null can match. ``shards`` lists the output
+    shard of each draw of the block, one for each pass; it is empty for blocks left out.
     """
-    by_source = written(targets(sized, weights, cap)).withColumn(
-        "n_blocks", F.least(F.lit(blocks).cast("long"), F.col("n_docs"))
-    )
-    known = sized.join(_keyed(by_source).select("key", "n_blocks"), _key(sized["source"]) == F.col("key"))
-    words = known.groupBy("source", block_of(F.col("row_id"), F.col("n_blocks")).alias("block")).agg(F.sum("size").alias("words"))
-    about = _keyed(by_source).select("key", "source_size", "target")
-    quota = written(quotas(words.join(about, _key(words["source"]) == F.col("key")).drop("key")))
+    words = written(sized.groupBy("source", block_of(F.col("row_id"), blocks).alias("block")).agg(F.sum("size").alias("words")))
+    by_source = written(targets(words.select("source", F.col("words").alias("size")), weights, cap))
+    about = by_source.select(_key(F.col("source")).alias("key"), "source_size", "target")
+    known = words.join(about, _key(words["source"]) == F.col("key"))
+    quota = written(quotas(known))
     split = split_quotas(quota.groupBy("source").agg(F.sum("passes").cast("long").alias("quota")), shards)
     # Draw number i of a source: whole passes first, each in the permuted order.
     dealt = split.where("quota > 0").select(
@@ -212,10 +234,9 @@ def draws(
     each = quota.where("passes > 0").select("source", "block", "place", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("turn"))
     numbered = each.withColumn("i", F.row_number().over(W.partitionBy("source").orderBy("turn", "place")).cast("long") - 1)
     same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.i") == F.col("b.i"))
-    by_block = (
-        numbered.alias("a").join(dealt.alias("b"), same).groupBy("a.source", "a.block").agg(F.sort_array(F.collect_list("b.shard")).alias("shards"))
-    )
-    return by_source, written(by_block)
+    taken = numbered.alias("a").join(dealt.alias("b"), same).groupBy(_key(F.col("a.source")).alias("key"), "a.block").agg(F.sort_array(F.collect_list("b.shard")).alias("shards"))
+    every = known.select("key", "block", "source_size", "target").join(taken, ["key", "block"], "left")
+    return written(every.withColumn("shards", F.coalesce("shards", F.array().cast("array<int>"))))
 
 
 def _key(source: Column) -> Column:
@@ -223,11 +244,17 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn("key", _key(F.col("source")))
+def _looked_up(rows: DataFrame, row_id: Column, source: Column, by_block: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with their blocks' columns, under names that begin with ``__``: on the map side, unless sources are very many."""
+    known = by_block.select(*(F.col(c).alias(f"__{c}") for c in by_block.columns))
+    few = known.count() <= MAX_LOOKED_UP
+    return rows.join(F.broadcast(known) if few else known, (_key(source) == F.col("__key")) & (block_of(row_id, blocks) == F.col("__block")))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def plan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
+    blocks: int = BLOCKS, shards: int = SHARDS,
+) -> DataFrame:
     """``(row_id, source, size, source_size, target, shards)``, one row per row of ``docs``.
 
     ``shards`` holds the output shard of each time the document is taken; it is empty where
@@ -239,24 +266,22 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     read. An empty table gives an empty plan.
     """
     sized = written(sizes(docs, id_col, text_col, source_col))
-    by_source, by_block = draws(sized, **how)
-    facts = _keyed(by_source).select("key", "source_size", "target", "n_blocks")
-    rows = sized.join(facts, _key(sized["source"]) == F.col("key")).drop("key")
-    rows = rows.withColumn("block", block_of(F.col("row_id"), F.col("n_blocks")))
-    of = _keyed(by_block).select("key", F.col("block").alias("b"), "shards")
-    joined = rows.join(of, (_key(rows["source"]) == F.col("key")) & (F.col("block") == F.col("b")), "left")
-    return joined.select(
-        "row_id", "source", "size", "source_size", "target", F.coalesce("shards", F.array().cast("array<int>")).alias("shards")
-    )
+    rows = _looked_up(sized, F.col("row_id"), F.col("source"), draws(sized, weights, cap, blocks, shards), blocks)
+    return rows.select("row_id", "source", "size", *(F.col(f"__{c}").alias(c) for c in ("source_size", "target", "shards")))
 
 
-def mixed(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: ``docs`` with ``shard`` and ``turn``, a row for each draw, shuffled within its shard.
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
+    blocks: int = BLOCKS, shards: int = SHARDS,
+) -> DataFrame:
+    """The mix itself: ``docs`` with ``shard`` and ``turn``, a row for each draw of :func:`plan`, shuffled within its shard.
 
-    ``planned`` comes from :func:`plan`. Ids must be unique. Input columns named ``shard``
-    or ``turn`` are replaced.
+    Texts are moved once, to their shards: what is drawn is looked up by source and block.
+    Null and repeated ids, null sources and texts as for :func:`plan`; input columns named
+    ``shard`` or ``turn`` are replaced.
     """
-    taken = planned.where(F.size("shards") > 0).select(F.col("row_id").alias("__row"), F.posexplode("shards").alias("__turn", "__shard"))
-    rows = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__row"))).drop("__row")
-    rows = rows.withColumn("shard", F.col("__shard")).withColumn("turn", F.col("__turn")).drop("__shard", "__turn")
+    by_block = draws(sizes(docs, id_col, text_col, source_col), weights, cap, blocks, shards)
+    rows = _looked_up(docs, F.col(id_col), F.col(source_col), by_block, blocks)
+    names = [c for c in docs.columns if c not in ("shard", "turn")]
+    rows = rows.select(*names, F.posexplode("__shards").alias("turn", "shard"))
     return rows.repartition("shard", F.col(id_col)).sortWithinPartitions("shard", hash60(F.lit(SEED), F.col(id_col), F.col("turn")))

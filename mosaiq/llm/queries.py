@@ -175,7 +175,7 @@ o AS (SELECT *, row_number() OVER w AS turn,
     ((SELECT sum(source_size) FROM s) - coalesce(sum(lim) OVER b, 0)) / ((SELECT sum(weight) FROM r) - coalesce(sum(weight) OVER b, 0)) AS level
   FROM r WINDOW w AS (ORDER BY lim / weight, source NULLS LAST), b AS (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, least(CAST(lim AS DOUBLE), weight * (SELECT level FROM o WHERE level <= lim / weight ORDER BY turn LIMIT 1)) AS target,
-    least({mixing.BLOCKS}, n_docs) AS n_blocks FROM o),
+    {mixing.BLOCKS} AS n_blocks FROM o),
 f AS (SELECT d.doc_id, d.size, t.* , {_H60 % f"'block|{mixing.SEED}|' || CAST(doc_id AS VARCHAR)"} % n_blocks AS block FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT source, block, CAST(sum(size) AS BIGINT) AS words, min(target) - floor(min(target) / greatest(min(source_size), 1)) * min(source_size) AS lft,
     row_number() OVER (PARTITION BY source ORDER BY {_H60 % f"'order|{mixing.SEED}|' || coalesce(source, '') || '|' || CAST(block AS VARCHAR)"}, block) AS i

@@ -49,8 +49,8 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``(row_id, fp)``, ``fp`` as a signed long. A null text is an empty one; texts without words have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, more: dict[str, Column] | None = None) -> DataFrame:
+    """``(row_id, fp)``, ``fp`` as a signed long, and ``more`` columns. A null text is an empty one; texts without words have 0."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("row_id"), fp(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"))
+    return docs.select(F.col(id_col).alias("row_id"), fp(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), *(c.alias(k) for k, c in (more or {}).items()))
 
 
 def hex16(fp: Column) -> Column:
@@ -193,17 +193,41 @@ def links(fps: DataFrame, distance: int = DISTANCE, all_links: bool = True) -> D
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _grouped(rows: DataFrame, distance: int) -> DataFrame:
+    """``rows`` (``row_id, fp`` and more) with ``root``, which names the group, and ``component_id``, the group's smallest id."""
+    firsts = rows.groupBy("fp").agg(F.min("row_id").alias("first"))
+    joined = written(firsts.join(components(links(rows, distance, False)), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root")))
+    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(joined.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """One row per row of ``docs``: ``id_col, fp, component_id``, the smallest id reachable by links.
 
     Fingerprints link at ``distance`` or fewer differing bits; equal ones always do. Copies
     meet in one fingerprint before anything is joined, whatever their number. A null text
-    is an empty one and has fingerprint 0, which links like any other. Ids should be unique
-    and not null. Other columns are not read. An empty table gives an empty result.
+    is an empty one and has fingerprint 0, which links like any other. Rows that repeat an
+    id count each with its own text; null ids are passed over for ``component_id``, which is
+    null where a group has no other. Other columns are not read. An empty table gives an
+    empty result.
     """
     rows = written(fingerprints(docs, id_col, text_col, words))
-    firsts = rows.groupBy("fp").agg(F.min("row_id").alias("first"))
-    joined = written(firsts.join(components(links(rows, distance, False)), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root")))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = joined.join(smallest, "root").select("fp", "component_id")
-    return rows.join(ids, "fp").select(F.col("row_id").alias(id_col), "fp", "component_id")
+    return _grouped(rows, distance).select(F.col("row_id").alias(id_col), "fp", "component_id")
+
+
+def tag(text: Column) -> Column:
+    """Tells the texts of rows that repeat an id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """``(row_id, tag, keep)``, one row per row of ``docs``: of each group the row of the smallest id stays.
+
+    Null ids come after all others; of rows that repeat an id the one with the smallest
+    :func:`tag` stays. Rows that repeat both are alike here, and all or none say ``keep``.
+    """
+    rows = written(fingerprints(docs, id_col, text_col, words, {"tag": tag(F.col(text_col))}))
+    groups = written(_grouped(rows, distance).select("row_id", "tag", "root"))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("row_id").isNull(), "row_id", "tag")).alias("first"))
+    keep = F.col("row_id").eqNullSafe(F.col("first.row_id")) & (F.col("tag") == F.col("first.tag"))
+    return groups.join(first, "root").select("row_id", "tag", keep.alias("keep"))

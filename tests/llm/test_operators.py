@@ -517,7 +517,26 @@ def test_hypergeometric(spark):
 def test_mixed_rows(docs):
     planned = mixing.plan(docs, shards=3)
     want = {r["row_id"]: len(r["shards"]) for r in planned.collect() if r["shards"]}
-    assert Counter(r["doc_id"] for r in mixing.mixed(docs, planned).collect()) == want
+    clash = docs.withColumn("turn", F.lit("x")).withColumn("shard", F.lit("x")).withColumn("key", F.lit("x")).withColumn("block", F.lit("x"))
+    got = mixing.mix(clash, shards=3)
+    assert Counter(r["doc_id"] for r in got.collect()) == want and set(got.columns) == set(clash.columns)
+    assert {(r["row_id"], s) for r in planned.collect() for s in r["shards"]} == {(r["doc_id"], r["shard"]) for r in got.collect()}
+
+
+def test_mixing_many_sources_and_repeated_rows(spark):
+    """More sources than a list of results holds; rows that repeat an id go together."""
+    rows = [(i // 2 if i % 10 == 0 else i, "w " * (i % 7), f"s{i % 90:03d}" if i % 90 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = rows_of(mixing.plan(df, shards=4))
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = _targets(dict(sizes))
+    taken = Counter()
+    for r in got:
+        assert abs(r["target"] - want[r["source"]]) < 1e-6
+        taken[r["source"]] += r["size"] * len(r["shards"])
+    assert len(got) == 900 and all(t - 14 <= taken[s] <= t + 1e-6 for s, t in want.items())
 
 
 # Languages

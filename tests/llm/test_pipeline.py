@@ -73,3 +73,20 @@ def test_language_stage_without_labels(spark, sf_dir):
     """Where nothing can be learned, documents with letters stay."""
     docs = spark.createDataFrame([(1, "Some words", None), (2, "12 !", None), (3, None, None), (4, "été", None)], "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, sf_dir).collect()} == {1, 4}
+
+
+@pytest.mark.parametrize("filtered", [True, False])
+def test_one_row_of_each_stays(spark, monkeypatch, filtered):
+    """Null and repeated ids, repeated rows and clashing names, by the map-side filter and without it."""
+    from mosaiq.llm import _common
+
+    monkeypatch.setattr(_common, "MAX_FILTER_IDS", 1 << 22 if filtered else 0)
+    a, b, c = "one two three four", "five six seven eight nine", "ten eleven twelve"
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, c), (7, c), (8, "x y z"), (8, "x y z"), (9, "x  y z"), (10, None), (11, ""), (12, "alone here now")]
+    df = spark.createDataFrame([(*r, k % 2) for k, r in enumerate(rows)], "doc_id long, text string, n int").withColumn("keep", F.lit(1)).withColumn("tag", F.lit("t")).withColumn("row_id", F.lit(0))
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["exact_dedup"](spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, a), (5, b), (None, c), (8, "x y z"), (10, None), (12, "alone here now")], key=str)
+    got = stages["simhash"](spark, df, "")
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, a), (5, b), (7, c), (8, "x y z"), (10, None), (12, "alone here now")], key=str)
