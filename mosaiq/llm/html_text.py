@@ -1,10 +1,13 @@
 """Main text of web pages by two passes over their blocks.
 
-A page is cut into blocks. The first pass looks at each block alone: where it stands in
-the page's structure, its length, how much of it is links and how many of its words are
-stop words. It decides clear cases and leaves short or doubtful ones open. In the second
-pass an open block takes the label of its nearest decided neighbours within its region.
-Where an article is marked, all of it stays but lists of links.
+A page is cut into blocks. The first pass looks at each block alone: its length, how much
+of it is links, how many of its words are stop words, and whether markup names its
+surroundings as an article. It decides clear cases and leaves short or doubtful ones open.
+In the second pass an open block takes the label of its nearest decided neighbours within
+its region; markup breaks ties only. Of the regions in which something good was found, the
+most surely marked ones are the article.
+
+Every step takes time in proportion to the page, whatever its markup.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ MOST_LINKS, LOW_STOP, HIGH_STOP = 0.5, 0.15, 0.30
 FOREIGN_STOP, LOW_LINKS = 0.15, 0.2
 #: Within an article, so many blocks in a row that are links almost throughout are a list of links.
 LINK_RUN, LINK_ONLY = 3, 0.9
-#: Weight of a readers' word among the words that speak against an element.
-READERS = 1_000_000
+#: Words around an element that speak against it count up to so many; readers' words weigh more than any.
+MOST_DOUBT, READERS = 3, 1_000_000
 
 #: Function words of the languages at hand.
 LANGUAGES = [
@@ -76,7 +79,10 @@ _ARTICLE_MARKS = frozenset("articlebody entrycontent postcontent postbody storyb
 #: Words that mark what holds the article, perhaps with more around it.
 _MAIN_MARKS = frozenset("main content maincontent pagecontent sitecontent story post entry".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_OPENS = re.compile(r"<(?:(/?)([A-Za-z][A-Za-z0-9:-]*)|(!--|!\[CDATA\[|[!?]))")
+_ENDS = {"!--": "-->", "![CDATA[": "]]>", "!": ">", "?": ">"}
+_TAG_STOPS = re.compile("[>\"']")
+_RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _ATTR = re.compile(r"([A-Za-z_:@][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -105,81 +111,147 @@ class _Open:
     doubt: int = 0
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """``(start, end, closing, name, attributes)`` of tags; comments and the like have no name.
+
+    A quoted value may hold ``>``. Where quotes are so broken that a tag does not end, they
+    mean nothing from there on; where there is no ``>`` at all, the rest is text.
+    """
+    at, quotes = 0, True
+    while m := _OPENS.search(page, at):
+        if m[3]:
+            end = page.find(_ENDS[m[3]], m.end())
+            at = len(page) if end < 0 else end + len(_ENDS[m[3]])
+            yield m.start(), at, False, "", ""
+            continue
+        end = _tag_end(page, m.end(), quotes)
+        if end < 0 and quotes:
+            quotes = False
+            end = _tag_end(page, m.end(), quotes)
+        if end < 0:
+            return
+        name, at = m[2].lower(), end
+        attributes = page[m.end() : end - 1]
+        if not m[1] and name in _RAW and not (attributes.rstrip().endswith("/") and name in ("svg", "math")):
+            close = _RAW_ENDS[name].search(page, at)
+            at = close.end() if close else len(page)
+        yield m.start(), at, bool(m[1]), name, attributes
+
+
+def _tag_end(page: str, at: int, quotes: bool) -> int:
+    """The place after the ``>`` that ends a tag, -1 if there is none."""
+    if not quotes:
+        return page.find(">", at) + 1 or -1
+    while s := _TAG_STOPS.search(page, at):
+        at = s.end()
+        if s[0] == ">":
+            return at
+        at = page.find(s[0], at) + 1 or at  # a quote that is not closed is a character like any other
+    return -1
+
+
+class _Stack(list):
+    """Open elements, and where those of a name and the blocks among them stand."""
+
+    def __init__(self) -> None:
+        super().__init__([_Open("", False, (0, 0), False, False)])
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.firm: list[int] = []  # blocks other than paragraphs
+
+    def push(self, one: _Open) -> None:
+        self.places.setdefault(one.tag, []).append(len(self))
+        if one.tag in _BLOCKS:
+            self.blocks.append(len(self))
+            if one.tag != "p":
+                self.firm.append(len(self))
+        self.append(one)
+
+    def cut(self, depth: int) -> None:
+        while len(self) > depth:
+            self.places[self.pop().tag].pop()
+            for kind in (self.blocks, self.firm):
+                if kind and kind[-1] == len(self):
+                    kind.pop()
+
+    def close(self, name: str) -> bool:
+        """Close the innermost element of the name; inline ones do not reach beyond a block."""
+        depth = (self.places.get(name) or [0])[-1]
+        if not depth or (name not in _BLOCKS and self.firm and self.firm[-1] > depth):
+            return False
+        self.cut(depth)
+        return True
+
+    def imply_ends(self, name: str) -> None:
+        """A block ends an open paragraph, and an item or cell the one before it."""
+        if self.blocks:
+            tag = self[self.blocks[-1]].tag
+            if tag == "p" or (tag == name and name in ("li", "dt", "dd", "tr", "td", "th")):
+                self.cut(self.blocks[-1])
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, without scripts, styles and comments; references are decoded."""
     found: list[Block] = []
-    stack = [_Open("", False, (0, 0), False, False)]
+    stack = _Stack()
     pieces: list[tuple[str, bool]] = []
     state = [False, (0, 0), False, 0]  # of the block begun: outside, region, heading, doubt
+    filled = False
     regions = at = 0
 
     def end_block() -> None:
+        nonlocal filled
         text = " ".join("".join(p for p, _ in pieces).split())
         if text:
             linked = len(" ".join("".join(p for p, link in pieces if link).split()))
             found.append(Block(text, linked, state[2], state[1], state[0] or (state[3] > 0 and not state[1][0]), state[3]))
         pieces.clear()
+        filled = False
 
     def add(raw: str) -> None:
-        top = stack[-1]
+        nonlocal filled
         if raw:
-            if not pieces or not any(p.strip() for p, _ in pieces):
-                state[:] = [top.outside, top.region, top.heading, top.doubt]
-            elif [top.outside, top.region, top.doubt] != [*state[:2], state[3]]:
+            top = stack[-1]
+            if filled and [top.outside, top.region, top.doubt] != [*state[:2], state[3]]:
                 end_block()
+            if not filled:
                 state[:] = [top.outside, top.region, top.heading, top.doubt]
-            pieces.append((html.unescape(raw), top.link))
-
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
+            text = html.unescape(raw) if "&" in raw else raw
+            filled = filled or not text.isspace()
+            pieces.append((text, top.link))
+
+    for start, end, closing, name, attributes in _tags(page):
+        add(page[at:start])
+        at = end
+        if not name or (not closing and name in _RAW):
             continue
-        if m[1]:
+        if closing:
             if name in _BLOCKS:
                 end_block()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
-            if depth and (name in _BLOCKS or not any(o.tag in _BLOCKS and o.tag != "p" for o in stack[depth:])):
-                del stack[depth:]
-            elif name == "p":
+            if not stack.close(name) and name == "p":
                 end_block()
             continue
-        if name in _RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/") or name not in ("svg", "math"):
-                at = close.end() if close else len(page)
-            continue
         if name == "br":
             add(" ")
             continue
         if name in _BLOCKS:
             end_block()
-            _imply_ends(stack, name)
-        if name in _VOID or m[3].endswith("/"):
+            stack.imply_ends(name)
+        if name in _VOID or attributes.endswith("/"):
             continue
         top = stack[-1]
-        outside, sure, doubt = _marks(name, m[3], top.region[0] == 2)
+        outside, sure, doubt = _marks(name, attributes, top.region[0] == 2)
         region = (0, 0) if doubt else top.region
         if sure > region[0] and not (outside or top.outside):
             regions += 1
             region = (sure, regions)
-        stack.append(_Open(name, outside or top.outside, region, name == "a" or top.link, bool(re.fullmatch("h[1-6]", name)) or top.heading, top.doubt + doubt))
+        doubt = READERS if READERS in (doubt, top.doubt) else min(top.doubt + doubt, MOST_DOUBT)
+        stack.push(_Open(name, outside or top.outside, region, name == "a" or top.link, bool(re.fullmatch("h[1-6]", name)) or top.heading, doubt))
     add(page[at:])
     end_block()
     return found
 
 
-def _imply_ends(stack: list[_Open], name: str) -> None:
-    """A block ends an open paragraph, and an item or cell the one before it."""
-    for i in range(len(stack) - 1, 0, -1):
-        tag = stack[i].tag
-        if tag == "p" or (tag == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-            del stack[i:]
-            return
-        if tag in _BLOCKS:
-            return
-
-
 def _marked(word: str, in_article: bool) -> int:
     """How much a word of class, id or role speaks against its element: 0, 1, or ``READERS``.
 
@@ -241,43 +313,80 @@ def classify(found: list[Block]) -> None:
 
 
 def _decide(found: list[Block], taken: set[tuple[int, int]]) -> None:
-    """Label blocks; of the doubtful regions those of ``taken`` count."""
-    inside = [not b.outside and (not b.doubt or b.region in taken) for b in found]
-    surest = max((b.region[0] for b, x in zip(found, inside) if x), default=0)
-    foreign = not surest and _foreign([b for b, x in zip(found, inside) if x])
-    for b, x in zip(found, inside):
-        n = len(b.text)
-        words = _WORDS.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if not x or b.region[0] < surest:
+    """Label blocks in two passes and choose the article's regions; of the doubtful regions those of ``taken`` count."""
+    inside = [b for b in found if not b.outside and (not b.doubt or b.region in taken)]
+    for b in found:
+        b.label = "outside"
+    foreign = _foreign([b for b in inside if not b.region[0]])
+    for b in inside:
+        b.label = _alone(b, foreign)
+    _settle_links(inside)
+    # Longer doubtful blocks first, so that short ones between them can follow.
+    for kind in ("near", "short"):
+        _inherit(inside, kind)
+    surest = max((b.region[0] for b in inside if b.label == "good"), default=0)
+    for b in inside:
+        if b.region[0] < surest:
             b.label = "outside"
-        elif surest:
-            b.label = "link" if b.linked > MOST_LINKS * n and not b.heading else "good"
-        elif b.linked > MOST_LINKS * n:
-            b.label = "short" if b.heading else "bad"
-        elif foreign and _weight(b.text) >= SHORT and b.linked <= LOW_LINKS * n:
-            b.label = "good"
-        elif n < SHORT:
-            b.label = "short"
-        elif stop >= HIGH_STOP and n >= LONG:
-            b.label = "good"
-        else:
-            b.label = "near" if stop >= LOW_STOP else "bad"
-    # Within an article links speak against a block only where they follow each other as a list.
+
+
+def _alone(b: Block, foreign: bool) -> str:
+    """First pass: ``good``, ``bad``, or open as ``link``, ``near`` or ``short``, from the block itself.
+
+    In a marked region length and few links are enough; elsewhere stop words must speak for it.
+    """
+    n, marked = _weight(b.text), b.region[0] > 0
+    if b.linked > MOST_LINKS * len(b.text):
+        return "short" if b.heading else "link" if marked else "bad"
+    if n < SHORT:
+        return "short"
+    if marked or (foreign and b.linked <= LOW_LINKS * len(b.text)):
+        return "good"
+    words = _WORDS.findall(b.text.lower())
+    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    return "good" if stop >= HIGH_STOP and n >= LONG else "near" if stop >= LOW_STOP else "bad"
+
+
+def _settle_links(inside: list[Block]) -> None:
+    """In marked regions links speak against blocks where they follow each other as a list; else these are open like short ones."""
     run: list[Block] = []
-    for b in [*(b for b in found if b.label != "outside"), None]:
+    for b in [*inside, None]:
         if b and b.label == "link" and (not run or run[-1].region == b.region):
             run.append(b)
             continue
+        listed = len(run) >= LINK_RUN and all(x.linked >= LINK_ONLY * len(x.text) for x in run)
         for x in run:
-            x.label = "bad" if len(run) >= LINK_RUN and all(y.linked >= LINK_ONLY * len(y.text) for y in run) else "good"
+            x.label = "bad" if listed else "short"
         run = [b] if b and b.label == "link" else []
-    # Longer doubtful blocks first, so that short ones between them can follow.
-    for open_label in ("near", "short"):
-        labels = [b.label for b in found]
-        for i, b in enumerate(found):
-            if b.label == open_label:
-                b.label = _inherited(found, labels, i)
+
+
+def _inherit(inside: list[Block], kind: str) -> None:
+    """Second pass: open blocks of a kind take the label of their nearest decided neighbours within their region.
+
+    In a marked region a block is bad only between two bad ones. Elsewhere only bad blocks
+    speak against a longer block, a heading needs a good block after it, and a short block
+    a good neighbour and no bad one.
+    """
+    sides: list[list[str | None]] = []
+    for order in (inside, inside[::-1]):
+        last: dict[tuple[int, int], str] = {}
+        side = []
+        for b in order:
+            side.append(last.get(b.region))
+            if b.label in ("good", "bad"):
+                last[b.region] = b.label
+        sides.append(side)
+    for b, before, after in zip(inside, sides[0], reversed(sides[1])):
+        if b.label != kind:
+            continue
+        if b.region[0]:
+            b.label = "bad" if before == after == "bad" else "good"
+        elif kind == "near":
+            b.label = "bad" if {before, after} - {None} == {"bad"} else "good"
+        elif b.heading:
+            b.label = after or "bad"
+        else:
+            b.label = "good" if {before, after} - {None} == {"good"} else "bad"
 
 
 def _foreign(found: list[Block]) -> bool:
@@ -291,23 +400,6 @@ def _weight(text: str) -> int:
     return len(text) + 2 * len(_DENSE.findall(text))
 
 
-def _inherited(found: list[Block], labels: list[str], i: int) -> str:
-    """From the nearest decided blocks on either side, on a page without a marked article.
-
-    For longer blocks only bad blocks speak against it; a short block needs a good neighbour
-    and no bad one, and a heading a good block after it.
-    """
-    region, kind = found[i].region, labels[i]
-    nearest = lambda steps: next((labels[k] for k in steps if labels[k] in ("good", "bad") and found[k].region == region), None)
-    before, after = nearest(range(i - 1, -1, -1)), nearest(range(i + 1, len(found)))
-    sides = {before, after} - {None}
-    if kind == "near":
-        return "bad" if sides == {"bad"} else "good"
-    if found[i].heading:
-        return after or "bad"
-    return "good" if sides == {"good"} else "bad"
-
-
 def main_text(page: str | None) -> str:
     found = blocks_of(page or "")
     classify(found)
@@ -317,8 +409,9 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with ``out``: the article's blocks, one a line; empty where there is none.
 
-    Null and empty pages give the empty string. A column named ``out`` is replaced. Pages
-    are independent of each other, so ties, repeated rows and an empty table need no care.
+    Null and empty pages give the empty string. Pages of any length and markup take time in
+    proportion to their length. A column named ``out`` is replaced. Pages are independent of
+    each other, so ties, repeated rows and an empty table need no care.
     """
     ship(pages.sparkSession)
 

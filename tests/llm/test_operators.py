@@ -256,6 +256,104 @@ def test_html_links_and_languages(body, want):
     assert html_text.main_text(plain % body) == "\n".join(want)
 
 
+def _rules(blocks, doubtful):
+    """The rules one block at a time, as their docstrings say, for blocks that are not among doubtful words or in ``doubtful`` regions."""
+    inside = [b for b in blocks if not b.outside and (not b.doubt or b.region in doubtful)]
+    words = [re.findall(r"[^\W\d_]+", b.text.lower()) for b in inside]
+    share = lambda ws, listed: sum(w in listed for w in ws) / max(1, len(ws))
+    plain = [w for b, ws in zip(inside, words) if b.region[0] == 0 and b.linked <= 0.2 * len(b.text) for w in ws]
+    foreign = bool(plain) and all(share(plain, listed) < 0.15 for listed in html_text.LANGUAGES)
+    label = []
+    for b, ws in zip(inside, words):
+        n, stop = len(b.text), share(ws, html_text.STOP_WORDS)
+        if b.linked > 0.5 * n:
+            label.append("short" if b.heading else "link" if b.region[0] else "bad")
+        elif n < 70:
+            label.append("short")
+        elif b.region[0] or (foreign and b.linked <= 0.2 * n) or (stop >= 0.3 and n >= 200):
+            label.append("good")
+        else:
+            label.append("near" if stop >= 0.15 else "bad")
+    at = 0
+    while at < len(label):
+        end = at + 1
+        if label[at] == "link":
+            while end < len(label) and label[end] == "link" and inside[end].region == inside[at].region:
+                end += 1
+            many = end - at >= 3 and all(b.linked >= 0.9 * len(b.text) for b in inside[at:end])
+            label[at:end] = ["bad" if many else "short"] * (end - at)
+        at = end
+    for kind in ("near", "short"):
+        known = list(label)
+        for i, b in enumerate(inside):
+            if known[i] != kind:
+                continue
+            near = [next((known[k] for k in ks if known[k] in ("good", "bad") and inside[k].region == b.region), None) for ks in (range(i - 1, -1, -1), range(i + 1, len(known)))]
+            if b.region[0]:
+                good = near != ["bad", "bad"]
+            elif kind == "near":
+                good = "good" in near or near == [None, None]
+            elif b.heading:
+                good = near[1] == "good"
+            else:
+                good = "good" in near and "bad" not in near
+            label[i] = "good" if good else "bad"
+    surest = max((b.region[0] for b, x in zip(inside, label) if x == "good"), default=0)
+    chosen = {id(b) for b, x in zip(inside, label) if x == "good" and b.region[0] == surest}
+    return [id(b) in chosen for b in blocks]
+
+
+def _random_block(rng, readers):
+    words = rng.choice([["the", "of", "and", "house", "river"], ["xyzzy", "plugh", "frotz"], ["the", "xyzzy", "frotz", "plugh"]])
+    text = " ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 20, 60])))
+    region = rng.choice([(0, 0), (0, 0), (1, 1), (2, 2), (2, 3)])
+    return html_text.Block(text, int(len(text) * rng.choice([0, 0, 0, 0.1, 0.3, 0.6, 1.0])), rng.random() < 0.2, region, rng.random() < 0.1, readers if rng.random() < 0.1 else 0)
+
+
+def test_html_rules_by_brute_force():
+    rng = random.Random(11)
+    for trial in range(1500):
+        allowed = [(0, 0), (1, 1)] if trial % 3 == 0 else [(0, 0)] if trial % 3 == 1 else [(0, 0), (1, 1), (2, 2), (2, 3)]
+        found = [b for b in (_random_block(rng, 0) for _ in range(rng.randint(0, 14))) if b.region in allowed]
+        html_text.classify(found)
+        assert [b.label == "good" for b in found] == _rules(found, set())
+
+
+def test_html_rules_decide():
+    """What stands next to a block decides, not only where it stands."""
+    links = "".join(f"<li><a href=/{i}>Another page {i}</a></li>" for i in range(4))
+    page = f"<article><p>{_P1}</p><p>Short.</p><p>{_P2}</p><ul>{links}</ul><p>More to read</p><ul>{links}</ul></article>"
+    assert html_text.main_text(page) == "\n".join([_P1, "Short.", _P2])
+    # Without any mark: stop words, links and neighbours alone.
+    page = f"<div>{links}</div><div><h2>Head</h2><p>{_P1} {_P2}</p><p>Short.</p><p>{_P1} {_P2}</p></div><div>{links}<p>End</p></div>"
+    assert html_text.main_text(f"<body>{page}</body>") == "\n".join(["Head", f"{_P1} {_P2}", "Short.", f"{_P1} {_P2}"])
+    # An element marked as an article in which only links stand is none.
+    page = f"<article><ul>{links}</ul></article><div><p>{_P1} {_P2}</p></div>"
+    assert html_text.main_text(page) == f"{_P1} {_P2}"
+
+
+@pytest.mark.parametrize(
+    "opening", ["<main class='content has-sidebar'>", "<div class='layout no-sidebar'>", "<div class='page-with-nav'>", "<article class='post category-popular'>", "<article class='post comments-closed'>", "<article class='post related-none'>"]
+)
+def test_html_words_of_state(opening):
+    assert html_text.main_text(_PAGE % f"{opening}<p>{_P1} {_P2}</p><p>{_P2} {_P1}</p>") == f"{_P1} {_P2}\n{_P2} {_P1}"
+
+
+@pytest.mark.parametrize("page", ["<a" * 200_000, "<div>ok now</div>" * 25_000, "<b>" * 60_000 + "</i>" * 60_000, '<a x=">\'' * 50_000, "<b>" + "<div>" * 40_000 + "</b>" * 40_000, "<div class=ad>ok now" * 20_000, "<svg/>" * 60_000])
+def test_html_of_any_markup_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_html_tags_that_do_not_end():
+    assert [b.text for b in html_text.blocks_of("<p>a <b x='>'>b</b> <i y=\"1>c</i> d")] == ["a b c d"]
+    assert [b.text for b in html_text.blocks_of("<p>a < b <c")] == ["a < b <c"]
+    assert [b.text for b in html_text.blocks_of("<p>x<!-- a > b --><![CDATA[ <p> ]]><?pi?>y<!doctype html>z")] == ["xyz"]
+
+
 def test_html_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "<p>a < b", "x"), (4, "<" * 5000 + "<p" * 3000, "x"), (5, "<div>" * 5000 + "x", "x")], "page_id long, html string, text string")
     got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
