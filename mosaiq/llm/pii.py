@@ -42,15 +42,22 @@ PATTERNS = {
 #: A text without this character or pattern cannot hold the kind.
 NEEDS = {"email": "@", "phone": "+"}
 SCORES = {"email": 0.9, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.8}
-#: Words that raise a span's score when one of them stands within ``REACH`` characters before it.
-CONTEXT = {
-    "email": "mail|contact|write|correo|courriel",
-    "ip": "ip|host|server|address|addr|adresse",
-    "card": "card|visa|credit|debit|karte|carte|tarjeta|payment",
-    "phone": "phone|tel|call|mobile|fax|telefon|llame",
+#: Words that raise a span's score, and words that lower it, where one stands whole within ``REACH`` characters of it on either side.
+RAISING = {
+    "email": "mail|mails|email|contact|write|address|correo|courriel",
+    "ip": "ip|host|server|address|addr|adresse|login",
+    "card": "card|cards|visa|mastercard|credit|debit|karte|carte|tarjeta|payment",
+    "phone": "phone|tel|telephone|call|mobile|fax|telefon|telefono|llame",
     "iban": "iban|account|bank|konto|compte|cuenta",
 }
-REACH, BONUS = 48, 0.2
+LOWERING = {
+    "email": "noreply|postmaster",
+    "ip": "version|release|section|chapter",
+    "card": "isbn|order|tracking|serial",
+    "phone": "isbn|order|tracking|serial",
+    "iban": "serial|licence|license",
+}
+REACH, CHANGE = 48, 0.2
 _BLOCK = 256
 
 
@@ -103,14 +110,30 @@ def _proposed(text: Column, kind: str) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
+def _whole(words: str) -> str:
+    """A pattern for one of the words between characters that belong to no word."""
+    return rf"[^\p{{L}}\p{{N}}_](?:{words})[^\p{{L}}\p{{N}}_]"
+
+
+def _around(text: Column, start: Column, end: Column) -> Column:
+    """What stands on either side of a span, in lower case, a line break for the span itself.
+
+    One character more than ``REACH`` is read, so that a word cut off there is none of its
+    own; the text's ends count as blanks.
+    """
+    before = F.substring(text, F.greatest(start - REACH - 1, F.lit(0)) + 1, F.least(start, F.lit(REACH + 1)))
+    after = F.rpad(F.substring(text, end + 1, F.lit(REACH + 1)), REACH + 1, " ")
+    return F.lower(F.concat(F.when(start <= REACH, " ").otherwise(""), before, F.lit("\n"), after))
+
+
 def _spans(text: Column, kind: str, at: dict[str, Column]) -> Column:
     """Array of ``(start, order, end, kind, score)`` of the kind's valid spans, in code points, end exclusive."""
 
     def span(match: Column, i: Column) -> Column:
         block = F.floor(i / _BLOCK).cast("int")
         start = F.element_at(at["blocks"], block + 1) + _sum(F.slice(at["steps"], block * _BLOCK + 1, i % _BLOCK)) + F.get(at["gaps"], i)
-        before = F.lower(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH))))
-        score = F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), BONUS).otherwise(0.0)
+        near = _around(text, start, start + F.length(match))
+        score = F.lit(SCORES[kind]) + F.when(near.rlike(_whole(RAISING[kind])), CHANGE).otherwise(0.0) - F.when(near.rlike(_whole(LOWERING[kind])), CHANGE).otherwise(0.0)
         return F.struct(
             start.alias("start"),
             F.lit(KINDS.index(kind)).alias("order"),

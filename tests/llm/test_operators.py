@@ -189,6 +189,20 @@ def test_pii_accounts_with_more_behind(spark):
     assert got == {t: want(t) for t in texts} and got["to DE89370400440532013000 BIC COBADEFF"] == "iban:3:25"
 
 
+@pytest.mark.parametrize(
+    "text,score",
+    [
+        ("a trip on the ship 10.0.0.1", 0.5), ("ip 10.0.0.1", 0.7), ("10.0.0.1 is our server", 0.7), ("IP:10.0.0.1", 0.7), ("hostile 10.0.0.1 hosting", 0.5), ("version 10.0.0.1", 0.3), ("version 10.0.0.1 of the host", 0.5),
+        ("the hotel +44 20 7946 0958", 0.6), ("tel +44 20 7946 0958", 0.8), ("+44 20 7946 0958 (mobile)", 0.8), ("discard 4111 1111 1111 1111", 0.7), ("card 4111 1111 1111 1111", 0.9), ("4111 1111 1111 1111 visas", 0.7),
+        ("dis" + "card" + " " * 44 + "4111 1111 1111 1111", 0.7), ("x card" + " " * 44 + "4111 1111 1111 1111", 0.9), ("x card" + " " * 45 + "4111 1111 1111 1111", 0.7), ("card" + " " * 44 + "4111 1111 1111 1111", 0.9),
+        ("4111 1111 1111 1111" + "." * 44 + "card", 0.9), ("4111 1111 1111 1111" + "." * 44 + "cards", 0.7), ("4111 1111 1111 1111" + "." * 43 + "cards.", 0.9),
+    ],
+)
+def test_pii_context_words_are_whole(spark, text, score):
+    got = pii.detect(spark.createDataFrame([(text,)], "text string")).select("pii.score").first()[0]
+    assert [round(x, 2) for x in got] == [score]
+
+
 # Web pages
 
 _PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="page">
