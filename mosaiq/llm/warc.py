@@ -1,12 +1,13 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are sorted into ranges of their ids, one range a shard. A shard's records go to
-gzip files (one member a record), a new file being started when the current one's
-compressed size has reached a limit. Headers, record ids and digests are made from the
-records alone, so the same table gives the same bytes in every run and on every retry.
-A task writes under a temporary name and moves the file to its final name when it is
-whole; then the shard's manifest is moved into place, and last the manifest of all files,
-without which an archive is not complete.
+Records are sorted into ranges of their ids, one range a shard, of about equal payload
+bytes. A shard's records go to gzip files (one member a record), a new file being started
+when the current one's compressed size has reached a limit. Headers, record ids and
+digests are made from the records alone, so the same table gives the same bytes in every
+run and on every retry. A task writes under a temporary name and moves the file to its
+final name when it is whole; then the shard's manifest of its files is moved into place,
+and last the archive's manifest, which says how many shards, files, records and bytes
+there are and without which an archive is not complete.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import io
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import suppress
 
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.llm._common import shared_dir, written
@@ -30,10 +33,10 @@ from mosaiq.runtime import ship
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
-#: Compressed bytes after which a file is closed, and records a shard aims at.
-ROLL_BYTES, SHARD_ROWS = 64 << 20, 50_000
-#: Sampled ids per shard from which ranges are cut.
-OVERSAMPLE = 32
+#: Compressed bytes after which a file is closed, and payload bytes of a shard; with more than ``MAX_SHARDS`` of them shards are larger.
+ROLL_BYTES, SHARD_BYTES, MAX_SHARDS = 64 << 20, 64 << 20, 1 << 17
+#: Keys that a task sums up where ranges are cut.
+TASK_KEYS = 1_000_000
 DATE = "2000-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _READ = 1 << 20
@@ -43,25 +46,38 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str, copy: int = 0) -> str:
+    """By id, payload and, where a row is repeated, the number of the copy."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}|{digest}|{copy}')}>"
 
 
 def _line(name: str, value: str) -> str:
-    return f"{name}: {' '.join(value.split())}\r\n"
+    return f"{name}: {value}\r\n"
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A response, or a revisit of the record ``refers_to``, whose payload it leaves out."""
+def _uri(url: str | None) -> str:
+    """The address with white space and control characters escaped, as a header can hold it."""
+    return "".join(c if c.isprintable() and not c.isspace() else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, copy: int = 0) -> bytes:
+    """A response, or a revisit of the record ``refers_to``, whose payload it leaves out.
+
+    An address that a header cannot hold as it is, or that is null, is given once more in JSON.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = "WARC/1.1\r\n" + _line("WARC-Type", "response" if refers_to is None else "revisit")
-    head += _line("WARC-Record-ID", record_id(page_id)) + _line("WARC-Date", DATE) + _line("WARC-Target-URI", url)
+    head += _line("WARC-Record-ID", record_id(page_id, digest, copy)) + _line("WARC-Date", DATE) + _line("WARC-Target-URI", _uri(url))
+    if _uri(url) != url:
+        head += _line("X-Target-URL", json.dumps(url))
     head += _line("WARC-Payload-Digest", f"sha256:{digest}") + _line("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}")
     if refers_to is not None:
         head += _line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head += _line("WARC-Refers-To", record_id(refers_to)) + _line("X-Refers-To-Page", str(refers_to))
-    head += _line("X-Page-Id", str(page_id)) + _line("Content-Type", "application/http;msgtype=response")
+        head += _line("WARC-Refers-To", record_id(refers_to, digest)) + _line("X-Refers-To-Page", str(refers_to))
+    if page_id is not None:
+        head += _line("X-Page-Id", str(page_id))
+    head += _line("Content-Type", "application/http;msgtype=response")
     return (head + _line("Content-Length", str(len(block))) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -89,7 +105,7 @@ class _Shard:
             return
         self.out.close()
         self.out = None
-        name = f"part-{self.shard:05d}-{len(self.files):04d}.warc.gz"
+        name = f"part-{self.shard:06d}-{len(self.files):05d}.warc.gz"
         self.fs.move(self.temporary, f"{self.top}/{name}")
         self.files.append({"name": name, "bytes": self.size, "records": self.n, "sha256": self.sha.hexdigest()})
 
@@ -97,86 +113,134 @@ class _Shard:
         self.close()
         temporary = f"{self.top}/_temporary/{uuid.uuid4().hex}"
         with self.fs.open_output_stream(temporary, compression=None) as out:
-            out.write(json.dumps(self.files).encode())
-        self.fs.move(temporary, f"{self.top}/_manifests/shard-{self.shard:05d}.json")
+            out.write("".join(json.dumps(f) + "\n" for f in self.files).encode())
+        self.fs.move(temporary, f"{self.top}/_manifests/shard-{self.shard:06d}.json")
         return self.files
 
 
-def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``(page, refers_to)`` of the records that repeat the payload of one with a smaller id."""
-    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    keys = written(pages.where(F.octet_length(F.coalesce(F.col(html_col), F.lit(""))) >= LEAST_REVISIT).select(F.col(id_col).alias("page"), F.sha2(payload, 256).alias("digest")))
-    firsts = keys.groupBy("digest").agg(F.min("page").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keys.join(firsts.drop("n"), "digest").where("page > refers_to").select("page", "refers_to").distinct()
+def keys(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """``(page, digest, size)`` of every row, digest and size of the payload."""
+    text = F.coalesce(F.col(html_col), F.lit(""))
+    return pages.select(F.col(id_col).cast("long").alias("page"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"), F.octet_length(text).cast("long").alias("size"))
 
 
-def boundaries(pages: DataFrame, id_col: str, shards: int, rows: int) -> list[int]:
-    """Ids at which shards begin, the first excepted: quantiles of a sample that a hash of the id picks.
+def revisits(known: DataFrame) -> DataFrame:
+    """``(page, digest, refers_to)`` of the records that repeat the payload of one with a smaller id; rows without an id take no part."""
+    large = known.where((F.col("size") >= LEAST_REVISIT) & F.col("page").isNotNull())
+    firsts = large.groupBy("digest").agg(F.min("page").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return large.join(firsts.drop("n"), "digest").where("page > refers_to").select("page", "digest", "refers_to").distinct()
 
-    The sample has about ``OVERSAMPLE`` ids a shard and is the same however rows are dealt.
-    """
-    if shards < 2:
-        return []
-    every = max(1, rows // (shards * OVERSAMPLE))
-    picked = pages.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(id_col).distinct()
-    ids = sorted(r[0] for r in picked.collect() if r[0] is not None)
-    return sorted({ids[len(ids) * k // shards] for k in range(1, shards)}) if ids else []
+
+def _place(page: Column, digest: Column) -> tuple[Column, Column]:
+    """What shards are cut by: the id, null before all others, and 60 bits of the digest for rows that share it."""
+    return F.coalesce(page, F.lit(-(1 << 63)).cast("long")).alias("p"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("d")
 
 
-def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_rows: int = SHARD_ROWS, roll_bytes: int = ROLL_BYTES) -> list[dict]:
-    """Write one record per row of ``pages`` and return the manifest: ``name, bytes, records, sha256`` of each file.
+def boundaries(known: DataFrame, shard_bytes: int) -> list[tuple[int, int]]:
+    """Places at which shards begin, the first excepted: where the running sum of payload bytes passes a multiple.
+
+    The sum is taken in Spark: over ranges of places, and within each of them. Only the cuts
+    come to the driver, ``MAX_SHARDS`` at most.
+    """
+    facts = known.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    shard_bytes = max(shard_bytes, -(-(facts["bytes"] or 0) // MAX_SHARDS))
+    if not facts["bytes"] or facts["bytes"] <= shard_bytes:
+        return []
+    places = known.select(*_place(F.col("page"), F.col("digest")), "size").groupBy("p", "d").agg(F.sum("size").alias("size"))
+    ranged = written(places.repartitionByRange(facts["rows"] // TASK_KEYS + 1, "p", "d").withColumn("part", F.spark_partition_id()))
+    of_part = ranged.groupBy("part").agg(F.sum("size").alias("all"))
+    # One row a range.
+    before = of_part.select("part", (F.sum("all").over(W.orderBy("part")) - F.col("all")).alias("before"))
+    running = F.sum("size").over(W.partitionBy("part").orderBy("p", "d")) - F.col("size") + F.col("before")
+    shards = ranged.join(F.broadcast(before), "part").withColumn("shard", F.floor(running / shard_bytes))
+    cuts = shards.groupBy("shard").agg(F.min(F.struct("p", "d")).alias("first")).where("shard > 0")
+    return sorted((r["first"]["p"], r["first"]["d"]) for r in cuts.collect())
+
+
+def shard_numbers(p: np.ndarray, d: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
+    """For each place the number of cuts that are not beyond it."""
+    at = np.array([c[0] for c in cuts], dtype=np.int64)
+    low, high = np.searchsorted(at, p, side="left"), np.searchsorted(at, p, side="right")
+    out = high.astype(np.int32)
+    for i in np.flatnonzero(low < high):  # an id at which shards are cut
+        out[i] = bisect_right(cuts, (int(p[i]), int(d[i])), int(low[i]), int(high[i]))
+    return out
+
+
+def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> dict:
+    """Write one record per row of ``pages``; the result is the archive's manifest, ``{shards, files, records, bytes}``.
 
     ``uri`` must be a folder that all executors reach. Rows go to their shard by one
     shuffle; a row that says what a record refers to travels the same way, so no text is
-    joined. Ids must be unique and not null; rows without one are written as responses of
-    page -1. Null html is an empty payload, a null url an empty address. An empty table
-    gives a manifest without files. Other columns are not read.
+    joined. Null html is an empty payload; null addresses are kept. Rows without an id are
+    responses that nothing refers to, and come first. Rows that repeat an id are records of
+    their own, each judged by its own payload; those that repeat the payload as well are
+    alike, and told apart by the number of the copy. An empty table gives an archive without
+    files. Other columns are not read.
     """
     spark = pages.sparkSession
     ship(spark)
-    rows = pages.count()
-    cuts = boundaries(pages, id_col, max(1, -(-rows // shard_rows)), rows)
+    known = written(keys(pages, id_col, html_col))
+    cuts = boundaries(known, shard_bytes)
 
     @F.pandas_udf("int")
-    def shard_of(page: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(cuts, dtype=np.int64), page.to_numpy(), side="right"), dtype="int32")
+    def shard_of(p: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(shard_numbers(p.to_numpy(), d.to_numpy(), cuts))
 
-    page = F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("page")
-    texts = pages.select(page, F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
-    notes = revisits(pages, id_col, html_col).select(F.col("page").cast("long"), F.col("refers_to").cast("long"))
-    both = notes.unionByName(texts, allowMissingColumns=True).withColumn("shard", shard_of("page"))
+    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload")
+    texts = pages.select(F.col(id_col).cast("long").alias("page"), F.sha2(payload, 256).alias("digest"), F.col(url_col).alias("url"), payload)
+    both = revisits(known).unionByName(texts, allowMissingColumns=True).withColumn("shard", shard_of(*_place(F.col("page"), F.col("digest"))))
     # A note has no payload and sorts before its record.
-    ordered = both.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "page", F.col("payload").isNotNull(), "url")
+    ordered = both.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "page", "digest", F.col("payload").isNotNull(), "url")
     fs, top = _fs(uri)
     for folder in ("_temporary", "_manifests"):
         fs.create_dir(f"{top}/{folder}", recursive=True)
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, note = None, None
+        shard, note, last, copy = None, None, None, 0
         files: list[dict] = []
         for batch in batches:
-            for at, page, url, payload, refers in zip(batch["shard"], batch["page"], batch["url"], batch["payload"], batch["refers_to"]):
+            page_ids = [None if pd.isna(x) else int(x) for x in batch["page"]]
+            for at, page, digest, url, payload, refers in zip(batch["shard"], page_ids, batch["digest"], batch["url"], batch["payload"], batch["refers_to"]):
                 if shard is None or shard.shard != at:
                     files += shard.commit() if shard else []
                     shard = _Shard(uri, int(at), roll_bytes)
                 if payload is None:
-                    note = (page, int(refers))
+                    note = (page, digest, int(refers))
                     continue
-                to = note[1] if note and note[0] == page else None
-                payload = bytes(payload)
-                shard.add(record(int(page), url, payload, hashlib.sha256(payload).hexdigest(), to))
+                to = note[2] if note and note[:2] == (page, digest) else None
+                copy = copy + 1 if last == (page, digest) else 0
+                last = (page, digest)
+                shard.add(record(page, url, bytes(payload), digest, to, copy))
         files += shard.commit() if shard else []
-        if files:
-            yield pd.DataFrame(files)
+        yield pd.DataFrame([(1 if shard else 0, len(files), sum(f["records"] for f in files), sum(f["bytes"] for f in files))], columns=list(_SUMS))
 
-    manifest = sorted((r.asDict() for r in ordered.mapInPandas(put, "name string, bytes long, records long, sha256 string").collect()), key=lambda r: r["name"])
+    done = ordered.mapInPandas(put, ", ".join(f"{c} long" for c in _SUMS)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS)).first().asDict()
     temporary = f"{top}/_temporary/{uuid.uuid4().hex}"
     with fs.open_output_stream(temporary, compression=None) as out:
-        out.write(json.dumps(manifest).encode())
+        out.write(json.dumps(done).encode())
     fs.move(temporary, f"{top}/manifest.json")
     with suppress(OSError):
         fs.delete_dir(f"{top}/_temporary")
-    return manifest
+    return done
+
+
+_SUMS = ("shards", "files", "records", "bytes")
+
+
+def files(spark: SparkSession, uri: str) -> DataFrame:
+    """``(name, bytes, records, sha256)`` of a complete archive's files, from the shards' manifests."""
+    fs, top = _fs(uri)
+    with fs.open_input_stream(f"{top}/manifest.json", compression=None) as f:
+        want = json.loads(f.read())
+    kind = "name string, bytes long, records long, sha256 string"
+    if not want["files"]:
+        return spark.createDataFrame([], kind)
+    listed = spark.read.schema(kind).json(f"{uri}/_manifests/*.json")
+    sums = listed.agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes")).first().asDict()
+    if any(sums[k] != want[k] for k in sums):
+        raise ValueError(f"{uri} has {sums}, its manifest {want}")
+    return listed
 
 
 def _members(stream) -> Iterator[bytes]:
@@ -215,9 +279,7 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
     Sizes and digests of revisits are those of the full payload; their ``html`` is null.
     """
     ship(spark)
-    fs, top = _fs(uri)
-    with fs.open_input_stream(f"{top}/manifest.json", compression=None) as f:
-        names = [(x["name"],) for x in json.loads(f.read())]
+    listed = files(spark, uri)
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
 
     def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,16 +294,18 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
                         n = next(int(x.split(b": ")[1]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))
                         kind, refers = fields["WARC-Type"], fields.get("X-Refers-To-Page")
                         html = payload.decode() if kind == "response" else None
-                        rows.append((int(fields["X-Page-Id"]), fields["WARC-Target-URI"], n, fields["WARC-Payload-Digest"].removeprefix("sha256:"), kind, int(refers) if refers else None, html))
+                        page = int(fields["X-Page-Id"]) if "X-Page-Id" in fields else None
+                        url = json.loads(fields["X-Target-URL"]) if "X-Target-URL" in fields else fields["WARC-Target-URI"]
+                        rows.append((page, url, n, fields["WARC-Payload-Digest"].removeprefix("sha256:"), kind, int(refers) if refers else None, html))
                         size += len(data)
                         if size > 8 << 20:
-                            yield pd.DataFrame(rows, columns=columns).astype({"refers_to": "Int64"})
+                            yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
                             rows, size = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns).astype({"refers_to": "Int64"})
+                    yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    listed = spark.createDataFrame(names, "name string")
-    return listed.repartition(max(1, len(names)), "name").mapInPandas(get, schema)
+    # A task reads a few files, as many tasks as there are files up to MAX_SHARDS.
+    return listed.select("name").repartition(max(1, min(MAX_SHARDS, listed.count())), "name").mapInPandas(get, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

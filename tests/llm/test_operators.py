@@ -807,17 +807,55 @@ def test_warc(spark, tmp_path):
         to = first.setdefault(p, r["page_id"]) if len(p) >= 100 else r["page_id"]
         revisit = to != r["page_id"]
         want[r["page_id"]] = (len(p), hashlib.sha256(p).hexdigest(), "revisit" if revisit else "response", to if revisit else None, None if revisit else p.decode())
+    address = {r["page_id"]: r["url"] for r in pages.collect()}
     manifests = []
     for k, df in enumerate((pages, pages.repartition(5).orderBy(F.desc("page_id")))):
         uri = f"file://{tmp_path}/{k}"
-        manifests.append(warc.write(df, uri, shard_rows=4, roll_bytes=500))
+        done = warc.write(df, uri, shard_bytes=300, roll_bytes=500)
+        manifests.append(sorted((r.asDict() for r in warc.files(spark, uri).collect()), key=lambda r: r["name"]))
+        assert done["files"] == len(manifests[-1]) and done["records"] == len(want) and done["shards"] > 2 and json.loads((tmp_path / f"{k}" / "manifest.json").read_text()) == done
         got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["html"]) for r in warc.read(spark, uri).collect()}
-        assert got == want
+        assert got == want and {r["page_id"]: r["url"] for r in warc.read(spark, uri).collect()} == address
     assert manifests[0] == manifests[1] and len(manifests[0]) > 3  # the same bytes however rows are dealt
     for f in manifests[0]:
         assert hashlib.sha256((tmp_path / "0" / f["name"]).read_bytes()).hexdigest() == f["sha256"]
-    assert json.loads((tmp_path / "0" / "manifest.json").read_text()) == manifests[0]
     assert not (tmp_path / "0" / "_temporary").exists()
+    (tmp_path / "0" / "_manifests" / sorted(p.name for p in (tmp_path / "0" / "_manifests").glob("*.json"))[0]).unlink()
+    with pytest.raises(ValueError):
+        warc.files(spark, f"file://{tmp_path}/0")
+
+
+@pytest.mark.parametrize("shard_bytes", [150, 1 << 20])
+def test_warc_null_and_repeated_ids(spark, tmp_path, shard_bytes):
+    """Rows are judged by their own payload, wherever shards are cut."""
+    a, b = "a" * 120, "b" * 130
+    rows = [(1, "u1", a), (2, "u2", a), (2, "u3", b), (2, "u3", b), (3, None, b), (None, "u4", a), (None, "u5", b), (None, "u5", b), (4, "", "x"), (4, " ", None)] + [(None, f"n{i}", f"{i}" * 100) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
+    warc.write(df, f"file://{tmp_path}/x", shard_bytes=shard_bytes)
+    got = Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in warc.read(spark, f"file://{tmp_path}/x").collect())
+    first = {a: 1, b: 2}
+    want = Counter()
+    for i, u, h in rows:
+        to = first.get(h) if i is not None and first.get(h) != i else None
+        want[i, u, "revisit" if to else "response", to, hashlib.sha256((h or "").encode()).hexdigest()] += 1
+    assert got == want
+    ids = [line for p in tmp_path.glob("x/*.gz") for line in __import__("gzip").decompress(p.read_bytes()).split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) == len(rows)
+
+
+def test_warc_shards_are_cut_by_bytes(spark):
+    """Shards hold about equal bytes, also where one id has most of them."""
+    rng = random.Random(4)
+    rows = [(None if i % 3 == 0 else i, f"{rng.getrandbits(256):064x}", rng.choice([10, 10, 5000])) for i in range(3000)]
+    known = spark.createDataFrame(rows, "page long, digest string, size long")
+    cuts = warc.boundaries(known, 100_000)
+    p = np.array([-(1 << 63) if r[0] is None else r[0] for r in rows], dtype=np.int64)
+    d = np.array([int(r[1][:15], 16) for r in rows])
+    held = Counter()
+    for at, r in zip(warc.shard_numbers(p, d, cuts), rows):
+        held[at] += r[2]
+    assert len(held) == len(cuts) + 1 == -(-sum(r[2] for r in rows) // 100_000) and max(held.values()) <= 105_000
+    assert [int(x) for x in warc.shard_numbers(p, d, cuts)] == [sum(c <= (a, b) for c in cuts) for a, b in zip(p.tolist(), d.tolist())]
 
 
 def test_warc_damage_is_noticed():
