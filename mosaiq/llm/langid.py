@@ -36,21 +36,32 @@ UNDECIDED = "und"
 #: Values of the hash that picks the training sample.
 HASHES = 1 << 60
 
+_LETTERS = re.compile(r"[^\W\d_]+")
 #: What ``\w`` takes for part of a word though it is neither a letter nor a decimal digit: fractions, superscripts, Roman numerals.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower case."""
+    if not text.isascii():
+        for c in _NUMERALS.intersection(text):
+            text = text.replace(c, " ")
     return _LETTERS.findall(text.lower())
 
 
+def has_letters(text: str | None) -> bool:
+    m = _LETTERS.search(text or "")
+    return m is not None and (m[0].isalpha() or bool(words_of(text)))
+
+
 class Model:
-    """Log-frequency rows by language for words and for n-grams of each length."""
+    """Log-frequency rows by language for words and for n-grams of each length: what they are, and one table for each kind."""
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]) -> None:
-        self.langs, self.words, self.grams, self.met = langs, words, grams, None
+        self.langs, self.met = langs, None
+        stack = lambda rows: np.array(list(rows), dtype=float).reshape(len(rows), len(langs))
+        self.words, self.table = list(words), stack(words.values())
+        self.grams = {n: (list(known), stack(known.values())) for n, known in grams.items()}
 
     def word(self, w: str) -> np.ndarray:
         """Scores of one word by language, with mean zero."""
@@ -86,14 +97,14 @@ class _Met(dict):
         super().__init__(zip(model.words, range(len(model.words))))
         self.n = len(model.words)
         self.table = np.zeros((self.n + max(_PART, CACHE // max(1, len(model.langs))), len(model.langs)))
-        if self.n:
-            self.table[: self.n] = list(model.words.values())
-        self.places, rows = [], []
+        self.table[: self.n] = model.table
+        self.places, tables, at = [], [self.table[:0]], 0
         for k, n in enumerate(GRAMS):
-            known = model.grams.get(n, {})
-            self.places.append((n, BACKOFF**k, dict(zip(known, range(len(rows), len(rows) + len(known))))))
-            rows += known.values()
-        self.grams = np.array(rows) if rows else self.table[:0]
+            known, rows = model.grams.get(n, ([], self.table[:0]))
+            self.places.append((n, BACKOFF**k, dict(zip(known, range(at, at + len(known))))))
+            tables.append(rows)
+            at += len(known)
+        self.grams = np.concatenate(tables)
         self.new: list[tuple[int, int, float]] = []  # row, number of n-grams, weight
         self.new_grams: list[int] = []
 
@@ -207,6 +218,6 @@ def judged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
-            yield pd.DataFrame([(*m.predict(t), _LETTERS.search(t or "") is not None) for t in texts], columns=["lang_pred", "score", "letters"])
+            yield pd.DataFrame([(*m.predict(t), has_letters(t)) for t in texts], columns=["lang_pred", "score", "letters"])
 
     return docs.withColumn("__lang", label(F.col(text_col)))

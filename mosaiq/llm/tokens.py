@@ -13,7 +13,7 @@ import re
 import struct
 
 #: Words held by a worker at most; the store is emptied when full. A word of over 64 bytes is not held.
-MAX_WORDS, MAX_BYTES = 400_000, 64
+MAX_WORDS, MAX_BYTES = 200_000, 64
 
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿßŒœ]*")
 #: Pieces of a plain, lower-case word, by the vocabulary file's own split pattern.

@@ -692,12 +692,15 @@ def test_language_scores_by_brute_force(spark, docs):
     model = langid.fit(docs.where("doc_id % 3 <> 0"))
     odd = "Uncommonly stränge wörds für \u6f22\u5b57 ½ x\u00b2y Zzzzzq"
 
+    words_known = dict(zip(model.words, model.table))
+    grams = {n: dict(zip(*of)) for n, of in model.grams.items()}
+
     def score(word):
-        if word in model.words:
-            return model.words[word]
+        if word in words_known:
+            return words_known[word]
         for k, n in enumerate(langid.GRAMS):
             marked = f"<{word}>"
-            known = [model.grams[n][g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in model.grams.get(n, {})]
+            known = [grams[n][g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in grams.get(n, {})]
             if known:
                 return np.mean(known, axis=0) * langid.BACKOFF**k
         return np.zeros(len(model.langs))
