@@ -29,8 +29,10 @@ from mosaiq.runtime import ship
 THRESHOLD, RECALL = 0.98, 0.999
 #: Vectors the codebooks are fitted on at most; every vector is indexed.
 SAMPLE = 20_000
-#: Vectors a cell should hold, and centroids of a codebook at least and most.
-CELL_ROWS, LEAST_CENTROIDS, MOST_CENTROIDS = 64, 4, 256
+#: Vectors a cell should hold, centroids of a codebook at least, and vectors of the sample for each centroid.
+CELL_ROWS, LEAST_CENTROIDS, SAMPLE_SHARE = 64, 4, 4
+#: Values of the hash that picks the sample.
+HASHES = 1 << 60
 #: Vectors on either side of a task's comparison: larger cells are dealt out in blocks.
 BLOCK = 1024
 SEED = 42
@@ -42,7 +44,7 @@ class MultiIndex:
     def __init__(self, sample: np.ndarray, n: int, threshold: float, recall: float) -> None:
         rng = np.random.default_rng(SEED)
         self.dim, self.cut = sample.shape[1], sample.shape[1] // 2
-        k = int(min(MOST_CENTROIDS, max(LEAST_CENTROIDS, (n / CELL_ROWS) ** 0.5), max(1, len(sample))))
+        k = int(min(max(LEAST_CENTROIDS, (n / CELL_ROWS) ** 0.5), max(1, len(sample) // SAMPLE_SHARE)))
         self.books = [self._book(part, k, rng) for part in (sample[:, : self.cut], sample[:, self.cut :])]
         noise = rng.normal(size=sample.shape)
         noise -= (noise * sample).sum(1, keepdims=True) * sample
@@ -105,20 +107,27 @@ def near_vectors(
     Vectors of one label and length link at a cosine of ``threshold`` or more. ``n_links``
     counts the other rows linked directly; equal vectors are compared once and counted as
     often as they occur. Vectors that are null, zero or not finite and those without a label
-    link with nothing. Ids must be unique and not null. Other columns are not read. An empty
-    table gives an empty result.
+    link with nothing. Rows that repeat an id count each with its own vector; null ids are
+    passed over for ``component_id``, which is null where a group has no other. Other columns
+    are not read. An empty table gives an empty result.
+
+    Codebooks grow with the square root of the rows, to a quarter of the sample (``SAMPLE``)
+    at most: up to 1.6 billion vectors a cell holds ``CELL_ROWS`` of them on average; beyond
+    that cells grow, and are dealt out in blocks as any large cell is.
     """
     ship(vectors.sparkSession)
     rows = written(vectors.select(F.col(id_col).alias("row_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")))
     ok = F.col("label").isNotNull() & usable(F.col("v"))
-    kinds = rows.where(ok).groupBy("label", "v").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = written(kinds)
+    kinds = rows.where(ok).groupBy("label", "v").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    # Numbered as they are written: ids may repeat.
+    reps = written(kinds.withColumn("rep", F.monotonically_increasing_id()))
     lengths = {r["dim"]: r["count"] for r in reps.groupBy(F.size("v").alias("dim")).count().collect()}
     indexes = {}
     for dim, n in sorted(lengths.items()):
         if dim > 1 and n > BLOCK:
-            fit = rows.where(ok & (F.size("v") == dim)).orderBy(F.xxhash64("row_id"), "row_id").limit(SAMPLE).select("v").toPandas()["v"]
-            indexes[dim] = MultiIndex(_unit(fit), n, threshold, recall)
+            picked = F.pmod(F.xxhash64("first", "v"), F.lit(HASHES)) < int(min(1.0, SAMPLE / n) * HASHES)
+            fit = reps.where((F.size("v") == dim) & picked).select("first", "v").toPandas()
+            indexes[dim] = MultiIndex(_unit(fit.iloc[np.lexsort([fit["v"].map(tuple), fit["first"].fillna(-1)])]["v"]), n, threshold, recall)
     parts = [vectors.sparkSession.createDataFrame([], "a long, b long, n long")]
     if any(dim > 1 for dim in lengths):
         index = vectors.sparkSession.sparkContext.broadcast(indexes)
@@ -128,15 +137,18 @@ def near_vectors(
     found = written(reduce(DataFrame.unionByName, parts))
     groups = components(found.where("b is not null").select("a", "b"))
     direct = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    of = reps.join(groups, F.col("rep") == F.col("node"), "left").join(direct, "rep", "left").select(
-        F.col("label").alias("l"), F.col("v").alias("w"), "copies", F.coalesce("component", "rep").alias("component"), F.coalesce("others", F.lit(0)).alias("others")
+    rooted = written(reps.select("rep", "first").join(groups, F.col("rep") == F.col("node"), "left").select("rep", "first", F.coalesce("component", "rep").alias("root")))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("rep", "component")
+    of = reps.join(named, "rep").join(direct, "rep", "left").select(
+        F.col("label").alias("l"), F.col("v").alias("w"), "copies", "component", F.coalesce("others", F.lit(0)).alias("others")
     )
     joined = rows.join(of, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
+    component = F.when(F.col("copies").isNull(), F.col("row_id")).otherwise(F.col("component"))
     return joined.select(
         F.col("row_id").alias(id_col),
         F.coalesce(F.col("copies") - 1 + F.col("others"), F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "row_id").alias("component_id"),
-        (F.coalesce("component", "row_id") == F.col("row_id")).alias("kept"),
+        component.alias("component_id"),
+        component.eqNullSafe(F.col("row_id")).alias("kept"),
     )
 
 

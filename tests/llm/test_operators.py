@@ -547,6 +547,37 @@ def test_vectors_recall_of_links(spark, sf_dir, monkeypatch):
     assert sum(got[i] for i in want) >= 0.99 * sum(n for n, _ in want.values())
 
 
+def test_vectors_with_null_and_repeated_ids(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (2, b, 0), (3, a, 1), (None, a, 0), (None, [0.0, 0.0, 1.0], 0), (None, [0.0, 0.01, 1.0], 0), (4, a, 1), (4, a, 1), (5, None, 1)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 2, 3, True), (None, 1, 1, False), (None, 1, None, True), (None, 1, None, True), (4, 2, 3, False), (4, 2, 3, False), (5, 0, 5, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_vectors_recall_at_size(spark):
+    """50,000 vectors of 64 components, half of them copies at cosines around and above the threshold."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(25_000, 64)) + 2 * rng.normal(size=(40, 64))[rng.integers(0, 40, 25_000)]
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.normal(size=base.shape)
+    noise -= (noise * base).sum(1, keepdims=True) * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cos = rng.uniform(0.978, 0.999, size=(len(base), 1))
+    x = np.concatenate([base, cos * base + (1 - cos**2) ** 0.5 * noise])
+    labels = np.arange(len(x)) % 25_000 % 5
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, labels))], "vec_id long, embedding array<double>, label int")
+    got = np.zeros(len(x), dtype=int)
+    for r in embedding_dedup.near_vectors(df.repartition(8)).collect():
+        got[r["vec_id"]] = r["n_links"]
+    want = np.zeros(len(x), dtype=int)
+    for c in range(5):
+        at = np.flatnonzero(labels == c)
+        want[at] = (x[at] @ x[at].T >= 0.98).sum(1) - 1
+    print(f"recall of links {got.sum() / want.sum():.5f}")
+    assert (got <= want + 1).all() and got.sum() >= 0.99 * want.sum() > 0
+
+
 def test_multi_sequence_order():
     index = embedding_dedup.MultiIndex(np.random.default_rng(0).normal(size=(500, 8)), 5000, 0.98, 0.99)
     x = np.random.default_rng(1).normal(size=(20, 8))
