@@ -304,8 +304,10 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    # A task reads a few files, as many tasks as there are files up to MAX_SHARDS.
-    return listed.select("name").repartition(max(1, min(MAX_SHARDS, listed.count())), "name").mapInPandas(get, schema)
+    # Files are dealt out in turn, one a task as long as there are no more than MAX_SHARDS. A row a file is numbered.
+    tasks = max(1, min(MAX_SHARDS, listed.count()))
+    turn = ((F.row_number().over(W.orderBy("name")) - 1) % tasks).alias("turn")
+    return listed.select("name", turn).repartitionById(tasks, F.col("turn")).mapInPandas(get, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
