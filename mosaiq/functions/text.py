@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Characters that end a word, as Python's ``str.split`` has them.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]+"
+#: White space at either end.
+ENDS = f"^{SPACE}|{SPACE}$"
 LEAST_CHARS, MOST_CHARS = 20, 300
 SENTENCE_ENDS = "。!?."
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,9 +70,14 @@ def block(v: Column, i: int, width: int) -> Column:
     return F.slice(as_double(v), i * width + 1, width)
 
 
-def mean_by_position(name: str, dim: int) -> Column:
-    """Aggregate: the element-wise mean of a vector column of known length, with partial sums on the map side."""
-    return F.array(*(F.avg(F.get(F.col(name), F.lit(i)).cast("double")) for i in range(dim)))
+def mean_by_position(name: str) -> Column:
+    """Aggregate: the element-wise mean of a vector column without nulls, of any one length, summed partially in each task."""
+    return vector_to_array(Summarizer.mean(array_to_vector(as_double(F.col(name)))))
+
+
+def sum_by_position(name: str) -> Column:
+    """Aggregate: the element-wise sum, as :func:`mean_by_position`."""
+    return vector_to_array(Summarizer.sum(array_to_vector(as_double(F.col(name)))))
 
 
 def top(v: Column, n: int) -> Column:

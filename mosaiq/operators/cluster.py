@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.functions import vectors as V
+from mosaiq.operators import labels as names
 from mosaiq.operators import stats
-from mosaiq.operators.sampling import exact_sample, order_of
+from mosaiq.operators.sampling import exact_sample
 
 
 @dataclass(frozen=True)
@@ -78,15 +79,15 @@ def regress_out(df: DataFrame, vector: str, dim: int, numeric: list[str], catego
     for c in categorical:
         values = [r[0] for r in df.select(c).distinct().orderBy(c).collect()]
         design += [F.col(c).eqNullSafe(F.lit(v)).cast("double") for v in values[1:]]
-    k = len(design)
+    # For each element of the design the sum of its products with the design and the vector: as many rows as the design is wide.
     rows = df.withColumn("__x", F.array(*design))
-    xx = [F.sum(F.get("__x", F.lit(i)) * F.get("__x", F.lit(j))) for i in range(k) for j in range(k)]
-    xy = [F.sum(F.get("__x", F.lit(i)) * F.get(F.col(vector), F.lit(j)).cast("double")) for i in range(k) for j in range(dim)]
-    sums = rows.agg(F.array(*xx).alias("xx"), F.array(*xy).alias("xy")).first()
-    b = np.linalg.pinv(np.array(sums["xx"]).reshape(k, k)) @ np.array(sums["xy"]).reshape(k, dim)
-    coefficients = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in b))
-    fitted = F.aggregate(F.arrays_zip(F.col("__x").alias("x"), coefficients.alias("b")), F.array_repeat(F.lit(0.0), dim), lambda a, t: V.add(a, V.scale(t["b"], t["x"])))
-    return rows.withColumn("residual", V.subtract(F.col(vector), fitted)).drop("__x")
+    each = rows.where(F.size(vector) == dim).select(F.posexplode("__x").alias("i", "x"), V.concat(F.col("__x"), F.col(vector)).alias("y")).select("i", V.scale(F.col("y"), F.col("x")).alias("xy"))
+    sums = np.array([r["s"] for r in each.groupBy("i").agg(V.sum_by_position("xy").alias("s")).orderBy("i").collect()])
+    k = len(design)
+    b = np.linalg.pinv(sums[:, :k]) @ sums[:, k:]
+    coefficients = df.sparkSession.createDataFrame([(b.tolist(),)], "__b array<array<double>>")
+    fitted = F.aggregate(F.arrays_zip(F.col("__x").alias("x"), F.col("__b").alias("b")), F.array_repeat(F.lit(0.0), dim), lambda a, t: V.add(a, V.scale(t["b"], t["x"])))
+    return rows.crossJoin(F.broadcast(coefficients)).withColumn("residual", V.subtract(F.col(vector), fitted)).drop("__x", "__b")  # one row
 
 
 def bootstrap_ari(df: DataFrame, vector: str, id_col: str, k: int = 5, cap: int = 200_000, starts: int = 5, seed: int = 42) -> float:
@@ -99,15 +100,79 @@ def bootstrap_ari(df: DataFrame, vector: str, id_col: str, k: int = 5, cap: int
     return stats.adjusted_rand(found[0].join(found[1], id_col), "c1", "c2").first()["ari"]
 
 
+def spherical_kmeans(df: DataFrame, vector: str, id_col: str, k: int = 5, most: int = 300, tol: float = 1e-4, seed: int = 42, sample: int = 20_000) -> tuple[np.ndarray, float]:
+    """Unit centroids by cosine, and the inertia, the sum of 2 - 2 cos over all rows.
+
+    Seeds are drawn from a bounded sample in proportion to one minus the largest similarity
+    with those before. A round assigns every vector and sums up by centroid in Spark; new
+    centroids are made unit again, an empty one is the zero vector, and rounds end when no
+    centroid moves by more than ``tol``. Only k sums come to the driver.
+    """
+    unit = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), V.normalise(F.col(vector)).alias("u")).cache()
+    some = np.array([r["u"] for r in exact_sample(unit, sample, "id", str(seed)).select("u").collect()])
+    rng = np.random.default_rng(seed)
+    centres = some[[rng.integers(len(some))]]
+    while len(centres) < k:
+        away = np.maximum(1 - (some @ centres.T).max(axis=1), 0.0)
+        centres = np.vstack([centres, some[rng.choice(len(some), p=away / away.sum()) if away.sum() > 0 else rng.integers(len(some))]])
+    inertia = 0.0
+    for _ in range(most):
+        near = by_cosine(unit, "u", centres).groupBy("cluster").agg(V.sum_by_position("u").alias("s"), F.sum(2 - 2 * F.col("sim")).alias("inertia")).collect()
+        moved = np.zeros_like(centres)
+        for r in near:
+            moved[r["cluster"]] = np.array(r["s"]) / max(np.linalg.norm(r["s"]), 1e-10)
+        inertia, shift = sum(r["inertia"] for r in near), np.linalg.norm(moved - centres, axis=1).max()
+        centres = moved
+        if shift <= tol:
+            break
+    unit.unpersist()
+    return centres, float(inertia)
+
+
+def by_cosine(df: DataFrame, vector: str, centres: np.ndarray) -> DataFrame:
+    """``df`` with ``cluster``, the first centroid of the largest cosine, and ``sim``; for unit vectors and centroids."""
+    listed = df.sparkSession.createDataFrame([(centres.tolist(),)], "__c array<array<double>>")
+    sims = F.transform("__c", lambda c, i: F.struct(V.dot(F.col(vector), c).alias("sim"), (-i).alias("i")))
+    rows = df.crossJoin(F.broadcast(listed)).withColumn("__b", F.array_max(sims))  # one row
+    return rows.withColumn("cluster", -F.col("__b.i")).withColumn("sim", F.col("__b.sim")).drop("__b", "__c")
+
+
+def quality(df: DataFrame, vector: str, dim: int, id_col: str, sample: int, seed: int) -> dict:
+    """Silhouette on a sample, Davies-Bouldin, Calinski-Harabasz and balance of rows with ``cluster``."""
+    q = stats.cluster_quality(df, "cluster", vector, dim).first()
+    sil = stats.silhouette(exact_sample(df, sample, id_col, str(seed)), id_col, "cluster", vector).first()[0]
+    balance = stats.imbalance(df.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))).first()["balance"]
+    return {"silhouette": sil, "davies_bouldin": q["davies_bouldin"], "calinski_harabasz": q["calinski_harabasz"], "balance": balance}
+
+
 def sweep(df: DataFrame, vector: str, dim: int, id_col: str, ks: range = range(3, 8), starts: int = 3, sample: int = 2000, seed: int = 42) -> list[dict]:
-    """Quality of k-means for several k: a row each, with silhouette on a sample, Davies-Bouldin, Calinski-Harabasz, balance."""
+    """Quality of k-means for several k, a row each."""
+    return [{"k": k, **quality(labels(df, kmeans(df, vector, k, starts, seed), vector), vector, dim, id_col, sample, seed)} for k in ks]
+
+
+def compare_reductions(df: DataFrame, vector: str, dim: int, id_col: str, dims: tuple[int, ...] = (50, 100, 200), k: int = 5, starts: int = 3, sample: int = 2000, seed: int = 42) -> list[dict]:
+    """Quality of clusters of the unit vectors as they are and of several projections made unit again, a row each with its stability."""
     rows = []
-    for k in ks:
-        labelled = labels(df, kmeans(df, vector, k, starts, seed), vector)
-        quality = stats.cluster_quality(labelled, "cluster", vector, dim).first()
-        sil = stats.silhouette(exact_sample(labelled, sample, id_col, str(seed)), id_col, "cluster", vector).first()[0]
-        balance = stats.imbalance(labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))).first()["balance"]
-        rows.append({"k": k, "silhouette": sil, "davies_bouldin": quality["davies_bouldin"], "calinski_harabasz": quality["calinski_harabasz"], "balance": balance})
+    unit = df.select(id_col, V.normalise(F.col(vector)).alias("u")).cache()
+    for name, n in [("baseline", dim), *((f"pca_{n}", n) for n in dims)]:
+        arm = unit.select(id_col, F.col("u").alias("x")) if name == "baseline" else pca(unit, "u", n)[0].select(id_col, V.normalise(F.col("projected")).alias("x"))
+        found = quality(labels(arm, kmeans(arm, "x", k, starts, seed), "x"), "x", n, id_col, sample, seed)
+        rows.append({"method": name, "dim": n, **found, "bootstrap_ari": bootstrap_ari(arm, "x", id_col, k, starts=starts, seed=seed)})
+    unit.unpersist()
+    return rows
+
+
+def pca_sweep(df: DataFrame, vector: str, dim: int, anchors: DataFrame, dims: tuple[int, ...], k: int = 5, starts: int = 3, seed: int = 42) -> list[dict]:
+    """How well clusters of several projections match ``anchors`` (``anchor, vector``, k of them): least and mean similarity, least margin, balance."""
+    rows = []
+    for n in dims:
+        config = Config(k=k, starts=starts, pca=n, seed=seed)
+        clustered = spherical_pipeline(df, vector, config).select("cluster", vector)
+        sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        clusters = names.centroids(clustered, "cluster", vector, dim).select("cluster", "centroid")
+        sims = names.similarity_matrix(anchors, clusters, names.overall_mean(df, vector, dim))
+        found = names.assignment_quality(names.assign(sims), names.margins(sims)).first()
+        rows.append({"pca": n, "min_cos": found["min_cos"], "mean_cos": found["mean_cos"], "min_margin": found["min_margin"], "balance": stats.imbalance(sizes).first()["balance"]})
     return rows
 
 
@@ -134,8 +199,3 @@ def weight_grid(df: DataFrame, first: str, second: str, id_col: str, steps: int
             rows.append({"a": float(a), "b": float(b), "silhouette": known[ratio]})
     part.unpersist()
     return rows
-
-
-def halves(df: DataFrame, id_col: str, seed: str = "42") -> DataFrame:
-    """``df`` with ``half``, 0 or 1, by a seeded hash."""
-    return df.withColumn("half", F.conv(F.substring(order_of(id_col, seed), 1, 1), 16, 10).cast("int") % 2)

@@ -33,15 +33,10 @@ def bleu1(words: Column, other: Column) -> Column:
 
 
 def pairs(df: DataFrame, group: str, ordinal: str, payload: str) -> DataFrame:
-    """``(group, i, j, a, b)`` for i before j: a group's texts side by side, without a self-join.
-
-    For groups of bounded size, such as the answers to one request.
-    """
-    items = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("i"), F.col(payload).alias("v")))).alias("items"))
-    left = items.select(group, "items", F.posexplode("items").alias("p", "x"))
-    return left.select(group, "x", F.explode(F.slice("items", F.col("p") + 2, F.size("items"))).alias("y")).select(
-        group, F.col("x.i").alias("i"), F.col("y.i").alias("j"), F.col("x.v").alias("a"), F.col("y.v").alias("b")
-    )
+    """``(group, i, j, a, b)`` for i before j: the pairs of each group, by a join that Spark can split, whatever a group's size."""
+    a = df.select(group, F.col(ordinal).alias("i"), F.col(payload).alias("a"))
+    b = df.select(F.col(group).alias("__g"), F.col(ordinal).alias("j"), F.col(payload).alias("b"))
+    return a.join(b, (F.col(group) == F.col("__g")) & (F.col("i") < F.col("j"))).select(group, "i", "j", "a", "b")
 
 
 def lexical(df: DataFrame, group: str, ordinal: str, text: str) -> DataFrame:

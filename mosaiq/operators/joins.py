@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.functions import text as T
+
 
 def align(left: DataFrame, right: DataFrame, key: str, vector: str, dim: int, missing: str = "error") -> DataFrame:
     """``left`` with the right side's vector. ``missing``: ``error``, ``drop`` or ``zero`` for ids without one."""
@@ -42,3 +44,13 @@ def scenario(main: DataFrame, derived: DataFrame, wanted: str) -> DataFrame:
     """The scenario of an id given as text, from the main list or else the derived one."""
     both = main.withColumn("__o", F.lit(0)).unionByName(derived.withColumn("__o", F.lit(1)), allowMissingColumns=True)
     return both.where(F.col("id").cast("string") == wanted).orderBy("__o").limit(1).drop("__o")
+
+
+def equal_to(df: DataFrame, column: str, value: float) -> DataFrame:
+    """Rows whose column, read as a number, is the value itself; what is no number is not."""
+    return df.where(F.expr(f"try_cast({column} AS double)") == value)
+
+
+def tidy(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Text columns without white space at their ends; null stays null."""
+    return df.withColumns({c: F.regexp_replace(F.col(c).cast("string"), T.ENDS, "") for c in columns})

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.functions import vectors as V
+from mosaiq.operators.quantiles import counts, percentiles
 
 LOW_MARGIN = 0.05
 NOISE_PERCENT = 10
@@ -19,13 +20,13 @@ MOST_LABELS = 2000
 
 
 def centroids(df: DataFrame, group: str, vector: str, dim: int) -> DataFrame:
-    """``(group, centroid, n)``: element-wise means, summed partially in each task and then merged."""
-    return df.where(F.col(vector).isNotNull()).groupBy(group).agg(V.mean_by_position(vector, dim).alias("centroid"), F.count(F.lit(1)).alias("n"))
+    """``(group, centroid, n)``: element-wise means of the vectors of ``dim`` components, summed partially in each task and then merged."""
+    return df.where(F.size(vector) == dim).groupBy(group).agg(V.mean_by_position(vector).alias("centroid"), F.count(F.lit(1)).alias("n"))
 
 
 def overall_mean(df: DataFrame, vector: str, dim: int) -> DataFrame:
-    """One row, ``mean``: the element-wise mean of all vectors."""
-    return df.agg(V.mean_by_position(vector, dim).alias("mean"))
+    """One row, ``mean``: the element-wise mean of all vectors of ``dim`` components; none for an empty table."""
+    return df.where(F.size(vector) == dim).groupBy(F.lit(1).alias("one")).agg(V.mean_by_position(vector).alias("mean")).drop("one")
 
 
 def with_empty(found: DataFrame, ids: DataFrame, group: str, dim: int) -> DataFrame:
@@ -147,7 +148,7 @@ def noise_by_entropy(df: DataFrame, vector: str, centres: DataFrame, percent: fl
     listed = centres.agg(F.collect_list("centroid").alias("centres"))
     away = F.transform("centres", lambda c: V.euclidean(F.col(vector), c))
     scored = df.crossJoin(F.broadcast(listed)).withColumn("entropy", soft_entropy(away)).drop("centres")  # one row
-    cut = scored.agg(F.percentile("entropy", F.lit(1 - percent / 100)).alias("cut"))
+    cut = percentiles(counts(scored, F.col("entropy")), [1 - percent / 100]).select(F.get("p", F.lit(0)).alias("cut"))
     return scored.crossJoin(F.broadcast(cut)).withColumn("noise_dist", (F.col("entropy") >= F.col("cut")).cast("int")).drop("cut")  # one row
 
 
@@ -157,7 +158,9 @@ def consensus_noise(df: DataFrame, signals: dict[str, str], share: float) -> Dat
     ``signals`` names columns and the suspicious side, ``low`` or ``high``; a signal flags
     the ``share`` of rows at that end, inclusive.
     """
-    cuts = df.agg(*(F.percentile(c, F.lit(share if side == "low" else 1 - share)).alias(f"__{c}") for c, side in signals.items()))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in signals))).alias("s")
+    ends = percentiles(counts(df.select(each), F.col("s.x"), F.col("s.name")), [share, 1 - share])
+    cuts = ends.agg(*(F.max(F.when(F.col("g") == c, F.get("p", F.lit(0 if side == "low" else 1)))).alias(f"__{c}") for c, side in signals.items()))
     flag = [F.coalesce((F.col(c) <= F.col(f"__{c}")) if side == "low" else (F.col(c) >= F.col(f"__{c}")), F.lit(False)).cast("int") for c, side in signals.items()]
     flags = sum(flag[1:], flag[0])
     flagged = df.crossJoin(F.broadcast(cuts)).withColumn("flags", flags)  # one row

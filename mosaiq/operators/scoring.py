@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.functions import vectors as V
+from mosaiq.operators.quantiles import counts, percentiles
 
 
 def anchor_max(df: DataFrame, anchors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -23,8 +24,7 @@ def anchor_max(df: DataFrame, anchors: DataFrame, id_col: str, vector: str) -> D
 
 def pooled_percentiles(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """One row ``(low, high)``: percentiles of all values, groups pooled, linearly interpolated."""
-    p = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("p"))
-    return p.select(F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high"))
+    return percentiles(counts(df, F.col(column)), [low, high]).select(F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high"))
 
 
 def clip_scaled(df: DataFrame, column: str, ends: DataFrame, scale_max: float = 6.0) -> Column:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.functions import vectors as V
+from mosaiq.operators.quantiles import counts, order_statistics, percentiles
+from mosaiq.runtime import saved, ship
 
 
 def crosstab(df: DataFrame, row: str, column: str, rows: DataFrame, columns: DataFrame) -> DataFrame:
@@ -33,15 +39,51 @@ def imbalance(sizes: DataFrame, most: float = 0.5, least: float = 0.05) -> DataF
 
 
 def bundle(column: str) -> list[Column]:
-    """Aggregates ``mean, p50, p95, min, max, n``; all zero for no values."""
+    """Aggregates ``mean, p50, p95, min, max, n`` for groups of bounded size, such as trials; all zero for no values."""
     c = F.col(column)
     p = lambda q: F.percentile(c, F.lit(q))
     return [F.coalesce(x, F.lit(0.0)).alias(k) for k, x in (("mean", F.avg(c)), ("p50", p(0.5)), ("p95", p(0.95)), ("min", F.min(c)), ("max", F.max(c)))] + [F.count(c).alias("n")]
 
 
-def bundle_by(df: DataFrame, group: str, column: str, overall: str = "ALL") -> DataFrame:
-    """The bundle by group and over all rows, in one pass."""
-    return df.rollup(group).agg(*bundle(column), F.grouping(group).alias("g")).select(F.when(F.col("g") == 1, overall).otherwise(F.col(group)).alias(group), "mean", "p50", "p95", "min", "max", "n")
+#: Further statistics for :func:`bundle_by`: percentiles by name.
+PERCENTILES = {"p50": 0.5, "p95": 0.95}
+
+
+def bundle_by(df: DataFrame, group: str, column: str, overall: str = "ALL", shares: dict[str, float] | None = None, over: float | None = None) -> DataFrame:
+    """``(group, mean, *shares, min, max, std, n)`` by group and over all rows; zeros for groups without values.
+
+    ``shares`` names percentiles, p50 and p95 as a rule; ``over`` adds ``over``, the share of
+    values above a limit. Values are counted once, and all else comes from the counts.
+    """
+    shares = shares or PERCENTILES
+    name = F.coalesce(F.col(group).cast("string"), F.lit(None))
+    rows = df.select(F.explode(F.array(F.struct(F.lit(False).alias("every"), name.alias("name")), F.struct(F.lit(True).alias("every"), F.lit(None).cast("string").alias("name")))).alias("g"), F.col(column).alias("value"))
+    counted = saved(rows.groupBy("g", "value").agg(F.count(F.lit(1)).alias("n")))
+    x, n = F.col("value").cast("double"), F.when(F.col("value").isNotNull(), F.col("n"))
+    facts = counted.groupBy("g").agg(F.sum(x * n).alias("s1"), F.sum(n).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(F.when(x > (over or 0.0), n)).alias("above"))
+    mean = facts.select(F.col("g").alias("mg"), (F.col("s1") / F.col("n")).alias("m"))
+    far = counted.join(F.broadcast(mean), F.col("g").eqNullSafe(F.col("mg"))).groupBy("g").agg(F.sum((x - F.col("m")) * (x - F.col("m")) * n).alias("s2"))
+    p = percentiles(counted.where("value IS NOT NULL"), list(shares.values()))
+    joined = facts.alias("f").join(p.alias("p"), F.col("f.g").eqNullSafe(F.col("p.g")), "left").join(far.alias("a"), F.col("f.g").eqNullSafe(F.col("a.g")), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return joined.select(
+        F.when(F.col("f.g.every"), overall).otherwise(F.col("f.g.name")).alias(group), zero(F.col("s1") / F.col("f.n")).alias("mean"),
+        *(zero(F.get("p.p", F.lit(i))).alias(k) for i, k in enumerate(shares)), zero(F.col("min")).alias("min"), zero(F.col("max")).alias("max"),
+        zero(F.sqrt(F.col("s2") / F.nullif(F.col("f.n") - 1, F.lit(0)))).alias("std"), *([zero(F.col("above") / F.col("f.n")).alias("over")] if over is not None else []),
+        F.coalesce("f.n", F.lit(0)).alias("n"),
+    )
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, count, mean, std, min, p25, p50, p75, max)`` of numeric columns; the deviation is the sample's."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("s")
+    found = bundle_by(df.select(each).select("s.column", "s.x"), "column", "x", "", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return found.where(F.col("column").isin(columns)).select("column", F.col("n").alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def pivoted(df: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
+    """One row per ``row`` and a column per value of ``column``: the first ``value`` of each pair, null where there is none."""
+    return df.groupBy(row).pivot(column, columns).agg(F.min(value))
 
 
 def loss_curve(df: DataFrame, column: str, thresholds: list[float]) -> DataFrame:
@@ -58,17 +100,22 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(first.alias("f")).select(*keys, *(F.col(f"f.row.{c}").alias(c) for c in rest)).select(df.columns)
 
 
-def prefix_saturation(items: DataFrame, ordinal: str, item: str, checkpoints: list[int], total: int, least_growth: float = 5.0) -> DataFrame:
+def prefix_saturation(rows: DataFrame, items: DataFrame, ordinal: str, item: str, checkpoints: list[int], least_growth: float = 5.0) -> DataFrame:
     """``(prefix, n_unique, growth, saturated)``: distinct items among the first rows, and where growth first falls below ``least_growth`` percent.
 
-    An item counts from the smallest ordinal it occurs at, so the prefixes cost one aggregation.
+    ``rows`` has every row once, in the order of ``ordinal``; the last prefix is all of them.
+    An item counts from the smallest ordinal it occurs at, so the prefixes cost one
+    aggregation. A prefix ends at the ordinal of its last row, whatever ordinals there are.
     """
-    points = sorted({*(c for c in checkpoints if c < total), total})
-    firsts = items.groupBy(item).agg(F.min(ordinal).alias("at"))
-    counts = firsts.agg(F.array(*(F.count(F.when(F.col("at") < p, 1)) for p in points)).alias("s"))
-    rows = counts.select(F.explode(F.arrays_zip(F.array(*map(F.lit, points)).alias("prefix"), F.col("s").alias("n_unique"))).alias("x")).select("x.prefix", "x.n_unique")
+    total = rows.count()
+    points = sorted({*(c for c in checkpoints if 0 < c < total), total} - {0})
+    ends = order_statistics(counts(rows, F.col(ordinal)), [p - 1 for p in points]).select((F.col("rank") + 1).alias("prefix"), F.col("value").alias("end"))
+    firsts = items.groupBy(item).agg(F.min(ordinal).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("new"))
+    listed = ends.agg(F.sort_array(F.collect_list(F.struct("end", "prefix"))).alias("ends"))  # one row, a few prefixes
+    met = firsts.crossJoin(F.broadcast(listed)).select(F.explode(F.filter("ends", lambda e: F.col("at") <= e["end"])["prefix"]).alias("prefix"), "new")
+    grown = ends.join(met.groupBy("prefix").agg(F.sum("new").alias("n")), "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("n_unique"))
     before = F.coalesce(F.lag("n_unique").over(W.orderBy("prefix")), F.lit(0))
-    grown = rows.withColumn("before", before).withColumn("growth", (F.col("n_unique") - F.col("before")) / F.greatest("before", F.lit(1)) * 100)
+    grown = grown.withColumn("before", before).withColumn("growth", (F.col("n_unique") - F.col("before")) / F.greatest("before", F.lit(1)) * 100)
     slow = F.min(F.when((F.col("before") > 0) & (F.col("growth") < least_growth), F.col("prefix"))).over(W.partitionBy())
     return grown.select("prefix", "n_unique", "growth", F.coalesce(F.col("prefix") == slow, F.lit(False)).alias("saturated"))
 
@@ -88,11 +135,12 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def cluster_quality(df: DataFrame, label: str, vector: str, dim: int) -> DataFrame:
     """One row ``(k, n, davies_bouldin, calinski_harabasz)`` of given labels, Euclidean."""
-    means = df.groupBy(label).agg(V.mean_by_position(vector, dim).alias("c"), F.count(F.lit(1)).alias("n"))
+    df = df.where(F.size(vector) == dim)
+    means = df.groupBy(label).agg(V.mean_by_position(vector).alias("c"), F.count(F.lit(1)).alias("n"))
     away = df.select(label, vector).join(F.broadcast(means.select(label, "c")), label)  # a row per cluster
     d = V.euclidean(F.col(vector), F.col("c"))
     spread = away.groupBy(label).agg(F.avg(d).alias("s"), F.sum(d * d).alias("within"))
-    every = df.agg(V.mean_by_position(vector, dim).alias("m"))
+    every = df.agg(V.mean_by_position(vector).alias("m"))
     facts = means.join(spread, label).crossJoin(every)
     a, b = facts.alias("a"), facts.alias("b")
     ratio = (F.col("a.s") + F.col("b.s")) / V.euclidean(F.col("a.c"), F.col("b.c"))
@@ -106,24 +154,35 @@ def cluster_quality(df: DataFrame, label: str, vector: str, dim: int) -> DataFra
 def silhouette(sample: DataFrame, id_col: str, label: str, vector: str) -> DataFrame:
     """One row ``silhouette`` of a bounded sample, Euclidean: every pair of the sample is compared.
 
-    Meant for a few thousand rows, as :func:`mosaiq.operators.sampling.exact_sample` gives them.
+    Meant for some thousand rows, as :func:`mosaiq.operators.sampling.exact_sample` gives
+    them. The sample travels to every task, which compares its rows with it block by block.
     """
-    a, b = sample.alias("a"), sample.alias("b")
-    d = V.euclidean(F.col(f"a.{vector}"), F.col(f"b.{vector}"))
-    pairs = a.join(b, F.col(f"a.{id_col}") != F.col(f"b.{id_col}")).select(F.col(f"a.{id_col}").alias("i"), F.col(f"a.{label}").alias("la"), F.col(f"b.{label}").alias("lb"), d.alias("d"))
-    means = pairs.groupBy("i", "la", "lb").agg(F.avg("d").alias("d"))
-    own = F.max(F.when(F.col("la") == F.col("lb"), F.col("d")))
-    other = F.min(F.when(F.col("la") != F.col("lb"), F.col("d")))
-    each = means.groupBy("i").agg(own.alias("own"), other.alias("other"))
-    score = F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
-    return each.agg(F.avg(score).alias("silhouette"))
-
-
-def ranks(df: DataFrame, column: str) -> Column:
-    """Mean rank of a value among all: what rank correlation compares. A sort of the distinct values."""
-    counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, -1))
-    return counted.select(column, (F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2).alias(f"rank_{column}"))
+    ship(sample.sparkSession)
+    every = sample.select(id_col, label, vector).toPandas()
+    names, at = np.unique(every[label].to_numpy(), return_inverse=True)
+    x = np.stack(every[vector].to_numpy()).astype(np.float64) if len(every) else np.zeros((0, 1))
+    shared = sample.sparkSession.sparkContext.broadcast((x, np.eye(len(names))[at], names))
+
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, member, names = shared.value
+        sizes = member.sum(0)
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.iloc[start : start + 256]
+                y = np.stack(part[vector].to_numpy()).astype(np.float64)
+                away = np.sqrt(np.maximum((y**2).sum(1)[:, None] - 2 * y @ x.T + (x**2).sum(1), 0.0))
+                own = np.searchsorted(names, part[label].to_numpy())
+                row = np.arange(len(part))
+                sums = away @ member
+                own_n = sizes[own] - 1  # without the row itself, whose distance is zero
+                inner = sums[row, own] / np.maximum(own_n, 1)
+                means = sums / np.maximum(sizes, 1)
+                means[row, own] = np.inf
+                outer = means.min(1)
+                some = (own_n > 0) & np.isfinite(outer)
+                yield pd.DataFrame({"s": np.where(some, (outer - inner) / np.maximum(np.maximum(outer, inner), 1e-300), 0.0)})
+
+    return sample.select(label, vector).mapInPandas(scores, "s double").agg(F.avg("s").alias("silhouette"))
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,15 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.functions import vectors as V
 from mosaiq.runtime import ship
 
-#: Components of queries that one pass over the vectors carries to every task: 64 MB of doubles.
-MAX_COMPONENTS = 8_000_000
+#: Components of queries that one pass over the vectors carries to every task, and scores that a task holds: 64 MB of doubles each.
+MAX_COMPONENTS, MAX_SCORES = 8_000_000, 8_000_000
 
 
 def search(vectors: DataFrame, query: list[float], k: int, exclude: list | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -30,19 +30,34 @@ def search(vectors: DataFrame, query: list[float], k: int, exclude: list | None
     return rows.select(id_col, score.alias("score")).where("score IS NOT NULL").orderBy(F.desc("score"), id_col).limit(k)
 
 
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row the k largest scores, descending, ties by id."""
+    if scores.shape[1] > k:
+        at = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(scores, at, 1).min(axis=1, keepdims=True)
+        for i in np.flatnonzero((scores >= least).sum(axis=1) > k):  # which of the equal ones the cut kept is arbitrary
+            at[i] = np.lexsort((ids[i], -scores[i]))[:k]
+        ids, scores = np.take_along_axis(ids, at, 1), np.take_along_axis(scores, at, 1)
+    order = np.lexsort((ids, -scores), axis=1)
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+
 def batch_search(
-    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "query_id", skip_self: bool = True
-) -> DataFrame:
+    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "query_id", skip_self: bool = True,
+    exclude: DataFrame | None = None,
+) -> DataFrame:
     """``(query_col, id_col, score, rank)``: for every query its k vectors of largest inner product, ties by id.
 
-    ``queries`` has ``query_col`` and ``vector_col``. Queries travel to the vectors in
-    parts of bounded size, as many as it takes; tasks multiply blocks of vectors with a
-    part and keep k rows a query and block, which a ranked window reduces to k.
+    ``queries`` has ``query_col`` and ``vector_col``; ``exclude`` has ``query_col`` and
+    ``id_col``, a few results a query that do not count. Queries travel to the vectors in
+    parts of bounded size, as many as it takes. A task multiplies them with blocks of its
+    vectors, keeps k rows a query throughout, and a ranked window reduces the tasks' rows to k.
     """
     ship(vectors.sparkSession)
     spark = vectors.sparkSession
     facts = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_col)).alias("dim")).first()
-    parts = max(1, -(-facts["n"] * max(1, facts["dim"] or 1) // MAX_COMPONENTS))
+    deep = k + (exclude.groupBy(query_col).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] if exclude is not None else 0)
+    parts = max(1, -(-facts["n"] * max(1, facts["dim"] or 1) // MAX_COMPONENTS), -(-facts["n"] * 4 * deep // MAX_SCORES))
     key, kind = queries.schema[query_col].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
     found = None
     for part in range(parts):
@@ -51,24 +66,29 @@ def batch_search(
 
         def block(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names, q = shared.value
+            if not len(q):
+                return
+            ids, scores, wide = None, None, max(64, MAX_SCORES // len(q))
             for batch in batches:
-                batch = batch[batch[vector_col].notna()]
-                batch = batch[[len(v) == q.shape[1] for v in batch[vector_col]]]
-                if not len(batch) or not len(q):
-                    continue
-                batch = batch.sort_values(id_col)
-                ids = batch[id_col].to_numpy()
-                scores = q @ np.stack(batch[vector_col].to_numpy()).astype(np.float64).T
-                if skip_self:
-                    scores[names[:, None] == ids] = -np.inf
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                rows, at = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
-                score = scores[rows, at]
-                keep = np.isfinite(score)
-                yield pd.DataFrame({query_col: names[rows][keep], id_col: ids[at][keep], "score": score[keep]})
+                batch = batch[[v is not None and len(v) == q.shape[1] for v in batch[vector_col]]]
+                for at in range(0, len(batch), wide):
+                    some = batch.iloc[at : at + wide]
+                    new_ids = some[id_col].to_numpy()
+                    new = q @ np.stack(some[vector_col].to_numpy()).astype(np.float64).T
+                    if skip_self:
+                        new[names[:, None] == new_ids] = -np.inf
+                    new_ids = np.broadcast_to(new_ids.astype(str) if new_ids.dtype == object else new_ids, new.shape)
+                    if ids is not None:
+                        new_ids, new = np.concatenate([ids, new_ids], axis=1), np.concatenate([scores, new], axis=1)
+                    ids, scores = best_of(new_ids, new, deep)
+            if ids is not None:
+                keep = np.isfinite(scores)
+                yield pd.DataFrame({query_col: np.repeat(names, keep.sum(axis=1)), id_col: ids[keep], "score": scores[keep]})
 
         one = vectors.select(id_col, vector_col).mapInPandas(block, f"{query_col} {key}, {id_col} {kind}, score double")
         found = one if found is None else found.union(one)
+    if exclude is not None:
+        found = found.join(exclude.select(query_col, id_col), [query_col, id_col], "left_anti")
     rank = F.row_number().over(W.partitionBy(query_col).orderBy(F.desc("score"), id_col))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -92,14 +112,30 @@ class CellIndex:
 
     def search(self, queries: DataFrame, k: int, probes: int, query_col: str = "query_id") -> DataFrame:
         """As :func:`batch_search`, among the vectors of each query's ``probes`` cells of largest inner product."""
-        centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in self.centres))
-        ranked = F.sort_array(F.transform(centres, lambda c, i: F.struct(V.dot(F.col(self.vector_col), c).alias("s"), i.alias("cell"))), asc=False)
-        wanted = queries.select(query_col, F.col(self.vector_col).alias("__q"), F.explode(F.slice(ranked, 1, probes)["cell"]).alias("cell"))
+        centres = self.table.sparkSession.createDataFrame([(self.centres.tolist(),)], "__centres array<array<double>>")
+        ranked = F.sort_array(F.transform("__centres", lambda c, i: F.struct(V.dot(F.col(self.vector_col), c).alias("s"), i.alias("cell"))), asc=False)
+        near = queries.select(query_col, self.vector_col).crossJoin(F.broadcast(centres))  # one row
+        wanted = near.select(query_col, F.col(self.vector_col).alias("__q"), F.explode(F.slice(ranked, 1, probes)["cell"]).alias("cell"))
         score = V.dot(F.col("__q"), F.col(self.vector_col))
         met = wanted.join(self.table, "cell").where(F.col(query_col) != F.col(self.id_col)).select(query_col, self.id_col, score.alias("score"))
         rank = F.row_number().over(W.partitionBy(query_col).orderBy(F.desc("score"), self.id_col))
         return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
+    def save(self, path: str) -> None:
+        """The vectors by cell, a folder a cell, and the centroids beside them."""
+        self.table.write.mode("overwrite").option("compression", "zstd").partitionBy("cell").parquet(f"{path}/vectors")
+        rows = [(i, c.tolist()) for i, c in enumerate(self.centres)]
+        self.table.sparkSession.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, id_col: str = "vec_id", vector_col: str = "embedding") -> CellIndex:
+        """A saved index; searches read the cells that they probe."""
+        found = cls.__new__(cls)
+        found.id_col, found.vector_col, found.model = id_col, vector_col, None
+        found.centres = np.array([r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])
+        found.table = spark.read.parquet(f"{path}/vectors").withColumn("cell", F.col("cell").cast("int"))
+        return found
+
 
 def recall(found: DataFrame, exact: DataFrame, query_col: str = "query_id", id_col: str = "vec_id") -> float:
     """Share of the exact results that were found."""

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import text as T
 from mosaiq.functions import vectors as V
-from mosaiq.operators import cluster, diversity, grouping, labels, sampling, scoring, selection, stats, topk
+from mosaiq.operators import cluster, diversity, grouping, joins, labels, prompts, sampling, scoring, selection, stats, topk, trials
 from mosaiq.plans import oracles
-from mosaiq.plans.constants import AFFINITY, SCENARIOS
+from mosaiq.plans.constants import AFFINITY, ANSWERS, SCENARIOS
+from mosaiq.runtime import scratch
+from mosaiq.sources import tables
 
-DIM, K = 64, 5
+DIM, K, LABELS = 64, 5, 10
+#: Cells of the coarse index, and how many of them a search looks into: these vectors hardly cluster, so a recall of 0.9 takes most cells (4 give 0.54).
+CELLS, PROBES = 16, 12
 VALUES = ["functional", "emotional", "social", "epistemic", "ethical"]
 
 
@@ -33,11 +37,6 @@ def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "embeddings")
 
 
-def _five(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors of the first five labels."""
-    return _emb(spark, sf_dir).where(F.col("label") < K)
-
-
 def vector_norms(spark, sf_dir):
     e = F.col("embedding")
     return _emb(spark, sf_dir).select("vec_id", _r6(V.norm(e)).alias("norm"), _r6(V.norm(V.normalise(e))).alias("unit_norm"), _r6(V.norm(V.normalise(e, added=True))).alias("unit_norm_added"))
@@ -49,17 +48,32 @@ def exact_topk(spark, sf_dir):
     return found.select("query_id", "vec_id", "rank", _r6("score").alias("score"))
 
 
+def _queries(spark, sf_dir) -> DataFrame:
+    """Every twentieth vector, as a query against all."""
+    return _emb(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def topk_excluding(spark, sf_dir):
-    e = _emb(spark, sf_dir)
-    q = e.where("vec_id = 7").first()["embedding"]
-    return topk.search(e, q, 10, exclude=[7, 11, 13]).select("vec_id", _r6("score").alias("score"))
+    """Each query with three ids of its own that do not count."""
+    q = _queries(spark, sf_dir)
+    apart = q.select("query_id", F.explode(F.array(F.col("query_id"), F.col("query_id") + 4, F.col("query_id") + 6)).alias("vec_id"))
+    found = topk.batch_search(_emb(spark, sf_dir), q, 10, skip_self=False, exclude=apart)
+    return found.select("query_id", "vec_id", "rank", _r6("score").alias("score"))
 
 
 def ivf_topk(spark, sf_dir):
-    e = _emb(spark, sf_dir)
-    index = topk.CellIndex(e, 16)
-    found = index.search(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, 12)
-    return found.select("query_id", "vec_id", "rank", _r6("score").alias("score"))
+    return topk.CellIndex(_emb(spark, sf_dir), CELLS).search(_queries(spark, sf_dir), 10, PROBES).select("query_id", "vec_id", "rank", _r6("score").alias("score"))
+
+
+def ivf_recall(spark, sf_dir):
+    """An index that was saved and loaded finds nine tenths of the exact results at least, with their scores."""
+    e, q = _emb(spark, sf_dir), _queries(spark, sf_dir)
+    path = scratch(spark)
+    topk.CellIndex(e, CELLS).save(path)
+    found = topk.CellIndex.load(spark, path).search(q, 10, PROBES)
+    exact = topk.batch_search(e, q, 10).select("query_id", "vec_id", F.col("score").alias("s"))
+    both = exact.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col("score").isNotNull().cast("double")) >= 0.9).alias("recall_ok"), F.max(F.coalesce(F.abs(F.col("score") - F.col("s")) > 1e-9, F.lit(False))).alias("scores_differ"))
 
 
 def cluster_centroids(spark, sf_dir):
@@ -71,8 +85,8 @@ def cluster_centroids(spark, sf_dir):
 
 def _sims(spark, sf_dir, shift: int = 0) -> DataFrame:
     """Anchors are the first vector of each label, named in another order if ``shift`` asks for it."""
-    e = _five(spark, sf_dir)
-    anchors = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(((F.col("label") + shift) % K).alias("anchor"), "vector")
+    e = _emb(spark, sf_dir)
+    anchors = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(((F.col("label") + shift) % LABELS).alias("anchor"), "vector")
     clusters = labels.centroids(e, "label", "embedding", DIM).select(F.col("label").alias("cluster"), "centroid")
     return labels.similarity_matrix(anchors, clusters, labels.overall_mean(e, "embedding", DIM))
 
@@ -104,7 +118,7 @@ def medoid_and_others(spark, sf_dir):
 
 def entropy_noise(spark, sf_dir):
     e = _emb(spark, sf_dir)
-    found = labels.noise_by_entropy(e, "embedding", labels.centroids(_five(spark, sf_dir), "label", "embedding", DIM))
+    found = labels.noise_by_entropy(e, "embedding", labels.centroids(e, "label", "embedding", DIM))
     return found.select("vec_id", _r6("entropy").alias("entropy"), "noise_dist")
 
 
@@ -150,11 +164,17 @@ def top2_types(spark, sf_dir):
 
 
 def _anchor_raw(spark, sf_dir) -> DataFrame:
+    """The three vectors nearest to a label's mean are its anchors."""
     e = _emb(spark, sf_dir)
-    anchors = e.where("label < 5 AND vec_id < 100").select(F.col("label").alias("anchor_group"), F.col("embedding").alias("anchor_vector"))
+    anchors = _typical(e, 3).select(F.col("label").alias("anchor_group"), F.col("embedding").alias("anchor_vector"))
     return scoring.anchor_max(e, anchors, "vec_id", "embedding")
 
 
+def _typical(e: DataFrame, n: int) -> DataFrame:
+    """The ``n`` vectors nearest to each label's mean: some rows a label, whatever the table's size."""
+    return e.join(F.broadcast(labels.medoids(e, "label", "vec_id", "embedding", DIM, n).select("vec_id")), "vec_id", "left_semi")
+
+
 def anchor_max_scaled(spark, sf_dir):
     raw = _anchor_raw(spark, sf_dir)
     scored = scoring.clip_scaled(raw, "raw", scoring.pooled_percentiles(raw, "raw"))
@@ -163,8 +183,8 @@ def anchor_max_scaled(spark, sf_dir):
 
 def _neighbours(spark, sf_dir) -> DataFrame:
     e = _emb(spark, sf_dir)
-    hobbies = e.where("vec_id < 100").select(F.col("vec_id").alias("h"), F.col("embedding").alias("hv"), (F.col("vec_id") % 6).cast("double").alias("functional"), (F.col("vec_id") % 4).cast("double").alias("social"))
-    sims = e.crossJoin(F.broadcast(hobbies)).where("vec_id <> h").select("vec_id", "functional", "social", V.cosine(F.col("embedding"), F.col("hv")).alias("sim"))  # 100 rows at every size
+    hobbies = _typical(e, 10).select(F.col("vec_id").alias("h"), F.col("embedding").alias("hv"), (F.col("vec_id") % 6).cast("double").alias("functional"), (F.col("vec_id") % 4).cast("double").alias("social"))
+    sims = e.crossJoin(F.broadcast(hobbies)).where("vec_id <> h").select("vec_id", "functional", "social", V.cosine(F.col("embedding"), F.col("hv")).alias("sim"))  # ten rows a label
     return scoring.weighted_neighbours(sims, ["functional", "social"], "vec_id", e, 0.25)
 
 
@@ -232,12 +252,13 @@ def threshold_loss_curve(spark, sf_dir):
 
 def token_stats(spark, sf_dir):
     rows = _read(spark, sf_dir, "documents").select("lang", F.size(T.tokens(F.col("text"))).cast("double").alias("tokens"))
-    return stats.bundle_by(rows, "lang", "tokens").select("lang", *(_r6(c).alias(c) for c in ("mean", "p50", "p95", "min", "max")), "n")
+    found = stats.bundle_by(rows, "lang", "tokens", shares={"p50": 0.5, "p95": 0.95, "p99": 0.99}, over=512)
+    return found.select("lang", *(_r6(c).alias(c) for c in ("mean", "p50", "p95", "p99", "min", "max", "over")), "n")
 
 
 def _answers(spark, sf_dir) -> DataFrame:
-    turns = _read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
-    return diversity.first_n(turns, "conv_id", "turn", 3)
+    """All turns of the assistant, in order."""
+    return _read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", F.col("turn").alias("ordinal"), "text")
 
 
 def lexical_diversity(spark, sf_dir):
@@ -279,7 +300,7 @@ def retry_gate(spark, sf_dir):
 def prefix_saturation(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     words = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
-    return stats.prefix_saturation(words, "doc_id", "word", [100, 200, 300, 400, 500], docs.count()).select("prefix", "n_unique", _r6("growth").alias("growth"), "saturated")
+    return stats.prefix_saturation(docs, words, "doc_id", "word", [100, 200, 300, 400, 500]).select("prefix", "n_unique", _r6("growth").alias("growth"), "saturated")
 
 
 def _scenarios(spark) -> DataFrame:
@@ -336,7 +357,7 @@ def fixed_label_quality(spark, sf_dir):
 
 
 def sampled_silhouette(spark, sf_dir):
-    sample = sampling.exact_sample(_emb(spark, sf_dir), 300, "vec_id")
+    sample = sampling.exact_sample(_emb(spark, sf_dir), 5000, "vec_id")
     return stats.silhouette(sample, "vec_id", "label", "embedding").select(_r6("silhouette").alias("silhouette"))
 
 
@@ -367,6 +388,236 @@ def bootstrap_ari(spark, sf_dir):
     return spark.createDataFrame([(cluster.bootstrap_ari(_emb(spark, sf_dir), "embedding", "vec_id", k=5, starts=2),)], "ari double")
 
 
+# Clusters: several runs compared
+
+
+def _table(spark, rows: list[dict], kind: str) -> DataFrame:
+    return spark.createDataFrame([tuple(r.values()) for r in rows], kind)
+
+
+_QUALITY = "silhouette double, davies_bouldin double, calinski_harabasz double, balance double"
+
+
+def k_sweep(spark, sf_dir):
+    return _table(spark, cluster.sweep(_emb(spark, sf_dir), "embedding", DIM, "vec_id", range(8, 12), starts=2), f"k int, {_QUALITY}")
+
+
+def reduction_comparison(spark, sf_dir):
+    return _table(spark, cluster.compare_reductions(_emb(spark, sf_dir), "embedding", DIM, "vec_id", (16, 32), LABELS, starts=2), f"method string, dim int, {_QUALITY}, bootstrap_ari double")
+
+
+def pca_sweep(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    anchors = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).withColumnRenamed("label", "anchor")
+    return _table(spark, cluster.pca_sweep(e, "embedding", DIM, anchors, (8, 16), LABELS, starts=2), "pca int, min_cos double, mean_cos double, min_margin double, balance double")
+
+
+def weight_grid(spark, sf_dir):
+    """Silhouettes by pairs of weights, as a row for each first weight."""
+    e = _emb(spark, sf_dir).select("vec_id", F.slice("embedding", 1, 32).alias("first"), F.slice("embedding", 33, 32).alias("second"))
+    grid = _table(spark, cluster.weight_grid(e, "first", "second", "vec_id", steps=3, k=LABELS), "a double, b double, silhouette double")
+    return stats.pivoted(grid.withColumn("b", F.round("b", 2).cast("string")), "a", "b", "silhouette", ["0.1", "1.05", "2.0"])
+
+
+def spherical_kmeans(spark, sf_dir):
+    e = _emb(spark, sf_dir).select("vec_id", V.normalise(F.col("embedding")).alias("u"))
+    centres, _ = cluster.spherical_kmeans(e, "u", "vec_id", LABELS)
+    return cluster.by_cosine(e, "u", centres).select("vec_id", "cluster", _r6("sim").alias("sim"))
+
+
+def clusters_hold(spark, sf_dir):
+    """What every run must fulfil: residuals without a trace of the covariates, rows nearest to their own centroid, agreement within its bounds."""
+    e = _emb(spark, sf_dir).withColumn("len", (F.col("vec_id") % 37).cast("double")).withColumn("kind", (F.col("label") % 3).cast("string"))
+    left = cluster.regress_out(e, "embedding", DIM, ["len"], ["kind"])
+    traces = left.select("residual", F.posexplode(F.array(F.lit(1.0), F.col("len"), (F.col("kind") == "1").cast("double"))).alias("i", "x"))
+    trace = traces.select("i", V.scale(F.col("residual"), F.col("x")).alias("t")).groupBy("i").agg(V.sum_by_position("t").alias("t"))
+    trace = trace.agg(F.max(F.array_max(F.transform("t", F.abs))).alias("most"))
+    runs = cluster.spherical_pipeline(_emb(spark, sf_dir), "embedding", cluster.Config(k=LABELS, starts=3, pca=16))
+    agreed = stats.adjusted_rand(runs, "cluster", "label")
+    sizes = runs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("k"), F.max(F.abs(V.norm(F.col("projected")) - 1)).alias("off"))
+    return trace.crossJoin(agreed).crossJoin(sizes).select(
+        (F.col("most") < 1e-6).alias("no_trace"), F.col("ari").between(-1, 1).alias("ari_in_bounds"), (F.col("off") < 1e-9).alias("unit"), "n", F.col("k").alias("clusters")
+    )
+
+
+# Tables in and out
+
+
+def csv_round_trip(spark, sf_dir):
+    customers, path = _read(spark, sf_dir, "customer"), scratch(spark)
+    tables.write_csv(customers, path)
+    return tables.csv(spark, path, customers.schema)
+
+
+def json_requests(spark, sf_dir):
+    """Request lines as a batch job takes them, written and read again."""
+    docs, path = _read(spark, sf_dir, "documents"), scratch(spark)
+    tables.write_lines(tables.request_lines(docs.withColumn("ord", F.col("doc_id")), F.struct("lang", "n_chars"), offset=1000), path)
+    return spark.read.text(path)
+
+
+def json_mapping(spark, sf_dir):
+    """A mapping of labels as one JSON object, and the vectors' labels looked up in it."""
+    e, path = _emb(spark, sf_dir), scratch(spark)
+    known = e.where("label <> 3").select(F.col("label").alias("key"), F.concat(F.lit("type "), F.col("label")).alias("label")).distinct()
+    tables.write_mapping(known, path)
+    mapping = tables.read_mapping(spark, path).withColumnRenamed("key", "cluster").withColumn("cluster", F.col("cluster").cast("int"))
+    return labels.mapped(e.select("vec_id", F.col("label").alias("cluster")), mapping, "cluster").select("vec_id", "label")
+
+
+def resumed_chunks(spark, sf_dir):
+    """A job in chunks that was broken off after the first two and taken up again; all chunks read as one table."""
+    rows, path = _read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), scratch(spark)
+    chunk = F.floor(F.col("c_custkey") / 100) % 7
+    tables.write_chunks(rows, path, chunk, set(), lambda d: d.where("chunk < 2"))
+    tables.write_chunks(rows, path, chunk, tables.chunks_done(spark, path), lambda d: d)
+    return tables.parquet(spark, path).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), _r6(F.sum("c_acctbal")).alias("total"))
+
+
+def parsed_properties(spark, sf_dir):
+    """Numbers from JSON texts; those that are not there are 0."""
+    rows = tables.parsed_results(_read(spark, sf_dir, "events"), "props", ["k", "missing"])
+    return rows.select("event_id", "k", "missing")
+
+
+# Side by side
+
+
+def score_attach(spark, sf_dir):
+    """Scores given as text, some of them no numbers, others missing."""
+    marks = _read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "bad").otherwise(F.col("quality").cast("string")).alias("score"))
+    return joins.attach_score(_read(spark, sf_dir, "documents").select("doc_id"), marks, "doc_id", "score").select("doc_id", "score")
+
+
+def score_equal(spark, sf_dir):
+    marks = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("score"))
+    return joins.equal_to(marks, "score", 1).select("doc_id")
+
+
+def align_zero_fill(spark, sf_dir):
+    ids = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    return joins.align(ids, _emb(spark, sf_dir), "vec_id", "embedding", DIM, "zero").select("vec_id", _r6(V.norm(F.col("embedding"))).alias("norm"))
+
+
+def align_drop(spark, sf_dir):
+    ids = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    return joins.align(ids, _emb(spark, sf_dir), "vec_id", "embedding", DIM, "drop").select("vec_id", _r6(V.norm(F.col("embedding"))).alias("norm"))
+
+
+def cached_lookup(spark, sf_dir):
+    """A cache that holds all wanted rows is read; one that lacks a row is not."""
+    e = _emb(spark, sf_dir).select("vec_id", "label")
+    wanted = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id")).join(e, "vec_id", "left_semi")
+    whole = joins.cached_or_recomputed(wanted, e, "vec_id", lambda w: w.withColumn("label", F.lit(-1)))
+    part = joins.cached_or_recomputed(wanted, e.where("vec_id > 50"), "vec_id", lambda w: w.withColumn("label", F.lit(-1)))
+    return whole.select("vec_id", F.col("label").cast("long").alias("label"), F.lit(True).alias("cached")).union(part.select("vec_id", F.col("label").cast("long"), F.lit(False)))
+
+
+def label_merge(spark, sf_dir):
+    docs, marks = _read(spark, sf_dir, "documents").select("doc_id", "lang"), _read(spark, sf_dir, "labels").select("doc_id", "quality")
+    merged, lost = joins.merge_labels(docs, marks, "doc_id")
+    return merged.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").cast("long").alias("good")).withColumn("lost", F.lit(lost).cast("long"))
+
+
+def scenario_lookup(spark, sf_dir):
+    both = [(k, c, i) for k, c, _, i, _ in SCENARIOS]
+    main = spark.createDataFrame([(int(k), c, i) for k, c, i in both if k.isdigit()], "id int, category string, item string").withColumn("id", F.col("id").cast("string"))
+    more = spark.createDataFrame([x for x in both if not x[0].isdigit()], "id string, category string, item string")
+    return joins.scenario(main, more, "1A").unionByName(joins.scenario(main, more, "4"))
+
+
+# Texts
+
+
+def age_bands(spark, sf_dir):
+    age = F.col("p_size") * 2
+    return _read(spark, sf_dir, "part").select("p_partkey", T.age_band(age).alias("band"), T.age_band(age, oldest=True).alias("band_70"))
+
+
+def persona_texts(spark, sf_dir):
+    """Parts of a text, some empty or missing, and what a list given as text holds."""
+    c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    words = T.tokens(F.col("text"))
+    hobbies = T.truthy(F.slice(words, 1, 3))
+    plain = F.regexp_replace(F.array_join(hobbies, " "), "['\"\\[\\],]", "")
+    listed = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("['"), F.array_join(F.split(plain, " "), "', '"), F.lit("']"))).when(F.col("turn") % 3 == 1, plain)
+    text = T.persona_text(F.col("role"), F.when(F.col("turn") % 2 == 0, ""), F.lit(None).cast("string"), F.col("turn").cast("string"), hobbies, F.lit("end"))
+    return c.select("conv_id", "turn", text.alias("text"), F.array_join(T.list_or_string(listed), "|").alias("listed"))
+
+
+def text_tidied(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit(" \t"), F.col("role"), F.lit("\n ")).alias("role"))
+    return joins.tidy(c, ["role"])
+
+
+def describe_values(spark, sf_dir):
+    found = stats.describe(_read(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return found.select("column", "count", *(F.round(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")))
+
+
+def value_pivot(spark, sf_dir):
+    sums = _read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return stats.pivoted(sums, "source", "lang", "n", ["en", "fr", "de", "es"])
+
+
+# Prompts, answers and trials
+
+#: Sections by number, and guides by type; a caller brings its own.
+SECTIONS = [
+    (1, "# Mentor\nName: {name}\nArchetype: {arch}\nStyle: {style}"), (2, "# Turns\nAnswer what was asked, in two sentences."), (3, "# Form\nOne sign of feeling a turn, no jargon."),
+    (4, "# Voice\nI am {name} and speak as {style}."), (5, "# Child\n{child}\n{memories}"), (6, "# Now\n{item} ({category}), {price}"), (7, "# Example\n{{not a name}} {unknown}"), (8, "# Guide of type {type}\n{guide}"),
+]
+GUIDES = {1: ("calm", "Recall the plan."), 2: ("warm", "Think of the friend."), 3: ("steady", "Ask how long it lasts."), 4: ("sharp", "Count what is left."), 5: ("dreamy", "Ask what is your own.")}
+
+
+def _panels(spark, sf_dir) -> DataFrame:
+    """Panels of three, with the scenario and the repeat that their requests stand for."""
+    j = F.floor(F.col("request_id") / 10)
+    return mentor_selection_reliable(spark, sf_dir).select("request_id", (j % 7).alias("scenario"), F.floor(j / 7).alias("repeat"), F.col("position").alias("ordinal"), "slot", "card_id", "arch", "tag")
+
+
+def system_prompts(spark, sf_dir):
+    scenes = spark.createDataFrame([(n, c, i, p) for n, (_, c, _, i, p) in enumerate(SCENARIOS[:7])], "scenario long, category string, item string, price int")
+    rows = _panels(spark, sf_dir).join(F.broadcast(scenes), "scenario")  # seven rows
+    guides = spark.createDataFrame([(k, *v) for k, v in GUIDES.items()], "type int, style string, guide string")
+    memories = prompts.bullets(F.array(F.concat(F.lit("saw "), F.col("item")), F.lit(None), F.lit("has a friend")))
+    values = {"name": F.concat(F.lit("card "), F.col("card_id")), "arch": F.col("arch"), "child": F.lit("a child of ten"), "memories": memories, "item": F.col("item"), "category": F.col("category"), "price": T.number_mode(F.col("price")), "type": F.col("type")}
+    return prompts.system_prompts(rows, SECTIONS, guides, values).select("request_id", "ordinal", "type", "prompt")
+
+
+def user_prompts(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.substring("text", 1, 20)).alias("said"), "role")
+    return prompts.user_prompts(c, "said", "{role}: {said}", "[{role} waits at {turn}]", {"role": F.col("role"), "said": F.col("said"), "turn": F.col("turn")}).select("conv_id", "turn", "user_prompt")
+
+
+def _answered(spark, sf_dir) -> DataFrame:
+    return prompts.table_answers(_panels(spark, sf_dir), spark.createDataFrame(list(ANSWERS.items()), "type int, text string"))
+
+
+def table_answers(spark, sf_dir):
+    return _answered(spark, sf_dir).select("request_id", "ordinal", "type", "text")
+
+
+def _trials(spark, sf_dir) -> DataFrame:
+    times = _panels(spark, sf_dir).groupBy("scenario", "repeat").agg(F.sum(F.col("card_id") % 17).cast("double").alias("t_total"))
+    return trials.trial_table(_answered(spark, sf_dir), times)
+
+
+def trial_table(spark, sf_dir):
+    return _trials(spark, sf_dir).select("scenario", "repeat", _r6("diversity").alias("diversity"), "method", "passed", "n_valid", F.array_join(F.col("types").cast("array<string>"), ",").alias("types"), "n_distinct_types", "t_total")
+
+
+def trial_report(spark, sf_dir):
+    found = trials.trial_report(_trials(spark, sf_dir), ["diversity", "t_total"])
+    return found.select("scenario", "measure", "n_trials", *(_r6(c).alias(c) for c in ("pass_rate", "distinct_type_rate", "mean", "p50", "p95", "min", "max")))
+
+
+def results_json(spark, sf_dir):
+    rows = _answered(spark, sf_dir)
+    scored = diversity.report(rows, diversity.lexical(rows, "request_id", "ordinal", "text"), "request_id")
+    return trials.results_json(rows, scored, "request_id", ["scenario", "repeat"], ["slot", "card_id", "tag", "type", "text"])
+
+
 def prompt_parts(spark, sf_dir):
     """Parts of a prompt from conversation texts: head, keyword, list, type."""
     c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -387,6 +638,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         trial_rates, threshold_loss_curve, token_stats, lexical_diversity, ngram_counts, embedding_diversity, scorer_ablation, response_postprocess, retry_gate,
         prefix_saturation, tag_inference, affinity_scores, mentor_selection, mentor_selection_reliable, greedy_dedupe, fixed_label_quality, sampled_silhouette,
         label_agreement, rank_correlation, value_histogram, regress_out, pca_kmeans, bootstrap_ari, prompt_parts,
+        ivf_recall, k_sweep, reduction_comparison, pca_sweep, weight_grid, spherical_kmeans, clusters_hold,
+        csv_round_trip, json_requests, json_mapping, resumed_chunks, parsed_properties, score_attach, score_equal, align_zero_fill, align_drop, cached_lookup, label_merge,
+        scenario_lookup, age_bands, persona_texts, text_tidied, describe_values, value_pivot, system_prompts, user_prompts, table_answers, trial_table, trial_report, results_json,
     )
 }
-ORACLES: dict[str, str] = oracles.SQL
+ORACLES: dict[str, str] = {**oracles.SQL, "system_prompts": oracles.system_prompts(SECTIONS, GUIDES)}

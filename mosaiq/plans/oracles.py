@@ -6,16 +6,15 @@ are cast to ``DOUBLE[]`` first.
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from mosaiq.functions.text import SPACE
 from mosaiq.operators import selection
-from mosaiq.plans.constants import AFFINITY, SCENARIOS
+from mosaiq.plans.constants import AFFINITY, ANSWERS, SCENARIOS
 
 _E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _ALL = "SELECT *, unnest(range(1, 65)) AS pos, unnest(v) AS x FROM e"
 _NORM = "sqrt(list_inner_product({0}, {0}))"
 _SPACE = SPACE
+_LABELS = 10
 
 
 def _dist(a: str, b: str) -> str:
@@ -46,19 +45,25 @@ def _mean(source: str, keys: str = "") -> str:
 
 def _sims(shift: int = 0) -> str:
     u = "list_transform({0}, lambda x: x / greatest(sqrt(list_inner_product({0}, {0})), 1e-10))"
-    return f"""{_E}, f AS (SELECT * FROM e WHERE label < 5), m AS ({_mean("f")}),
-cs AS (SELECT label AS cluster, c FROM ({_mean("f", "label")})),
-ans AS (SELECT (label + {shift}) % 5 AS anchor, arg_min(v, vec_id) AS v FROM f GROUP BY label),
+    return f"""{_E}, m AS ({_mean("e")}),
+cs AS (SELECT label AS cluster, c FROM ({_mean("e", "label")})),
+ans AS (SELECT (label + {shift}) % {_LABELS} AS anchor, arg_min(v, vec_id) AS v FROM e GROUP BY label),
 ca AS (SELECT anchor, {_sub("v", "m.c")} AS w FROM ans, m), cc AS (SELECT cluster, {_sub("cs.c", "m.c")} AS w FROM cs, m),
 na AS (SELECT anchor, {u.format("w")} AS w FROM ca), nc AS (SELECT cluster, {u.format("w")} AS w FROM cc),
 sims AS (SELECT anchor, cluster, list_inner_product(na.w, nc.w) AS sim FROM na, nc)"""
 
 
-_PERMS = "perms AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {i}, {j})" for n, p in enumerate(permutations(range(5))) for i, j in enumerate(p)) + ") t(n, i, j))"
-_BEST = f"""{_PERMS}, totals AS (SELECT n, sum(sim) AS total FROM perms JOIN sims ON anchor = i AND cluster = j GROUP BY n),
-chosen AS (SELECT anchor, cluster, sim FROM perms JOIN sims ON anchor = i AND cluster = j WHERE n = (SELECT n FROM totals ORDER BY total DESC, n LIMIT 1))"""
+def _level(i: int) -> str:
+    """Of the assignments of the first anchors to each set of clusters, a bit a cluster, the best."""
+    return f"l{i + 1} AS (SELECT mask | (1 << cluster) AS mask, max(total + sim) AS total, arg_max(list_append(p, cluster), total + sim) AS p FROM l{i} JOIN sims ON anchor = {i} AND (mask & (1 << cluster)) = 0 GROUP BY 1)"
+
+
+_BEST = f"""l0 AS (SELECT 0 AS mask, CAST(0 AS DOUBLE) AS total, CAST([] AS INTEGER[]) AS p), {", ".join(map(_level, range(_LABELS)))},
+best AS (SELECT unnest(range({_LABELS})) AS anchor, unnest(p) AS cluster FROM l{_LABELS}), chosen AS (SELECT s.anchor, s.cluster, s.sim FROM best JOIN sims s USING (anchor, cluster))"""
 _MARGIN = "mg AS (SELECT anchor, s[1] - s[2] AS margin FROM (SELECT anchor, list_reverse_sort(list(sim)) AS s FROM sims GROUP BY anchor))"
 
+_TYPICAL = f"""tm AS ({_mean("e", "label")}), td AS (SELECT e.vec_id, row_number() OVER (PARTITION BY e.label ORDER BY {_dist("v", "c")}, vec_id) AS r FROM e JOIN tm ON e.label = tm.label),
+typ AS (SELECT e.*, r FROM e JOIN td USING (vec_id) WHERE r <= 10)"""
 _VAL = ["functional", "emotional", "social", "epistemic", "ethical"]
 _VALUES = "vals AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * 4 + 4 AS {c}" for i, c in enumerate(_VAL)) + " FROM embeddings)"
 _CENTRES = (
@@ -88,7 +93,7 @@ _BUNDLE = """round(coalesce(avg({0}), 0), 6) AS mean, round(coalesce(quantile_co
 round(coalesce(min({0}), 0), 6) AS min, round(coalesce(max({0}), 0), 6) AS max, count({0}) AS n"""
 
 _TOKENS = f"list_filter(regexp_split_to_array({{0}}, '{_SPACE}'), lambda x: x <> '')"
-_ANSWERS = "ans AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3)"
+_ANSWERS = "ans AS (SELECT conv_id, text, turn AS ordinal FROM conversations WHERE role = 'assistant')"
 
 
 def _report(group: str, pairs: str, groups: str, extra: str = "") -> str:
@@ -226,7 +231,9 @@ SQL: dict[str, str] = {
 SELECT vec_id, round({_NORM.format("v")}, 6) AS norm, round({_NORM.format("a")}, 6) AS unit_norm, round({_NORM.format("b")}, 6) AS unit_norm_added FROM u""",
     "exact_topk": f"""WITH {_E}, s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v) AS score FROM e q, e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)
 SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
-    "topk_excluding": f"""WITH {_E} SELECT e.vec_id, round(list_inner_product(q.v, e.v), 6) AS score FROM e, e q WHERE q.vec_id = 7 AND e.vec_id NOT IN (7, 11, 13) ORDER BY list_inner_product(q.v, e.v) DESC, e.vec_id LIMIT 10""",
+    "topk_excluding": f"""WITH {_E}, s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v) AS score FROM e q, e WHERE q.vec_id % 20 = 0 AND e.vec_id - q.vec_id NOT IN (0, 4, 6))
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+    "ivf_recall": "SELECT count(*) * 10 AS n, true AS recall_ok, false AS scores_differ FROM embeddings WHERE vec_id % 20 = 0",
     "cluster_centroids": f"""WITH {_E} SELECT CAST(label AS VARCHAR) AS label, count(*) AS n, pos - 1 AS pos, round(avg(x), 6) AS x FROM ({_ALL}) GROUP BY label, pos
 UNION ALL SELECT 'ALL', count(*), pos - 1, round(avg(x), 6) FROM ({_ALL}) GROUP BY pos""",
     "anchor_similarity_matrix": f"WITH {_sims()} SELECT anchor, cluster, round(sim, 6) AS sim FROM sims",
@@ -238,7 +245,7 @@ SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY distance, v
     "medoid_and_others": f"""WITH {_E}, m AS ({_mean("e", "label")}), d AS (SELECT e.label, vec_id, row_number() OVER (PARTITION BY e.label ORDER BY {_dist("v", "c")}, vec_id) AS r FROM e JOIN m ON e.label = m.label),
 o AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) AS rank FROM d WHERE r > 1)
 SELECT label, vec_id, 0 AS rank FROM d WHERE r = 1 UNION ALL SELECT label, vec_id, rank FROM o WHERE rank <= 4""",
-    "entropy_noise": f"""WITH {_E}, f AS (SELECT * FROM e WHERE label < 5), m AS ({_mean("f", "label")}),
+    "entropy_noise": f"""WITH {_E}, m AS ({_mean("e", "label")}),
 i AS (SELECT e.vec_id, m.label, 1.0 / greatest({_dist("e.v", "m.c")}, 1e-8) AS w FROM e, m), p AS (SELECT vec_id, w / sum(w) OVER (PARTITION BY vec_id) AS p FROM i),
 h AS (SELECT vec_id, -sum(p * ln(greatest(p, 1e-12))) AS entropy FROM p GROUP BY vec_id)
 SELECT vec_id, round(entropy, 6) AS entropy, CAST(entropy >= (SELECT quantile_cont(entropy, 0.9) FROM h) AS INTEGER) AS noise_dist FROM h""",
@@ -253,13 +260,13 @@ SELECT round(max(n) / sum(n), 6) AS max_share, round(min(n) / sum(n), 6) AS min_
     "centroid_rescale": f"WITH {_RESCALED} SELECT type, {', '.join(f'round({c}, 6) AS {c}' for c in _VAL)} FROM resc",
     "top2_types": f"WITH {_TYPED} SELECT vec_id, t1 AS type1, CASE WHEN s2 >= 0.97 THEN t2 END AS type2, round(s1, 6) AS top1_sim, round(s2, 6) AS top2_sim FROM two WHERE s1 >= 0.97",
     "threshold_loss_curve": f"WITH {_TYPED} SELECT CAST(round(0.8 + 0.01 * i, 2) AS DOUBLE) AS threshold, round(avg(CASE WHEN s1 < CAST(round(0.8 + 0.01 * i, 2) AS DOUBLE) THEN 1.0 ELSE 0.0 END), 6) AS share FROM two, range(19) t(i) GROUP BY i",
-    "anchor_max_scaled": f"""WITH {_E}, r AS (SELECT e.vec_id, a.label AS anchor_group, max(list_inner_product(e.v, a.v) / greatest({_NORM.format("e.v")} * {_NORM.format("a.v")}, 1e-10)) AS raw FROM e, e a WHERE a.label < 5 AND a.vec_id < 100 GROUP BY ALL),
+    "anchor_max_scaled": f"""WITH {_E}, {_TYPICAL}, r AS (SELECT e.vec_id, a.label AS anchor_group, max(list_inner_product(e.v, a.v) / greatest({_NORM.format("e.v")} * {_NORM.format("a.v")}, 1e-10)) AS raw FROM e, typ a WHERE a.r <= 3 GROUP BY ALL),
 p AS (SELECT quantile_cont(raw, 0.05) AS lo, quantile_cont(raw, 0.95) AS hi FROM r)
 SELECT vec_id, anchor_group, round(raw, 6) AS raw, round((greatest(lo, least(hi, raw)) - lo) / (hi - lo) * 6, 6) AS score FROM r, p""",
-    "weighted_knn_score": f"""WITH {_E}, s AS (SELECT e.vec_id, h.vec_id % 6 AS f, h.vec_id % 4 AS so, list_cosine_similarity(e.v, h.v) AS sim FROM e, e h WHERE h.vec_id < 100 AND e.vec_id <> h.vec_id),
+    "weighted_knn_score": f"""WITH {_E}, {_TYPICAL}, s AS (SELECT e.vec_id, h.vec_id % 6 AS f, h.vec_id % 4 AS so, list_cosine_similarity(e.v, h.v) AS sim FROM e, typ h WHERE e.vec_id <> h.vec_id),
 k AS (SELECT vec_id, sum(sim * f) / sum(sim) AS f, sum(sim * so) / sum(sim) AS so FROM s WHERE sim >= 0.25 GROUP BY vec_id)
 SELECT e.vec_id, round(coalesce(f, 0), 6) AS functional, round(coalesce(so, 0), 6) AS social FROM e LEFT JOIN k USING (vec_id)""",
-    "score_fusion": f"""WITH {_E}, {_VALUES}, s AS (SELECT e.vec_id, h.vec_id % 6 AS f, h.vec_id % 4 AS so, list_cosine_similarity(e.v, h.v) AS sim FROM e, e h WHERE h.vec_id < 100 AND e.vec_id <> h.vec_id),
+    "score_fusion": f"""WITH {_E}, {_TYPICAL}, {_VALUES}, s AS (SELECT e.vec_id, h.vec_id % 6 AS f, h.vec_id % 4 AS so, list_cosine_similarity(e.v, h.v) AS sim FROM e, typ h WHERE e.vec_id <> h.vec_id),
 k AS (SELECT vec_id, sum(sim * f) / sum(sim) AS f, sum(sim * so) / sum(sim) AS so FROM s WHERE sim >= 0.25 GROUP BY vec_id),
 j AS (SELECT vals.*, coalesce(f, 0) AS f, coalesce(so, 0) AS so, CASE WHEN coalesce(f, 0) + coalesce(so, 0) > 0 THEN 0.5 ELSE 0 END AS a FROM vals LEFT JOIN k USING (vec_id))
 SELECT vec_id, round((a * f + 1.5 * functional) / (a + 1.5 + 1e-9), 6) AS functional, round((a * so + 1.5 * social) / (a + 1.5 + 1e-9), 6) AS social FROM j""",
@@ -276,7 +283,7 @@ SELECT vec_id, round(d, 6) AS "distinct", round(n, 6) AS emb_norm, round(k, 6) A
     "keep_first": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
     "stat_bundle": f"SELECT coalesce(event_type, 'ALL') AS event_type, {_BUNDLE.format('value')} FROM events GROUP BY ROLLUP (event_type)",
     "trial_rates": "SELECT user_id, round(avg(CASE WHEN value >= 25 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, count(DISTINCT event_type) = 3 AS three_types FROM events WHERE value IS NOT NULL GROUP BY user_id",
-    "token_stats": f"WITH t AS (SELECT lang, CAST(len({_TOKENS.format('text')}) AS DOUBLE) AS k FROM documents) SELECT coalesce(lang, 'ALL') AS lang, {_BUNDLE.format('k')} FROM t GROUP BY ROLLUP (lang)",
+    "token_stats": f"WITH t AS (SELECT lang, CAST(len({_TOKENS.format('text')}) AS DOUBLE) AS k FROM documents) SELECT coalesce(lang, 'ALL') AS lang, {_BUNDLE.format('k')}, round(quantile_cont(k, 0.99), 6) AS p99, round(avg(CASE WHEN k > 512 THEN 1.0 ELSE 0.0 END), 6) AS over FROM t GROUP BY ROLLUP (lang)",
     "lexical_diversity": f"WITH {_ANSWERS}, {_lexical('ans', 'conv_id', 'ordinal', 'text')} {_report('conv_id', 'pairs', 'ans')}",
     "ngram_counts": f"""WITH {_ANSWERS}, w AS (SELECT conv_id, {_TOKENS.format("text")} AS w FROM ans)
 SELECT conv_id, gram, count(*) AS n FROM (SELECT conv_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w WHERE len(w) > 1) GROUP BY ALL HAVING count(*) > 1""",
@@ -286,7 +293,7 @@ m AS (SELECT model, grp, avg(dist) AS m FROM d GROUP BY ALL)
 SELECT model, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.5), 6) AS median, round(min(m), 6) AS min, round(max(m), 6) AS max, count(*) AS n FROM m GROUP BY model""",
     "response_postprocess": f"SELECT conv_id, turn, {_POST} AS text, length(text) >= 20 AS is_valid, length({_POST}) AS n_chars FROM conversations",
     "retry_gate": _gate(),
-    "prefix_saturation": f"""WITH f AS (SELECT word, min(doc_id) AS at FROM (SELECT doc_id, unnest({_TOKENS.format("text")}) AS word FROM documents) GROUP BY word),
+    "prefix_saturation": f"""WITH n AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, text FROM documents), f AS (SELECT word, min(doc_id) AS at FROM (SELECT doc_id, unnest({_TOKENS.format("text")}) AS word FROM n) GROUP BY word),
 p AS (SELECT DISTINCT least(x, (SELECT count(*) FROM documents)) AS prefix FROM (VALUES (100), (200), (300), (400), (500), (1000000000000)) t(x)),
 c AS (SELECT prefix, count(f.at) AS n_unique FROM p LEFT JOIN f ON f.at < prefix GROUP BY prefix),
 g AS (SELECT *, coalesce(lag(n_unique) OVER (ORDER BY prefix), 0) AS b FROM c), h AS (SELECT *, (n_unique - b) / greatest(b, 1) * 100 AS growth FROM g)
@@ -313,7 +320,7 @@ f AS (SELECT m.label, m.c, m.n, s.s, s.w FROM m JOIN s USING (label)),
 db AS (SELECT avg(w) AS db FROM (SELECT x.label, max((x.s + y.s) / {_dist("x.c", "y.c")}) AS w FROM f x JOIN f y ON x.label <> y.label GROUP BY x.label))
 SELECT count(*) AS k, CAST(sum(f.n) AS BIGINT) AS n, round((SELECT db FROM db), 6) AS davies_bouldin,
   round((sum(f.n * pow({_dist("f.c", "a.c")}, 2)) / (count(*) - 1)) / (sum(w) / (sum(f.n) - count(*))), 6) AS calinski_harabasz FROM f, a""",
-    "sampled_silhouette": f"""WITH {_E}, s AS (SELECT * FROM e ORDER BY md5('42|' || vec_id), vec_id LIMIT 300),
+    "sampled_silhouette": f"""WITH {_E}, s AS (SELECT * FROM e ORDER BY md5('42|' || vec_id), vec_id LIMIT 5000),
 d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg({_dist("a.v", "b.v")}) AS d FROM s a JOIN s b ON a.vec_id <> b.vec_id GROUP BY ALL),
 o AS (SELECT vec_id, max(CASE WHEN la = lb THEN d END) AS own, min(CASE WHEN la <> lb THEN d END) AS other FROM d GROUP BY vec_id)
 SELECT round(avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 6) AS silhouette FROM o""",
@@ -328,4 +335,56 @@ UNION ALL SELECT 'emotional', 'social', round(corr(emotional, social), 6) FROM r
     "prompt_parts": f"""WITH c AS (SELECT *, {_TOKENS.format("text")} AS w, replace(trim(split_part(text, ',', 1)), 'a', 'b') AS h FROM conversations)
 SELECT conv_id, turn, CASE WHEN h = '' THEN 'unknown' ELSE h END AS head, CASE WHEN contains(text, 'the') THEN 'the' WHEN contains(text, 'und') THEN 'und' WHEN contains(text, 'de') THEN 'de' ELSE 'none' END AS keyword,
   array_to_string(w[1:5], ', ') AS first_words, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS type, 'role: ' || role || ' | turn: ' || turn AS labelled FROM c""",
+    "clusters_hold": "SELECT true AS no_trace, true AS ari_in_bounds, true AS unit, count(*) AS n, 10 AS clusters FROM embeddings",
+    "csv_round_trip": "SELECT * FROM customer",
+    "json_requests": """SELECT '{"custom_id":"req-' || (doc_id + 1000) || '","method":"POST","body":{"lang":"' || lang || '","n_chars":' || n_chars || '}}' AS value FROM documents""",
+    "json_mapping": "SELECT vec_id, CASE WHEN label <> 3 THEN 'type ' || label END AS label FROM embeddings",
+    "resumed_chunks": "SELECT c_custkey // 100 % 7 AS chunk, count(*) AS n, round(sum(c_acctbal), 6) AS total FROM customer GROUP BY 1",
+    "parsed_properties": "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, CAST(0 AS DOUBLE) AS missing FROM events",
+    "score_attach": "SELECT d.doc_id, CASE WHEN l.toxic = 0 THEN CAST(l.quality AS DOUBLE) ELSE 0 END AS score FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "score_equal": "SELECT doc_id FROM labels WHERE quality = 1",
+    "align_zero_fill": f"WITH {_E} SELECT d.doc_id AS vec_id, round(coalesce({_NORM.format('v')}, 0), 6) AS norm FROM documents d LEFT JOIN e ON e.vec_id = d.doc_id",
+    "align_drop": f"WITH {_E} SELECT vec_id, round({_NORM.format('v')}, 6) AS norm FROM documents d JOIN e ON e.vec_id = d.doc_id",
+    "cached_lookup": """WITH w AS (SELECT e.vec_id, CAST(e.label AS BIGINT) AS label FROM embeddings e WHERE vec_id IN (SELECT doc_id FROM labels))
+SELECT vec_id, label, true AS cached FROM w UNION ALL SELECT vec_id, CASE WHEN (SELECT min(vec_id) FROM w) > 50 THEN label ELSE -1 END, false FROM w""",
+    "label_merge": """SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS lost
+FROM documents JOIN labels USING (doc_id) GROUP BY lang""",
+    "scenario_lookup": f"WITH {_SCEN} SELECT request_id AS id, category, item FROM sc WHERE request_id IN ('1A', '4')",
+    "age_bands": """SELECT p_partkey, CASE WHEN a BETWEEN 19 AND 29 THEN '19-29' WHEN a BETWEEN 30 AND 49 THEN '30-49' WHEN a BETWEEN 50 AND 69 THEN '50-69' ELSE 'other' END AS band,
+CASE WHEN a BETWEEN 19 AND 29 THEN '19-29' WHEN a BETWEEN 30 AND 49 THEN '30-49' WHEN a BETWEEN 50 AND 69 THEN '50-69' WHEN a >= 70 THEN '70+' ELSE 'other' END AS band_70 FROM (SELECT p_partkey, p_size * 2 AS a FROM part)""",
+    "persona_texts": f"""WITH c AS (SELECT *, ({_TOKENS.format("text")})[1:3] AS w FROM conversations), d AS (SELECT *, array_to_string(w, ' ') AS h, regexp_replace(array_to_string(w, ' '), '[''"\\[\\],]', '', 'g') AS plain FROM c)
+SELECT conv_id, turn, concat_ws(' ', role, CAST(turn AS VARCHAR), CASE WHEN h <> '' THEN h END, 'end') AS text,
+  CASE turn % 3 WHEN 0 THEN array_to_string(string_split(plain, ' '), '|') WHEN 1 THEN trim(plain) ELSE '' END AS listed FROM d""",
+    "text_tidied": "SELECT conv_id, turn, role FROM conversations",
+    "describe_values": "WITH v AS (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount FROM lineitem) ON l_quantity, l_extendedprice, l_discount INTO NAME \"column\" VALUE x)\n"
+    "SELECT \"column\", count(x) AS count, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, round(min(x), 4) AS min, round(quantile_cont(x, 0.25), 4) AS p25, round(quantile_cont(x, 0.5), 4) AS p50, round(quantile_cont(x, 0.75), 4) AS p75, round(max(x), 4) AS max FROM v GROUP BY 1",
+    "value_pivot": f"SELECT source, {', '.join(f"nullif(count(*) FILTER (lang = '{x}'), 0) AS {x}" for x in ('en', 'fr', 'de', 'es'))} FROM documents GROUP BY source",
+    "user_prompts": "SELECT conv_id, turn, CASE WHEN role = 'user' AND text <> '' THEN role || ': ' || substr(text, 1, 20) ELSE '[' || role || ' waits at ' || turn || ']' END AS user_prompt FROM conversations",
 }
+
+_TYPE = "CASE tag " + " ".join(f"WHEN {_literal(t)} THEN {i}" for t, i in selection.TAG_TYPES.items()) + " ELSE 1 END"
+_PANELS = f"""pan AS (SELECT request_id, (request_id // 10) % 7 AS scenario, (request_id // 10) // 7 AS repeat, position AS ordinal, slot, card_id, arch, tag, {_TYPE} AS type FROM ({_panel(False)})),
+ans AS (SELECT *, CASE type {" ".join(f"WHEN {k} THEN {_literal(v)}" for k, v in ANSWERS.items())} END AS text FROM pan)"""
+_SCORED = f"{_lexical('ans', 'request_id', 'ordinal', 'text')}, sc AS (SELECT request_id, avg(dist) AS m FROM pairs GROUP BY request_id)"
+_TRIALS = f"""{_PANELS}, {_SCORED}, tr AS (SELECT scenario, repeat, coalesce(any_value(m), 0) AS diversity, count(*) AS n_valid, array_to_string(list_sort(list(type)), ',') AS types, count(DISTINCT type) AS k, CAST(sum(card_id % 17) AS DOUBLE) AS t_total
+  FROM ans LEFT JOIN sc USING (request_id) GROUP BY scenario, repeat)"""
+SQL["table_answers"] = f"WITH {_PANELS} SELECT request_id, ordinal, type, text FROM ans"
+SQL["trial_table"] = f"WITH {_TRIALS} SELECT scenario, repeat, round(diversity, 6) AS diversity, 'self_bleu' AS method, diversity >= 0.25 AS passed, n_valid, types, k AS n_distinct_types, t_total FROM tr"
+_MEASURE = "SELECT coalesce(CAST(scenario AS VARCHAR), 'ALL') AS scenario, '{0}' AS measure, count(*) AS n_trials, round(avg(CASE WHEN diversity >= 0.25 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, round(avg(CASE WHEN k = 3 THEN 1.0 ELSE 0.0 END), 6) AS distinct_type_rate, round(avg({0}), 6) AS mean, round(quantile_cont({0}, 0.5), 6) AS p50, round(quantile_cont({0}, 0.95), 6) AS p95, round(min({0}), 6) AS min, round(max({0}), 6) AS max FROM tr GROUP BY ROLLUP (scenario)"
+SQL["trial_report"] = f"WITH {_TRIALS} {_MEASURE.format('diversity')} UNION ALL {_MEASURE.format('t_total')}"
+SQL["results_json"] = f"""WITH {_PANELS}, {_SCORED} SELECT request_id, '{{"scenario":{{"scenario":' || scenario || ',"repeat":' || repeat || '}},"diversity":{{"mean_score":' || CAST(round(coalesce(any_value(m), 0), 4) AS VARCHAR) || ',"passed":' || (coalesce(any_value(m), 0) >= 0.25)
+  || ',"threshold":0.25}},"mentors":[' || string_agg('{{"slot":"' || slot || '","card_id":' || card_id || ',"tag":"' || tag || '","type":' || type || ',"text":"' || text || '"}}', ',' ORDER BY ordinal) || ']}}' AS json
+FROM ans LEFT JOIN sc USING (request_id) GROUP BY request_id, scenario, repeat"""
+
+
+def system_prompts(sections: list[tuple[int, str]], guides: dict[int, tuple[str, str]]) -> str:
+    """The sections with their places filled by ``replace``."""
+    values = {
+        "name": "'card ' || card_id", "arch": "arch", "child": "'a child of ten'", "memories": "'  * saw ' || item || chr(10) || '  * has a friend'", "item": "item", "category": "category", "price": "format('{:,}', price)", "type": "CAST(type AS VARCHAR)",
+        "style": "CASE type " + " ".join(f"WHEN {k} THEN {_literal(v[0])}" for k, v in guides.items()) + " END", "guide": "CASE type " + " ".join(f"WHEN {k} THEN {_literal(v[1])}" for k, v in guides.items()) + " END",
+    }
+    text = _literal("\n\n".join(t for _, t in sorted(sections)))
+    for k, v in values.items():
+        text = f"replace({text}, '{{{k}}}', {v})"
+    scenes = ", ".join(f"({n}, {_literal(c)}, {_literal(i)}, {p})" for n, (_, c, _, i, p) in enumerate(SCENARIOS[:7]))
+    return f"WITH {_PANELS} SELECT request_id, ordinal, type, {text} AS prompt FROM pan JOIN (VALUES {scenes}) t(scenario, category, item, price) USING (scenario)"

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,12 +27,27 @@ def ship(spark: SparkSession) -> None:
     sc._mosaiq_shipped = True
 
 
-def saved(df):
-    """``df`` computed once, its lineage cut by a checkpoint in the folder that the cluster shares (``spark.checkpoint.dir``).
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``); on one machine a temporary folder may take its place."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir()
+    return base.rstrip("/")
 
-    Only where that setting is missing, as in tests, a temporary folder takes its place.
-    """
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one, removed when the driver's JVM ends."""
+    path = f"{shared_base(spark)}/mosaiq-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
+    return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its lineage cut by a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint()

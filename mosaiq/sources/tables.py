@@ -76,8 +76,14 @@ def admitted(active: int, queued_tokens: int, next_tokens: int, most_active: int
 
 
 def write_mapping(mapping: DataFrame, path: str) -> None:
-    """``key, label`` rows as a JSON object per line."""
-    mapping.select(F.to_json(F.map_from_arrays(F.array(F.col("key").cast("string")), F.array("label"))).alias("value")).write.mode("overwrite").text(path)
+    """``key, label`` rows, a few of them such as a row a cluster, as one JSON object in order of the keys."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("key").cast("string"), "label")))
+    mapping.agg(F.to_json(F.map_from_entries(pairs)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """``key, label`` rows from a JSON object."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "label"))
 
 
 def write_chunks(df: DataFrame, path: str, chunk: Column, done: set[int], transform: Callable[[DataFrame], DataFrame]) -> None:

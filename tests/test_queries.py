@@ -37,8 +37,8 @@ def test_query(spark, sf_dir, duck, name):
         assert sorted(tuple(_cell(r[i]) for i in at) for r in cur.fetchall()) == rows
 
 
-def test_entry(spark):
-    assert entry.entry(spark).count() == 5
+def test_entry(spark, sf_dir):
+    assert entry.entry(spark).count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label").distinct().count()
 
 
 def test_names():
