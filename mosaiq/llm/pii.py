@@ -29,7 +29,7 @@ IBAN_LENGTHS = {
 def _iban() -> str:
     """Spans of just the length that their country has, so that a word or number behind one is no part of it."""
     of = {n: "|".join(c for c, m in IBAN_LENGTHS.items() if m == n) for n in sorted(set(IBAN_LENGTHS.values()))}
-    return r"\b(?:" + "|".join(rf"(?:{codes})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in of.items()) + r")\b"
+    return r"\b(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(rf"(?:{codes})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in of.items()) + r")\b"
 
 
 PATTERNS = {
