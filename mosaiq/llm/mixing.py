@@ -32,6 +32,8 @@ SHARDS = 64
 SEED = "42"
 #: Rows (sources times blocks) that travel to every executor at most; with more, Spark joins as it sees fit.
 MAX_LOOKED_UP = 1 << 20
+#: Sources that a row of the tree holds, about, and tasks that split its nodes.
+GROUP, TASKS = 256, 16
 #: Length of the lists that results are gathered in.
 _LIST = 64
 #: Terms taken on either side of a hypergeometric distribution's mode, in standard deviations.
@@ -179,33 +181,48 @@ def split_quotas(quota: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     ``start`` is where the shard's range begins among the source's permuted draws. The
     tree's nodes are rows that hold one quota a source; a level turns each node into two.
+    With more than ``GROUP`` sources a tree is grown for groups of them first, as if they
+    were sources; what a group got in each shard then bounds the tree of its own sources, so
+    that no row holds more than a group, and groups are split by many tasks.
     """
     pair = F.struct(F.col("source").isNull().alias("last"), "source", "quota", F.lit(0).cast("long").alias("start"))
-    nodes = quota.groupBy().agg(F.sort_array(F.collect_list(pair)).alias("q")).select(
-        F.lit(0).alias("first"), F.lit(shards).alias("wide"), "q"
-    )
-    while shards > 1:
-        shards = (shards + 1) // 2
-        left = F.floor(F.col("wide") / 2)
-        total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["quota"])
-        nodes = nodes.withColumn("total", total).withColumn("drawn", F.floor(F.col("total") * left / F.col("wide")))
-        start = F.struct(F.col("total").alias("n"), F.col("drawn").alias("k"))
-
-        def step(a: Column, x: Column) -> tuple[Column, Column]:
-            u = hash60(F.lit("tree"), F.lit(SEED), F.col("first"), F.col("wide"), F.coalesce(x["source"], F.lit("\0"))) / float(1 << 60)
-            got = _hypergeometric(x["quota"], a["n"], a["k"], u)
-            return F.struct((a["n"] - x["quota"]).alias("n"), (a["k"] - got).alias("k")), got
-
-        nodes = nodes.withColumn("got", _scan(F.col("q"), start, step, "bigint"))
-        kept = F.zip_with("q", "got", lambda x, g: x.withField("quota", g))
-        rest = F.zip_with("q", "got", lambda x, g: x.withField("quota", x["quota"] - g).withField("start", x["start"] + g))
-        halves = F.array(
-            F.struct(F.col("first"), left.cast("int").alias("wide"), kept.alias("q")),
-            F.struct((F.col("first") + left).cast("int").alias("first"), (F.col("wide") - left).cast("int").alias("wide"), rest.alias("q")),
-        )
-        one = F.array(F.struct("first", "wide", "q"))
-        # A table of one row per node, cut here: nested lambdas would be planned anew at each level.
-        nodes = written(nodes.select(F.explode(F.when(F.col("wide") > 1, halves).otherwise(one)).alias("h")).select("h.*"))
+    sources = quota.count()
+    group = F.pmod(F.xxhash64("source"), F.lit(max(1, 2 * sources // GROUP))) if sources > GROUP else F.lit(0)
+    held = quota.groupBy(group.alias("group")).agg(F.sort_array(F.collect_list(pair)).alias("q"))
+    if sources > GROUP:
+        of_group = written(quota.groupBy(group.alias("group")).agg(F.sum("quota").alias("quota")))
+        above = split_quotas(of_group.select(F.col("group").cast("string").alias("source"), "quota"), shards)
+        leaves = above.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("shard", "quota")))["quota"].alias("leaves"))
+        held = held.join(leaves, F.col("group").cast("string") == F.col("source")).drop("source")
+    else:
+        held = held.withColumn("leaves", F.lit(None).cast("array<bigint>"))
+    nodes = held.select("leaves", F.lit(0).alias("first"), F.lit(shards).alias("wide"), "q")
+    # The expressions of a level, built once.
+    left = F.floor(F.col("wide") / 2).cast("int")
+    total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["quota"])
+    given = F.aggregate(F.slice("leaves", F.col("first") + 1, left), F.lit(0).cast("long"), lambda a, n: a + n)
+    start = F.struct(F.col("total").alias("n"), F.coalesce(given, F.floor(F.col("total") * left / F.col("wide"))).alias("k"))
+
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
+        u = hash60(F.lit("tree"), F.lit(SEED), F.col("first"), F.col("wide"), F.coalesce(x["source"], F.lit("\0"))) / float(1 << 60)
+        got = _hypergeometric(x["quota"], a["n"], a["k"], u)
+        return F.struct((a["n"] - x["quota"]).alias("n"), (a["k"] - got).alias("k")), got
+
+    got = _scan(F.col("q"), start, step, "bigint")
+    kept = F.zip_with("q", "got", lambda x, g: x.withField("quota", g))
+    rest = F.zip_with("q", "got", lambda x, g: x.withField("quota", x["quota"] - g).withField("start", x["start"] + g))
+    halves = F.array(
+        F.struct("leaves", F.col("first"), left.alias("wide"), kept.alias("q")),
+        F.struct("leaves", (F.col("first") + left).alias("first"), (F.col("wide") - left).alias("wide"), rest.alias("q")),
+    )
+    one = F.array(F.struct("leaves", "first", "wide", "q"))
+    children = F.explode(F.when(F.col("wide") > 1, halves).otherwise(one)).alias("h")
+    widest = shards
+    while widest > 1:
+        widest = (widest + 1) // 2
+        nodes = nodes.select("*", total.alias("total")).select("*", got.alias("got")).select(children).select("h.*")
+        if widest == max(1, shards // 8):
+            nodes = nodes.repartition(TASKS, F.xxhash64("first", "q"))  # from here on nodes are split by many tasks
     return nodes.select(F.col("first").alias("shard"), F.explode("q").alias("x")).select("shard", "x.source", "x.quota", "x.start")
 
 

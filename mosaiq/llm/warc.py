@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mosaiq.llm._common import shared_dir, written
-from mosaiq.runtime import ship
+from mosaiq.llm._common import written
+from mosaiq.runtime import scratch, ship
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
@@ -312,6 +312,6 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The records of ``pages`` as read back from an archive in the shared folder."""
-    uri = shared_dir(pages.sparkSession)
+    uri = scratch(pages.sparkSession)
     write(pages, uri, id_col, url_col, html_col)
     return read(pages.sparkSession, uri)

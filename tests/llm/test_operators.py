@@ -633,6 +633,22 @@ def test_mixing(docs):
     assert again == {r["row_id"]: r["shards"] for r in got}
 
 
+def test_splitting_tree_of_groups(spark, monkeypatch):
+    """More sources than a row holds: exact, disjoint and balanced all the same."""
+    monkeypatch.setattr(mixing, "GROUP", 8)
+    rng = random.Random(0)
+    quotas = {f"s{i}": rng.choice([0, 1, 5, 40]) for i in range(60)} | {None: 7}
+    for shards in (5, 8):
+        rows = rows_of(mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "source string, quota long"), shards))
+        per = Counter()
+        for s, n in quotas.items():
+            mine = sorted((r["start"], r["quota"]) for r in rows if r["source"] == s and r["quota"])
+            assert sum(q for _, q in mine) == n and all(a + q == b for (a, q), (b, _) in zip(mine, mine[1:]))
+        for r in rows:
+            per[r["shard"]] += r["quota"]
+        assert sorted(per) == list(range(shards)) and max(per.values()) - min(per.values()) <= shards
+
+
 def test_splitting_tree(spark):
     quota = spark.createDataFrame([("a", 1000), ("b", 37), (None, 0), ("c", 1)], "source string, quota long")
     for shards in (1, 2, 5, 8):
