@@ -1,23 +1,36 @@
 """Token ids of whole texts by a vocabulary file of the ``tokenizers`` library, as little-endian 32-bit bytes.
 
-White space ends a word in vocabularies of this kind, so a text's ids are those of its
-words one after the other, and each word need be encoded once. Words of plain Latin
-letters, digits and punctuation skip the library's normaliser and splitter, which they
-would pass unchanged but for case; any other word goes through the whole tokenizer.
+Where a file's normaliser and splitter let white space end a word, a text's ids are those
+of its words one after the other, and each word need be encoded once. Words of plain Latin
+letters, digits and punctuation then skip normaliser and splitter, which they would pass
+unchanged but for case; any other word goes through the whole tokenizer. With any other
+file whole texts do.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 
-#: Words held by a worker at most; the store is emptied when full. A word of over 64 bytes is not held.
-MAX_WORDS, MAX_BYTES = 200_000, 64
+#: Words, and parts of words, held by a worker at most; a store is emptied when full. A word of over 64 bytes is not held.
+MAX_WORDS, MAX_BYTES = 300_000, 64
 
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿßŒœ]*")
-#: Pieces of a plain, lower-case word, by the vocabulary file's own split pattern.
+#: Pieces of a plain, lower-case word, by the split pattern of ``WORDWISE``.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿßœ]+|[0-9]|[^a-zà-öø-ÿßœ0-9]+")
+#: The normaliser and splitter, as a file states them, for which words can be encoded one by one.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,40 +44,55 @@ class WordIds(dict):
     """Word (bytes) -> its ids (bytes); ``text_ids`` gives those of a text."""
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.pieces, self.letters = self.tokenizer.model, {}, _byte_letters()
+        with open(path, encoding="utf-8") as f:
+            stated = json.load(f)
+        self.marks = [t["content"] for t in stated["added_tokens"]]
+        # A mark within a word is found by the whole tokenizer; one with a blank in it would not be.
+        self.wordwise = all(stated.get(k) == v for k, v in WORDWISE.items()) and not any(c.isspace() for m in self.marks for c in m)
 
     def text_ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        return b"".join(map(self.__getitem__, text.encode().split())) if self.wordwise else self._whole(text)
+
+    def _whole(self, text: str) -> bytes:
+        got = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(got)}I", *got)
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            ids = b"".join(map(self._piece, _PIECES.findall(text.lower())))
+        if _PLAIN.fullmatch(text) and not any(m in text for m in self.marks):
+            pieces = _PIECES.findall(text.lower())
+            ids = self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._known_piece, pieces))
         else:
-            got = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(got)}I", *got)
-        if len(word) <= MAX_BYTES:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[word] = ids
+            ids = self._whole(text)
+        _hold(self, word, ids)
         return ids
 
-    def _piece(self, piece: str) -> bytes:
+    def _known_piece(self, piece: str) -> bytes:
+        """Parts of several words are held as well."""
         ids = self.pieces.get(piece)
         if ids is None:
-            shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            got = [t.id for t in self.model.tokenize(shown)]
-            ids = struct.pack(f"<{len(got)}I", *got)
-            if len(piece) <= MAX_BYTES:
-                if len(self.pieces) >= MAX_WORDS:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
+            ids = self._piece(piece)
+            _hold(self.pieces, piece, ids)
         return ids
 
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        got = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(got)}I", *got)
+
+
+def _hold(known: dict, key: str | bytes, ids: bytes) -> None:
+    if len(key) <= MAX_BYTES:
+        if len(known) >= MAX_WORDS:
+            known.clear()
+        known[key] = ids
+
 
 _loaded: dict[str, WordIds] = {}
 

@@ -780,6 +780,23 @@ def test_tokens_match_the_library(docs):
         assert np.frombuffer(words.text_ids(t), dtype="<u4").tolist() == e.ids, t[:50]
 
 
+def test_tokens_of_another_vocabulary(docs, tmp_path):
+    """A file with other rules is not taken apart into words."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    stated = json.load(open(queries.vocabulary(), encoding="utf-8"))
+    stated["normalizer"]["normalizers"].pop()  # case matters
+    (tmp_path / "other.json").write_text(json.dumps(stated), encoding="utf-8")
+    texts = [r["text"] or "" for r in docs.limit(40).collect()] + ["Don't  STOP now", "a\n b"]
+    for path in (public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "other.json")):
+        tok, words = Tokenizer.from_file(path), tokens.WordIds(path)
+        assert not words.wordwise
+        for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(words.text_ids(t), dtype="<u4").tolist() == e.ids
+    assert tokens.WordIds(queries.vocabulary()).wordwise
+
+
 @pytest.mark.parametrize("capacity", [16, 4096])
 def test_packing(docs, capacity):
     from tokenizers import Tokenizer
