@@ -21,6 +21,8 @@ _EVEN = "[^acegikmoqsuwyACEGIKMOQSUWY13579]"
 #: A cut follows eight characters whose bits are this word: one place in 256 or so.
 CUT = "".join(_ODD if b == "1" else _EVEN for b in "01101001")
 MIN_CHUNK, MAX_CHUNK = 512, 8192
+#: A group is hot that holds more than the HOT-th part of all rows.
+HOT = 1000
 
 
 def normalise(text: Column) -> Column:
@@ -100,16 +102,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are not read, so their names cannot clash. An empty table gives an
     empty result.
 
-    The text is read once (recipes are a small table in the shared folder).
-    Groups are counted with partial aggregation; the join back has one row per group on
-    one side, so Spark can split a group of any size on the other.
+    The text is read once (recipes are a small table in the shared folder). Groups are
+    counted with partial aggregation. Those of more than ``1 / HOT`` of all rows, fewer than
+    ``HOT`` groups, are looked up on the map side; the rest joins by recipe, none of them
+    large enough to hold a task up.
     """
     staged = written(recipes(docs, id_col, text_col))
     rows = verified(staged)
     # A flag for null ids, not a struct: fixed-width buffers are aggregated by hash.
     smallest = F.when(F.max(F.col("row_id").isNull()), None).otherwise(F.min("row_id"))
-    groups = rows.groupBy("recipe").agg(smallest.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, "recipe").select(
+    groups = written(rows.groupBy("recipe").agg(smallest.alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    large = F.col("group_size") * HOT > total
+    hot = groups.where(large & (F.col("group_size") > 1)).select(F.col("recipe").alias("of"), "keep_id", "group_size")
+    met = rows.join(F.broadcast(hot), F.col("recipe") == F.col("of"), "left")
+    names = ["row_id", "text_sha256", "keep_id", "group_size"]
+    rest = met.where("of IS NULL").select("row_id", "text_sha256", "recipe").join(groups, "recipe")
+    return met.where("of IS NOT NULL").select(names).union(rest.select(names)).select(
         F.col("row_id").alias(id_col),
         "keep_id",
         "group_size",
