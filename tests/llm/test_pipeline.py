@@ -90,3 +90,20 @@ def test_one_row_of_each_stays(spark, monkeypatch, filtered):
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, a), (5, b), (None, c), (8, "x y z"), (10, None), (12, "alone here now")], key=str)
     got = stages["simhash"](spark, df, "")
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, a), (5, b), (7, c), (8, "x y z"), (10, None), (12, "alone here now")], key=str)
+
+
+def test_every_stage_on_awkward_tables(spark):
+    """Nulls in any column, repeated rows and ids, very long and empty texts, clashing names, empty tables."""
+    rows = [(1, "ein Haus und ein Garten", "de", "a", 3), (1, "ein Haus und ein Garten", "de", "a", 3), (1, "a house and a garden", "en", None, None), (None, "a house and a tree", None, "b", 1), (None, None, None, None, None), (2, "", "en", "a", 0), (3, "word " * 30_000, "en", "b", 150_000)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = ["row_id", "keep", "tag", "shard", "turn", "key", "block", "lang_pred", "score", "piece", "length"]
+    df = spark.createDataFrame(rows, kind).withColumns({c: F.lit("x") for c in clash})
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (df, df.limit(0)):
+            got = stage(spark, docs, "")
+            assert (got.columns == df.columns) == (name != "packing")
+            assert (got.count() > 0) == (docs is df)
+    words = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.language(spark, df, "").collect())
+    assert sum(words.values()) == 5 and words[1, "ein Haus und ein Garten"] == 2
+    pieces = corpus_pipeline.pack(spark, df, "").collect()
+    assert Counter(r["doc_id"] for r in pieces if r["piece"] == 0) == Counter(r[0] for r in rows)
