@@ -31,7 +31,7 @@ LEAST_COUNT = 3
 #: Weight of a step of backing off.
 BACKOFF = 0.5
 #: Scores of unseen words that a worker holds at most, and words scored at a time.
-CACHE, _PART = 1_200_000, 8_192
+CACHE, _PART = 400_000, 8_192
 UNDECIDED = "und"
 #: Values of the hash that picks the training sample.
 HASHES = 1 << 60
