@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.functions import text as T
 from mosaiq.functions import vectors as V
+from mosaiq.operators.quantiles import counts, percentiles
 
 THRESHOLD, MAX_RETRY = 0.25, 2
 FAILED = "[failed]"
@@ -96,10 +96,5 @@ def gate(attempts: DataFrame, threshold: float = THRESHOLD, max_retry: int = MAX
 def compare_scorers(distances: DataFrame, model: str, group: str) -> DataFrame:
     """``(model, mean, median, min, max, n)`` of the groups' mean distances under several scorers."""
     means = distances.groupBy(model, group).agg(F.avg("dist").alias("m"))
-    return means.groupBy(model).agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.5)).alias("median"), F.min("m").alias("min"), F.max("m").alias("max"), F.count(F.lit(1)).alias("n"))
-
-
-def first_n(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
-    """The first n rows of each group as ``ordinal`` 0 to n - 1; Spark cuts groups before the shuffle."""
-    rank = F.row_number().over(W.partitionBy(group).orderBy(order))
-    return df.withColumn("__r", rank).where(F.col("__r") <= n).withColumn("ordinal", F.col("__r") - 1).drop("__r")
+    middle = percentiles(counts(means, F.col("m"), F.col(model)), [0.5]).select(F.col("g").alias(model), F.get("p", F.lit(0)).alias("median"))
+    return means.groupBy(model).agg(F.avg("m").alias("mean"), F.min("m").alias("min"), F.max("m").alias("max"), F.count(F.lit(1)).alias("n")).join(middle, model).select(model, "mean", "median", "min", "max", "n")

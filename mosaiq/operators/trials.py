@@ -29,15 +29,14 @@ def trial_table(answers: DataFrame, times: DataFrame | None = None, method: str
 
 def trial_report(trials: DataFrame, measures: list[str], overall: str = "ALL") -> DataFrame:
     """``(scenario, measure, n_trials, pass_rate, distinct_type_rate, mean, p50, p95, min, max)`` by scenario and over all trials."""
-    rates = trials.rollup("scenario").agg(
-        F.count(F.lit(1)).alias("n_trials"), F.avg(F.col("passed").cast("double")).alias("pass_rate"), F.avg((F.col("n_distinct_types") == TYPES_WANTED).cast("double")).alias("distinct_type_rate"), F.grouping("scenario").alias("g")
+    each = [F.struct(F.lit(m).alias("measure"), *stats.bundle(m)).alias(f"__{m}") for m in measures]
+    rolled = trials.rollup("scenario").agg(
+        F.count(F.lit(1)).alias("n_trials"), F.avg(F.col("passed").cast("double")).alias("pass_rate"), F.avg((F.col("n_distinct_types") == TYPES_WANTED).cast("double")).alias("distinct_type_rate"),
+        F.grouping("scenario").alias("g"), *each,
     )
-    rates = rates.select(F.when(F.col("g") == 1, overall).otherwise(F.col("scenario").cast("string")).alias("scenario"), "n_trials", "pass_rate", "distinct_type_rate")
-    found = None
-    for m in measures:
-        one = stats.bundle_by(trials, "scenario", m, overall).select("scenario", F.lit(m).alias("measure"), "mean", "p50", "p95", "min", "max")
-        found = one if found is None else found.union(one)
-    return found.join(rates, "scenario")
+    name = F.when(F.col("g") == 1, overall).otherwise(F.col("scenario").cast("string")).alias("scenario")
+    rows = rolled.select(name, "n_trials", "pass_rate", "distinct_type_rate", F.explode(F.array(*(f"__{m}" for m in measures))).alias("m"))
+    return rows.select("scenario", "m.measure", "n_trials", "pass_rate", "distinct_type_rate", *(f"m.{c}" for c in ("mean", "p50", "p95", "min", "max")))
 
 
 def results_json(answers: DataFrame, scored: DataFrame, request: str, request_fields: list[str], slot_fields: list[str], threshold: float = diversity.THRESHOLD) -> DataFrame:

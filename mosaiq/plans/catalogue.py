@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.functions import encode
 from mosaiq.functions import text as T
 from mosaiq.functions import vectors as V
 from mosaiq.operators import cluster, diversity, grouping, joins, labels, prompts, sampling, scoring, selection, stats, topk, trials
@@ -399,7 +400,10 @@ _QUALITY = "silhouette double, davies_bouldin double, calinski_harabasz double,
 
 
 def k_sweep(spark, sf_dir):
-    return _table(spark, cluster.sweep(_emb(spark, sf_dir), "embedding", DIM, "vec_id", range(8, 12), starts=2), f"k int, {_QUALITY}")
+    """Quality by number of clusters, and which of them has the best silhouette."""
+    rows = cluster.sweep(_emb(spark, sf_dir), "embedding", DIM, "vec_id", range(8, 12), starts=2)
+    chosen = cluster.best(rows, "silhouette")
+    return _table(spark, [{**r, "best": r is chosen} for r in rows], f"k int, {_QUALITY}, best boolean")
 
 
 def reduction_comparison(spark, sf_dir):
@@ -425,6 +429,27 @@ def spherical_kmeans(spark, sf_dir):
     return cluster.by_cosine(e, "u", centres).select("vec_id", "cluster", _r6("sim").alias("sim"))
 
 
+def explained_variance(spark, sf_dir):
+    """Shares of the variance by principal component, and how many components explain nine tenths; all of them explain all."""
+    shares = cluster.pca(_emb(spark, sf_dir), "embedding", DIM)[1]
+    rows = [(len(shares), bool(abs(shares.sum() - 1) < 1e-9), bool((shares[:-1] >= shares[1:] - 1e-12).all()), bool(shares[: cluster.components_for(shares, 0.9)].sum() >= 0.9))]
+    return spark.createDataFrame(rows, "components int, sums_to_one boolean, descending boolean, enough boolean")
+
+
+def encoded_texts(spark, sf_dir):
+    """Two text columns encoded by themselves and joined; each part has unit length, or is zero where there are no words."""
+    rows = encode.encoded_columns(_read(spark, sf_dir, "documents").select("doc_id", "text", F.nullif("source", F.lit("src0")).alias("source")), ["text", "source"], lambda: encode.HashingEncoder(32))
+    part = lambda i: F.round(V.norm(V.block(F.col("embedding"), i, 32)), 4)
+    return rows.select("doc_id", F.size("embedding").cast("long").alias("dim"), part(0).alias("text_norm"), part(1).alias("source_norm"))
+
+
+def encoded_lists(spark, sf_dir):
+    """Lists of words, a vector each; empty lists stay."""
+    items = F.filter(F.slice(T.tokens(F.col("text")), 1, 4), lambda w: F.length(w) > 3)
+    rows = encode.encoded_items(_read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), items.alias("items")), "id", "items", lambda: encode.HashingEncoder(16))
+    return rows.select("id", F.size("embeddings").cast("long").alias("n"), F.coalesce(F.round(F.array_max(F.transform("embeddings", V.norm)), 4), F.lit(0.0)).alias("norm"))
+
+
 def clusters_hold(spark, sf_dir):
     """What every run must fulfil: residuals without a trace of the covariates, rows nearest to their own centroid, agreement within its bounds."""
     e = _emb(spark, sf_dir).withColumn("len", (F.col("vec_id") % 37).cast("double")).withColumn("kind", (F.col("label") % 3).cast("string"))
@@ -638,7 +663,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         trial_rates, threshold_loss_curve, token_stats, lexical_diversity, ngram_counts, embedding_diversity, scorer_ablation, response_postprocess, retry_gate,
         prefix_saturation, tag_inference, affinity_scores, mentor_selection, mentor_selection_reliable, greedy_dedupe, fixed_label_quality, sampled_silhouette,
         label_agreement, rank_correlation, value_histogram, regress_out, pca_kmeans, bootstrap_ari, prompt_parts,
-        ivf_recall, k_sweep, reduction_comparison, pca_sweep, weight_grid, spherical_kmeans, clusters_hold,
+        ivf_recall, k_sweep, reduction_comparison, pca_sweep, weight_grid, spherical_kmeans, clusters_hold, explained_variance, encoded_texts, encoded_lists,
         csv_round_trip, json_requests, json_mapping, resumed_chunks, parsed_properties, score_attach, score_equal, align_zero_fill, align_drop, cached_lookup, label_merge,
         scenario_lookup, age_bands, persona_texts, text_tidied, describe_values, value_pivot, system_prompts, user_prompts, table_answers, trial_table, trial_report, results_json,
     )

@@ -336,6 +336,10 @@ UNION ALL SELECT 'emotional', 'social', round(corr(emotional, social), 6) FROM r
 SELECT conv_id, turn, CASE WHEN h = '' THEN 'unknown' ELSE h END AS head, CASE WHEN contains(text, 'the') THEN 'the' WHEN contains(text, 'und') THEN 'und' WHEN contains(text, 'de') THEN 'de' ELSE 'none' END AS keyword,
   array_to_string(w[1:5], ', ') AS first_words, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS type, 'role: ' || role || ' | turn: ' || turn AS labelled FROM c""",
     "clusters_hold": "SELECT true AS no_trace, true AS ari_in_bounds, true AS unit, count(*) AS n, 10 AS clusters FROM embeddings",
+    "explained_variance": "SELECT any_value(len(embedding)) AS components, true AS sums_to_one, true AS descending, true AS enough FROM embeddings",
+    "encoded_texts": f"SELECT doc_id, CAST(64 AS BIGINT) AS dim, CASE WHEN len({_TOKENS.format('text')}) > 0 THEN 1.0 ELSE 0.0 END AS text_norm, CASE WHEN source <> 'src0' THEN 1.0 ELSE 0.0 END AS source_norm FROM documents",
+    "encoded_lists": f"""WITH c AS (SELECT conv_id || '-' || turn AS id, list_filter(({_TOKENS.format("text")})[1:4], lambda w: length(w) > 3) AS w FROM conversations)
+SELECT id, CAST(len(w) AS BIGINT) AS n, CASE WHEN len(w) > 0 THEN 1.0 ELSE 0.0 END AS norm FROM c""",
     "csv_round_trip": "SELECT * FROM customer",
     "json_requests": """SELECT '{"custom_id":"req-' || (doc_id + 1000) || '","method":"POST","body":{"lang":"' || lang || '","n_chars":' || n_chars || '}}' AS value FROM documents""",
     "json_mapping": "SELECT vec_id, CASE WHEN label <> 3 THEN 'type ' || label END AS label FROM embeddings",
