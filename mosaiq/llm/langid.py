@@ -147,11 +147,11 @@ def _rows(counts: pd.DataFrame, langs: list[str], totals: dict[str, float]) -> d
     return table
 
 
-def _grams(chars: Column, n: int) -> Column:
+def _grams(marked: Column, n: int) -> Column:
     """The ``(kind, item)`` of each run of ``n`` characters."""
-    gram = lambda i: F.struct(F.lit(n).alias("kind"), F.array_join(F.slice(chars, i, n), "").alias("item"))
-    found = F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), gram)
-    return F.when(F.size(chars) >= n, found).otherwise(F.array().cast("array<struct<kind:int,item:string>>"))
+    last = F.length(marked) - n + 1
+    found = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.lit(n).alias("kind"), F.substring(marked, i, F.lit(n)).alias("item")))
+    return F.when(last >= 1, found).otherwise(F.array().cast("array<struct<kind:int,item:string>>"))
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
@@ -182,8 +182,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     words = sample.select("text", "lang").mapInPandas(count, "lang string, item string, n long")
     words = words.groupBy("lang", "item").agg(F.sum("n").alias("n"))
     # N-grams come from each word once, weighted by how often it was seen.
-    marked = words.withColumn("chars", F.split(F.concat(F.lit("<"), "item", F.lit(">")), ""))
-    grams = [_grams(F.col("chars"), n) for n in GRAMS]
+    marked = words.withColumn("marked", F.concat(F.lit("<"), "item", F.lit(">")))
+    grams = [_grams(F.col("marked"), n) for n in GRAMS]
     items = F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col("item"))), *grams)
     counts = marked.select("lang", "n", F.explode(items).alias("x")).select("lang", "n", "x.kind", "x.item")
     summed = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).where((F.col("kind") > 0) | (F.col("n") >= LEAST_COUNT))
