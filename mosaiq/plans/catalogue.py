@@ -474,6 +474,36 @@ def csv_round_trip(spark, sf_dir):
     return tables.csv(spark, path, customers.schema)
 
 
+def parquet_rolled(spark, sf_dir):
+    """Files rolled by rows; a second write finds them there and leaves them."""
+    customers, path = _read(spark, sf_dir, "customer"), scratch(spark)
+    tables.write_parquet(customers, path, rows_per_file=400)
+    tables.write_parquet(customers.limit(0), path, exists="ignore")
+    return tables.parquet(spark, path, "c_custkey", "c_name")
+
+
+def json_array(spark, sf_dir):
+    """One JSON document that holds a list of objects, some of their fields asked for."""
+    path = scratch(spark)
+    objects = F.collect_list(F.struct(F.col("request_id").alias("id"), "item", "price", F.col("reasons").alias("tags")))
+    tables.write_lines(_scenarios(spark).agg(F.to_json(objects).alias("value")).coalesce(1), path)
+    return tables.json_documents(spark, path, "id string, item string, price int, missing string")
+
+
+def key_equality(spark, sf_dir):
+    """Whether two tables have the same ids, in whatever order."""
+    docs, marks = _read(spark, sf_dir, "documents").select("doc_id"), _read(spark, sf_dir, "labels").select("doc_id")
+    found = (joins.same_keys(docs, docs.orderBy(F.desc("doc_id")), "doc_id"), joins.same_keys(docs, marks, "doc_id"), joins.same_keys(marks, docs, "doc_id"))
+    return spark.createDataFrame([found], "reordered boolean, fewer boolean, more boolean")
+
+
+def affinity_tag_major(spark, sf_dir):
+    """The same scores from a matrix that is given by tag, within a wrapper."""
+    tags = selection.inferred_tags(F.lit(None).cast("array<string>"), F.col("reasons"), F.col("category"), F.col("price"))
+    turned = {"matrix": {t: {a: row[t] for a, row in AFFINITY.items()} for t in selection.TAGS}}
+    return selection.affinity(_scenarios(spark).select("request_id", tags.alias("tags")), selection.long_matrix(spark, turned)).select("request_id", "arch", "score")
+
+
 def json_requests(spark, sf_dir):
     """Request lines as a batch job takes them, written and read again."""
     docs, path = _read(spark, sf_dir, "documents"), scratch(spark)
@@ -664,7 +694,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         prefix_saturation, tag_inference, affinity_scores, mentor_selection, mentor_selection_reliable, greedy_dedupe, fixed_label_quality, sampled_silhouette,
         label_agreement, rank_correlation, value_histogram, regress_out, pca_kmeans, bootstrap_ari, prompt_parts,
         ivf_recall, k_sweep, reduction_comparison, pca_sweep, weight_grid, spherical_kmeans, clusters_hold, explained_variance, encoded_texts, encoded_lists,
-        csv_round_trip, json_requests, json_mapping, resumed_chunks, parsed_properties, score_attach, score_equal, align_zero_fill, align_drop, cached_lookup, label_merge,
+        csv_round_trip, parquet_rolled, json_array, key_equality, affinity_tag_major, json_requests, json_mapping, resumed_chunks, parsed_properties, score_attach, score_equal, align_zero_fill, align_drop, cached_lookup, label_merge,
         scenario_lookup, age_bands, persona_texts, text_tidied, describe_values, value_pivot, system_prompts, user_prompts, table_answers, trial_table, trial_report, results_json,
     )
 }

@@ -341,6 +341,9 @@ SELECT conv_id, turn, CASE WHEN h = '' THEN 'unknown' ELSE h END AS head, CASE W
     "encoded_lists": f"""WITH c AS (SELECT conv_id || '-' || turn AS id, list_filter(({_TOKENS.format("text")})[1:4], lambda w: length(w) > 3) AS w FROM conversations)
 SELECT id, CAST(len(w) AS BIGINT) AS n, CASE WHEN len(w) > 0 THEN 1.0 ELSE 0.0 END AS norm FROM c""",
     "csv_round_trip": "SELECT * FROM customer",
+    "parquet_rolled": "SELECT c_custkey, c_name FROM customer",
+    "json_array": f"WITH {_SCEN} SELECT request_id AS id, item, price, CAST(NULL AS VARCHAR) AS missing FROM sc",
+    "key_equality": "SELECT true AS reordered, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) = 0 AS fewer, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) = 0 AS more",
     "json_requests": """SELECT '{"custom_id":"req-' || (doc_id + 1000) || '","method":"POST","body":{"lang":"' || lang || '","n_chars":' || n_chars || '}}' AS value FROM documents""",
     "json_mapping": "SELECT vec_id, CASE WHEN label <> 3 THEN 'type ' || label END AS label FROM embeddings",
     "resumed_chunks": "SELECT c_custkey // 100 % 7 AS chunk, count(*) AS n, round(sum(c_acctbal), 6) AS total FROM customer GROUP BY 1",
@@ -372,6 +375,7 @@ ans AS (SELECT *, CASE type {" ".join(f"WHEN {k} THEN {_literal(v)}" for k, v in
 _SCORED = f"{_lexical('ans', 'request_id', 'ordinal', 'text')}, sc AS (SELECT request_id, avg(dist) AS m FROM pairs GROUP BY request_id)"
 _TRIALS = f"""{_PANELS}, {_SCORED}, tr AS (SELECT scenario, repeat, coalesce(any_value(m), 0) AS diversity, count(*) AS n_valid, array_to_string(list_sort(list(type)), ',') AS types, count(DISTINCT type) AS k, CAST(sum(card_id % 17) AS DOUBLE) AS t_total
   FROM ans LEFT JOIN sc USING (request_id) GROUP BY scenario, repeat)"""
+SQL["affinity_tag_major"] = SQL["affinity_scores"]
 SQL["table_answers"] = f"WITH {_PANELS} SELECT request_id, ordinal, type, text FROM ans"
 SQL["trial_table"] = f"WITH {_TRIALS} SELECT scenario, repeat, round(diversity, 6) AS diversity, 'self_bleu' AS method, diversity >= 0.25 AS passed, n_valid, types, k AS n_distinct_types, t_total FROM tr"
 _MEASURE = "SELECT coalesce(CAST(scenario AS VARCHAR), 'ALL') AS scenario, '{0}' AS measure, count(*) AS n_trials, round(avg(CASE WHEN diversity >= 0.25 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, round(avg(CASE WHEN k = 3 THEN 1.0 ELSE 0.0 END), 6) AS distinct_type_rate, round(avg({0}), 6) AS mean, round(quantile_cont({0}, 0.5), 6) AS p50, round(quantile_cont({0}, 0.95), 6) AS p95, round(min({0}), 6) AS min, round(max({0}), 6) AS max FROM tr GROUP BY ROLLUP (scenario)"
