@@ -13,9 +13,10 @@ import json
 import os
 import re
 import struct
+from collections.abc import Callable
 
 #: Words, and parts of words, held by a worker at most; a store is emptied when full. A word of over 64 bytes is not held.
-MAX_WORDS, MAX_BYTES = 200_000, 64
+MAX_WORDS, MAX_BYTES = 300_000, 64
 
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿßŒœ]*")
 #: Pieces of a plain, lower-case word, by the split pattern of ``WORDWISE``.
@@ -49,49 +50,59 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.pieces, self.letters = self.tokenizer.model, {}, _byte_letters()
+        self.model, self.pieces, self.letters = self.tokenizer.model, _Pieces(self._piece), _byte_letters()
         with open(path, encoding="utf-8") as f:
             stated = json.load(f)
-        self.marks = [t["content"] for t in stated["added_tokens"]]
+        marks = [t["content"] for t in stated["added_tokens"]]
         # A mark within a word is found by the whole tokenizer; one with a blank in it would not be.
-        self.wordwise = all(stated.get(k) == v for k, v in WORDWISE.items()) and not any(c.isspace() for m in self.marks for c in m)
+        self.wordwise = all(stated.get(k) == v for k, v in WORDWISE.items()) and not any(c.isspace() for m in marks for c in m)
+        self.marked = re.compile("|".join(map(re.escape, marks)) or "(?!)").search
 
     def text_ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split())) if self.wordwise else self._whole(text)
 
     def _whole(self, text: str) -> bytes:
-        got = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(got)}I", *got)
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if _PLAIN.fullmatch(text) and not any(m in text for m in self.marks):
-            pieces = _PIECES.findall(text.lower())
-            ids = self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._known_piece, pieces))
-        else:
+        if not _PLAIN.fullmatch(text) or self.marked(text):
             ids = self._whole(text)
-        _hold(self, word, ids)
-        return ids
-
-    def _known_piece(self, piece: str) -> bytes:
-        """Parts of several words are held as well."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self._piece(piece)
-            _hold(self.pieces, piece, ids)
+        else:
+            text = text.lower()
+            ids = self._piece(text) if text.isalpha() else b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
+        if len(word) <= MAX_BYTES:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        got = [t.id for t in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(got)}I", *got)
+        return _packed([t.id for t in self.model.tokenize(shown)])
+
+
+class _Pieces(dict):
+    """Parts of words -> their ids (bytes)."""
+
+    def __init__(self, ids_of: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.ids_of(piece)
+        if len(piece) <= MAX_BYTES:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+_PACKERS = [struct.Struct(f"<{n}I") for n in range(32)]
 
 
-def _hold(known: dict, key: str | bytes, ids: bytes) -> None:
-    if len(key) <= MAX_BYTES:
-        if len(known) >= MAX_WORDS:
-            known.clear()
-        known[key] = ids
+def _packed(ids: list[int]) -> bytes:
+    return _PACKERS[len(ids)].pack(*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 _loaded: dict[str, WordIds] = {}
