@@ -16,7 +16,7 @@ import struct
 from collections.abc import Callable
 
 #: Words, and parts of words, held by a worker at most; a store is emptied when full. A word of over 64 bytes is not held.
-MAX_WORDS, MAX_BYTES = 300_000, 64
+MAX_WORDS, MAX_BYTES = 200_000, 64
 
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿßŒœ]*")
 #: Pieces of a plain, lower-case word, by the split pattern of ``WORDWISE``.
@@ -41,6 +41,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _stated(part) -> dict | None:
+    """What a vocabulary file states about a part of its tokenizer."""
+    return None if part is None else json.loads(part.__getstate__())
+
+
 class WordIds(dict):
     """Word (bytes) -> its ids (bytes); ``text_ids`` gives those of a text."""
 
@@ -51,11 +56,9 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.pieces, self.letters = self.tokenizer.model, _Pieces(self._piece), _byte_letters()
-        with open(path, encoding="utf-8") as f:
-            stated = json.load(f)
-        marks = [t["content"] for t in stated["added_tokens"]]
+        marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # A mark within a word is found by the whole tokenizer; one with a blank in it would not be.
-        self.wordwise = all(stated.get(k) == v for k, v in WORDWISE.items()) and not any(c.isspace() for m in marks for c in m)
+        self.wordwise = all(_stated(getattr(self.tokenizer, k)) == v for k, v in WORDWISE.items()) and not any(c.isspace() for m in marks for c in m)
         self.marked = re.compile("|".join(map(re.escape, marks)) or "(?!)").search
 
     def text_ids(self, text: str) -> bytes:
