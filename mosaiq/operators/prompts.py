@@ -6,8 +6,6 @@ code. ``{name}`` in a template stands for a value of that name.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +16,17 @@ from mosaiq.operators.selection import DEFAULT_TYPE, TAG_TYPES
 def filled(template: Column, values: dict[str, Column]) -> Column:
     """A template with each ``{name}`` replaced by its value, null by the empty string; names without a value stay.
 
-    The template is cut at its first use of each name, so a value that itself holds a
-    ``{name}`` is not filled again.
+    The template is cut around its names first, so a value that itself holds a ``{name}`` is
+    not filled again.
     """
-    pieces = F.transform(F.split(F.coalesce(template, F.lit("")), "(?<=\\})|(?=\\{)"), lambda x: reduce(lambda c, kv: c.when(x == f"{{{kv[0]}}}", F.coalesce(kv[1].cast("string"), F.lit(""))), values.items(), F.when(F.lit(False), "")).otherwise(x))
-    return F.array_join(pieces, "")
+
+    def piece(x: Column) -> Column:
+        found = F.when(F.lit(False), "")
+        for name, value in values.items():
+            found = found.when(x == f"{{{name}}}", F.coalesce(value.cast("string"), F.lit("")))
+        return found.otherwise(x)
+
+    return F.array_join(F.transform(F.split(F.coalesce(template, F.lit("")), "(?<=\\})|(?=\\{)"), piece), "")
 
 
 def bullets(items: Column, mark: str = "  * ") -> Column:

@@ -21,7 +21,7 @@ def _numbered(counted: DataFrame) -> DataFrame:
     group = W.partitionBy("g")  # a row a range
     before = held.select("g", "part", (F.sum("held").over(group.orderBy("part")) - F.col("held")).alias("before"), F.sum("held").over(group).alias("total"))
     last = F.col("before") + F.sum("n").over(W.partitionBy("g", "part").orderBy("value")) - 1
-    joined = ranged.alias("r").join(F.broadcast(before.alias("b")), F.col("r.g").eqNullSafe(F.col("b.g")) & (F.col("r.part") == F.col("b.part")))
+    joined = ranged.alias("r").join(before.alias("b"), F.col("r.g").eqNullSafe(F.col("b.g")) & (F.col("r.part") == F.col("b.part")))
     return joined.select("r.g", "r.part", "value", "n", "before", "total").withColumn("last", last).select("g", "value", (F.col("last") - F.col("n") + 1).alias("first"), "last", "total")
 
 

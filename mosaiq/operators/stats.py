@@ -62,7 +62,7 @@ def bundle_by(df: DataFrame, group: str, column: str, overall: str = "ALL", shar
     x, n = F.col("value").cast("double"), F.when(F.col("value").isNotNull(), F.col("n"))
     facts = counted.groupBy("g").agg(F.sum(x * n).alias("s1"), F.sum(n).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(F.when(x > (over or 0.0), n)).alias("above"))
     mean = facts.select(F.col("g").alias("mg"), (F.col("s1") / F.col("n")).alias("m"))
-    far = counted.join(F.broadcast(mean), F.col("g").eqNullSafe(F.col("mg"))).groupBy("g").agg(F.sum((x - F.col("m")) * (x - F.col("m")) * n).alias("s2"))
+    far = counted.join(mean, F.col("g").eqNullSafe(F.col("mg"))).groupBy("g").agg(F.sum((x - F.col("m")) * (x - F.col("m")) * n).alias("s2"))
     p = percentiles(counted.where("value IS NOT NULL"), list(shares.values()))
     joined = facts.alias("f").join(p.alias("p"), F.col("f.g").eqNullSafe(F.col("p.g")), "left").join(far.alias("a"), F.col("f.g").eqNullSafe(F.col("a.g")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
