@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mosaiq.operators.ordered import first_k, ordinals
+
 
 def order_of(id_col: str, seed: str = "42") -> Column:
     """A seeded, engine-independent order of ids."""
@@ -15,9 +17,17 @@ def order_of(id_col: str, seed: str = "42") -> Column:
 def exact_sample(df: DataFrame, n: int, id_col: str, seed: str = "42") -> DataFrame:
     """Exactly n rows, or all if there are fewer: the first in a seeded hash order, returned by id.
 
-    Each task keeps n rows of its own, so no table-wide sort is needed.
+    The hash of the n-th row is found by counts of its digits, and rows are filtered by it,
+    so no task gathers n rows, however many columns they have. A null id counts as the
+    empty text. Only where more rows of one id meet the limit are the chosen ones numbered.
     """
-    return df.orderBy(order_of(id_col, seed), id_col).limit(n).orderBy(id_col)
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col)))
+    keys = {f"__key{i}": F.conv(F.substring(digest, at, size), 16, 10).cast("long") for i, (at, size) in enumerate([(1, 15), (16, 15), (31, 2)])}
+    keyed = df.withColumns(keys)
+    chosen = keyed.where(first_k(df.select(*(c.alias(k) for k, c in keys.items())), list(keys), n))
+    if chosen.count() > n:
+        chosen = ordinals(chosen, [*keys, id_col], "__ord").where(F.col("__ord") <= n)
+    return chosen.select(df.columns).orderBy(id_col)
 
 
 def water_fill(sizes: DataFrame, n: int, carry: bool = True) -> DataFrame:
