@@ -1,4 +1,4 @@
-"""The ten operators applied to their whole tables, and SQL for those that SQL can express."""
+"""The operators applied to their whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import embedding_dedup, exact_dedup, html_text, langid, mixing, packing, pii, sharding, simhash, warc
+from mosaiq.llm import decontamination, embedding_dedup, exact_dedup, html_text, langid, mixing, packing, pii, resampling, sharding, simhash, vector_codes, warc
 from mosaiq.llm._common import table
+from mosaiq.llm._terms import TERM
 
 #: Production parameters of op1: a hundred slots a shard keep the shares within a percent.
 N_SHARDS, N_SLOTS = 64, 6553
@@ -81,6 +82,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = F.col("hits")
+    return decontamination.scan(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id",
+        "hits.n_words",
+        "hits.n_hit",
+        F.size(hits["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(hits["items"], ","), 256).alias("items_sha256"),
+        (hits["n_hit"] > 0).alias("contaminated"),
+    )
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
@@ -92,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_decontamination": op12_decontamination,
+    "op13_resampling": op13_resampling,
 }
 
 _OP1 = f"""
@@ -208,4 +233,68 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
-ORACLES: dict[str, str] = {"op3_pii": _OP3, "op10_warc": _OP10, "op6_mixing": _OP6, "op1_sharding": _OP1, "op2_exact_dedup": _OP2}
+_N, _K = vector_codes.PARTS, vector_codes.ENTRIES
+
+
+def _op11_round(i: int) -> str:
+    """Assignments under the books of a round, and the books that follow."""
+    last = i == vector_codes.ROUNDS
+    return f"""a{i} AS (SELECT vec_id, part, min(struct_pack(far := list_sum(list_transform(x, lambda c, j: (c - e[j]) * (c - e[j]))), entry := entry, e := e)) AS best
+  FROM parts JOIN b{i} USING (part) GROUP BY vec_id, part)""" + ("" if last else f""",
+m{i} AS (SELECT part, entry, pos, CAST(floor(sum(c)::DOUBLE / count(*)) AS BIGINT) AS mean FROM (
+  SELECT part, best.entry AS entry, unnest(x) AS c, unnest(range(len(x))) AS pos FROM parts JOIN a{i} USING (vec_id, part)) GROUP BY part, entry, pos),
+b{i + 1} AS (SELECT part, entry, coalesce(n.e, b{i}.e) AS e FROM b{i} LEFT JOIN (SELECT part, entry, list(mean ORDER BY pos) AS e FROM m{i} GROUP BY part, entry) n USING (part, entry))""")
+
+
+_OP11 = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, part, q[part * (len(q) // {_N}) + 1 : (part + 1) * (len(q) // {_N})] AS x FROM kept, range({_N}) t(part)),
+b0 AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS INTEGER) AS entry, x AS e FROM parts QUALIFY entry < {_K}),
+{", ".join(map(_op11_round, range(vector_codes.ROUNDS + 1)))},
+digest AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{vector_codes.ROUNDS}),
+codes AS (SELECT vec_id, string_agg(lower(lpad(to_hex(best.entry), 2, '0')), '' ORDER BY part) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM a{vector_codes.ROUNDS} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes JOIN kept USING (vec_id), digest
+"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{TERM}')"
+_L = decontamination.WINDOW
+_OP12 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+n AS (SELECT item_id, w, CAST(least(len(w), {_L}) AS BIGINT) AS size FROM i WHERE len(w) > 0),
+s AS (SELECT DISTINCT item_id, size, array_to_string(w[st : st + size - 1], ' ') AS win FROM n, unnest(range(1, len(w) - size + 2)) t(st)),
+f AS (SELECT DISTINCT doc_id, st, size, array_to_string(w[st : st + size - 1], ' ') AS win FROM d, (SELECT DISTINCT size FROM n), unnest(range(1, len(w) - size + 2)) t(st)),
+h AS (SELECT DISTINCT doc_id, st, size, item_id FROM f JOIN s USING (win, size)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(st, st + size)) AS p FROM (SELECT DISTINCT doc_id, st, size FROM h)) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+#: CRC-32 by its table of 256, which comes from its polynomial by eight halvings a byte.
+_HALVE = "CASE WHEN {x} & 1 = 1 THEN xor({x} >> 1, 3988292384) ELSE {x} >> 1 END"
+_R = resampling
+_OP13 = f"""
+WITH RECURSIVE
+t(i, c, k) AS (SELECT CAST(i AS BIGINT), CAST(i AS BIGINT), 0 FROM range(256) r(i) UNION ALL SELECT i, {_HALVE.format(x="c")}, k + 1 FROM t WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM t WHERE k = 8),
+d AS MATERIALIZED (SELECT doc_id, {_TERMS} AS w FROM documents),
+f AS MATERIALIZED (SELECT true AS doc, doc_id, unnest(w) AS word FROM d UNION ALL SELECT false, item_id, unnest({_TERMS}) FROM benchmark),
+u AS MATERIALIZED (SELECT DISTINCT word FROM f),
+bytes AS (SELECT word, tab, list_transform(range(len(hex(word)) // 2), lambda j: CAST('0x' || substr(hex(word), 2 * j + 1, 2) AS BIGINT)) AS b FROM u, tab),
+crc AS MATERIALIZED (SELECT word, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]))) % {_R.BUCKETS} AS bucket FROM bytes),
+g AS MATERIALIZED (SELECT bucket, count(*) FILTER (doc) AS s, count(*) FILTER (NOT doc) AS t FROM f JOIN crc USING (word) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor({_R.UNIT} * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM g) + {_R.BUCKETS}) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM g) + {_R.BUCKETS})))) AS BIGINT) AS gain FROM g),
+w AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN crc USING (word) JOIN gains USING (bucket) WHERE doc GROUP BY doc_id),
+e AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST('0x' || substr(sha256('{_R.SEED}:' || doc_id), 1, 8) AS BIGINT) AS h FROM d),
+r AS (SELECT doc_id, n_features, coalesce(weight, 0) AS weight, CAST(coalesce(weight, 0) + floor(-{_R.UNIT} * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM e LEFT JOIN w USING (doc_id)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS turn, count(*) OVER () AS n FROM r WHERE n_features >= {_R.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN turn <= {_R.PERCENT} * n // 100 THEN turn END AS rank FROM r LEFT JOIN o USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_pii": _OP3, "op10_warc": _OP10, "op6_mixing": _OP6, "op1_sharding": _OP1, "op2_exact_dedup": _OP2,
+    "op11_vector_codes": _OP11, "op12_decontamination": _OP12, "op13_resampling": _OP13,
+}
