@@ -4,8 +4,13 @@ A page is cut into blocks. The first pass looks at each block alone: its length,
 of it is links, how many of its words are stop words, and whether markup names its
 surroundings as an article. It decides clear cases and leaves short or doubtful ones open.
 In the second pass an open block takes the label of its nearest decided neighbours within
-its region; markup breaks ties only. Of the regions in which something good was found, the
-most surely marked ones are the article.
+its region.
+
+Markup is a weight, not a verdict. Regions marked as the article win where they hold at
+least half of what is good on the page. Elements whose names speak against them are judged
+by what the passes find in them: one whose words may as well be the article's subject
+(``popular-science``) counts where it holds far more than the rest, one that is plainly a
+sidebar or footer only where nothing else is good and it has several good blocks.
 
 Every step takes time in proportion to the page, whatever its markup.
 """
@@ -30,8 +35,11 @@ MOST_LINKS, LOW_STOP, HIGH_STOP = 0.5, 0.15, 0.30
 FOREIGN_STOP, LOW_LINKS = 0.15, 0.2
 #: Within an article, so many blocks in a row that are links almost throughout are a list of links.
 LINK_RUN, LINK_ONLY = 3, 0.9
-#: Words around an element that speak against it count up to so many; readers' words weigh more than any.
-MOST_DOUBT, READERS = 3, 1_000_000
+#: How much a name speaks against its element: where the word may have another meaning, where it is plain, and for readers' words.
+WEAK, STRONG, READERS = 1, 10, 1_000_000
+MOST_DOUBT = 3 * STRONG
+#: A weakly doubtful element must hold so many times the good text of the rest, or so many good blocks within an article; a plain one so many with nothing else good.
+FAR_MORE, GOOD_WITHIN, GOOD_ALONE = 3, 2, 3
 
 #: Function words of the languages at hand.
 LANGUAGES = [
@@ -54,8 +62,9 @@ _BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3
     h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul""".split()
 )
-#: Elements whose contents are no prose.
-_DROPPED = frozenset("head title form nav footer aside select button textarea label dialog menu iframe object svg canvas audio video map datalist".split())
+#: Elements whose contents are no prose, those that plainly stand beside the article, and one that may hold it.
+_DROPPED = frozenset("head title select button textarea label iframe object svg canvas audio video map datalist".split())
+_BESIDE, _PERHAPS = frozenset("nav footer aside dialog menu".split()), frozenset(["form"])
 #: Elements whose contents are not markup.
 _RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "xmp", "svg", "math")
 #: Words in class, id or role that mark an element as not part of the article.
@@ -67,6 +76,13 @@ _MARKS = frozenset(
     popup modal overlay lightbox widget widgets toolbar login search skip copyright legal disclaimer complementary contentinfo dialog
     outbrain taboola teaser teasers trending popular paywall""".split()
 )
+#: Parts of a word that only tell of layout or kind: with them a mark is as plain as alone; some only beside readers' words.
+_GENERIC = frozenset(
+    """area bar block bottom box btn button buttons card cards col column columns container cta desktop field fixed form global grid group holder icon
+    icons inner item items large left link links list main mini mobile module news outer page panel post posts primary right row secondary
+    section site slot small stories sticky strip tab tabs title top unit view wrap wrapper zone""".split()
+)
+_GENERIC_OF_READERS = _GENERIC | frozenset("author body content count meta text thread".split())
 #: Words that mark a page's header, unless they stand within the article.
 _HEADER = frozenset("header head hero topnav".split())
 #: Marks of what readers wrote: an article among them is hardly the page's.
@@ -97,7 +113,8 @@ class Block:
     heading: bool
     region: tuple[int, int]  # how surely it is the article (2: marked as one, 1: as holding it, 0: neither), and which
     outside: bool
-    doubt: int = 0  # how many words around the region speak against it, READERS for those of readers
+    doubt: int = 0  # how much the words around the region speak against it, READERS for those of readers
+    within: bool = False  # whether what is doubtful stands within an article
     label: str = ""
 
 
@@ -109,6 +126,7 @@ class _Open:
     link: bool
     heading: bool
     doubt: int = 0
+    within: bool = False
 
 
 def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
@@ -195,7 +213,7 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     stack = _Stack()
     pieces: list[tuple[str, bool]] = []
-    state = [False, (0, 0), False, 0]  # of the block begun: outside, region, heading, doubt
+    state = [False, (0, 0), False, 0, False]  # of the block begun: outside, region, heading, doubt, within
     filled = False
     regions = at = 0
 
@@ -204,7 +222,7 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join("".join(p for p, _ in pieces).split())
         if text:
             linked = len(" ".join("".join(p for p, link in pieces if link).split()))
-            found.append(Block(text, linked, state[2], state[1], state[0] or (state[3] > 0 and not state[1][0]), state[3]))
+            found.append(Block(text, linked, state[2], state[1], state[0], state[3], state[4]))
         pieces.clear()
         filled = False
 
@@ -215,7 +233,7 @@ def blocks_of(page: str) -> list[Block]:
             if filled and [top.outside, top.region, top.doubt] != [*state[:2], state[3]]:
                 end_block()
             if not filled:
-                state[:] = [top.outside, top.region, top.heading, top.doubt]
+                state[:] = [top.outside, top.region, top.heading, top.doubt, top.within]
             text = html.unescape(raw) if "&" in raw else raw
             filled = filled or not text.isspace()
             pieces.append((text, top.link))
@@ -241,29 +259,42 @@ def blocks_of(page: str) -> list[Block]:
             continue
         top = stack[-1]
         outside, sure, doubt = _marks(name, attributes, top.region[0] == 2)
-        region = (0, 0) if doubt else top.region
-        if sure > region[0] and not (outside or top.outside):
+        region, within = top.region, top.within
+        if doubt or sure > region[0]:
             regions += 1
-            region = (sure, regions)
-        doubt = READERS if READERS in (doubt, top.doubt) else min(top.doubt + doubt, MOST_DOUBT)
-        stack.push(_Open(name, outside or top.outside, region, name == "a" or top.link, bool(re.fullmatch("h[1-6]", name)) or top.heading, doubt))
+            region, within = (sure, regions), within or (doubt > 0 and region[0] == 2)
+        stack.push(_Open(name, outside or top.outside, region, name == "a" or top.link, bool(re.fullmatch("h[1-6]", name)) or top.heading, _added(top.doubt, doubt), within))
     add(page[at:])
     end_block()
     return found
 
 
+def _added(doubt: int, more: int) -> int:
+    """Doubts of nested elements together: weak ones never make a strong one, readers' words outweigh all."""
+    if READERS in (doubt, more):
+        return READERS
+    return min(doubt + more, STRONG - 1 if max(doubt, more) < STRONG else MOST_DOUBT)
+
+
 def _marked(word: str, in_article: bool) -> int:
-    """How much a word of class, id or role speaks against its element: 0, 1, or ``READERS``.
+    """How much a word of class, id or role speaks against its element: 0, ``WEAK``, ``STRONG`` or ``READERS``.
 
-    The whole word counts, or its first or last part; others tell what an element holds or is next to.
+    The whole word counts, or its first or last part; others tell what an element holds or
+    is next to. Where parts besides the mark have a meaning of their own, as in
+    ``popular-science``, it is a weak one.
     """
-    parts = [p.lower() for p in _PARTS.findall(word)]
+    parts = [p.lower() for p in _PARTS.findall(word) if len(p) > 1]
     if not parts or _LAYOUT & set(parts) or parts[0] in _FILED:
         return 0
     told = {parts[0], word.lower(), re.sub(r"[^a-z]", "", word.lower())} | ({parts[-1]} if not _HOLDERS & set(parts) else set())
+    marks = _MARKS if in_article else _MARKS | _HEADER
+    names = [p for p in parts if not p.isdigit()]
+    plain = len(told & (marks | _READERS)) > 1 or bool(told & (marks | _READERS) - set(names))
     if told & _READERS:
-        return READERS
-    return int(bool(told & _MARKS) or (not in_article and bool(told & _HEADER)))
+        return READERS if plain or set(names) <= marks | _READERS | _GENERIC_OF_READERS else WEAK
+    if told & marks:
+        return STRONG if plain or set(names) <= marks | _GENERIC else WEAK
+    return 0
 
 
 def _comment(value: str) -> bool:
@@ -273,7 +304,8 @@ def _comment(value: str) -> bool:
 
 def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, int, int]:
     """Whether an element stands outside the article for sure, how surely it is one, and how much its words speak against it."""
-    outside, sure, doubt = name in _DROPPED or (name == "header" and not in_article), {"article": 2, "main": 1}.get(name, 0), 0
+    outside, sure = name in _DROPPED, {"article": 2, "main": 1}.get(name, 0)
+    doubt = STRONG if name in _BESIDE or (name == "header" and not in_article) else WEAK if name in _PERHAPS else 0
     named = sure > 0
     for a in _ATTR.finditer(attributes):
         key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
@@ -292,50 +324,78 @@ def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, int, int
 
 
 def classify(found: list[Block]) -> None:
-    """Label blocks ``good`` or ``bad``. Where parts of a page are marked as the article, the rest is not.
-
-    Articles within elements that words speak against, as in ``<div class="sidebar-right">``,
-    count where they are longer than all that is good without them, and those among
-    readers' comments only where nothing else is good.
+    """Label blocks ``good`` or ``bad``, and ``outside`` where the article is elsewhere.
+
+    Doubtful elements are weighed from the least doubtful on. One that is marked as an
+    article, as in ``<div class="sidebar-right"><article>``, counts where it is longer than
+    all that is good without it. Others count by the blocks in them that are good alone:
+    weak ones where these are ``FAR_MORE`` times as long as what is good, or at least
+    ``GOOD_WITHIN`` blocks within an article; strong ones where nothing is good and there
+    are at least ``GOOD_ALONE``. What readers wrote counts only where it is marked as an
+    article and nothing is good.
     """
     _decide(found, set())
-    sizes: dict[tuple[int, tuple[int, int]], int] = {}
+    groups: dict[tuple[int, tuple[int, int]], list[Block]] = {}
     for b in found:
         if b.doubt and not b.outside:
-            sizes[b.doubt, b.region] = sizes.get((b.doubt, b.region), 0) + len(b.text)
+            groups.setdefault((b.doubt, b.region), []).append(b)
+    sizes = {key: _good_alone(blocks) for key, blocks in groups.items()}
     taken: set[tuple[int, int]] = set()
-    for doubt in sorted({d for d, _ in sizes}):
+    for doubt in sorted({d for d, _ in groups}):
         good = sum(len(b.text) for b in found if b.label == "good")
-        more = {region for (d, region), n in sizes.items() if d == doubt and n > good and (d < READERS or not good)}
+        more = {region for (d, region), blocks in groups.items() if d == doubt and _outweighs(doubt, region, blocks, *sizes[d, region], good)}
         if more:
             taken |= more
             _decide(found, taken)
 
 
+def _good_alone(blocks: list[Block]) -> tuple[int, int]:
+    """How many blocks are good by themselves, whatever marks them, and their length."""
+    foreign = _foreign(blocks)
+    good = [b for b in blocks if _alone(b, foreign, False) == "good"]
+    return len(good), sum(len(b.text) for b in good)
+
+
+def _outweighs(doubt: int, region: tuple[int, int], blocks: list[Block], n: int, length: int, good: int) -> bool:
+    """Whether a doubtful region counts, beside ``good`` characters of the rest."""
+    if region[0]:
+        return sum(len(b.text) for b in blocks) > good and (doubt < READERS or not good)
+    if doubt < STRONG:
+        return n >= GOOD_WITHIN if blocks[0].within else length > FAR_MORE * good
+    return doubt < READERS and not good and n >= GOOD_ALONE
+
+
 def _decide(found: list[Block], taken: set[tuple[int, int]]) -> None:
-    """Label blocks in two passes and choose the article's regions; of the doubtful regions those of ``taken`` count."""
+    """Label blocks in two passes and choose the article's regions; of the doubtful regions those of ``taken`` count.
+
+    Regions of the surest mark win that, with those of surer ones, hold at least half of
+    what is good. Surer regions that lose by holding less than a quarter are cards of other
+    stories.
+    """
     inside = [b for b in found if not b.outside and (not b.doubt or b.region in taken)]
     for b in found:
         b.label = "outside"
     foreign = _foreign([b for b in inside if not b.region[0]])
     for b in inside:
-        b.label = _alone(b, foreign)
+        b.label = _alone(b, foreign, b.region[0] > 0)
     _settle_links(inside)
     # Longer doubtful blocks first, so that short ones between them can follow.
     for kind in ("near", "short"):
         _inherit(inside, kind)
-    surest = max((b.region[0] for b in inside if b.label == "good"), default=0)
+    sizes = [sum(len(b.text) for b in inside if b.label == "good" and b.region[0] >= sure) for sure in (0, 1, 2)]
+    sure = max((i for i in (0, 1, 2) if 2 * sizes[i] >= sizes[0]), default=0)
+    cards = sure < 2 and 4 * sizes[sure + 1] < sizes[0]
     for b in inside:
-        if b.region[0] < surest:
+        if (b.region[0] < sure and not b.within) or (b.region[0] > sure and cards):
             b.label = "outside"
 
 
-def _alone(b: Block, foreign: bool) -> str:
+def _alone(b: Block, foreign: bool, marked: bool) -> str:
     """First pass: ``good``, ``bad``, or open as ``link``, ``near`` or ``short``, from the block itself.
 
     In a marked region length and few links are enough; elsewhere stop words must speak for it.
     """
-    n, marked = _weight(b.text), b.region[0] > 0
+    n = _weight(b.text)
     if b.linked > MOST_LINKS * len(b.text):
         return "short" if b.heading else "link" if marked else "bad"
     if n < SHORT:

@@ -312,11 +312,51 @@ def _rules(blocks, doubtful):
             else:
                 good = "good" in near and "bad" not in near
             label[i] = "good" if good else "bad"
-    surest = max((b.region[0] for b, x in zip(inside, label) if x == "good"), default=0)
-    chosen = {id(b) for b, x in zip(inside, label) if x == "good" and b.region[0] == surest}
+    held = Counter()
+    for b, x in zip(inside, label):
+        if x == "good":
+            held[b.region[0]] += len(b.text)
+    total = sum(held.values())
+    # The surest kind of mark under which half of the good text stands, and whether what is surer still is small.
+    kind = 2 if held[2] >= total / 2 else 1 if held[1] + held[2] >= total / 2 else 0
+    small = {0: held[1] + held[2], 1: held[2], 2: total}[kind] < total / 4
+    chosen = {id(b) for b, x in zip(inside, label) if x == "good" and (b.region[0] >= kind or b.within) and not (b.region[0] > kind and small)}
     return [id(b) in chosen for b in blocks]
 
 
+def _rules_with_doubt(blocks):
+    """Doubtful regions join from the least doubtful on, as the rules for each kind say."""
+    joined, good = set(), _rules(blocks, set())
+    groups = {}
+    for b in blocks:
+        if b.doubt and not b.outside:
+            groups.setdefault((b.doubt, b.region), []).append(b)
+    for doubt in sorted({d for d, _ in groups}):
+        length = sum(len(b.text) for b, x in zip(blocks, good) if x)
+        before = set(joined)
+        for (d, region), mine in groups.items():
+            if d != doubt:
+                continue
+            words = [re.findall(r"[^\W\d_]+", b.text.lower()) for b in mine]
+            few = [w for b, ws in zip(mine, words) if b.linked <= 0.2 * len(b.text) for w in ws]
+            foreign = bool(few) and all(sum(w in listed for w in few) / len(few) < 0.15 for listed in html_text.LANGUAGES)
+            alone = []
+            for b, ws in zip(mine, words):
+                n, stop = len(b.text), sum(w in html_text.STOP_WORDS for w in ws) / max(1, len(ws))
+                if b.linked <= 0.5 * n and n >= 70 and ((stop >= 0.3 and n >= 200) or (foreign and b.linked <= 0.2 * n)):
+                    alone.append(n)
+            if region[0]:
+                joins = sum(len(b.text) for b in mine) > length and (doubt < html_text.READERS or length == 0)
+            elif doubt < html_text.STRONG:
+                joins = len(alone) >= 2 if mine[0].within else sum(alone) > 3 * length
+            else:
+                joins = doubt < html_text.READERS and length == 0 and len(alone) >= 3
+            joined |= {region} if joins else set()
+        if joined != before:
+            good = _rules(blocks, joined)
+    return good
+
+
 def _random_block(rng, readers):
     words = rng.choice([["the", "of", "and", "house", "river"], ["xyzzy", "plugh", "frotz"], ["the", "xyzzy", "frotz", "plugh"]])
     text = " ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 20, 60])))
@@ -333,6 +373,52 @@ def test_html_rules_by_brute_force():
         assert [b.label == "good" for b in found] == _rules(found, set())
 
 
+def test_html_doubt_by_brute_force():
+    rng, won = random.Random(12), Counter()
+    for trial in range(1500):
+        found = [_random_block(rng, 0) for _ in range(rng.randint(0, 6))] if trial % 3 else []
+        for region in [(0, 11), (0, 12), (0, 13), (2, 14)][: rng.randint(1, 4)]:
+            doubt, within = rng.choice([1, 2, 10, 11, html_text.READERS]), region[0] == 0 and rng.random() < 0.3
+            for _ in range(rng.randint(1, 5)):
+                b = _random_block(rng, 0)
+                b.region, b.doubt, b.within = region, doubt, within
+                found.append(b)
+        html_text.classify(found)
+        assert [b.label == "good" for b in found] == _rules_with_doubt(found)
+        won.update((b.doubt, b.region[0], b.within) for b in found if b.label == "good")
+    assert {(0, 0, False), (1, 0, False), (1, 0, True), (1, 2, False)} <= set(won) and won[html_text.READERS, 0, False] == 0
+
+
+_SIX = [f"{_P1} {_P2} That is what part {i} of the story tells us." for i in range(6)]
+_CARD = "<h3>Another story</h3><p>It is the story of the man who was in the house of the others and who was not there.</p>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div id=x>%s</div><article>{_CARD}</article>", f"<div id=x>%s</div><div class='entry'>{_CARD}</div>", f"<main>%s</main><div><article>{_CARD}</article></div>",
+        "<div class='widget-text'>%s</div>", "<div class='social-history'>%s</div>", "<div class='popular-science'>%s</div>", "<section id='search-for-truth'>%s</section>",
+        "<form id=all><div>%s</div><div class='search-box'><input></div></form>", f"<form><article>%s</article><div class='related-posts'>{_CARD}</div></form>", "<aside>%s</aside>",
+        f"<article>%s<div class='newsletter-signup'>{_CARD * 9}</div></article>", f"<div>%s</div><div class='sidebar'><p>{_P1} {_P2}</p></div>",
+    ],
+)
+def test_html_the_passes_outweigh_marks(body):
+    comments = f"<div id='comments'><div class='comment-body'>{f'<p>{_P2} {_P1} I think</p>' * 9}</div></div>"
+    page = _PAGE % (body % "".join(f"<p>{p}</p>" for p in _SIX) + comments)
+    assert html_text.main_text(page) == "\n".join(_SIX)
+
+
+def test_html_subjects_within_an_article():
+    other = [f"{p} Of science." for p in _SIX[:3]]
+    page = f"<article>{''.join(f'<p>{p}</p>' for p in _SIX)}<div class='popular-science'>{''.join(f'<p>{p}</p>' for p in other)}</div></article>"
+    assert html_text.main_text(page) == "\n".join(_SIX + other)
+
+
+@pytest.mark.parametrize("name, doubt", [("ad", 10), ("ad-300x250", 10), ("c-promo__title", 10), ("cookie-policy-banner", 10), ("popular-science", 1), ("comment-body", 1_000_000), ("responses-to-critics", 1), ("story", 0), ("with-sidebar", 0)])
+def test_html_how_plain_a_name_is(name, doubt):
+    assert html_text._marked(name, False) == doubt
+
+
 def test_html_rules_decide():
     """What stands next to a block decides, not only where it stands."""
     links = "".join(f"<li><a href=/{i}>Another page {i}</a></li>" for i in range(4))
