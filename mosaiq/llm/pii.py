@@ -58,7 +58,24 @@ LOWERING = {
     "iban": "serial|licence|license",
 }
 REACH, CHANGE = 48, 0.2
-_BLOCK = 256
+#: Numbers that are summed up one by one: running sums come from blocks of so many, and blocks of blocks.
+_BLOCK = 64
+#: Characters of a chunk, more than a context reaches, and chunks of a text, in linear time.
+_CHUNK = 512
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``, in time of its own length wherever it stands; what lies beyond the text is empty."""
+    first, last = F.floor(start / _CHUNK).cast("int"), F.floor(end / _CHUNK).cast("int")
+    chunk = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+    head = F.substring(chunk(first), (start - first * _CHUNK + 1).cast("int"), F.least(end - start, F.lit(_CHUNK)).cast("int"))
+    tail = F.substring(chunk(last), F.lit(1), (end - last * _CHUNK).cast("int"))
+    middle = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(last <= first, head).otherwise(F.concat(head, middle, tail))
 
 
 def digits(s: Column) -> Column:
@@ -115,35 +132,32 @@ def _whole(words: str) -> str:
     return rf"[^\p{{L}}\p{{N}}_](?:{words})[^\p{{L}}\p{{N}}_]"
 
 
-def _around(text: Column, start: Column, end: Column) -> Column:
+def _around(chunks: Column, start: Column, end: Column) -> Column:
     """What stands on either side of a span, in lower case, a line break for the span itself.
 
     One character more than ``REACH`` is read, so that a word cut off there is none of its
     own; the text's ends count as blanks.
     """
-    before = F.substring(text, F.greatest(start - REACH - 1, F.lit(0)) + 1, F.least(start, F.lit(REACH + 1)))
-    after = F.rpad(F.substring(text, end + 1, F.lit(REACH + 1)), REACH + 1, " ")
+    before = _between(chunks, F.greatest(start - REACH - 1, F.lit(0)), start)
+    after = F.rpad(_between(chunks, end, end + REACH + 1), REACH + 1, " ")
     return F.lower(F.concat(F.when(start <= REACH, " ").otherwise(""), before, F.lit("\n"), after))
 
 
-def _spans(text: Column, kind: str, at: dict[str, Column]) -> Column:
-    """Array of ``(start, order, end, kind, score)`` of the kind's valid spans, in code points, end exclusive."""
+def _spans(kind: str, at: dict[str, Column], chunks: Column) -> Column:
+    """Array of ``(start, order, end, kind, score, valid)`` of the kind's valid spans, in code points, end exclusive."""
+
+    def place(match: Column, i: Column) -> Column:
+        block, wide = F.floor(i / _BLOCK).cast("int"), F.floor(i / _BLOCK**2).cast("int")
+        before = _sum(F.slice(at["steps"], block * _BLOCK + 1, i % _BLOCK)) + _sum(F.slice(at["sums"], wide * _BLOCK + 1, block % _BLOCK))
+        start = F.element_at(at["widest"], wide + 1) + before + F.get(at["gaps"], i)
+        return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), valid(kind, match).alias("valid"))
 
-    def span(match: Column, i: Column) -> Column:
-        block = F.floor(i / _BLOCK).cast("int")
-        start = F.element_at(at["blocks"], block + 1) + _sum(F.slice(at["steps"], block * _BLOCK + 1, i % _BLOCK)) + F.get(at["gaps"], i)
-        near = _around(text, start, start + F.length(match))
+    def span(x: Column) -> Column:
+        near = _around(chunks, x["start"], x["end"])
         score = F.lit(SCORES[kind]) + F.when(near.rlike(_whole(RAISING[kind])), CHANGE).otherwise(0.0) - F.when(near.rlike(_whole(LOWERING[kind])), CHANGE).otherwise(0.0)
-        return F.struct(
-            start.alias("start"),
-            F.lit(KINDS.index(kind)).alias("order"),
-            (start + F.length(match)).alias("end"),
-            F.lit(kind).alias("kind"),
-            F.least(score, F.lit(1.0)).alias("score"),
-            valid(kind, match).alias("valid"),
-        )
+        return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score"), x["valid"].alias("valid"))
 
-    return F.filter(F.transform(at["matches"], span), lambda x: x["valid"])
+    return F.transform(F.filter(F.transform(at["matches"], place), lambda x: x["valid"]), span)
 
 
 def detect(df: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
@@ -158,8 +172,8 @@ def detect(df: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame
     text = F.coalesce(F.col(text_col), F.lit(""))
     name = lambda kind, part: f"__pii_{kind}_{part}"
     # Where matches stand: what lies between them comes from a split by the same pattern,
-    # and running sums are taken over blocks and within them, so that a text with very
-    # many matches does not cost the square of their number.
+    # and running sums are taken over blocks and within them, and contexts from chunks of
+    # the text, so that a text with very many matches does not cost the square of their number.
     df = df.withColumns({name(k, "matches"): _proposed(text, k) for k in KINDS})
     df = df.withColumns(
         {
@@ -180,19 +194,24 @@ def detect(df: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame
             for k in KINDS
         }
     )
-    df = df.withColumns({name(k, "blocks"): _block_starts(F.col(name(k, "steps"))) for k in KINDS})
-    parts = ("matches", "gaps", "steps", "blocks")
+    for part, of in (("sums", "steps"), ("wider", "sums")):
+        df = df.withColumns({name(k, part): _block_sums(F.col(name(k, of))) for k in KINDS})
+    df = df.withColumns({name(k, "widest"): _sums_before(F.col(name(k, "wider"))) for k in KINDS})
+    any_kind = F.coalesce(*(F.size(F.col(name(k, "matches"))) for k in KINDS)).isNotNull()
+    df = df.withColumn("__pii_chunks", F.when(any_kind, _chunks(text)))
+    parts = ("matches", "gaps", "steps", "sums", "wider", "widest")
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,score:double,valid:boolean>>")
-    found = [F.coalesce(_spans(text, k, {p: F.col(name(k, p)) for p in parts}), none) for k in KINDS]
-    return df.withColumn(out, F.array_sort(F.concat(*found))).drop(*(name(k, p) for k in KINDS for p in parts))
+    found = [F.coalesce(_spans(k, {p: F.col(name(k, p)) for p in parts}, F.col("__pii_chunks")), none) for k in KINDS]
+    return df.withColumn(out, F.array_sort(F.concat(*found))).drop("__pii_chunks", *(name(k, p) for k in KINDS for p in parts))
 
 
-def _block_starts(steps: Column) -> Column:
-    sums = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int")),
-        lambda b: _sum(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK))),
-    )
-    return F.transform(sums, lambda s, b: _sum(F.slice(sums, F.lit(1), b)))
+def _block_sums(numbers: Column) -> Column:
+    blocks = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _BLOCK).cast("int"))
+    return F.transform(blocks, lambda b: _sum(F.slice(numbers, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+
+def _sums_before(numbers: Column) -> Column:
+    return F.transform(numbers, lambda _, i: _sum(F.slice(numbers, F.lit(1), i)))
 
 
 def listed(spans: Column) -> Column:
@@ -207,15 +226,23 @@ def count_of(spans: Column, kind: str) -> Column:
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "pii", least: float = 0.0) -> DataFrame:
     """``df`` with each span of score ``least`` or more replaced by its kind in angle brackets.
 
-    Overlapping spans are cut at the end of the one before; a span within another adds nothing.
+    Overlapping spans are cut at the end of the one before; a span within another adds
+    nothing. A null text becomes empty. Spans are folded in blocks, so that very many of them
+    in one text do not cost the square of their number.
     """
-    chosen = F.filter(spans_col, lambda x: x["score"] >= least)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    chosen, chunks, blocks = F.col("__pii_chosen"), F.col("__pii_chunks"), F.sequence(F.lit(0), F.floor(F.size("__pii_chosen") / _BLOCK).cast("int"))
 
     def step(a: Column, x: Column) -> Column:
-        piece = F.concat(a["done"], F.substring(text, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0))), F.lit("<"), x["kind"], F.lit(">"))
+        piece = F.concat(a["done"], _between(chunks, a["at"], F.greatest(x["start"], a["at"])), F.lit("<"), x["kind"], F.lit(">"))
         return F.when(x["end"] <= a["at"], a).otherwise(F.struct(piece.alias("done"), F.greatest(x["end"], a["at"]).alias("at")))
 
-    rest = lambda a: F.concat(a["done"], F.substring(text, a["at"] + 1, F.length(text)))
-    return df.withColumn(text_col, F.aggregate(chosen, start, step, rest))
+    def block(a: Column, i: Column) -> Column:
+        start = F.struct(F.lit("").alias("done"), a["at"].alias("at"))
+        one = F.aggregate(F.slice(chosen, i * _BLOCK + 1, F.lit(_BLOCK)), start, step)
+        return F.struct(F.concat(a["done"], F.array(one["done"])).alias("done"), one["at"].alias("at"))
+
+    rest = lambda a: F.concat(F.array_join(a["done"], ""), _between(chunks, a["at"], F.col("__pii_length")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).alias("at"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    parts = df.withColumns({"__pii_chosen": F.filter(spans_col, lambda x: x["score"] >= least), "__pii_chunks": _chunks(text), "__pii_length": F.length(text)})
+    return parts.withColumn(text_col, F.aggregate(blocks, start, block, rest)).drop("__pii_chosen", "__pii_chunks", "__pii_length")

@@ -203,6 +203,30 @@ def test_pii_context_words_are_whole(spark, text, score):
     assert [round(x, 2) for x in got] == [score]
 
 
+def test_pii_of_very_many_spans_in_one_text(spark):
+    """Time grows with the number of spans, not with its square, and neither positions nor contexts shift."""
+    import time
+
+    def spent(n):
+        text = " ".join(f"{'email ' if i % 1000 == 0 else ''}a{i}@b.cc" + "ü漢😀"[i % 3] for i in range(n))
+        began = time.time()
+        found = pii.detect(spark.createDataFrame([(text,)], "text string")).first()["pii"]
+        took = time.time() - began
+        mails = [x for x in found if x["kind"] == "email"]
+        assert [text[x["start"] : x["end"]] for x in mails] == [f"a{i}@b.cc" for i in range(n)]
+        assert {i for i, x in enumerate(mails) if x["score"] > 0.95} >= set(range(0, n, 1000)) and sum(x["score"] > 0.95 for x in mails) <= n / 50 + 10
+        return took
+
+    spent(100)
+    assert spent(50_000) < 3.5 * spent(20_000) + 2
+
+
+def test_redaction_of_very_many_spans(spark):
+    text = "".join(f"write to a{i}@b.cc. {'漢' * (i % 700)}" for i in range(300)) + "end"
+    got = pii.redact(pii.detect(spark.createDataFrame([(text,), (None,), ("x",)], "text string"))).collect()
+    assert [r["text"] for r in got] == [re.sub(r"a[0-9]+@b\.cc", "<email>", text), "", "x"]
+
+
 # Web pages
 
 _PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="page">
