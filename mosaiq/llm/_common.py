@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.runtime import scratch
@@ -29,6 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them where ``df`` has such a column in whatever case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
+
+
 def hash60(*parts: Column) -> Column:
     """60 bits of the MD5 of the parts joined by ``|``, as a long."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
@@ -49,31 +64,33 @@ def one_of_each(docs: DataFrame, judged: DataFrame, id_col: str, tag: Column) ->
     Few ids need care: those of which a row goes, and those that repeat. A bit filter made
     from them is looked up on the map side. Rows that it does not meet stay as they are, and
     only the rest is joined with the decisions. With more than ``MAX_FILTER_IDS`` such ids
-    there is no filter and all rows are joined.
+    there is no filter and all rows are joined. Rows that repeat id and tag are aggregated
+    before they are shuffled, so however many there are, a task sends one. Columns of
+    ``docs`` may have any names.
     """
     by_row = judged.groupBy("row_id", "tag").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
     by_id = by_row.groupBy("row_id").agg((F.min("keep") & (F.sum("n") == 1)).alias("plain"))
     ids = by_id.where(~F.col("plain")).select(F.col("row_id").alias("care_id"))
-    care = written(by_row.join(ids, F.col("row_id").eqNullSafe(F.col("care_id"))).select(F.col("row_id").alias("__id"), F.col("tag").alias("__of"), F.col("keep").alias("__keep"), F.col("n").alias("__n")))
-    many = care.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("__keep") & (F.col("__n") > 1)).alias("repeats")).first()
+    id_, of, keep, n, word, bits_, own = unused(docs, "__id", "__of", "__keep", "__n", "__word", "__bits", "__tag")
+    care = written(by_row.join(ids, F.col("row_id").eqNullSafe(F.col("care_id"))).select(F.col("row_id").alias(id_), F.col("tag").alias(of), F.col("keep").alias(keep), F.col("n").alias(n)))
+    many = care.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(keep) & (F.col(n) > 1)).alias("repeats")).first()
     if not many["rows"]:
         return docs
     rest, plain = docs, None
     if many["rows"] <= MAX_FILTER_IDS:
         bits = many["rows"] * BITS_PER_ID
         slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-        places = care.select(slot("__id").alias("slot")).select(F.floor(F.col("slot") / 64).alias("__word"), F.pmod("slot", F.lit(64)).cast("int").alias("at"))
-        words = places.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("__bits"))
-        met = docs.join(F.broadcast(words), F.floor(slot(id_col) / 64) == F.col("__word"), "left")
-        hit = F.coalesce(F.getbit("__bits", F.pmod(slot(id_col), F.lit(64)).cast("int")) == 1, F.lit(False))
-        plain, rest = met.where(~hit).select(docs.columns), met.where(hit).select(docs.columns)
-    rest = rest.withColumn("__tag", tag)
-    rest = rest.join(care, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__of")), "left")
-    single = rest.where(F.col("__keep").isNull() | (F.col("__keep") & (F.col("__n") == 1))).select(docs.columns)
+        places = care.select(slot(id_).alias("slot")).select(F.floor(F.col("slot") / 64).alias(word), F.pmod("slot", F.lit(64)).cast("int").alias("at"))
+        words = places.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias(bits_))
+        met = docs.join(F.broadcast(words), F.floor(slot(id_col) / 64) == F.col(word), "left")
+        hit = F.coalesce(F.getbit(bits_, F.pmod(slot(id_col), F.lit(64)).cast("int")) == 1, F.lit(False))
+        plain, rest = met.where(~hit).select(columns(docs)), met.where(hit).select(columns(docs))
+    rest = rest.withColumn(own, tag)
+    rest = rest.join(care, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(of)), "left")
+    single = rest.where(F.col(keep).isNull() | (F.col(keep) & (F.col(n) == 1))).select(columns(docs))
     kept = single if plain is None else plain.union(single)
     if many["repeats"]:
-        order = F.xxhash64(*(F.col(f.name) for f in docs.schema.fields if f.dataType.typeName() != "map"))
-        turn = F.row_number().over(W.partitionBy("__id", "__of").orderBy(order))
-        again = rest.where(F.col("__keep") & (F.col("__n") > 1)).withColumn("__turn", turn).where("__turn = 1")
-        kept = kept.union(again.select(docs.columns))
+        order = F.xxhash64(*(c for c, f in zip(columns(docs), docs.schema.fields) if f.dataType.typeName() != "map"))
+        again = rest.where(F.col(keep) & (F.col(n) > 1)).groupBy(id_, of).agg(F.min_by(F.struct(columns(docs)), order).alias("row"))
+        kept = kept.union(again.select("row.*"))
     return kept

@@ -104,8 +104,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The text is read once (recipes are a small table in the shared folder). Groups are
     counted with partial aggregation. Those of more than ``1 / HOT`` of all rows, fewer than
-    ``HOT`` groups, are looked up on the map side; the rest joins by recipe, none of them
-    large enough to hold a task up.
+    ``HOT`` groups, are looked up on the map side by a digest of their recipe, so that what
+    is broadcast has a bounded size however long their texts are; the rest joins by recipe,
+    none of them large enough to hold a task up.
     """
     staged = written(recipes(docs, id_col, text_col))
     rows = verified(staged)
@@ -114,8 +115,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = written(rows.groupBy("recipe").agg(smallest.alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     large = F.col("group_size") * HOT > total
-    hot = groups.where(large & (F.col("group_size") > 1)).select(F.col("recipe").alias("of"), "keep_id", "group_size")
-    met = rows.join(F.broadcast(hot), F.col("recipe") == F.col("of"), "left")
+    digest = F.sha2(F.array_join(F.col("recipe").cast("array<string>"), ","), 256)
+    hot = groups.where(large & (F.col("group_size") > 1)).select(digest.alias("of"), "keep_id", "group_size")
+    met = rows.join(F.broadcast(hot), digest == F.col("of"), "left")
     names = ["row_id", "text_sha256", "keep_id", "group_size"]
     rest = met.where("of IS NULL").select("row_id", "text_sha256", "recipe").join(groups, "recipe")
     return met.where("of IS NOT NULL").select(names).union(rest.select(names)).select(

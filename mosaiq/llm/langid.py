@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mosaiq.llm._common import columns, unused
 from mosaiq.runtime import ship
 
 #: Labelled documents the model is fitted on, and entries it keeps per language and kind; with more than ``MAX_LANGS`` languages
@@ -205,12 +206,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     ``und`` and 0 where the text is null, empty or without letters, or nothing was learned.
     Columns of these names are replaced; ties go to the first language by code point.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return judged(docs, model, text_col).select(*rest, "__lang.lang_pred", "__lang.score")
+    (found,) = unused(docs, "__lang")
+    rest = [c for c, name in zip(columns(docs), docs.columns) if name.lower() not in ("lang_pred", "score")]
+    return judged(docs, model, text_col, found).select(*rest, f"{found}.lang_pred", f"{found}.score")
 
 
-def judged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__lang``: what ``predict`` gives, and ``letters``, whether the text has any, whatever was learned."""
+def judged(docs: DataFrame, model: Model, text_col: str = "text", out: str = "__lang") -> DataFrame:
+    """``docs`` with ``out``: what ``predict`` gives, and ``letters``, whether the text has any, whatever was learned."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's parameters
 
@@ -220,4 +222,4 @@ def judged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([(*m.predict(t), has_letters(t)) for t in texts], columns=["lang_pred", "score", "letters"])
 
-    return docs.withColumn("__lang", label(F.col(text_col)))
+    return docs.withColumn(out, label(F.col(text_col)))

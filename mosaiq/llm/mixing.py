@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mosaiq.llm._common import hash60, word_count, written
+from mosaiq.llm._common import columns, hash60, unused, word_count, written
 
 #: Weights of the sources in code-point order of their names, repeated in turn.
 WEIGHTS = (5, 2, 1)
@@ -261,11 +261,11 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
-def _looked_up(rows: DataFrame, row_id: Column, source: Column, by_block: DataFrame, blocks: int) -> DataFrame:
-    """``rows`` with their blocks' columns, under names that begin with ``__``: on the map side, unless sources are very many."""
-    known = by_block.select(*(F.col(c).alias(f"__{c}") for c in by_block.columns))
+def _looked_up(rows: DataFrame, row_id: Column, source: Column, by_block: DataFrame, blocks: int, out: str) -> DataFrame:
+    """``rows`` with their blocks' columns as a struct ``out``: on the map side, unless sources are very many."""
+    known = by_block.select(F.struct(*by_block.columns).alias(out))
     few = known.count() <= MAX_LOOKED_UP
-    return rows.join(F.broadcast(known) if few else known, (_key(source) == F.col("__key")) & (block_of(row_id, blocks) == F.col("__block")))
+    return rows.join(F.broadcast(known) if few else known, (_key(source) == F.col(f"{out}.key")) & (block_of(row_id, blocks) == F.col(f"{out}.block")))
 
 
 def plan(
@@ -283,8 +283,8 @@ def plan(
     read. An empty table gives an empty plan.
     """
     sized = written(sizes(docs, id_col, text_col, source_col))
-    rows = _looked_up(sized, F.col("row_id"), F.col("source"), draws(sized, weights, cap, blocks, shards), blocks)
-    return rows.select("row_id", "source", "size", *(F.col(f"__{c}").alias(c) for c in ("source_size", "target", "shards")))
+    rows = _looked_up(sized, F.col("row_id"), F.col("source"), draws(sized, weights, cap, blocks, shards), blocks, "of")
+    return rows.select("row_id", "source", "size", "of.source_size", "of.target", "of.shards")
 
 
 def mix(
@@ -293,12 +293,21 @@ def mix(
 ) -> DataFrame:
     """The mix itself: ``docs`` with ``shard`` and ``turn``, a row for each draw of :func:`plan`, shuffled within its shard.
 
-    Texts are moved once, to their shards: what is drawn is looked up by source and block.
-    Null and repeated ids, null sources and texts as for :func:`plan`; input columns named
-    ``shard`` or ``turn`` are replaced.
+    Texts are moved once, to their shards: what is drawn is looked up by source and block,
+    and dealt out in ranges of shard and hash, so that a shard is one run of tasks and is
+    read in shuffled order; a shard larger than a task's range is split by the hash. Null
+    and repeated ids, null sources and texts as for :func:`plan`; input columns named
+    ``shard`` or ``turn`` are replaced, others may have any names.
     """
     by_block = draws(sizes(docs, id_col, text_col, source_col), weights, cap, blocks, shards)
-    rows = _looked_up(docs, F.col(id_col), F.col(source_col), by_block, blocks)
-    names = [c for c in docs.columns if c not in ("shard", "turn")]
-    rows = rows.select(*names, F.posexplode("__shards").alias("turn", "shard"))
-    return rows.repartition("shard", F.col(id_col)).sortWithinPartitions("shard", hash60(F.lit(SEED), F.col(id_col), F.col("turn")))
+    (of,) = unused(docs, "__of")
+    rows = _looked_up(docs, F.col(id_col), F.col(source_col), by_block, blocks, of)
+    names = [c for c, name in zip(columns(docs), docs.columns) if name.lower() not in ("shard", "turn")]
+    rows = rows.select(*names, F.posexplode(f"{of}.shards").alias("turn", "shard"))
+    order = ("shard", hash60(F.lit(SEED), F.col(id_col), F.col("turn")))
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def write_shards(mixed: DataFrame, path: str) -> None:
+    """What :func:`mix` gives as Parquet, a folder ``shard=N`` for each shard, whose files in turn are its shuffled order."""
+    mixed.write.option("compression", "zstd").partitionBy("shard").parquet(path)

@@ -53,11 +53,11 @@ def test_registered(spark, sf_dir, name):
     df = entry.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
     got = sorted(str([r[c] for c in columns]) for r in df.collect())
-    table = "pages" if name in ("op4_html", "op10_warc") else "embeddings" if name == "op7_embedding_dedup" else "documents"
+    table = "pages" if name in ("op4_html", "op10_warc") else "embeddings" if name in ("op7_embedding_dedup", "op11_vector_codes") else "documents"
     assert len(got) >= spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     if name in queries.ORACLES:
         c = duckdb.connect()
-        for t in ("documents", "pages", "embeddings"):
+        for t in ("documents", "pages", "embeddings", "benchmark"):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
         cur = c.execute(queries.ORACLES[name])
         at = sorted(range(len(columns)), key=lambda i: cur.description[i][0])
@@ -69,6 +69,49 @@ def test_names_of_extra_columns_do_not_matter(spark, sf_dir):
     assert dict(corpus_pipeline.STAGES)["exact_dedup"](spark, docs, sf_dir).columns == docs.columns
 
 
+def test_stages_with_every_name_they_use(spark, sf_dir):
+    """Columns that are named as anything the stages name, in any case, pass through with their values."""
+    import pathlib
+    import re
+
+    folder = pathlib.Path(corpus_pipeline.__file__).parent
+    used = set()
+    for path in [folder / "corpus_pipeline.py", *(folder / "mosaiq/llm").glob("*.py")]:
+        used |= set(re.findall(r"[\"'`](_{0,2}[A-Za-z][A-Za-z0-9_]*)[\"'`.]", path.read_text()))
+    used = sorted({u.lower() for u in used} - {"doc_id", "text", "lang", "source", "n_chars"})
+    assert {"__id", "__word", "__lang", "__of", "__tag", "shard"} <= set(used)
+    extra = [*(u.upper() for u in used), "__key", "__block", "a.b", "c`d"]
+    rows = [(i // 2, f"some words of text number {i // 3} and more", "en", f"s{i % 3}", None) for i in range(40)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.select("*", *(F.concat_ws("|", F.lit(c), "doc_id").alias(c) for c in extra)).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, "")
+        if name != "packing":
+            assert got.columns == docs.columns
+            assert all(r[c] == f"{c}|{r['doc_id']}" for r in got.collect() for c in extra)
+        assert got.count() > 0
+
+
+def test_a_hot_row_is_no_task_of_its_own(spark):
+    """Rows that repeat id and text are aggregated before they are shuffled."""
+    hot = spark.range(0, 20_000, numPartitions=6).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same words").alias("text"), F.col("id").cast("string").alias("note"))
+    docs = hot.union(spark.range(100, 200).select("id", F.concat(F.lit("text "), "id"), F.lit("x")))
+    got = corpus_pipeline.exact(spark, docs, "")
+    assert got.count() == 101 and got.where("doc_id = 7").count() == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_shards_are_runs_of_files(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = mixing.mix(docs, shards=8)
+    by_task = mixed.groupBy(F.spark_partition_id().alias("task")).agg(F.min("shard").alias("low"), F.max("shard").alias("high")).orderBy("task").collect()
+    assert all(a["high"] <= b["low"] for a, b in zip(by_task, by_task[1:]))
+    mixing.write_shards(mixed, str(tmp_path / "mix"))
+    assert spark.read.parquet(str(tmp_path / "mix")).count() == mixed.count()
+    assert len(list((tmp_path / "mix").glob("shard=*"))) == mixed.select("shard").distinct().count()
+
+
 def test_language_stage_without_labels(spark, sf_dir):
     """Where nothing can be learned, documents with letters stay."""
     docs = spark.createDataFrame([(1, "Some words", None), (2, "12 !", None), (3, None, None), (4, "été", None)], "doc_id long, text string, lang string")
