@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.llm import exact_dedup, langid, mixing, packing, queries, simhash
-from mosaiq.llm._common import one_of_each, table, written
+from mosaiq.llm._common import columns, one_of_each, table, unused, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged one by one, whatever their ids; a null id is in the held-out fold.
     """
     model = langid.fit(docs.where(~queries.held_out()))
-    return langid.judged(docs, model).where("__lang.letters").select(docs.columns)
+    (found,) = unused(docs, "__lang")
+    return langid.judged(docs, model, out=found).where(F.col(f"{found}.letters")).select(columns(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Sources are as in op6, null a source of its own; rows that repeat an id are drawn together.
     """
-    return mixing.mix(docs).select(docs.columns)
+    # Names that the mix gives columns of its own are put aside meanwhile.
+    plain = docs.toDF(*(f"{c}__" if c.lower() in ("shard", "turn") else c for c in docs.columns))
+    return mixing.mix(plain).select(columns(plain)).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
