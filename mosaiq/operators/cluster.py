@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import vectors as V
 from mosaiq.operators import labels as names
-from mosaiq.operators import stats
+from mosaiq.operators import lloyd, stats
 from mosaiq.operators.sampling import exact_sample
 
 
@@ -145,9 +145,14 @@ def quality(df: DataFrame, vector: str, dim: int, id_col: str, sample: int, seed
     return {"silhouette": sil, "davies_bouldin": q["davies_bouldin"], "calinski_harabasz": q["calinski_harabasz"], "balance": balance}
 
 
-def sweep(df: DataFrame, vector: str, dim: int, id_col: str, ks: range = range(3, 8), starts: int = 3, sample: int = 2000, seed: int = 42) -> list[dict]:
-    """Quality of k-means for several k, a row each."""
-    return [{"k": k, **quality(labels(df, kmeans(df, vector, k, starts, seed), vector), vector, dim, id_col, sample, seed)} for k in ks]
+def sweep(df: DataFrame, vector: str, dim: int, id_col: str, ks: range = range(3, 8), starts: int = 3, sample: int = 2000, seed: int = 42, rounds: int = 20) -> list[dict]:
+    """Quality of k-means for several k, a row each; all k and starts are fitted by the same scans, and the start of least inertia counts."""
+    models = [lloyd.Model(str(k), lloyd.seeds(df, vector, id_col, k, seed + i)) for k in ks for i in range(starts)]
+    fitted: dict[str, lloyd.Model] = {}
+    for m in lloyd.fit_many(df, [vector], models, rounds):
+        if m.name not in fitted or m.inertia < fitted[m.name].inertia:
+            fitted[m.name] = m
+    return [{"k": k, **quality(lloyd.assign(df, vector, fitted[str(k)].centres), vector, dim, id_col, sample, seed)} for k in ks]
 
 
 def compare_reductions(df: DataFrame, vector: str, dim: int, id_col: str, dims: tuple[int, ...] = (50, 100, 200), k: int = 5, starts: int = 3, sample: int = 2000, seed: int = 42) -> list[dict]:
@@ -181,21 +186,21 @@ def best(rows: list[dict], metric: str, largest: bool = True) -> dict:
     return (max if largest else min)(rows, key=lambda r: r[metric])
 
 
-def weight_grid(df: DataFrame, first: str, second: str, id_col: str, steps: int = 20, low: float = 0.1, high: float = 2.0, k: int = 5, sample: int = 1000, seed: int = 42) -> list[dict]:
-    """Silhouette of ``a * first + b * second`` clustered, for a grid of weights; the first best is kept by :func:`best`.
+def weight_grid(df: DataFrame, first: str, second: str, id_col: str, steps: int = 20, low: float = 0.1, high: float = 2.0, k: int = 5, starts: int = 5, rounds: int = 20, seed: int = 42) -> list[dict]:
+    """Silhouette of ``a * first + b * second`` clustered, all rows, for a grid of weights; the first best is kept by :func:`best`.
 
-    A silhouette does not change when both weights are scaled, so one fit serves all pairs of equal ratio.
+    All pairs of weights and all starts are fitted by the same scans
+    (:func:`mosaiq.operators.lloyd.fit_many`), and of the starts that of least inertia
+    counts. Silhouettes are exact, over all rows, by squared distance. Neither they nor the
+    clusters change when both weights are scaled, so one fit serves all pairs of equal ratio.
     """
-    grid, known = np.linspace(low, high, steps), {}
-    rows = []
-    part = exact_sample(df, sample, id_col, str(seed)).cache()
-    for a in grid:
-        for b in grid:
-            ratio = round(float(a / b), 9)
-            if ratio not in known:
-                mix = part.withColumn("__m", V.add(V.scale(F.col(first), F.lit(float(a))), V.scale(F.col(second), F.lit(float(b)))))
-                labelled = labels(mix, kmeans(mix, "__m", k, 1, seed), "__m")
-                known[ratio] = stats.silhouette(labelled, id_col, "cluster", "__m").first()[0]
-            rows.append({"a": float(a), "b": float(b), "silhouette": known[ratio]})
-    part.unpersist()
-    return rows
+    grid = np.linspace(low, high, steps)
+    ratio = {(a, b): round(float(b / a), 9) for a in grid for b in grid}
+    sown = [[lloyd.seeds(df, c, id_col, k, seed + i) for c in (first, second)] for i in range(starts)]
+    models = [lloyd.Model(str(r), x + r * y, (1.0, r)) for r in sorted(set(ratio.values())) for x, y in sown]
+    fitted: dict[str, lloyd.Model] = {}
+    for m in lloyd.fit_many(df, [first, second], models, rounds):
+        if m.name not in fitted or m.inertia < fitted[m.name].inertia:
+            fitted[m.name] = m
+    scores = dict(zip(fitted, lloyd.silhouettes(df, [first, second], list(fitted.values()))))
+    return [{"a": float(a), "b": float(b), "silhouette": scores[str(ratio[a, b])]} for a in grid for b in grid]
