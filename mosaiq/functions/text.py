@@ -61,12 +61,45 @@ def persona_text(summary: Column, career: Column, culture: Column, culinary: Col
     return joined([summary, career, culture, culinary, F.array_join(hobbies, " "), tag], " ")
 
 
+#: An item of a list written as a literal: a quoted text with escapes, nothing, a truth value or a plain number; loops that never give back.
+_ITEM = r"""(?s)'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\bNone\b|\bTrue\b|\bFalse\b|-?\b(?:0|[1-9][0-9]*+)(?:\.(?:[0-9]*[1-9]|0))?(?![0-9.])"""
+#: What stands for an item where only the rest of the list is looked at.
+_MARK = "\x01"
+#: Parts of a quoted text: escapes by code in hex or octal, other escapes, and runs of anything else.
+_ESCAPED = r"(?s)\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\[0-7]{1,3}|\\.|[^\\]++"
+_PLAIN = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\n": ""}
+
+
+def _unescaped(part: Column) -> Column:
+    kind, rest = F.substring(part, 2, 1), F.substring(part, 3, 16)
+    code = F.when(kind.isin("x", "u", "U"), rest).when(kind.rlike("[0-7]"), F.conv(F.substring(part, 2, 3), 8, 16))
+    coded = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+    other = F.coalesce(lookup(kind, _PLAIN), F.when(kind.isin("'", '"', "\\"), kind), part)
+    return F.when(~part.startswith("\\"), part).when(part.rlike(r"^\\(?:x[0-9A-Fa-f]|u[0-9A-Fa-f]|U[0-9A-Fa-f]|[0-7])"), coded).otherwise(other)
+
+
+def _literal_item(item: Column) -> Column:
+    inner = F.substring(item, F.lit(2), F.length(item) - 2)
+    parts = F.transform(F.regexp_extract_all(inner, F.lit(_ESCAPED), F.lit(0)), _unescaped)
+    text = F.when(F.contains(inner, F.lit("\\")), F.array_join(parts, "")).otherwise(inner)
+    return F.regexp_replace(F.when(item.rlike("^['\"]"), text).otherwise(item), ENDS, "")
+
+
 def list_or_string(value: Column) -> Column:
-    """A list given as text, in square brackets with quoted items, or else as the one item itself; empty if there is none."""
-    text = F.trim(F.coalesce(value, F.lit("")))
-    items = F.from_json(F.regexp_replace(text, r"(?<=[\[,]\s?)'|'(?=\s?[\],])", '"'), "array<string>")
-    listed = F.coalesce(items, F.array(text))
-    return F.when(text == "", F.array().cast("array<string>")).when(text.startswith("[") & text.endswith("]"), listed).otherwise(F.array(text))
+    """A list given as text: its items as texts without white space at their ends; other text is the one item itself, and no text is an empty list.
+
+    A list is written as Python writes one of quoted texts, ``None``, truth values and plain
+    numbers, escapes and both kinds of quotes included. What begins like one and is not is
+    one item. Whatever its length, a text takes linear time.
+    """
+    text = F.regexp_replace(F.coalesce(value, F.lit("")), ENDS, "")
+    items = F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0))
+    # Without its items a list is marks between commas, perhaps with one behind the last.
+    rest = F.regexp_replace(F.regexp_replace(text, _ITEM, _MARK), r"\s", "")
+    places = F.split(F.substring(rest, F.lit(2), F.length(rest) - 2), ",")
+    held = F.when(F.element_at(places, -1) == "", F.slice(places, F.lit(1), F.size(places) - 1)).otherwise(places)
+    sound = rest.startswith("[") & rest.endswith("]") & (F.length(rest) > 1) & (F.size(held) == F.size(items)) & F.forall(held, lambda x: x == _MARK)
+    return F.when(text == "", F.array().cast("array<string>")).when(sound, F.transform(items, _literal_item)).otherwise(F.array(text))
 
 
 def truthy(items: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.functions import vectors as V
+from mosaiq.operators import simjoin
 from mosaiq.runtime import saved, ship
 
 THRESHOLD = 0.85
@@ -100,6 +101,21 @@ def groups(items: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
     return h.select("head", F.col("head").alias("id")).union(members)
 
 
+def greedy_groups(items: DataFrame, id_col: str, vector: str, threshold: float = THRESHOLD, within: str | None = None) -> DataFrame:
+    """``(head, id)`` as :func:`groups`, for items whose cosine reaches the threshold, by an exact join that needs no cells.
+
+    Equal vectors are compared and walked through once: their least id decides for all, as
+    whoever is near it is near its copies, which it covers itself. ``within`` names a column
+    that items of a pair must share.
+    """
+    held = saved(simjoin.distinct_vectors(items.where(F.col(id_col).isNotNull()), id_col, vector, threshold, within))
+    pairs = simjoin.threshold_pairs(items, id_col, vector, threshold, within).select("within", "a", "b")
+    cell = F.col("within").alias("cell")
+    both = pairs.select(cell, "a", "b").union(pairs.select(cell, F.col("b").alias("a"), F.col("a").alias("b")))
+    grouped = groups(held.where("id = rep").select("rep"), both, "rep").select("head", F.col("id").alias("near"))
+    return grouped.join(held.select("id", "rep"), F.col("near") == F.col("rep")).select("head", "id")
+
+
 def representatives(grouped: DataFrame, items: DataFrame, id_col: str, vector: str, dim: int) -> DataFrame:
     """``(head, representative, size)``: the member nearest to the mean of the group's unit vectors, the first if several are."""
     unit = items.select(F.col(id_col).alias("id"), V.normalise(F.col(vector), added=True).alias("v"))

@@ -46,6 +46,17 @@ def scenario(main: DataFrame, derived: DataFrame, wanted: str) -> DataFrame:
     return both.where(F.col("id").cast("string") == wanted).orderBy("__o").limit(1).drop("__o")
 
 
+def scenarios(main: DataFrame, derived: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The scenario of each id of ``wanted`` (``id``, text), from the main list or else the derived one; ids in neither are left out.
+
+    Both lists have an ``id`` of any type, ids unique within a list, and the same other columns.
+    """
+    other = [c for c in main.columns if c != "id"]
+    both = main.withColumn("id", F.col("id").cast("string")).withColumn("__o", F.lit(0)).unionByName(derived.withColumn("id", F.col("id").cast("string")).withColumn("__o", F.lit(1)))
+    met = both.join(wanted.select("id").distinct(), "id", "left_semi")
+    return met.groupBy("id").agg(F.min_by(F.struct(*other), "__o").alias("x")).select("id", "x.*")
+
+
 def equal_to(df: DataFrame, column: str, value: float) -> DataFrame:
     """Rows whose column, read as a number, is the value itself; what is no number is not."""
     return df.where(F.expr(f"try_cast({column} AS double)") == value)

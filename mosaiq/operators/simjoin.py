@@ -36,11 +36,18 @@ MAX_PIVOTS, SAMPLE_SHARE, MAX_COMPONENTS, BLOCK = 1024, 16, 4_000_000, 1024
 SLACK = 1e-6
 
 
-def distinct_vectors(items: DataFrame, id_col: str, vector: str, within: str | None = None) -> DataFrame:
-    """``(id, rep, copies, within, v)``: each row and the least id of those that equal it in vector and ``within``; null vectors are left out."""
+def distinct_vectors(items: DataFrame, id_col: str, vector: str, threshold: float, within: str | None = None) -> DataFrame:
+    """``(id, rep, copies, within, v)``: each row and the least id of those that equal it in vector and ``within``; null vectors are left out.
+
+    Equal vectors so short that not even they reach the threshold, as zero ones, stay apart.
+    """
     rows = items.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), (F.col(within) if within else F.lit(0)).alias("within"), V.as_double(F.col(vector)).alias("v"))
-    kinds = rows.groupBy("within", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("rep", "copies", F.col("within").alias("w"), F.col("v").alias("u"))
-    return rows.join(kinds, F.col("within").eqNullSafe(F.col("w")) & (F.col("v") == F.col("u"))).select("id", "rep", "copies", "within", "v")
+    size = V.norm(F.col("v"))
+    rows = rows.withColumn("apart", F.when(F.pow(size / (size + V.ADDED_EPS), 2) < threshold, F.col("id")))
+    kinds = rows.groupBy("within", "v", "apart").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    kinds = kinds.select("rep", "copies", F.col("within").alias("w"), F.col("v").alias("u"), F.col("apart").alias("x"))
+    same = F.col("within").eqNullSafe(F.col("w")) & (F.col("v") == F.col("u")) & F.col("apart").eqNullSafe(F.col("x"))
+    return rows.join(kinds, same).select("id", "rep", "copies", "within", "v")
 
 
 @dataclass
@@ -167,7 +174,7 @@ def _numbered(distinct: DataFrame) -> DataFrame:
 
 
 def threshold_pairs(items: DataFrame, id_col: str, vector: str, threshold: float, within: str | None = None) -> DataFrame:
-    """``(a, b, sim, a_copies, b_copies)``: pairs of different vectors whose cosine reaches the threshold, the least ids of their copies, a before b.
+    """``(within, a, b, sim, a_copies, b_copies)``: pairs of different vectors whose cosine reaches the threshold, the least ids of their copies, a before b.
 
     1e-9 is added to norms, so zero vectors have a cosine of 0. Vectors of different lengths
     and, if given, of different ``within`` are no pair; null is a value of it like any other.
@@ -176,18 +183,18 @@ def threshold_pairs(items: DataFrame, id_col: str, vector: str, threshold: float
     copies are: each pair stands for all pairs of its copies.
     """
     ship(items.sparkSession)
-    reps = _numbered(distinct_vectors(items.where(F.col(id_col).isNotNull()), id_col, vector, within))
+    reps = _numbered(distinct_vectors(items.where(F.col(id_col).isNotNull()), id_col, vector, threshold, within))
     found = _pairs(_deal(reps, threshold), threshold)
-    names = lambda c: reps.select(F.col("n").alias(f"n_{c}"), F.col("rep").alias(f"id_{c}"), F.col("copies").alias(f"copies_{c}"))
+    names = lambda c: reps.select(F.col("n").alias(f"n_{c}"), F.col("rep").alias(f"id_{c}"), F.col("copies").alias(f"copies_{c}"), F.col("within").alias(f"within_{c}"))
     named = found.join(names("a"), F.col("a") == F.col("n_a")).join(names("b"), F.col("b") == F.col("n_b"))
     swap = F.col("id_a") > F.col("id_b")
     either = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
-    return named.select(either("id_b", "id_a").alias("a"), either("id_a", "id_b").alias("b"), "sim", either("copies_b", "copies_a").alias("a_copies"), either("copies_a", "copies_b").alias("b_copies"))
+    return named.select(F.col("within_a").alias("within"), either("id_b", "id_a").alias("a"), either("id_a", "id_b").alias("b"), "sim", either("copies_b", "copies_a").alias("a_copies"), either("copies_a", "copies_b").alias("b_copies"))
 
 
 def compared(items: DataFrame, id_col: str, vector: str, threshold: float, within: str | None = None) -> int:
     """How many products the join forms, to be held against the number of pairs."""
-    dealt = _deal(_numbered(distinct_vectors(items, id_col, vector, within)), threshold)
+    dealt = _deal(_numbered(distinct_vectors(items, id_col, vector, threshold, within)), threshold)
     count = lambda df, name: df.groupBy(*dealt.key).agg(F.count(F.lit(1)).alias(name))
     both = count(dealt.members.withColumn("within", F.xxhash64("within")), "m").join(count(dealt.probes.withColumn("within", F.xxhash64("within")), "p"), dealt.key)
     return both.agg(F.coalesce(F.sum(F.col("m") * F.col("p")), F.lit(0))).first()[0]

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import encode
 from mosaiq.functions import text as T
 from mosaiq.functions import vectors as V
-from mosaiq.operators import cluster, diversity, grouping, joins, labels, prompts, sampling, scoring, selection, stats, topk, trials
+from mosaiq.operators import cluster, diversity, grouping, joins, labels, lloyd, ordered, prompts, sampling, scoring, selection, simjoin, stats, topk, trials
 from mosaiq.plans import oracles
 from mosaiq.plans.constants import AFFINITY, ANSWERS, SCENARIOS
 from mosaiq.runtime import scratch
@@ -23,6 +24,7 @@ from mosaiq.sources import tables
 DIM, K, LABELS = 64, 5, 10
 #: Cells of the coarse index, and how many of them a search looks into: these vectors hardly cluster, so a recall of 0.9 takes most cells (4 give 0.54).
 CELLS, PROBES = 16, 12
+LLOYD_KS, LLOYD_STARTS, LLOYD_ROUNDS = (3, 5, 8), (1, 2), 2
 VALUES = ["functional", "emotional", "social", "epistemic", "ethical"]
 
 
@@ -270,7 +272,7 @@ def lexical_diversity(spark, sf_dir):
 
 def ngram_counts(spark, sf_dir):
     rows = _answers(spark, sf_dir)
-    return diversity.word_counts(rows, ["conv_id"], "text", 2).where("n > 1")
+    return diversity.word_counts(rows, ["conv_id"], "text", 2)
 
 
 def embedding_diversity(spark, sf_dir):
@@ -304,21 +306,25 @@ def prefix_saturation(spark, sf_dir):
     return stats.prefix_saturation(docs, words, "doc_id", "word", [100, 200, 300, 400, 500]).select("prefix", "n_unique", _r6("growth").alias("growth"), "saturated")
 
 
-def _scenarios(spark) -> DataFrame:
-    rows = [(k, c, list(t), i, p) for k, c, t, i, p in SCENARIOS]
-    return spark.createDataFrame(rows, "request_id string, category string, reasons array<string>, item string, price int")
+def _scenarios(spark, sf_dir) -> DataFrame:
+    """Each part as a purchase that somebody asks about: a category, up to two reasons, an item and a price."""
+    key = F.col("p_partkey")
+    category = F.element_at(F.array(*map(F.lit, oracles.CATEGORIES)), (key % len(oracles.CATEGORIES) + 1).cast("int"))
+    reasons = F.slice(F.array(*map(F.lit, oracles.REASONS)), (key % (len(oracles.REASONS) - 1) + 1).cast("int"), (key % 3).cast("int"))
+    price = F.floor(F.col("p_retailprice").cast("double") * F.col("p_size")).cast("int")
+    return _read(spark, sf_dir, "part").select(key.cast("string").alias("request_id"), category.alias("category"), reasons.alias("reasons"), F.col("p_name").alias("item"), price.alias("price"))
 
 
 def tag_inference(spark, sf_dir):
     tags = selection.inferred_tags(F.lit(None).cast("array<string>"), F.col("reasons"), F.col("category"), F.col("price"))
     block = selection.context_block(F.col("reasons"), F.col("item"), F.col("category"), F.col("price"), F.lit(""))
     query = selection.context_query(F.col("reasons"), F.col("item"), F.col("category"), F.lit(""))
-    return _scenarios(spark).select("request_id", F.array_join(tags, ",").alias("tags"), query.alias("query"), block.alias("block"))
+    return _scenarios(spark, sf_dir).select("request_id", F.array_join(tags, ",").alias("tags"), query.alias("query"), block.alias("block"))
 
 
 def affinity_scores(spark, sf_dir):
     tags = selection.inferred_tags(F.lit(None).cast("array<string>"), F.col("reasons"), F.col("category"), F.col("price"))
-    scores = selection.affinity(_scenarios(spark).select("request_id", tags.alias("tags")), selection.long_matrix(spark, AFFINITY))
+    scores = selection.affinity(_scenarios(spark, sf_dir).select("request_id", tags.alias("tags")), selection.long_matrix(spark, AFFINITY))
     return scores.select("request_id", "arch", "score")
 
 
@@ -346,12 +352,17 @@ def mentor_selection_reliable(spark, sf_dir):
 
 def greedy_dedupe(spark, sf_dir):
     items = _emb(spark, sf_dir)
-    pairs = grouping.similar_pairs(items, "vec_id", "embedding", "label", 0.3)
-    grouped = grouping.groups(items, pairs, "vec_id")
+    grouped = grouping.greedy_groups(items, "vec_id", "embedding", 0.3, "label")
     chosen = grouping.representatives(grouped, items, "vec_id", "embedding", DIM)
     return grouping.aliases(grouped, chosen).select(F.col("id").alias("vec_id"), "representative")
 
 
+def threshold_join(spark, sf_dir):
+    """All pairs of similar vectors, whatever their labels; equal vectors as one."""
+    found = simjoin.threshold_pairs(_emb(spark, sf_dir), "vec_id", "embedding", 0.4)
+    return found.select("a", "b", _r6("sim").alias("sim"), "a_copies", "b_copies")
+
+
 def fixed_label_quality(spark, sf_dir):
     q = stats.cluster_quality(_emb(spark, sf_dir), "label", "embedding", DIM)
     return q.select("k", "n", _r6("davies_bouldin").alias("davies_bouldin"), _r6("calinski_harabasz").alias("calinski_harabasz"))
@@ -419,8 +430,48 @@ def pca_sweep(spark, sf_dir):
 def weight_grid(spark, sf_dir):
     """Silhouettes by pairs of weights, as a row for each first weight."""
     e = _emb(spark, sf_dir).select("vec_id", F.slice("embedding", 1, 32).alias("first"), F.slice("embedding", 33, 32).alias("second"))
-    grid = _table(spark, cluster.weight_grid(e, "first", "second", "vec_id", steps=3, k=LABELS), "a double, b double, silhouette double")
-    return stats.pivoted(grid.withColumn("b", F.round("b", 2).cast("string")), "a", "b", "silhouette", ["0.1", "1.05", "2.0"])
+    grid = _table(spark, cluster.weight_grid(e, "first", "second", "vec_id", k=5), "a double, b double, silhouette double")
+    weights = [str(round(0.1 * i, 1)) for i in range(1, 21)]
+    return stats.pivoted(grid.select(F.round("a", 1).alias("a"), F.round("b", 1).cast("string").alias("b"), _r6("silhouette").alias("silhouette")), "a", "b", "silhouette", weights)
+
+
+def lloyd_models(spark, sf_dir):
+    """k-means of several numbers of clusters and starts, two rounds from seeds in the order of a hash, all in the same scans."""
+    e = _emb(spark, sf_dir)
+    models = [lloyd.Model(f"{k}-{s}", lloyd.seeds(e, "embedding", "vec_id", k, s)) for k in LLOYD_KS for s in LLOYD_STARTS]
+    rows = [(m.name, i, int(n), float(c.sum()), float((c * c).sum())) for m in lloyd.fit_many(e, ["embedding"], models, LLOYD_ROUNDS, 0.0) for i, (n, c) in enumerate(zip(m.sizes, m.centres))]
+    return spark.createDataFrame(rows, "model string, cluster int, n long, total double, square double").select("model", "cluster", "n", _r6("total").alias("total"), _r6("square").alias("square"))
+
+
+def minibatch_kmeans(spark, sf_dir):
+    """Every vector with its cluster after mini-batches over all of them."""
+    e = _emb(spark, sf_dir)
+    model = lloyd.fit_minibatch(e, "embedding", "vec_id", LABELS, batch_rows=4096)
+    return lloyd.assign(e, "embedding", model.centres, distance="distance").select("vec_id", "cluster", _r6("distance").alias("distance"))
+
+
+def all_row_silhouette(spark, sf_dir):
+    """Silhouette by squared distance of all vectors, clustered by the means of the labels."""
+    e = _emb(spark, sf_dir)
+    means = e.groupBy("label").agg(V.mean_by_position("embedding").alias("m")).orderBy("label").collect()  # a row a label
+    model = lloyd.Model("labels", np.array([r["m"] for r in means]))
+    score = lloyd.silhouettes(e, ["embedding"], [model])[0]
+    return lloyd.assign(e, "embedding", model.centres).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("silhouette", F.round(F.lit(score), 6))
+
+
+def row_ordinals(spark, sf_dir):
+    """Row numbers of all documents by source and id."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    return ordered.ordinals(docs, ["source", "doc_id"]).select("doc_id", "ord")
+
+
+def literal_lists(spark, sf_dir):
+    """The words of each turn as Python writes their list, quotes and all, parsed back."""
+    words = T.tokens(F.col("text"))
+    quoted = F.transform(words, lambda w: F.concat(F.lit("'"), F.replace(F.replace(w, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'")))
+    written = F.concat(F.lit("["), F.array_join(F.concat(quoted, F.array(F.lit("None"), F.lit("\"it's\""), F.lit("7"))), ", "), F.lit("]"))
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", T.list_or_string(written).alias("items"))
+    return rows.select("conv_id", "turn", F.size("items").cast("long").alias("n"), F.array_join("items", "|").alias("items"))
 
 
 def spherical_kmeans(spark, sf_dir):
@@ -445,7 +496,7 @@ def encoded_texts(spark, sf_dir):
 
 def encoded_lists(spark, sf_dir):
     """Lists of words, a vector each; empty lists stay."""
-    items = F.filter(F.slice(T.tokens(F.col("text")), 1, 4), lambda w: F.length(w) > 3)
+    items = F.filter(T.tokens(F.col("text")), lambda w: F.length(w) > 3)
     rows = encode.encoded_items(_read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), items.alias("items")), "id", "items", lambda: encode.HashingEncoder(16))
     return rows.select("id", F.size("embeddings").cast("long").alias("n"), F.coalesce(F.round(F.array_max(F.transform("embeddings", V.norm)), 4), F.lit(0.0)).alias("norm"))
 
@@ -483,11 +534,12 @@ def parquet_rolled(spark, sf_dir):
 
 
 def json_array(spark, sf_dir):
-    """One JSON document that holds a list of objects, some of their fields asked for."""
+    """JSON documents that hold a list of up to 1,000 objects each, some of their fields asked for."""
     path = scratch(spark)
     objects = F.collect_list(F.struct(F.col("request_id").alias("id"), "item", "price", F.col("reasons").alias("tags")))
-    tables.write_lines(_scenarios(spark).agg(F.to_json(objects).alias("value")).coalesce(1), path)
-    return tables.json_documents(spark, path, "id string, item string, price int, missing string")
+    lists = _scenarios(spark, sf_dir).groupBy(F.floor(F.col("request_id").cast("long") / 1000).alias("chunk")).agg(F.to_json(objects).alias("value"))
+    lists.write.partitionBy("chunk").text(path)
+    return tables.json_documents(spark, path, "id string, item string, price int, missing string").drop("chunk")
 
 
 def key_equality(spark, sf_dir):
@@ -501,7 +553,7 @@ def affinity_tag_major(spark, sf_dir):
     """The same scores from a matrix that is given by tag, within a wrapper."""
     tags = selection.inferred_tags(F.lit(None).cast("array<string>"), F.col("reasons"), F.col("category"), F.col("price"))
     turned = {"matrix": {t: {a: row[t] for a, row in AFFINITY.items()} for t in selection.TAGS}}
-    return selection.affinity(_scenarios(spark).select("request_id", tags.alias("tags")), selection.long_matrix(spark, turned)).select("request_id", "arch", "score")
+    return selection.affinity(_scenarios(spark, sf_dir).select("request_id", tags.alias("tags")), selection.long_matrix(spark, turned)).select("request_id", "arch", "score")
 
 
 def json_requests(spark, sf_dir):
@@ -575,10 +627,10 @@ def label_merge(spark, sf_dir):
 
 
 def scenario_lookup(spark, sf_dir):
-    both = [(k, c, i) for k, c, _, i, _ in SCENARIOS]
-    main = spark.createDataFrame([(int(k), c, i) for k, c, i in both if k.isdigit()], "id int, category string, item string").withColumn("id", F.col("id").cast("string"))
-    more = spark.createDataFrame([x for x in both if not x[0].isdigit()], "id string, category string, item string")
-    return joins.scenario(main, more, "1A").unionByName(joins.scenario(main, more, "4"))
+    """What was ordered, looked up in a main list and else in a derived one; some is in both, some in neither."""
+    every = _scenarios(spark, sf_dir).select(F.col("request_id").cast("int").alias("id"), "category", "item")
+    main, more = every.where("id % 3 <> 0"), every.where("id % 2 = 0").select(F.col("id").cast("string").alias("id"), "category", F.concat(F.lit("derived "), F.col("item")).alias("item"))
+    return joins.scenarios(main, more, _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("id")))
 
 
 # Texts
@@ -593,7 +645,7 @@ def persona_texts(spark, sf_dir):
     """Parts of a text, some empty or missing, and what a list given as text holds."""
     c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     words = T.tokens(F.col("text"))
-    hobbies = T.truthy(F.slice(words, 1, 3))
+    hobbies = T.truthy(words)
     plain = F.regexp_replace(F.array_join(hobbies, " "), "['\"\\[\\],]", "")
     listed = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("['"), F.array_join(F.split(plain, " "), "', '"), F.lit("']"))).when(F.col("turn") % 3 == 1, plain)
     text = T.persona_text(F.col("role"), F.when(F.col("turn") % 2 == 0, ""), F.lit(None).cast("string"), F.col("turn").cast("string"), hobbies, F.lit("end"))
@@ -641,7 +693,7 @@ def system_prompts(spark, sf_dir):
 
 
 def user_prompts(spark, sf_dir):
-    c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.substring("text", 1, 20)).alias("said"), "role")
+    c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("said"), "role")
     return prompts.user_prompts(c, "said", "{role}: {said}", "[{role} waits at {turn}]", {"role": F.col("role"), "said": F.col("said"), "turn": F.col("turn")}).select("conv_id", "turn", "user_prompt")
 
 
@@ -692,10 +744,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         anchor_max_scaled, weighted_knn_score, score_fusion, structural_noise, quota_sample, stratified_sample, exact_hash_sample, keep_first, stat_bundle,
         trial_rates, threshold_loss_curve, token_stats, lexical_diversity, ngram_counts, embedding_diversity, scorer_ablation, response_postprocess, retry_gate,
         prefix_saturation, tag_inference, affinity_scores, mentor_selection, mentor_selection_reliable, greedy_dedupe, fixed_label_quality, sampled_silhouette,
+        threshold_join, lloyd_models, minibatch_kmeans, all_row_silhouette, row_ordinals, literal_lists,
         label_agreement, rank_correlation, value_histogram, regress_out, pca_kmeans, bootstrap_ari, prompt_parts,
         ivf_recall, k_sweep, reduction_comparison, pca_sweep, weight_grid, spherical_kmeans, clusters_hold, explained_variance, encoded_texts, encoded_lists,
         csv_round_trip, parquet_rolled, json_array, key_equality, affinity_tag_major, json_requests, json_mapping, resumed_chunks, parsed_properties, score_attach, score_equal, align_zero_fill, align_drop, cached_lookup, label_merge,
         scenario_lookup, age_bands, persona_texts, text_tidied, describe_values, value_pivot, system_prompts, user_prompts, table_answers, trial_table, trial_report, results_json,
     )
 }
-ORACLES: dict[str, str] = {**oracles.SQL, "system_prompts": oracles.system_prompts(SECTIONS, GUIDES)}
+ORACLES: dict[str, str] = {**oracles.SQL, "system_prompts": oracles.system_prompts(SECTIONS, GUIDES), "lloyd_models": oracles.lloyd_models(LLOYD_KS, LLOYD_STARTS, LLOYD_ROUNDS)}

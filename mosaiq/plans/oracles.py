@@ -127,11 +127,10 @@ def _map(values: dict[str, str]) -> str:
     return "MAP {" + ", ".join(f"{_literal(k)}: {_literal(v)}" for k, v in values.items()) + "}"
 
 
-_SCEN = (
-    "sc AS (SELECT * FROM (VALUES "
-    + ", ".join(f"({_literal(k)}, {_literal(c)}, [{', '.join(map(_literal, t))}], {_literal(i)}, {p})" for k, c, t, i, p in SCENARIOS)
-    + ") t(request_id, category, reasons, item, price))"
-)
+#: Categories and reasons that parts stand for, one of each unknown to the tag tables.
+CATEGORIES, REASONS = [*selection.CATEGORY_TAGS, "none of these"], [*selection.REASON_TAGS, "none of these"]
+_SCEN = f"""sc AS (SELECT CAST(p_partkey AS VARCHAR) AS request_id, [{", ".join(map(_literal, CATEGORIES))}][p_partkey % {len(CATEGORIES)} + 1] AS category,
+  [{", ".join(map(_literal, REASONS))}][p_partkey % {len(REASONS) - 1} + 1 : p_partkey % {len(REASONS) - 1} + p_partkey % 3] AS reasons, p_name AS item, CAST(floor(CAST(p_retailprice AS DOUBLE) * p_size) AS INTEGER) AS price FROM part)"""
 _TAGGED = f"""{_SCEN}, raw AS (SELECT *, list_filter(list_concat(list_transform(reasons, lambda r: {_map(selection.REASON_TAGS)}[r]),
   [{_map(selection.CATEGORY_TAGS)}[category], CASE WHEN price < 10000 THEN '{selection.LOW_TAG}' WHEN price >= 50000 THEN '{selection.HIGH_TAG}' END]), lambda x: x IS NOT NULL) AS l FROM sc),
 tg AS (SELECT *, CASE WHEN len(l) = 0 THEN ['{selection.DEFAULT_TAG}'] ELSE list_filter(l, lambda x, i: list_position(l, x) = i) END AS tags FROM raw)"""
@@ -286,7 +285,7 @@ SELECT vec_id, round(d, 6) AS "distinct", round(n, 6) AS emb_norm, round(k, 6) A
     "token_stats": f"WITH t AS (SELECT lang, CAST(len({_TOKENS.format('text')}) AS DOUBLE) AS k FROM documents) SELECT coalesce(lang, 'ALL') AS lang, {_BUNDLE.format('k')}, round(quantile_cont(k, 0.99), 6) AS p99, round(avg(CASE WHEN k > 512 THEN 1.0 ELSE 0.0 END), 6) AS over FROM t GROUP BY ROLLUP (lang)",
     "lexical_diversity": f"WITH {_ANSWERS}, {_lexical('ans', 'conv_id', 'ordinal', 'text')} {_report('conv_id', 'pairs', 'ans')}",
     "ngram_counts": f"""WITH {_ANSWERS}, w AS (SELECT conv_id, {_TOKENS.format("text")} AS w FROM ans)
-SELECT conv_id, gram, count(*) AS n FROM (SELECT conv_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w WHERE len(w) > 1) GROUP BY ALL HAVING count(*) > 1""",
+SELECT conv_id, gram, count(*) AS n FROM (SELECT conv_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w WHERE len(w) > 1) GROUP BY ALL""",
     "embedding_diversity": f"WITH {_GRP}, pairs AS ({_vec_pairs('{0}')}) {_report('grp', 'pairs', 'g')}",
     "scorer_ablation": f"""WITH {_GRP}, d AS (SELECT 'all' AS model, * FROM ({_vec_pairs("{0}")}) UNION ALL SELECT 'first', * FROM ({_vec_pairs("{0}[1:32]")}) UNION ALL SELECT 'second', * FROM ({_vec_pairs("{0}[33:64]")})),
 m AS (SELECT model, grp, avg(dist) AS m FROM d GROUP BY ALL)
@@ -298,8 +297,8 @@ p AS (SELECT DISTINCT least(x, (SELECT count(*) FROM documents)) AS prefix FROM
 c AS (SELECT prefix, count(f.at) AS n_unique FROM p LEFT JOIN f ON f.at < prefix GROUP BY prefix),
 g AS (SELECT *, coalesce(lag(n_unique) OVER (ORDER BY prefix), 0) AS b FROM c), h AS (SELECT *, (n_unique - b) / greatest(b, 1) * 100 AS growth FROM g)
 SELECT prefix, n_unique, round(growth, 6) AS growth, coalesce(prefix = (SELECT min(prefix) FROM h WHERE b > 0 AND growth < 5), false) AS saturated FROM h""",
-    "tag_inference": f"""WITH {_TAGGED} SELECT request_id, array_to_string(tags, ',') AS tags, array_to_string(reasons, ' ') || ' ' || item || ' ' || category AS query,
-'[아이의 고민]' || chr(10) || '상품: ' || item || ' (' || category || ') — ' || format('{{:,}}', price) || '원' || chr(10) || '구매 이유: ' || array_to_string(reasons, ' + ') AS block FROM tg""",
+    "tag_inference": f"""WITH {_TAGGED} SELECT request_id, array_to_string(tags, ',') AS tags, concat_ws(' ', nullif(array_to_string(reasons, ' '), ''), item, category) AS query,
+'[아이의 고민]' || chr(10) || '상품: ' || item || ' (' || category || ') — ' || format('{{:,}}', price) || '원' || CASE WHEN len(reasons) > 0 THEN chr(10) || '구매 이유: ' || array_to_string(reasons, ' + ') ELSE '' END AS block FROM tg""",
     "affinity_scores": f"WITH {_TAGGED}, {_MATRIX}, u AS (SELECT request_id, unnest(tags) AS tag FROM tg) SELECT request_id, arch, sum(score) AS score FROM u JOIN mx USING (tag) GROUP BY ALL",
     "mentor_selection": _panel(True),
     "mentor_selection_reliable": _panel(False),
@@ -338,7 +337,7 @@ SELECT conv_id, turn, CASE WHEN h = '' THEN 'unknown' ELSE h END AS head, CASE W
     "clusters_hold": "SELECT true AS no_trace, true AS ari_in_bounds, true AS unit, count(*) AS n, 10 AS clusters FROM embeddings",
     "explained_variance": "SELECT any_value(len(embedding)) AS components, true AS sums_to_one, true AS descending, true AS enough FROM embeddings",
     "encoded_texts": f"SELECT doc_id, CAST(64 AS BIGINT) AS dim, CASE WHEN len({_TOKENS.format('text')}) > 0 THEN 1.0 ELSE 0.0 END AS text_norm, CASE WHEN source <> 'src0' THEN 1.0 ELSE 0.0 END AS source_norm FROM documents",
-    "encoded_lists": f"""WITH c AS (SELECT conv_id || '-' || turn AS id, list_filter(({_TOKENS.format("text")})[1:4], lambda w: length(w) > 3) AS w FROM conversations)
+    "encoded_lists": f"""WITH c AS (SELECT conv_id || '-' || turn AS id, list_filter({_TOKENS.format("text")}, lambda w: length(w) > 3) AS w FROM conversations)
 SELECT id, CAST(len(w) AS BIGINT) AS n, CASE WHEN len(w) > 0 THEN 1.0 ELSE 0.0 END AS norm FROM c""",
     "csv_round_trip": "SELECT * FROM customer",
     "parquet_rolled": "SELECT c_custkey, c_name FROM customer",
@@ -356,19 +355,47 @@ SELECT id, CAST(len(w) AS BIGINT) AS n, CASE WHEN len(w) > 0 THEN 1.0 ELSE 0.0 E
 SELECT vec_id, label, true AS cached FROM w UNION ALL SELECT vec_id, CASE WHEN (SELECT min(vec_id) FROM w) > 50 THEN label ELSE -1 END, false FROM w""",
     "label_merge": """SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS lost
 FROM documents JOIN labels USING (doc_id) GROUP BY lang""",
-    "scenario_lookup": f"WITH {_SCEN} SELECT request_id AS id, category, item FROM sc WHERE request_id IN ('1A', '4')",
+    "scenario_lookup": f"""WITH {_SCEN}, w AS (SELECT DISTINCT l_partkey AS k FROM lineitem)
+SELECT request_id AS id, category, CASE WHEN k % 3 <> 0 THEN item ELSE 'derived ' || item END AS item FROM w JOIN sc ON request_id = CAST(k AS VARCHAR) WHERE k % 3 <> 0 OR k % 2 = 0""",
     "age_bands": """SELECT p_partkey, CASE WHEN a BETWEEN 19 AND 29 THEN '19-29' WHEN a BETWEEN 30 AND 49 THEN '30-49' WHEN a BETWEEN 50 AND 69 THEN '50-69' ELSE 'other' END AS band,
 CASE WHEN a BETWEEN 19 AND 29 THEN '19-29' WHEN a BETWEEN 30 AND 49 THEN '30-49' WHEN a BETWEEN 50 AND 69 THEN '50-69' WHEN a >= 70 THEN '70+' ELSE 'other' END AS band_70 FROM (SELECT p_partkey, p_size * 2 AS a FROM part)""",
-    "persona_texts": f"""WITH c AS (SELECT *, ({_TOKENS.format("text")})[1:3] AS w FROM conversations), d AS (SELECT *, array_to_string(w, ' ') AS h, regexp_replace(array_to_string(w, ' '), '[''"\\[\\],]', '', 'g') AS plain FROM c)
+    "persona_texts": f"""WITH c AS (SELECT *, {_TOKENS.format("text")} AS w FROM conversations), d AS (SELECT *, array_to_string(w, ' ') AS h, regexp_replace(array_to_string(w, ' '), '[''"\\[\\],]', '', 'g') AS plain FROM c)
 SELECT conv_id, turn, concat_ws(' ', role, CAST(turn AS VARCHAR), CASE WHEN h <> '' THEN h END, 'end') AS text,
   CASE turn % 3 WHEN 0 THEN array_to_string(string_split(plain, ' '), '|') WHEN 1 THEN trim(plain) ELSE '' END AS listed FROM d""",
     "text_tidied": "SELECT conv_id, turn, role FROM conversations",
     "describe_values": "WITH v AS (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount FROM lineitem) ON l_quantity, l_extendedprice, l_discount INTO NAME \"column\" VALUE x)\n"
     "SELECT \"column\", count(x) AS count, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, round(min(x), 4) AS min, round(quantile_cont(x, 0.25), 4) AS p25, round(quantile_cont(x, 0.5), 4) AS p50, round(quantile_cont(x, 0.75), 4) AS p75, round(max(x), 4) AS max FROM v GROUP BY 1",
     "value_pivot": f"SELECT source, {', '.join(f"nullif(count(*) FILTER (lang = '{x}'), 0) AS {x}" for x in ('en', 'fr', 'de', 'es'))} FROM documents GROUP BY source",
-    "user_prompts": "SELECT conv_id, turn, CASE WHEN role = 'user' AND text <> '' THEN role || ': ' || substr(text, 1, 20) ELSE '[' || role || ' waits at ' || turn || ']' END AS user_prompt FROM conversations",
+    "user_prompts": "SELECT conv_id, turn, CASE WHEN role = 'user' AND text <> '' THEN role || ': ' || text ELSE '[' || role || ' waits at ' || turn || ']' END AS user_prompt FROM conversations",
 }
 
+
+
+def _lloyd_round(i: int) -> str:
+    """Assignments to the centroids of a round, and their means."""
+    return f"""a{i} AS (SELECT k, s, vec_id, any_value(e.v) AS v, min(struct_pack(d := pow(list_distance(e.v, c.v), 2), cluster := cluster)).cluster AS cluster FROM e, c{i} c GROUP BY k, s, vec_id),
+n{i} AS (SELECT k, s, cluster, list(x ORDER BY pos) AS v, any_value(n) AS n FROM (
+  SELECT k, s, cluster, pos, avg(x) AS x, count(*) AS n FROM (SELECT k, s, cluster, unnest(range(1, 65)) AS pos, unnest(v) AS x FROM a{i}) GROUP BY ALL) GROUP BY ALL),
+c{i + 1} AS (SELECT k, s, cluster, coalesce(n.v, c.v) AS v, coalesce(n.n, 0) AS n FROM c{i} c LEFT JOIN n{i} n USING (k, s, cluster))"""
+
+
+def lloyd_models(ks: tuple[int, ...], starts: tuple[int, ...], rounds: int) -> str:
+    return f"""WITH {_E}, m AS (SELECT k, s FROM unnest({list(ks)}) a(k), unnest({list(starts)}) b(s)),
+c0 AS (SELECT k, s, r - 1 AS cluster, v FROM (SELECT k, s, v, row_number() OVER (PARTITION BY k, s ORDER BY md5(s || '|' || vec_id)) AS r FROM e, m) WHERE r <= k),
+{", ".join(map(_lloyd_round, range(rounds)))}
+SELECT k || '-' || s AS model, cluster, n, round(list_sum(v), 6) AS total, round(list_inner_product(v, v), 6) AS square FROM c{rounds}"""
+
+
+SQL["threshold_join"] = f"""WITH {_E}, d AS (SELECT min(vec_id) AS id, count(*) AS n, v FROM e GROUP BY v), u AS (SELECT id, n, {_added("v")} AS v FROM d)
+SELECT a.id AS a, b.id AS b, round(list_inner_product(a.v, b.v), 6) AS sim, a.n AS a_copies, b.n AS b_copies FROM u a JOIN u b ON a.id < b.id AND list_inner_product(a.v, b.v) >= 0.4"""
+SQL["all_row_silhouette"] = f"""WITH {_E}, m AS ({_mean("e", "label")}), c AS (SELECT row_number() OVER (ORDER BY label) - 1 AS cluster, c FROM m),
+a AS (SELECT vec_id, any_value(v) AS v, min(struct_pack(d := list_distance(v, c), i := cluster)).i AS cluster FROM e, c GROUP BY vec_id),
+p AS (SELECT x.vec_id, x.cluster AS own, y.cluster AS other, sum(pow(list_distance(x.v, y.v), 2)) AS d, count(*) AS n FROM a x, a y GROUP BY ALL),
+s AS (SELECT vec_id, max(n) FILTER (own = other) AS n, max(d / greatest(n - 1, 1)) FILTER (own = other) AS i, min(d / n) FILTER (own <> other) AS o FROM p GROUP BY vec_id)
+SELECT cluster, count(*) AS n, (SELECT round(avg(CASE WHEN n > 1 AND o IS NOT NULL THEN (o - i) / greatest(o, i, 1e-300) ELSE 0 END), 6) FROM s) AS silhouette FROM a GROUP BY cluster"""
+SQL["row_ordinals"] = "SELECT doc_id, row_number() OVER (ORDER BY source NULLS FIRST, doc_id) AS ord FROM documents"
+SQL["literal_lists"] = f"SELECT conv_id, turn, CAST(len(w) + 3 AS BIGINT) AS n, array_to_string(list_concat(w, ['None', 'it''s', '7']), '|') AS items FROM (SELECT conv_id, turn, {_TOKENS.format('text')} AS w FROM conversations)"
+
 _TYPE = "CASE tag " + " ".join(f"WHEN {_literal(t)} THEN {i}" for t, i in selection.TAG_TYPES.items()) + " ELSE 1 END"
 _PANELS = f"""pan AS (SELECT request_id, (request_id // 10) % 7 AS scenario, (request_id // 10) // 7 AS repeat, position AS ordinal, slot, card_id, arch, tag, {_TYPE} AS type FROM ({_panel(False)})),
 ans AS (SELECT *, CASE type {" ".join(f"WHEN {k} THEN {_literal(v)}" for k, v in ANSWERS.items())} END AS text FROM pan)"""
