@@ -1,4 +1,4 @@
-"""Text encoders. Trained ones are plugged in; the one built in is a stand-in for tests."""
+"""Text encoders: one that is fitted on the texts at hand, a stand-in for tests, and room for others that are plugged in."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.functions import text as T
 from mosaiq.functions import vectors as V
 
 
@@ -33,10 +34,50 @@ class HashingEncoder:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-10)
 
 
-def encoded(column: str | Column, make: Callable[[], Encoder]) -> Column:
+def weights(rows: pd.Series, rarity: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(row, term, weight)`` of lists of terms, some ``most`` entries at a time, a whole row at least; rows count from 0 in each part.
+
+    A term weighs its count times its rarity, and a row has unit length.
+    """
+    at, held, parts = 0, 0, []
+    for terms in rows:
+        found, n = np.unique(np.asarray(terms, dtype=np.int64), return_counts=True)
+        if len(found):
+            w = n * rarity[found]
+            parts.append((np.full(len(found), at), found, w / np.linalg.norm(w)))
+            held += len(found)
+        at += 1
+        if held >= most:
+            yield tuple(map(np.concatenate, zip(*parts)))
+            at, held, parts = 0, 0, []
+    if parts:
+        yield tuple(map(np.concatenate, zip(*parts)))
+
+
+class Terms:
+    """Texts as points in the leading subspace of their weighted terms; fitted by ``operators.lowrank.fit_terms``.
+
+    ``rarity`` has a weight a bucket of terms, ``basis`` a row a bucket. Vectors have the
+    length of that part of the unit weights that lies within the subspace; texts without
+    words are zero.
+    """
+
+    def __init__(self, rarity: np.ndarray, basis: np.ndarray) -> None:
+        self.rarity, self.basis = rarity, basis
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.basis.shape[1]))
+        for i, text in enumerate(texts):
+            terms = pd.Series([T.terms_of(text, len(self.rarity))])
+            for _, term, weight in weights(terms, self.rarity, 1):
+                out[i] = weight @ self.basis[term]
+        return out
+
+
+def encoded(column: str | Column, make: Callable[[], Encoder], kind: str = "array<float>") -> Column:
     """Vectors of a text column, batch by batch; ``make`` is called once a task. A null text counts as empty."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make()
         for texts in batches:

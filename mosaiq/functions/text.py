@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +14,8 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]+"
 #: White space at either end.
 ENDS = f"^{SPACE}|{SPACE}$"
 LEAST_CHARS, MOST_CHARS = 20, 300
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER = str.maketrans(_UPPER, _UPPER.lower())
 SENTENCE_ENDS = "。!?."
 
 
@@ -20,6 +24,22 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda x: x != "")
 
 
+def term_buckets(text: Column, buckets: int) -> Column:
+    """Each word's bucket, repeats included: the first 8 hex digits of its MD5 digest modulo ``buckets``.
+
+    Words are runs of other characters than a space and tab to carriage return, A-Z in lower case.
+    """
+    plain = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
+    words = F.filter(F.split(plain, r"[\t-\r ]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(buckets)))
+
+
+def terms_of(text: str, buckets: int) -> list[int]:
+    """As :func:`term_buckets`, of one text within a task."""
+    words = re.split(r"[\t-\r ]+", text.translate(_LOWER))
+    return [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % buckets for w in words if w]
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words, space-joined."""
     at = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import vectors as V
 from mosaiq.operators.quantiles import counts, percentiles
+from mosaiq.runtime import saved
 
 LOW_MARGIN = 0.05
 NOISE_PERCENT = 10
@@ -140,14 +141,16 @@ def soft_entropy(distances: Column) -> Column:
     return -V.total(F.transform(share, lambda p: p * F.ln(F.greatest(p, F.lit(1e-12)))))
 
 
-def noise_by_entropy(df: DataFrame, vector: str, centres: DataFrame, percent: float = NOISE_PERCENT) -> DataFrame:
+def noise_by_entropy(df: DataFrame, vector: str, centres: DataFrame, percent: float = NOISE_PERCENT, carry: list[str] | None = None) -> DataFrame:
     """``df`` with ``entropy`` and ``noise_dist`` (1 from the (100 - percent)th percentile on, inclusive).
 
-    ``centres`` has ``centroid``, a row per cluster.
+    ``centres`` has ``centroid``, a row per cluster. Entropies are computed once and stored
+    with the columns of ``df``; ``carry`` names those that are wanted, all by default.
     """
     listed = centres.agg(F.collect_list("centroid").alias("centres"))
     away = F.transform("centres", lambda c: V.euclidean(F.col(vector), c))
-    scored = df.crossJoin(F.broadcast(listed)).withColumn("entropy", soft_entropy(away)).drop("centres")  # one row
+    wanted = df.columns if carry is None else carry
+    scored = saved(df.crossJoin(F.broadcast(listed)).withColumn("entropy", soft_entropy(away)).select(*wanted, "entropy"))  # one row
     cut = percentiles(counts(scored, F.col("entropy")), [1 - percent / 100]).select(F.get("p", F.lit(0)).alias("cut"))
     return scored.crossJoin(F.broadcast(cut)).withColumn("noise_dist", (F.col("entropy") >= F.col("cut")).cast("int")).drop("cut")  # one row
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.runtime import saved
@@ -90,6 +91,24 @@ def ordinals(df: DataFrame, keys: Sequence[str | Column], out: str = "ord", star
     return placed.withColumn(out, F.col("__first") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__place", "__part", "__first")
 
 
+def running_sums(df: DataFrame, keys: Sequence[str | Column], value: Column, out: str = "before", number: str = "ord") -> DataFrame:
+    """``df`` with ``number``, dense row numbers from 1 in ascending order of ``keys``, and ``out``, the sum of ``value`` over the rows before.
+
+    Ranges and names are as in :func:`ordinals`; ``value`` is a whole number, null counts as 0.
+    """
+    ranged = saved(df.drop(out, number).withColumn("__n", F.coalesce(value.cast("long"), F.lit(0))).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__part", F.shiftright("__place", 33))
+    starts, rows, total = [], 0, 0
+    for r in sorted(ranged.groupBy("__part").agg(F.count(F.lit(1)), F.sum("__n")).collect()):
+        starts.append((r[0], rows, total))
+        rows, total = rows + r[1], total + r[2]
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "__p long, __rows long, __total long"))  # a row a range
+    within = F.sum("__n").over(W.partitionBy("__part").orderBy("__place").rowsBetween(W.unboundedPreceding, -1))
+    placed = ranged.withColumn("__within", F.coalesce(within, F.lit(0))).join(first, F.col("__part") == F.col("__p"))
+    placed = placed.withColumn(number, F.col("__rows") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).withColumn(out, F.col("__total") + F.col("__within"))
+    return placed.drop("__n", "__place", "__part", "__within", "__p", "__rows", "__total")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], k: int, out: str = "ord") -> DataFrame:
     """Exactly the first k rows of ``df`` by ``keys`` with their numbers from 1; all if there are fewer."""
     return ordinals(df.where(first_k(df, keys, k)), keys, out).where(F.col(out) <= k)

@@ -15,16 +15,19 @@ from pyspark.sql import functions as F
 from mosaiq.functions import encode
 from mosaiq.functions import text as T
 from mosaiq.functions import vectors as V
-from mosaiq.operators import cluster, diversity, grouping, joins, labels, lloyd, ordered, prompts, sampling, scoring, selection, simjoin, stats, topk, trials
+from mosaiq.operators import batches, cluster, diversity, grouping, joins, labels, lloyd, lowrank, ordered, prompts, sampling, scoring, selection, simjoin, stats, topk, trials
 from mosaiq.plans import oracles
 from mosaiq.plans.constants import AFFINITY, ANSWERS, SCENARIOS
 from mosaiq.runtime import scratch
 from mosaiq.sources import tables
+from mosaiq.streaming import centroids as streamed
 
 DIM, K, LABELS = 64, 5, 10
 #: Cells of the coarse index, and how many of them a search looks into: these vectors hardly cluster, so a recall of 0.9 takes most cells (4 give 0.54).
 CELLS, PROBES = 16, 12
 LLOYD_KS, LLOYD_STARTS, LLOYD_ROUNDS = (3, 5, 8), (1, 2), 2
+#: Buckets of the fitted encoder's terms; tokens and requests in a batch job at most.
+TERM_BUCKETS, TOKEN_CAP, REQUEST_CAP = 1 << 14, 20_000, 200
 VALUES = ["functional", "emotional", "social", "epistemic", "ethical"]
 
 
@@ -121,7 +124,7 @@ def medoid_and_others(spark, sf_dir):
 
 def entropy_noise(spark, sf_dir):
     e = _emb(spark, sf_dir)
-    found = labels.noise_by_entropy(e, "embedding", labels.centroids(e, "label", "embedding", DIM))
+    found = labels.noise_by_entropy(e, "embedding", labels.centroids(e, "label", "embedding", DIM), carry=["vec_id"])
     return found.select("vec_id", _r6("entropy").alias("entropy"), "noise_dist")
 
 
@@ -516,6 +519,60 @@ def clusters_hold(spark, sf_dir):
     )
 
 
+def randomised_pca(spark, sf_dir):
+    """What two directions found by two rounds from fixed signs leave of each vector: its squared distance from what they restore."""
+    e = _emb(spark, sf_dir)
+    found = lowrank.components(e, "embedding", DIM, 2, extra=0, rounds=2)
+    captured = float(found.variances.sum() / found.total)
+    return found.project(e, "embedding").select("vec_id", _r6("residual").alias("residual"), F.round(F.lit(captured), 6).alias("captured"))
+
+
+def fitted_encoder(spark, sf_dir):
+    """Documents as points in the leading subspace of their weighted terms, fitted on all of them: each point's squared length."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lowrank.fit_terms(docs, "text", 2, TERM_BUCKETS, extra=0, rounds=2)
+    vector = encode.encoded("text", lambda: model, "array<double>")
+    return docs.withColumn("v", vector).select("doc_id", _r6(V.dot(F.col("v"), F.col("v"))).alias("kept"))
+
+
+def label_residuals(spark, sf_dir):
+    """Vectors less what their label explains: the residuals' norms, first and last component."""
+    left = cluster.regress_out(_emb(spark, sf_dir).withColumn("kind", F.col("label").cast("string")), "embedding", DIM, [], ["kind"])
+    part = lambda i: _r6(F.get("residual", F.lit(i)))
+    return left.select("vec_id", _r6(V.norm(F.col("residual"))).alias("residual_norm"), part(0).alias("first"), part(DIM - 1).alias("last"))
+
+
+def component_variances(spark, sf_dir):
+    """The variance of all vectors, from that of their components along all principal directions."""
+    found = lowrank.components(_emb(spark, sf_dir), "embedding", DIM, DIM, extra=0, rounds=1)
+    return spark.createDataFrame([(len(found.variances), float(found.variances.sum()), float((found.variances**2).sum()))], "n int, total double, square double").select(F.col("n").cast("long").alias("n"), _r6("total").alias("total"), _r6("square").alias("square"))
+
+
+def incremental_centroids(spark, sf_dir):
+    """Means by label of files that arrive one by one, each a micro-batch; taken up again after the first run."""
+    top = scratch(spark)
+    e = _emb(spark, sf_dir).select("label", "embedding")
+    for run in range(2):
+        e.where(F.pmod(F.xxhash64("embedding"), F.lit(2)) == run).write.mode("append").parquet(f"{top}/in")
+        streamed.sum_new_files(spark, f"{top}/in", e.schema, "label", "embedding", f"{top}/sums", f"{top}/log", 1).awaitTermination()
+    found = streamed.merged(spark, f"{top}/sums")
+    return found.select("cluster", "n", F.posexplode("centroid").alias("pos", "x")).select("cluster", "n", "pos", _r6("x").alias("x"))
+
+
+def request_batches(spark, sf_dir):
+    """Documents as requests of a token a word and fifty for the prompt, cut into batch jobs."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("words"))
+    return batches.cut(docs, ["doc_id"], F.col("words") + 50, TOKEN_CAP, REQUEST_CAP).select("doc_id", "tokens", "batch", "place")
+
+
+def collected_answers(spark, sf_dir):
+    """The conversations' turns as answers of batch jobs, one a conversation modulo 50, of which some failed; the first answer of each text counts."""
+    turns = _read(spark, sf_dir, "conversations")
+    answers = turns.select("text", (F.col("conv_id") % 50).alias("batch"), "conv_id", "turn", F.when(F.col("turn") % 5 == 4, F.lit("refused")).alias("error"))
+    jobs = turns.select((F.col("conv_id") % 50).alias("batch")).distinct().withColumn("status", F.when(F.col("batch") % 7 == 3, "failed").otherwise("completed"))
+    return batches.collected(answers, jobs, "text", ["batch", "conv_id", "turn"]).select("text", "batch", "conv_id", "turn")
+
+
 # Tables in and out
 
 
@@ -745,10 +802,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         trial_rates, threshold_loss_curve, token_stats, lexical_diversity, ngram_counts, embedding_diversity, scorer_ablation, response_postprocess, retry_gate,
         prefix_saturation, tag_inference, affinity_scores, mentor_selection, mentor_selection_reliable, greedy_dedupe, fixed_label_quality, sampled_silhouette,
         threshold_join, lloyd_models, minibatch_kmeans, all_row_silhouette, row_ordinals, literal_lists,
+        randomised_pca, fitted_encoder, label_residuals, component_variances, incremental_centroids, request_batches, collected_answers,
         label_agreement, rank_correlation, value_histogram, regress_out, pca_kmeans, bootstrap_ari, prompt_parts,
         ivf_recall, k_sweep, reduction_comparison, pca_sweep, weight_grid, spherical_kmeans, clusters_hold, explained_variance, encoded_texts, encoded_lists,
         csv_round_trip, parquet_rolled, json_array, key_equality, affinity_tag_major, json_requests, json_mapping, resumed_chunks, parsed_properties, score_attach, score_equal, align_zero_fill, align_drop, cached_lookup, label_merge,
         scenario_lookup, age_bands, persona_texts, text_tidied, describe_values, value_pivot, system_prompts, user_prompts, table_answers, trial_table, trial_report, results_json,
     )
 }
-ORACLES: dict[str, str] = {**oracles.SQL, "system_prompts": oracles.system_prompts(SECTIONS, GUIDES), "lloyd_models": oracles.lloyd_models(LLOYD_KS, LLOYD_STARTS, LLOYD_ROUNDS)}
+ORACLES: dict[str, str] = {**oracles.SQL, "system_prompts": oracles.system_prompts(SECTIONS, GUIDES), "request_batches": oracles.request_batches(TOKEN_CAP, REQUEST_CAP), "fitted_encoder": oracles.fitted_encoder(TERM_BUCKETS), "lloyd_models": oracles.lloyd_models(LLOYD_KS, LLOYD_STARTS, LLOYD_ROUNDS)}

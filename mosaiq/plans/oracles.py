@@ -423,3 +423,48 @@ def system_prompts(sections: list[tuple[int, str]], guides: dict[int, tuple[str,
         text = f"replace({text}, '{{{k}}}', {v})"
     scenes = ", ".join(f"({n}, {_literal(c)}, {_literal(i)}, {p})" for n, (_, c, _, i, p) in enumerate(SCENARIOS[:7]))
     return f"WITH {_PANELS} SELECT request_id, ordinal, type, {text} AS prompt FROM pan JOIN (VALUES {scenes}) t(scenario, category, item, price) USING (scenario)"
+
+
+def _two_directions(rows: str, row: str, column: str) -> str:
+    """Tables ``b2``, two orthogonal directions after two rounds from signs, the first of unit length, and ``h``, the second's squared length; ``rows`` has ``x``."""
+    sign = lambda j: f"CASE WHEN substr(md5('42|' || {column} || '|{j}'), 1, 1) < '8' THEN 1.0 ELSE -1.0 END"
+    text = f"b0 AS (SELECT {column}, {sign(0)} AS y0, {sign(1)} AS y1 FROM (SELECT DISTINCT {column} FROM {rows}))"
+    for i in (0, 1):
+        text += f""", p{i} AS (SELECT {row}, sum(x * y0) AS p, sum(x * y1) AS q FROM {rows} JOIN b{i} USING ({column}) GROUP BY {row}),
+c{i} AS (SELECT {column}, sum(x * p) AS y0, sum(x * q) AS y1 FROM {rows} JOIN p{i} USING ({row}) GROUP BY {column}), g{i} AS (SELECT sum(y0 * y0) AS a, sum(y0 * y1) AS b FROM c{i}),
+b{i + 1} AS (SELECT {column}, y0 / sqrt(a) AS y0, y1 - b / a * y0 AS y1 FROM c{i}, g{i})"""
+    return text + ", h AS (SELECT sum(y1 * y1) AS c FROM b2)"
+
+
+def fitted_encoder(buckets: int) -> str:
+    bucket = f"CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {buckets}"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array({lower}, '[\\t-\\r ]+'), lambda x: x <> '')) AS w FROM documents),
+t AS (SELECT doc_id, {bucket} AS term, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS rarity FROM t GROUP BY term),
+u AS (SELECT doc_id, term, n * rarity AS x FROM t JOIN r USING (term)), d AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM u),
+{_two_directions("d", "doc_id", "term")}, o AS (SELECT doc_id, sum(x * y0) AS p, sum(x * y1) AS q FROM d JOIN b2 USING (term) GROUP BY doc_id)
+SELECT doc_id, round(coalesce(p * p + q * q / c, 0), 6) AS kept FROM documents LEFT JOIN o USING (doc_id), h"""
+
+
+def request_batches(token_cap: int, request_cap: int) -> str:
+    half = token_cap // 2
+    return f"""WITH t AS (SELECT doc_id, CAST(len({_TOKENS.format("text")}) + 50 AS BIGINT) AS tokens FROM documents),
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS ord, coalesce(sum(CASE WHEN tokens <= {half} THEN tokens END) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+c AS (SELECT *, CASE WHEN tokens <= {half} THEN 's' || CAST(before // {token_cap - half + 1} AS BIGINT) ELSE 'l' || ord END AS cut FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY cut ORDER BY ord) - 1 AS i FROM c)
+SELECT doc_id, tokens, cut || '-' || (i // {request_cap}) AS batch, i % {request_cap} AS place FROM n"""
+
+
+_CENTRED = f"{_E}, a AS ({_ALL}), m AS (SELECT pos, avg(x) AS m FROM a GROUP BY pos), d AS (SELECT vec_id, pos - 1 AS pos, x - m AS x FROM a JOIN m USING (pos))"
+SQL |= {
+    "randomised_pca": f"""WITH {_CENTRED}, {_two_directions("d", "vec_id", "pos")},
+o AS (SELECT vec_id, sum(x * x) AS s, sum(x * y0) AS p, sum(x * y1) AS q FROM d JOIN b2 USING (pos) GROUP BY vec_id), k AS (SELECT *, p * p + q * q / c AS kept FROM o, h)
+SELECT vec_id, round(s - kept, 6) AS residual, round((SELECT sum(kept) / sum(s) FROM k), 6) AS captured FROM k""",
+    "label_residuals": f"""WITH {_E}, a AS ({_ALL}), d AS (SELECT vec_id, pos, x - avg(x) OVER (PARTITION BY label, pos) AS x FROM a)
+SELECT vec_id, round(sqrt(sum(x * x)), 6) AS residual_norm, round(max(x) FILTER (pos = 1), 6) AS first, round(max(x) FILTER (pos = 64), 6) AS last FROM d GROUP BY vec_id""",
+    "component_variances": f"""WITH {_CENTRED}, n AS (SELECT count(*) AS n FROM e), c AS (SELECT i.pos AS i, j.pos AS j, sum(i.x * j.x) / any_value(n) AS c FROM d i JOIN d j USING (vec_id), n GROUP BY ALL)
+SELECT CAST(64 AS BIGINT) AS n, round(sum(c) FILTER (i = j), 6) AS total, round(sum(c * c), 6) AS square FROM c""",
+    "incremental_centroids": f"""WITH {_E}, a AS ({_ALL}) SELECT label AS cluster, count(*) AS n, CAST(pos - 1 AS INTEGER) AS pos, round(avg(x), 6) AS x FROM a WHERE label IS NOT NULL GROUP BY ALL""",
+    "collected_answers": """WITH a AS (SELECT text, conv_id % 50 AS batch, conv_id, turn FROM conversations WHERE turn % 5 <> 4 AND (conv_id % 50) % 7 <> 3)
+SELECT text, batch, conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY batch, conv_id, turn) AS r FROM a) WHERE r = 1""",
+}
