@@ -81,6 +81,23 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return (head + _line("Content-Length", str(len(block))) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
+def _settle(fs: pafs.FileSystem, temporary: str, final: str, sha256: str) -> None:
+    """Move a whole file to its final name, which an earlier try of the same task may have taken already.
+
+    Some stores do not move onto a name that exists. A file of equal bytes stays as it is; any other is replaced.
+    """
+    if fs.get_file_info(final).type == pafs.FileType.File:
+        left = hashlib.sha256()
+        with fs.open_input_stream(final, compression=None) as data:
+            while chunk := data.read(1 << 20):
+                left.update(chunk)
+        if left.hexdigest() == sha256:
+            fs.delete_file(temporary)
+            return
+        fs.delete_file(final)
+    fs.move(temporary, final)
+
+
 class _Shard:
     """The files of one shard, written in order."""
 
@@ -106,15 +123,17 @@ class _Shard:
         self.out.close()
         self.out = None
         name = f"part-{self.shard:06d}-{len(self.files):05d}.warc.gz"
-        self.fs.move(self.temporary, f"{self.top}/{name}")
-        self.files.append({"name": name, "bytes": self.size, "records": self.n, "sha256": self.sha.hexdigest()})
+        digest = self.sha.hexdigest()
+        _settle(self.fs, self.temporary, f"{self.top}/{name}", digest)
+        self.files.append({"name": name, "bytes": self.size, "records": self.n, "sha256": digest})
 
     def commit(self) -> list[dict]:
         self.close()
         temporary = f"{self.top}/_temporary/{uuid.uuid4().hex}"
+        lines = "".join(json.dumps(f) + "\n" for f in self.files).encode()
         with self.fs.open_output_stream(temporary, compression=None) as out:
-            out.write("".join(json.dumps(f) + "\n" for f in self.files).encode())
-        self.fs.move(temporary, f"{self.top}/_manifests/shard-{self.shard:06d}.json")
+            out.write(lines)
+        _settle(self.fs, temporary, f"{self.top}/_manifests/shard-{self.shard:06d}.json", hashlib.sha256(lines).hexdigest())
         return self.files
 
 
@@ -217,9 +236,10 @@ def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "u
 
     done = ordered.mapInPandas(put, ", ".join(f"{c} long" for c in _SUMS)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS)).first().asDict()
     temporary = f"{top}/_temporary/{uuid.uuid4().hex}"
+    whole = json.dumps(done).encode()
     with fs.open_output_stream(temporary, compression=None) as out:
-        out.write(json.dumps(done).encode())
-    fs.move(temporary, f"{top}/manifest.json")
+        out.write(whole)
+    _settle(fs, temporary, f"{top}/manifest.json", hashlib.sha256(whole).hexdigest())
     with suppress(OSError):
         fs.delete_dir(f"{top}/_temporary")
     return done
