@@ -27,8 +27,10 @@ from mosaiq.llm._components import components
 from mosaiq.runtime import ship
 
 THRESHOLD, RECALL = 0.98, 0.999
-#: Vectors the codebooks are fitted on at most; every vector is indexed.
-SAMPLE = 20_000
+#: Vectors the codebooks of a length are fitted on, and bytes that the samples of all lengths take together, about; every vector is indexed.
+SAMPLE, SAMPLE_BYTES = 20_000, 1 << 28
+#: Copies at the linking similarity by which the margin is set, at least.
+COPIES = 10_000
 #: Vectors a cell should hold, centroids of a codebook at least, and vectors of the sample for each centroid.
 CELL_ROWS, LEAST_CENTROIDS, SAMPLE_SHARE = 64, 4, 4
 #: Values of the hash that picks the sample.
@@ -46,14 +48,16 @@ class MultiIndex:
         self.dim, self.cut = sample.shape[1], sample.shape[1] // 2
         k = int(min(max(LEAST_CENTROIDS, (n / CELL_ROWS) ** 0.5), max(1, len(sample) // SAMPLE_SHARE)))
         self.books = [self._book(part, k, rng) for part in (sample[:, : self.cut], sample[:, self.cut :])]
-        noise = rng.normal(size=sample.shape)
-        noise -= (noise * sample).sum(1, keepdims=True) * sample
-        noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-        copies = threshold * sample + (1 - threshold**2) ** 0.5 * noise
-        mine, theirs = self.distances(sample), [d.argmin(1) for d in self.distances(copies)]
-        at = np.arange(len(sample))
-        beyond = sum(d[at, c] - d.min(1) for d, c in zip(mine, theirs))
-        self.margin = float(np.quantile(beyond, recall, method="higher")) + 1e-9
+        mine, at, beyond = self.distances(sample), np.arange(len(sample)), []
+        # Few vectors stand for more, by several copies of each: the quantile is one of ``COPIES`` at least.
+        for _ in range(-(-COPIES // len(sample))):
+            noise = rng.normal(size=sample.shape)
+            noise -= (noise * sample).sum(1, keepdims=True) * sample
+            noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
+            copies = threshold * sample + (1 - threshold**2) ** 0.5 * noise
+            theirs = [d.argmin(1) for d in self.distances(copies)]
+            beyond.append(sum(d[at, c] - d.min(1) for d, c in zip(mine, theirs)))
+        self.margin = float(np.quantile(np.concatenate(beyond), recall, method="higher")) + 1e-9
 
     @staticmethod
     def _book(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -95,6 +99,8 @@ def usable(vector: Column) -> Column:
 
 def _unit(rows: pd.Series) -> np.ndarray:
     x = np.stack(rows.to_numpy()).astype(np.float64)
+    # By a power of two, which is exact, so that squares neither overflow nor vanish.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -122,12 +128,13 @@ def near_vectors(
     # Numbered as they are written: ids may repeat.
     reps = written(kinds.withColumn("rep", F.monotonically_increasing_id()))
     lengths = {r["dim"]: r["count"] for r in reps.groupBy(F.size("v").alias("dim")).count().collect()}
-    indexes = {}
-    for dim, n in sorted(lengths.items()):
-        if dim > 1 and n > BLOCK:
-            picked = F.pmod(F.xxhash64("first", "v"), F.lit(HASHES)) < int(min(1.0, SAMPLE / n) * HASHES)
-            fit = reps.where((F.size("v") == dim) & picked).select("first", "v").toPandas()
-            indexes[dim] = MultiIndex(_unit(fit.iloc[np.lexsort([fit["v"].map(tuple), fit["first"].fillna(-1)])]["v"]), n, threshold, recall)
+    indexes, long = {}, {dim: n for dim, n in lengths.items() if dim > 1 and n > BLOCK}
+    for dim, n in sorted(long.items()):
+        most = min(SAMPLE, max(LEAST_CENTROIDS * SAMPLE_SHARE, SAMPLE_BYTES // (8 * dim * len(long))))
+        picked = F.pmod(F.xxhash64("first", "v"), F.lit(HASHES)) < int(min(1.0, most / n) * HASHES)
+        fit = reps.where((F.size("v") == dim) & picked).select("first", F.xxhash64("v").alias("h"), "v").toPandas()
+        if len(fit):
+            indexes[dim] = MultiIndex(_unit(fit.fillna({"first": -1}).sort_values(["first", "h"])["v"]), n, threshold, recall)
     parts = [vectors.sparkSession.createDataFrame([], "a long, b long, n long")]
     if any(dim > 1 for dim in lengths):
         index = vectors.sparkSession.sparkContext.broadcast(indexes)
