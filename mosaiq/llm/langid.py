@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from mosaiq.llm._common import columns, unused
 from mosaiq.runtime import ship
 
-#: Labelled documents the model is fitted on, and entries it keeps per language and kind; with more than ``MAX_LANGS`` languages
-#: each keeps fewer, so that the tables, a row an entry and a column a language, do not grow. All languages are kept.
-TRAIN_DOCS, MAX_WORDS, MAX_GRAMS, MAX_LANGS = 20_000, 20_000, 5_000, 200
+#: Labelled documents the model is fitted on, and entries it keeps per language and kind. The tables have a row an entry of that
+#: sample and a column a language of it, however many rows there are besides.
+TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 20_000, 20_000, 5_000
 #: Lengths of the character n-grams, longest first; words carry a mark at either end.
 GRAMS = (5, 4, 3, 2, 1)
 #: A word must have been seen so often to be known.
@@ -163,12 +163,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     the model knows no language. Other columns are not read.
 
     Counting is done by Spark, each language's most frequent entries are kept, and only they
-    come to the driver: ``MAX_WORDS`` and ``MAX_GRAMS`` a language and kind, fewer if there are more than ``MAX_LANGS`` languages.
+    come to the driver: ``MAX_WORDS`` and ``MAX_GRAMS`` a language and kind, whatever the number of languages.
     """
     ship(labelled.sparkSession)
     known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(order_col).alias("id"))
-    size = known.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("lang").alias("langs")).first()
-    share = train_docs / max(1, size["rows"])
+    share = train_docs / max(1, known.count())
     sample = known if share >= 1 else known.where(F.pmod(F.xxhash64("id", "text"), F.lit(HASHES)) < int(share * HASHES))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,8 +188,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     counts = marked.select("lang", "n", F.explode(items).alias("x")).select("lang", "n", "x.kind", "x.item")
     summed = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).where((F.col("kind") > 0) | (F.col("n") >= LEAST_COUNT))
     best = F.row_number().over(W.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
-    fewer = min(1.0, (MAX_LANGS / max(1, size["langs"])) ** 2)
-    most = F.when(F.col("kind") == 0, max(1, int(MAX_WORDS * fewer))).otherwise(max(1, int(MAX_GRAMS * fewer)))
+    most = F.when(F.col("kind") == 0, MAX_WORDS).otherwise(MAX_GRAMS)
     kept = summed.withColumn("r", best).where(F.col("r") <= most).drop("r").toPandas()
     langs = sorted(kept["lang"].unique(), key=str)
     tables = {}

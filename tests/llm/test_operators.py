@@ -1042,11 +1042,75 @@ def test_warc_damage_is_noticed():
         warc.parse(data.replace(b"abc", b"abd"))
 
 
-def test_more_languages_than_keep_all_their_entries(spark, monkeypatch):
-    """No language is left out: each keeps fewer entries."""
-    monkeypatch.setattr(langid, "MAX_LANGS", 3)
-    names = "abcdef"
-    docs = spark.createDataFrame([(i, " ".join([x * 4] * 5), f"l{x}") for i, x in enumerate(names)], "doc_id long, text string, lang string")
+def test_a_shard_that_is_written_again_takes_over_its_files(tmp_path, monkeypatch):
+    """Also on stores that do not move onto a name that exists; a file of other bytes is replaced."""
+    data = [warc.record(i, "u", f"{i}".encode() * 300, hashlib.sha256(f"{i}".encode() * 300).hexdigest(), None) for i in range(6)]
+
+    class Strict:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def move(self, a, b):
+            assert not (tmp_path / b).exists()
+            self.fs.move(a, b)
+
+    found = warc._fs
+    monkeypatch.setattr(warc, "_fs", lambda uri: (Strict(found(uri)[0]), found(uri)[1]))
+    for folder in ("_temporary", "_manifests"):
+        (tmp_path / folder).mkdir()
+
+    def run(records, commit=True):
+        shard = warc._Shard(f"file://{tmp_path}", 3, 150)
+        for d in records:
+            shard.add(d)
+        return shard.commit() if commit else None
+
+    run(data[:4], commit=False)  # lost after some files were moved
+    left = sorted(tmp_path.glob("*.gz"))
+    assert left
+    left[0].write_bytes(b"broken")
+    files = run(data)
+    held = {f["name"]: f["sha256"] for f in files}
+    assert {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in tmp_path.glob("*.gz")} == held
+    assert run(data) == files and not any((tmp_path / "_temporary").iterdir())
+    assert [json.loads(line)["name"] for line in (tmp_path / "_manifests" / "shard-000003.json").read_text().splitlines()] == [f["name"] for f in files]
+
+
+def test_very_large_and_small_components_link(spark):
+    rows = [(i, [x * s for x in (3.0, 4.0, 1.0)], 0) for i, s in enumerate((1.0, 1e300, 1e-300, 1e154, 5e-324))] + [(9, [-1e300, 1e300, 0.0], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert {i: got[i] for i in range(5)} == {i: (4, 0) for i in range(5)} and got[9] == (0, 9)
+
+
+def test_the_codebooks_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Wide vectors are sampled by fewer rows; links are still found."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE_BYTES", 8 * 48 * 60)
+    sizes, fit = [], embedding_dedup.MultiIndex.__init__
+
+    def seen(self, sample, *args):
+        sizes.append(len(sample))
+        fit(self, sample, *args)
+
+    monkeypatch.setattr(embedding_dedup.MultiIndex, "__init__", seen)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(200, 48))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.05])
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert len(sizes) == 1 and 20 < sizes[0] < 120
+    assert sum(n > 0 for n in got.values()) >= 0.99 * 400
+
+
+def test_many_languages_keep_all_their_entries(spark):
+    """No language is left out and none keeps fewer entries for there being many."""
+    names = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "uvwxyzabcdefghij"]
+    docs = spark.createDataFrame([(i, " ".join(f"{x}{c}{x}{x}" for c in "klm") + " " + " ".join([x * 4] * 5), f"l{x}") for i, x in enumerate(names)], "doc_id long, text string, lang string")
     model = langid.fit(docs)
-    assert model.langs == [f"l{x}" for x in names]
-    assert [r["lang_pred"] for r in langid.predict(docs, model).orderBy("doc_id").collect()] == model.langs
+    assert model.langs == sorted(f"l{x}" for x in names) and {x * 4 for x in names} <= set(model.words)
+    few = langid.fit(docs.where("doc_id < 5"))
+    grams = lambda m, x: {g for known, _ in m.grams.values() for g in known if x in g}
+    assert grams(few, "aukau") and grams(few, "aukau") <= grams(model, "aukau")
+    assert [r["lang_pred"] for r in langid.predict(docs, model).orderBy("doc_id").collect()] == [f"l{x}" for x in names]
