@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,7 +37,12 @@ def term_buckets(text: Column, buckets: int) -> Column:
 def terms_of(text: str, buckets: int) -> list[int]:
     """As :func:`term_buckets`, of one text within a task."""
     words = re.split(r"[\t-\r ]+", text.translate(_LOWER))
-    return [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % buckets for w in words if w]
+    return [_hashed(w) % buckets for w in words if w]
+
+
+@lru_cache(1 << 16)
+def _hashed(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
 
 
 def ngrams(words: Column, n: int) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from mosaiq.functions import text as T
 from mosaiq.functions import vectors as V
 from mosaiq.functions.encode import Terms, weights
-from mosaiq.runtime import ship
+from mosaiq.runtime import saved, ship
 
 #: Columns of the basis beyond those asked for, and rounds; more of either come nearer to the exact subspace.
 EXTRA, ROUNDS = 10, 2
@@ -126,9 +126,9 @@ def fit_terms(df: DataFrame, text: str, dims: int, buckets: int = 1 << 14, extra
     Terms share ``buckets`` entries, by a hash, so that the model does not grow with the
     rows. A null text is an empty one; those without words count as rows and teach nothing.
     """
-    rows = df.select(T.term_buckets(F.col(text), buckets).alias("terms"))
+    rows = saved(df.select(T.term_buckets(F.col(text), buckets).cast("array<int>").alias("terms")))  # a scan a round follows
     seen = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a bucket at most
-    size = df.count()
+    size = rows.count()
     rarity = np.full(buckets, np.log(1.0 + size) + 1)
     for r in seen:
         rarity[r["term"]] = np.log((1 + size) / (1 + r["n"])) + 1
@@ -138,9 +138,11 @@ def fit_terms(df: DataFrame, text: str, dims: int, buckets: int = 1 << 14, extra
         for batch in batches:
             total = np.zeros_like(basis) if total is None else total
             for row, column, weight in weights(batch["terms"], rarity, _ENTRIES):
-                places = np.zeros((row.max() + 1, basis.shape[1]))
-                np.add.at(places, row, weight[:, None] * basis[column])
-                np.add.at(total, column, weight[:, None] * places[row])
+                new = np.diff(row, prepend=-1) != 0
+                places = np.add.reduceat(weight[:, None] * basis[column], np.flatnonzero(new))
+                order = np.argsort(column, kind="stable")
+                found, starts = np.unique(column[order], return_index=True)
+                total[found] += np.add.reduceat((weight[:, None] * places[np.cumsum(new) - 1])[order], starts)
         return total
 
     basis = subspace(lambda b: _summed(rows, shares, b), buckets, dims + extra, rounds, seed)
