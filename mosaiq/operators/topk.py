@@ -13,10 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaiq.functions import vectors as V
-from mosaiq.runtime import ship
+from mosaiq.runtime import saved, ship
 
-#: Components of queries that one pass over the vectors carries to every task, and scores that a task holds: 64 MB of doubles each.
+#: Components of queries that are held at once, and scores that a task holds: 64 MB of doubles each.
 MAX_COMPONENTS, MAX_SCORES = 8_000_000, 8_000_000
+#: Components of vectors that stream past one block of queries where both sides are cut into blocks, 512 MB of doubles.
+SLAB_COMPONENTS = 64_000_000
+#: Cells at most; their centroids are held by each task, within MAX_COMPONENTS.
+MAX_CELLS = 16_384
 
 
 def search(vectors: DataFrame, query: list[float], k: int, exclude: list | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -42,97 +46,270 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
+def _matrix(rows: pd.Series) -> np.ndarray:
+    return np.stack(rows.to_numpy()).astype(np.float64)
+
+
+class _Best:
+    """The k best of the vectors seen so far for each of a block of queries of one length."""
+
+    def __init__(self, names: np.ndarray, q: np.ndarray, k: int, skip_self: bool) -> None:
+        self.names, self.q, self.k, self.skip_self = names, q, k, skip_self
+        self.ids = self.scores = None
+
+    def add(self, ids: np.ndarray, vectors: pd.Series) -> None:
+        wide = max(64, MAX_SCORES // len(self.names))
+        for at in range(0, len(ids), wide):
+            new_ids, new = ids[at : at + wide], self.q @ _matrix(vectors.iloc[at : at + wide]).T
+            if self.skip_self:
+                new[self.names[:, None] == new_ids] = -np.inf
+            new_ids = np.broadcast_to(new_ids.astype(str) if new_ids.dtype == object else new_ids, new.shape)
+            if self.ids is not None:
+                new_ids, new = np.concatenate([self.ids, new_ids], axis=1), np.concatenate([self.scores, new], axis=1)
+            self.ids, self.scores = best_of(new_ids, new, self.k)
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        if self.ids is not None:
+            keep = np.isfinite(self.scores)
+            yield pd.DataFrame({"query": np.repeat(self.names, keep.sum(axis=1)), "id": self.ids[keep], "score": self.scores[keep]})
+
+
+def _beside(members: DataFrame, probes: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """``(query, id, score)``: each task's k best of every query, where queries are too many to be held by every task.
+
+    ``members`` has ``id, v`` and ``probes`` ``query, v``, never null. Both are cut into blocks
+    by a hash and every block of queries meets every slab of vectors; a task holds one block
+    of queries and lets the slab pass. So the vectors are read once and shuffled once for each block
+    of queries.
+    """
+    return _in_cells(members.withColumn("cell", F.lit(0)), probes.withColumn("cell", F.lit(0)), k, skip_self)
+
+
+def _in_cells(members: DataFrame, probes: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """As :func:`_beside`, but queries meet the members of their ``cell`` only; cells of any size are cut into blocks on both sides."""
+    spark = members.sparkSession
+    count = lambda df: df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).collect()  # noqa: E731 - a row a cell
+    asked, there = {r["cell"]: r for r in count(probes)}, {r["cell"]: r for r in count(members.where(F.col("cell").isNotNull()))}
+    sizes = []
+    for cell in asked.keys() & there.keys():
+        dim = max(1, asked[cell]["dim"])
+        block, slab = max(1, min(MAX_COMPONENTS // dim, MAX_SCORES // (4 * k))), max(1, SLAB_COMPONENTS // dim)
+        sizes.append((cell, -(-asked[cell]["n"] // block), -(-there[cell]["n"] // slab)))
+    met = F.broadcast(spark.createDataFrame(sizes, "cell int, blocks int, slabs int"))  # a row a cell
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    hashed = lambda key, c: F.pmod(F.xxhash64(key), F.col(c)).cast("int")
+    query, one = probes.schema["query"].dataType.simpleString(), members.schema["id"].dataType.simpleString()
+    key = ["cell", "dim", "i", "j"]
+    left = probes.join(met, "cell").select("cell", F.size("v").alias("dim"), hashed("query", "blocks").alias("i"), every("slabs").alias("j"), F.lit(False).alias("member"), "query", F.lit(None).cast(one).alias("id"), V.as_double(F.col("v")).alias("v"))
+    right = members.join(met, "cell").select("cell", F.size("v").alias("dim"), every("blocks").alias("i"), hashed("id", "slabs").alias("j"), F.lit(True).alias("member"), F.lit(None).cast(query).alias("query"), "id", V.as_double(F.col("v")).alias("v"))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, waiting, best = None, [], None
+        for batch in batches:
+            keys = batch[key].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(batch) else []
+            for a, b in zip(starts, [*starts[1:], len(batch)]):
+                if here != tuple(keys[a]):
+                    if best is not None:
+                        yield from best.rows()
+                    here, waiting, best = tuple(keys[a]), [], None
+                run = batch.iloc[a:b]
+                member = run["member"].to_numpy(dtype=bool)
+                if not member.all():
+                    waiting.append(run.loc[~member, ["query", "v"]])
+                if member.any() and (best is not None or waiting):
+                    if best is None:
+                        block = pd.concat(waiting)
+                        best, waiting = _Best(block["query"].to_numpy(), _matrix(block["v"]), k, skip_self), []
+                    best.add(run.loc[member, "id"].to_numpy(), run.loc[member, "v"])
+        if best is not None:
+            yield from best.rows()
+
+    # Queries come first. Pandas would make floats of integers beside nulls, so what a row lacks is filled.
+    filled = left.withColumn("id", _some(one)).union(right.withColumn("query", _some(query)))
+    return filled.repartition(*key).sortWithinPartitions(*key, "member").mapInPandas(walk, f"query {query}, id {one}, score double")
+
+
+def _some(kind: str):
+    """A value of a type of ids in place of null, which pandas would turn integers into floats for."""
+    return (F.lit("") if kind == "string" else F.lit(0)).cast(kind)
+
+
+def _ranked(found: DataFrame, k: int, query_col: str, id_col: str) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy(query_col).orderBy(F.desc("score"), id_col))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def batch_search(
     vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "query_id", skip_self: bool = True,
     exclude: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_col, id_col, score, rank)``: for every query its k vectors of largest inner product, ties by id.
 
-    ``queries`` has ``query_col`` and ``vector_col``; ``exclude`` has ``query_col`` and
-    ``id_col``, a few results a query that do not count. Queries travel to the vectors in
-    parts of bounded size, as many as it takes. A task multiplies them with blocks of its
-    vectors, keeps k rows a query throughout, and a ranked window reduces the tasks' rows to k.
+    ``queries`` has ``query_col`` (unique) and ``vector_col``; ``exclude`` has ``query_col`` and
+    ``id_col``, a few results a query that do not count. Ids are integers or strings. Null
+    vectors and ids are left out; vectors of different lengths do not meet. Queries of up to
+    MAX_COMPONENTS components in all are broadcast, and the vectors stay where they are; more
+    are cut into blocks, which meet slabs of the vectors in a shuffle, whatever their number.
+    A task keeps k rows a query throughout, and a ranked window reduces the tasks' rows to k.
     """
     ship(vectors.sparkSession)
     spark = vectors.sparkSession
-    facts = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_col)).alias("dim")).first()
+    asked = queries.where(F.col(vector_col).isNotNull() & F.col(query_col).isNotNull()).select(F.col(query_col).alias("query"), F.col(vector_col).alias("v"))
+    facts = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
     deep = k + (exclude.groupBy(query_col).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] if exclude is not None else 0)
-    parts = max(1, -(-facts["n"] * max(1, facts["dim"] or 1) // MAX_COMPONENTS), -(-facts["n"] * 4 * deep // MAX_SCORES))
-    key, kind = queries.schema[query_col].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
-    found = None
-    for part in range(parts):
-        mine = queries.where(F.pmod(F.xxhash64(query_col), F.lit(parts)) == part).where(F.col(vector_col).isNotNull()).select(query_col, vector_col).toPandas()
-        shared = spark.sparkContext.broadcast((mine[query_col].to_numpy(), np.stack(mine[vector_col].to_numpy()).astype(np.float64) if len(mine) else np.zeros((0, 0))))
-
-        def block(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
-            if not len(q):
-                return
-            ids, scores, wide = None, None, max(64, MAX_SCORES // len(q))
+    members = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    if facts["n"] * max(1, facts["dim"] or 1) > MAX_COMPONENTS or facts["n"] * 4 * deep > MAX_SCORES:
+        found = _beside(members, asked, deep, skip_self)
+    else:
+        rows = asked.toPandas()
+        lengths = rows["v"].map(len)
+        shared = spark.sparkContext.broadcast({d: (rows["query"][lengths == d].to_numpy(), _matrix(rows["v"][lengths == d])) for d in lengths.unique()})
+
+        def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = {d: _Best(names, q, deep, skip_self) for d, (names, q) in shared.value.items()}
             for batch in batches:
-                batch = batch[[v is not None and len(v) == q.shape[1] for v in batch[vector_col]]]
-                for at in range(0, len(batch), wide):
-                    some = batch.iloc[at : at + wide]
-                    new_ids = some[id_col].to_numpy()
-                    new = q @ np.stack(some[vector_col].to_numpy()).astype(np.float64).T
-                    if skip_self:
-                        new[names[:, None] == new_ids] = -np.inf
-                    new_ids = np.broadcast_to(new_ids.astype(str) if new_ids.dtype == object else new_ids, new.shape)
-                    if ids is not None:
-                        new_ids, new = np.concatenate([ids, new_ids], axis=1), np.concatenate([scores, new], axis=1)
-                    ids, scores = best_of(new_ids, new, deep)
-            if ids is not None:
-                keep = np.isfinite(scores)
-                yield pd.DataFrame({query_col: np.repeat(names, keep.sum(axis=1)), id_col: ids[keep], "score": scores[keep]})
-
-        one = vectors.select(id_col, vector_col).mapInPandas(block, f"{query_col} {key}, {id_col} {kind}, score double")
-        found = one if found is None else found.union(one)
+                for d, part in batch.groupby(batch["v"].map(len)):
+                    if d in best:
+                        best[d].add(part["id"].to_numpy(), part["v"])
+            for some in best.values():
+                yield from some.rows()
+
+        key, kind = queries.schema[query_col].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
+        found = members.mapInPandas(block, f"query {key}, id {kind}, score double")
+    found = found.select(F.col("query").alias(query_col), F.col("id").alias(id_col), "score")
     if exclude is not None:
         found = found.join(exclude.select(query_col, id_col), [query_col, id_col], "left_anti")
-    rank = F.row_number().over(W.partitionBy(query_col).orderBy(F.desc("score"), id_col))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return _ranked(found, k, query_col, id_col)
 
 
 class CellIndex:
     """Vectors under the nearest of ``cells`` coarse centroids, for searches that look into a few cells only.
 
-    Centroids are fitted on at most ``max(50 * cells, 100_000)`` vectors picked by a hash of the id; all vectors are
-    indexed. ``table`` has a ``cell`` column; written partitioned by it, a search prunes the other cells' files.
+    The number of cells is the square root of the number of rows unless it is given. Centroids are fitted on
+    at most ``max(50 * cells, 100_000)`` vectors picked by a hash of the id; all vectors are indexed. Vectors are
+    of one length; null ones and null ids are left out. ``table`` is stored below the shared folder and has a ``cell`` column;
+    written partitioned by it, a search reads no other cells' files. Each cell knows how far its members lie from
+    its centroid, so :meth:`search_exact` can tell which cells a query need not look into.
     """
 
-    def __init__(self, vectors: DataFrame, cells: int, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42) -> None:
+    def __init__(self, vectors: DataFrame, cells: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42) -> None:
         self.id_col, self.vector_col = id_col, vector_col
-        n = vectors.count()
+        vectors = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
+        n, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size(vector_col))).first()
+        if not n:
+            raise ValueError("an index needs vectors")
+        cells = max(2, min(cells or int(np.ceil(n**0.5)), MAX_CELLS, MAX_COMPONENTS // max(1, dim)))
         most = max(50 * cells, 100_000)
         sample = vectors if n <= most else vectors.where(F.pmod(F.xxhash64(id_col), F.lit(n)) < most)
         features = array_to_vector(V.as_double(F.col(vector_col))).alias("features")
         self.model = KMeans(k=cells, seed=seed, maxIter=10).fit(sample.select(features))
         self.centres = np.array(self.model.clusterCenters())
-        self.table = self.model.setPredictionCol("cell").transform(vectors.withColumn("features", features)).drop("features")
+        self.table = saved(self.model.setPredictionCol("cell").transform(vectors.withColumn("features", features)).drop("features"))
+        self.radii = self._radii()
+
+    def _radii(self) -> np.ndarray:
+        """The largest distance of a cell's members from its centroid; below zero where it has none."""
+        centres = self.table.sparkSession.sparkContext.broadcast(self.centres)
+
+        def farthest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    far = np.linalg.norm(_matrix(batch["v"]) - centres.value[batch["cell"].to_numpy()], axis=1)
+                    yield pd.DataFrame({"cell": batch["cell"], "far": far}).groupby("cell", as_index=False).max()
+
+        ship(self.table.sparkSession)
+        rows = self.table.select("cell", F.col(self.vector_col).alias("v")).mapInPandas(farthest, "cell int, far double").groupBy("cell").agg(F.max("far")).collect()
+        radii = np.full(len(self.centres), -np.inf)
+        for cell, far in rows:  # a row a cell
+            radii[cell] = far
+        return radii
+
+    def _cells_of(self, asked: DataFrame, choose) -> DataFrame:
+        """``(query, v, cell)`` for the cells that ``choose(batch, products with the centroids)`` gives for each query."""
+        centres = self.table.sparkSession.sparkContext.broadcast(self.centres)
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    q = _matrix(batch["v"])
+                    yield batch[["query", "v"]].assign(cells=choose(batch, q, q @ centres.value.T))
 
-    def search(self, queries: DataFrame, k: int, probes: int, query_col: str = "query_id") -> DataFrame:
+        ship(self.table.sparkSession)
+        kind = asked.schema["query"].dataType.simpleString()
+        return asked.mapInPandas(look, f"query {kind}, v array<double>, cells array<int>").select("query", "v", F.explode("cells").alias("cell"))
+
+    def _asked(self, queries: DataFrame, query_col: str) -> DataFrame:
+        v = F.col(self.vector_col)
+        return queries.where((F.size(v) == self.centres.shape[1]) & F.col(query_col).isNotNull()).select(F.col(query_col).alias("query"), V.as_double(v).alias("v"))
+
+    def nearest_cells(self, queries: DataFrame, probes: int, query_col: str = "query_id") -> DataFrame:
+        """``(query, v, cell)``: each query's ``probes`` cells of largest inner product."""
+        return self._cells_of(self._asked(queries, query_col), lambda batch, q, s: np.argsort(-s, axis=1, kind="stable")[:, :probes].tolist())
+
+    def _meet(self, wanted: DataFrame, k: int, skip_self: bool, query_col: str) -> DataFrame:
+        wanted = saved(wanted)
+        cells = [r["cell"] for r in wanted.select("cell").distinct().collect()]  # a row a cell
+        table = self.table if len(cells) == len(self.centres) else self.table.where(F.col("cell").isin(cells))
+        found = _in_cells(table.select(F.col(self.id_col).alias("id"), F.col(self.vector_col).alias("v"), "cell"), wanted, k, skip_self)
+        return found.select(F.col("query").alias(query_col), F.col("id").alias(self.id_col), "score")
+
+    def search(self, queries: DataFrame, k: int, probes: int, query_col: str = "query_id", skip_self: bool = True) -> DataFrame:
         """As :func:`batch_search`, among the vectors of each query's ``probes`` cells of largest inner product."""
-        centres = self.table.sparkSession.createDataFrame([(self.centres.tolist(),)], "__centres array<array<double>>")
-        ranked = F.sort_array(F.transform("__centres", lambda c, i: F.struct(V.dot(F.col(self.vector_col), c).alias("s"), i.alias("cell"))), asc=False)
-        near = queries.select(query_col, self.vector_col).crossJoin(F.broadcast(centres))  # one row
-        wanted = near.select(query_col, F.col(self.vector_col).alias("__q"), F.explode(F.slice(ranked, 1, probes)["cell"]).alias("cell"))
-        score = V.dot(F.col("__q"), F.col(self.vector_col))
-        met = wanted.join(self.table, "cell").where(F.col(query_col) != F.col(self.id_col)).select(query_col, self.id_col, score.alias("score"))
-        rank = F.row_number().over(W.partitionBy(query_col).orderBy(F.desc("score"), self.id_col))
-        return met.withColumn("rank", rank).where(F.col("rank") <= k)
+        return _ranked(self._meet(self.nearest_cells(queries, probes, query_col), k, skip_self, query_col), k, query_col, self.id_col)
+
+    def further_cells(self, queries: DataFrame, found: DataFrame, k: int, probes: int, query_col: str = "query_id") -> DataFrame:
+        """``(query, v, cell)``: cells beyond the first ``probes`` that may hold one of a query's k best, given what was found in those.
+
+        No member's product exceeds the centroid's by more than the query's length times the
+        cell's radius, so a cell whose bound is below the k-th score found is left out.
+        """
+        last = found.where(F.col("rank") == k).select(F.col(query_col).alias("name"), "score")
+        asked = self._asked(queries, query_col).join(last, F.col("query") == F.col("name"), "left").select("query", "v", F.coalesce("score", F.lit(float("-inf"))).alias("least"))
+        radii = self.radii
+
+        def choose(batch, q, s):
+            size = np.linalg.norm(q, axis=1, keepdims=True)
+            slack = 1e-9 * (1 + np.abs(s).max(initial=0) + size)
+            may = s + size * np.maximum(radii, 0) + slack >= batch["least"].to_numpy()[:, None]
+            np.put_along_axis(may, np.argsort(-s, axis=1, kind="stable")[:, :probes], False, axis=1)
+            may[:, radii < 0] = False
+            return [np.flatnonzero(row).tolist() for row in may]
+
+        return self._cells_of(asked, choose)
+
+    def search_exact(self, queries: DataFrame, k: int, probes: int, query_col: str = "query_id", skip_self: bool = True) -> DataFrame:
+        """Exactly what :func:`batch_search` finds: the ``probes`` nearest cells first, then those that may still hold one of the k best."""
+        first = saved(self.search(queries, k, probes, query_col, skip_self))
+        rest = self._meet(self.further_cells(queries, first, k, probes, query_col), k, skip_self, query_col)
+        return _ranked(first.drop("rank").union(rest), k, query_col, self.id_col)
+
+    def probes_for(self, queries: DataFrame, k: int, recall: float, query_col: str = "query_id", sample: int = 200) -> int:
+        """How many cells find ``recall`` of the exact k best of up to ``sample`` queries, picked by a hash."""
+        some = saved(queries.where((F.size(self.vector_col) == self.centres.shape[1]) & F.col(query_col).isNotNull()).select(query_col, self.vector_col).orderBy(F.xxhash64(query_col), query_col).limit(sample))
+        exact = batch_search(self.table, some, k, self.id_col, self.vector_col, query_col).select(F.col(query_col).alias("query"), F.col(self.id_col).alias("id"))
+        held = self.table.select(F.col(self.id_col).alias("id"), F.col("cell").alias("at"))
+        homes = held.join(F.broadcast(exact), "id").select("query", "at").toPandas()  # up to k rows a query of the sample
+        asked = {r["query"]: np.array(r["v"]) for r in self._asked(some, query_col).collect()}
+        places = [int(np.flatnonzero(np.argsort(-(self.centres @ asked[q]), kind="stable") == at)[0]) for q, at in zip(homes["query"], homes["at"])]
+        return 1 + int(np.sort(places)[max(0, int(np.ceil(recall * len(places))) - 1)]) if places else 1
 
     def save(self, path: str) -> None:
-        """The vectors by cell, a folder a cell, and the centroids beside them."""
-        self.table.write.mode("overwrite").option("compression", "zstd").partitionBy("cell").parquet(f"{path}/vectors")
-        rows = [(i, c.tolist()) for i, c in enumerate(self.centres)]
-        self.table.sparkSession.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        """The vectors by cell, a folder a cell and a file for some 64 million components of it, and the centroids beside them."""
+        slab = max(1, SLAB_COMPONENTS // self.centres.shape[1])
+        held = self.table.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / slab).alias("__files"))
+        spread = self.table.join(F.broadcast(held), "cell").withColumn("__file", F.pmod(F.xxhash64(self.id_col), F.col("__files")))  # a row a cell
+        spread.repartition("cell", "__file").drop("__file", "__files").write.mode("overwrite").option("compression", "zstd").partitionBy("cell").parquet(f"{path}/vectors")
+        rows = [(i, c.tolist(), float(r)) for i, (c, r) in enumerate(zip(self.centres, self.radii))]
+        self.table.sparkSession.createDataFrame(rows, "cell int, centre array<double>, radius double").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, id_col: str = "vec_id", vector_col: str = "embedding") -> CellIndex:
         """A saved index; searches read the cells that they probe."""
         found = cls.__new__(cls)
         found.id_col, found.vector_col, found.model = id_col, vector_col, None
-        found.centres = np.array([r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])
+        rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+        found.centres, found.radii = np.array([r["centre"] for r in rows]), np.array([r["radius"] for r in rows])
         found.table = spark.read.parquet(f"{path}/vectors").withColumn("cell", F.col("cell").cast("int"))
         return found
 

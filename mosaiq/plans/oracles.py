@@ -402,6 +402,7 @@ ans AS (SELECT *, CASE type {" ".join(f"WHEN {k} THEN {_literal(v)}" for k, v in
 _SCORED = f"{_lexical('ans', 'request_id', 'ordinal', 'text')}, sc AS (SELECT request_id, avg(dist) AS m FROM pairs GROUP BY request_id)"
 _TRIALS = f"""{_PANELS}, {_SCORED}, tr AS (SELECT scenario, repeat, coalesce(any_value(m), 0) AS diversity, count(*) AS n_valid, array_to_string(list_sort(list(type)), ',') AS types, count(DISTINCT type) AS k, CAST(sum(card_id % 17) AS DOUBLE) AS t_total
   FROM ans LEFT JOIN sc USING (request_id) GROUP BY scenario, repeat)"""
+SQL["ivf_exact"] = SQL["exact_topk"]
 SQL["affinity_tag_major"] = SQL["affinity_scores"]
 SQL["table_answers"] = f"WITH {_PANELS} SELECT request_id, ordinal, type, text FROM ans"
 SQL["trial_table"] = f"WITH {_TRIALS} SELECT scenario, repeat, round(diversity, 6) AS diversity, 'self_bleu' AS method, diversity >= 0.25 AS passed, n_valid, types, k AS n_distinct_types, t_total FROM tr"
