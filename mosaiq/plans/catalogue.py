@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mosaiq.functions import encode
 from mosaiq.functions import text as T
 from mosaiq.functions import vectors as V
-from mosaiq.operators import batches, cluster, diversity, grouping, joins, labels, lloyd, lowrank, ordered, prompts, sampling, scoring, selection, simjoin, stats, topk, trials
+from mosaiq.operators import batches, cluster, diversity, grouping, joins, labels, lloyd, lowrank, ordered, projection, prompts, sampling, scoring, selection, simjoin, stats, topk, trials
 from mosaiq.plans import oracles
 from mosaiq.plans.constants import AFFINITY, ANSWERS, SCENARIOS
 from mosaiq.runtime import scratch
@@ -24,7 +24,7 @@ from mosaiq.streaming import centroids as streamed
 
 DIM, K, LABELS = 64, 5, 10
 #: Cells of the coarse index, and how many of them a search looks into: these vectors hardly cluster, so a recall of 0.9 takes most cells (4 give 0.54).
-RECALL = 0.95
+RECALL, NEAR = 0.95, 10
 LLOYD_KS, LLOYD_STARTS, LLOYD_ROUNDS = (3, 5, 8), (1, 2), 2
 #: Buckets of the fitted encoder's terms; tokens and requests in a batch job at most.
 TERM_BUCKETS, TOKEN_CAP, REQUEST_CAP = 1 << 14, 20_000, 200
@@ -94,6 +94,18 @@ def ivf_recall(spark, sf_dir):
     return both.agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col("score").isNotNull().cast("double")) >= 0.9).alias("recall_ok"), F.max(F.coalesce(F.abs(F.col("score") - F.col("s")) > 1e-9, F.lit(False))).alias("scores_differ"))
 
 
+def neighbour_graph(spark, sf_dir):
+    """Every vector's nearest ones by angle, exactly, as a graph with fuzzy weights."""
+    near = projection.neighbours(_emb(spark, sf_dir), DIM, NEAR)
+    return projection.neighbour_graph(near, NEAR).select("a", "b", _r6("weight").alias("weight"))
+
+
+def neighbour_projection(spark, sf_dir):
+    """Every vector's place in the plane."""
+    place = F.col("place")
+    return projection.project(_emb(spark, sf_dir), DIM, NEAR).select("vec_id", _r6(place[0]).alias("x"), _r6(place[1]).alias("y"))
+
+
 def cluster_centroids(spark, sf_dir):
     e = _emb(spark, sf_dir)
     by = labels.centroids(e, "label", "embedding", DIM).withColumnRenamed("centroid", "v").select(F.col("label").cast("string").alias("label"), "v", "n")
@@ -816,7 +828,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         threshold_join, lloyd_models, minibatch_kmeans, all_row_silhouette, row_ordinals, literal_lists,
         randomised_pca, fitted_encoder, label_residuals, component_variances, incremental_centroids, request_batches, collected_answers,
         label_agreement, rank_correlation, value_histogram, regress_out, pca_kmeans, bootstrap_ari, prompt_parts,
-        ivf_recall, ivf_exact, k_sweep, reduction_comparison, pca_sweep, weight_grid, spherical_kmeans, clusters_hold, explained_variance, encoded_texts, encoded_lists,
+        ivf_recall, ivf_exact, neighbour_graph, neighbour_projection, k_sweep, reduction_comparison, pca_sweep, weight_grid, spherical_kmeans, clusters_hold, explained_variance, encoded_texts, encoded_lists,
         csv_round_trip, parquet_rolled, json_array, key_equality, affinity_tag_major, json_requests, json_mapping, resumed_chunks, parsed_properties, score_attach, score_equal, align_zero_fill, align_drop, cached_lookup, label_merge,
         scenario_lookup, age_bands, persona_texts, text_tidied, describe_values, value_pivot, system_prompts, user_prompts, table_answers, trial_table, trial_report, results_json,
     )

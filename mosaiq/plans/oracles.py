@@ -403,6 +403,15 @@ _SCORED = f"{_lexical('ans', 'request_id', 'ordinal', 'text')}, sc AS (SELECT re
 _TRIALS = f"""{_PANELS}, {_SCORED}, tr AS (SELECT scenario, repeat, coalesce(any_value(m), 0) AS diversity, count(*) AS n_valid, array_to_string(list_sort(list(type)), ',') AS types, count(DISTINCT type) AS k, CAST(sum(card_id % 17) AS DOUBLE) AS t_total
   FROM ans LEFT JOIN sc USING (request_id) GROUP BY scenario, repeat)"""
 SQL["ivf_exact"] = SQL["exact_topk"]
+SQL["neighbour_graph"] = f"""WITH {_E}, u AS (SELECT vec_id, {_unit("v")} AS v FROM e),
+s AS (SELECT p.vec_id AS id, q.vec_id AS other, list_inner_product(p.v, q.v) AS c FROM u p, u q WHERE p.vec_id <> q.vec_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS r FROM s QUALIFY r <= 10),
+l AS (SELECT id, list(other ORDER BY r) AS others, list(greatest(0.0, 1 - c) ORDER BY r) AS d FROM n GROUP BY id),
+h AS (SELECT *, coalesce(list_min(list_filter(d, lambda y: y > 0)), 0.0) AS rho FROM l),
+g AS (SELECT *, list_reduce(list_concat([CAST(-5 AS DOUBLE)], list_transform(range(1, 41), lambda i: 15.0 / pow(2.0, i))),
+  lambda x, t: x + t * CASE WHEN list_sum(list_transform(d, lambda y: exp(-greatest(0.0, y - rho) / pow(2.0, x)))) < log2(10) THEN 1 ELSE -1 END) AS scale FROM h),
+p AS (SELECT id, unnest(others) AS other, unnest(list_transform(d, lambda y: exp(-greatest(0.0, y - rho) / pow(2.0, scale)))) AS w FROM g)
+SELECT least(id, other) AS a, greatest(id, other) AS b, round(1 - product(1 - w), 6) AS weight FROM p GROUP BY 1, 2"""
 SQL["affinity_tag_major"] = SQL["affinity_scores"]
 SQL["table_answers"] = f"WITH {_PANELS} SELECT request_id, ordinal, type, text FROM ans"
 SQL["trial_table"] = f"WITH {_TRIALS} SELECT scenario, repeat, round(diversity, 6) AS diversity, 'self_bleu' AS method, diversity >= 0.25 AS passed, n_valid, types, k AS n_distinct_types, t_total FROM tr"
