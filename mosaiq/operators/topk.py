@@ -21,6 +21,8 @@ MAX_COMPONENTS, MAX_SCORES = 8_000_000, 8_000_000
 SLAB_COMPONENTS = 64_000_000
 #: Cells at most; their centroids are held by each task, within MAX_COMPONENTS.
 MAX_CELLS = 16_384
+#: Inner products that take about as long as moving one query to one more cell.
+COPY = 4096
 
 
 def search(vectors: DataFrame, query: list[float], k: int, exclude: list | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -278,10 +280,28 @@ class CellIndex:
 
         return self._cells_of(asked, choose)
 
-    def search_exact(self, queries: DataFrame, k: int, probes: int, query_col: str = "query_id", skip_self: bool = True) -> DataFrame:
-        """Exactly what :func:`batch_search` finds: the ``probes`` nearest cells first, then those that may still hold one of the k best."""
+    def search_exact(self, queries: DataFrame, k: int, probes: int, query_col: str = "query_id", skip_self: bool = True, copy: int = COPY) -> DataFrame:
+        """Exactly what :func:`batch_search` finds: the ``probes`` nearest cells first, then those that may still hold one of the k best.
+
+        Each cell that a query looks into costs a copy of the query in a shuffle, as much as
+        ``copy`` products. A query that would have to look into so many that comparing it
+        with all rows is cheaper is compared with all rows. With ``copy=0`` none is.
+        """
+        n = self.table.count()
+        most = n / (copy + n / len(self.centres)) if copy else float("inf")
+        plain = lambda some: batch_search(self.table, some, k, self.id_col, self.vector_col, query_col, skip_self)
+        if most < probes + 1:
+            return plain(queries)
         first = saved(self.search(queries, k, probes, query_col, skip_self))
-        rest = self._meet(self.further_cells(queries, first, k, probes, query_col), k, skip_self, query_col)
+        cells = self.further_cells(queries, first, k, probes, query_col)
+        if copy:
+            cells = saved(cells)
+            wide = saved(cells.groupBy("query").count().where(F.col("count") > most - probes).select("query"))
+            rest = self._meet(cells.join(wide, "query", "left_anti"), k, skip_self, query_col)
+            many = plain(queries.join(wide.select(F.col("query").alias(query_col)), query_col, "left_semi").select(query_col, self.vector_col))
+            kept = first.join(wide.select(F.col("query").alias(query_col)), query_col, "left_anti")
+            return _ranked(kept.drop("rank").union(rest), k, query_col, self.id_col).union(many)
+        rest = self._meet(cells, k, skip_self, query_col)
         return _ranked(first.drop("rank").union(rest), k, query_col, self.id_col)
 
     def probes_for(self, queries: DataFrame, k: int, recall: float, query_col: str = "query_id", sample: int = 200) -> int:

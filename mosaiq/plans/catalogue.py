@@ -82,7 +82,7 @@ def _loaded(spark, sf_dir) -> topk.CellIndex:
 def ivf_exact(spark, sf_dir):
     """The exact results by an index that was saved and loaded: an eighth of the cells, and those that their radius does not rule out."""
     index = _loaded(spark, sf_dir)
-    return index.search_exact(_queries(spark, sf_dir), 10, max(1, len(index.centres) // 8)).select("query_id", "vec_id", "rank", _r6("score").alias("score"))
+    return index.search_exact(_queries(spark, sf_dir), 10, max(1, len(index.centres) // 8), copy=0).select("query_id", "vec_id", "rank", _r6("score").alias("score"))
 
 
 def ivf_recall(spark, sf_dir):

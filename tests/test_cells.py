@@ -47,7 +47,8 @@ def test_clustered_vectors_need_few_cells(spark):
     first = index.search(q, 10, 4)
     looked = q.count() * 4 + index.further_cells(q, first, 10, 4).count()
     assert looked <= q.count() * len(index.centres) / 4  # bounds rule out the rest
-    assert _lists(index.search_exact(q, 10, 4)) == want
+    for copy in (0, 700, topk.COPY):  # by cells alone, some queries against all rows, all of them
+        assert _lists(index.search_exact(q, 10, 4, copy=copy)) == want
 
 
 @pytest.mark.parametrize("components,most,slab", [(8_000_000, 8_000_000, 64_000_000), (40, 600, 60)])
@@ -62,7 +63,7 @@ def test_exact_search_whatever_the_shape(spark, monkeypatch, tmp_path, component
     monkeypatch.setattr(topk, "SLAB_COMPONENTS", slab)
     loaded = topk.CellIndex.load(spark, str(tmp_path / "index"))
     for some in (index, loaded):
-        assert _lists(some.search_exact(_asked(df), 7, 1)) == _brute(x, 7)
+        assert _lists(some.search_exact(_asked(df), 7, 1, copy=0)) == _brute(x, 7)
     assert _lists(topk.batch_search(df, _asked(df), 7)) == _brute(x, 7)
 
 
