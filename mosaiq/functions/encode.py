@@ -20,7 +20,10 @@ class Encoder(Protocol):
 
 
 class HashingEncoder:
-    """A deterministic stand-in: words hashed into signed buckets, then unit length. It knows nothing of meaning."""
+    """A deterministic stand-in: words hashed into signed buckets, then unit length. It knows nothing of meaning.
+
+    Where all signs cancel, the words count without them, so only texts without words are zero.
+    """
 
     def __init__(self, dim: int = 64) -> None:
         self.dim = dim
@@ -28,9 +31,12 @@ class HashingEncoder:
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for i, text in enumerate(texts):
-            for word in text.split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            hashes = [int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little") for word in text.split()]
+            for h in hashes:
                 out[i, h % self.dim] += 1.0 if h >> 63 else -1.0
+            if hashes and not out[i].any():
+                for h in hashes:
+                    out[i, h % self.dim] += 1.0
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-10)
 
 
