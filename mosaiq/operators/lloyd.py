@@ -57,7 +57,10 @@ def _mixed(batch: pd.DataFrame, parts: Sequence[str]) -> Iterator[list[np.ndarra
 
 
 def _scan(rows: DataFrame, parts: Sequence[str], models: list[Model], each) -> dict[tuple[int, int], np.ndarray]:
-    """``each(x, model number)`` gives an array with a row a centroid; by model and centroid the sums of these rows over all chunks."""
+    """``each(x, model number)`` gives an array with a row a centroid; by model and centroid the sums of these rows over all chunks.
+
+    The first column is summed by itself, since element-wise sums come from means and are not exact for counts.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((models, each))  # bounded by MAX_COMPONENTS
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,11 +71,12 @@ def _scan(rows: DataFrame, parts: Sequence[str], models: list[Model], each) -> d
                 for i, model in enumerate(ours):
                     got = add(sum(w * x for w, x in zip(model.weights, split)), i)
                     totals[i] = got if totals[i] is None else totals[i] + got
-        rows = [(i, j, line.tolist()) for i, total in enumerate(totals) if total is not None for j, line in enumerate(total)]
-        yield pd.DataFrame(rows, columns=["model", "centre", "sums"])
+        rows = [(i, j, float(line[0]), line[1:].tolist()) for i, total in enumerate(totals) if total is not None for j, line in enumerate(total)]
+        yield pd.DataFrame(rows, columns=["model", "centre", "first", "sums"])
 
-    sums = rows.mapInPandas(task, "model int, centre int, sums array<double>").groupBy("model", "centre").agg(V.sum_by_position("sums").alias("sums"))
-    return {(r["model"], r["centre"]): np.array(r["sums"]) for r in sums.collect()}  # a row a centroid
+    found = rows.mapInPandas(task, "model int, centre int, first double, sums array<double>")
+    sums = found.groupBy("model", "centre").agg(F.sum("first").alias("first"), V.sum_by_position("sums").alias("sums"))
+    return {(r["model"], r["centre"]): np.array([r["first"], *r["sums"]]) for r in sums.collect()}  # a row a centroid
 
 
 def _groups(models: list[Model]) -> Iterator[list[Model]]:

@@ -2,7 +2,10 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from mosaiq.functions import encode
+from mosaiq.operators import lloyd
 
 
 def test_texts_whose_signs_cancel_are_not_zero():
@@ -11,3 +14,12 @@ def test_texts_whose_signs_cancel_are_not_zero():
     assert np.allclose(np.linalg.norm(v, axis=1), [1, 1, 0, 0])
     words = "Lo que ta los.".split()
     assert np.allclose(e.encode([" ".join(words[::-1])]), v[1])
+
+
+def test_sizes_of_clusters_are_counts(spark):
+    ids = spark.range(0, 40_000, 1, 7).select(F.col("id"), F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("v"))
+    rows = ids.where("id % 3 < 2 OR id % 7 = 0")
+    model = lloyd.Model("m", np.array([[0.0, 1.0], [1.0, 1.0], [2.0, 1.0]]))
+    found = lloyd.fit_many(rows, ["v"], [model], 1)[0]
+    wanted = [rows.where(f"id % 3 = {i}").count() for i in range(3)]
+    assert [int(n) for n in found.sizes] == wanted and list(found.sizes) == wanted
