@@ -17,6 +17,8 @@ from mosaiq.runtime import saved, ship
 
 #: Components of queries that are held at once, and scores that a task holds: 64 MB of doubles each.
 MAX_COMPONENTS, MAX_SCORES = 8_000_000, 8_000_000
+#: Scores that a task forms at a time (8 MB), of so many vectors; products that a task forms in all before the work is cut further.
+CHUNK_SCORES, CHUNK_VECTORS, PRODUCTS = 1_000_000, 2048, 1 << 32
 #: Components of vectors that stream past one block of queries where both sides are cut into blocks, 512 MB of doubles.
 SLAB_COMPONENTS = 64_000_000
 #: Cells at most; their centroids are held by each task, within MAX_COMPONENTS.
@@ -52,23 +54,65 @@ def _matrix(rows: pd.Series) -> np.ndarray:
     return np.stack(rows.to_numpy()).astype(np.float64)
 
 
+def _plain(ids: np.ndarray) -> np.ndarray:
+    return ids.astype(str) if ids.dtype == object else ids
+
+
 class _Best:
-    """The k best of the vectors seen so far for each of a block of queries of one length."""
+    """The k best of the vectors seen so far for each of a block of queries of one length.
+
+    Scores are formed in chunks, and of a chunk only those that reach a query's k-th so far are looked at.
+    """
 
     def __init__(self, names: np.ndarray, q: np.ndarray, k: int, skip_self: bool) -> None:
-        self.names, self.q, self.k, self.skip_self = names, q, k, skip_self
-        self.ids = self.scores = None
+        self.names, self.q, self.k = names, q, k
+        self.ids, self.scores = None, np.full((len(names), k), -np.inf)
+        mine = _plain(names)
+        self.order = np.argsort(mine, kind="stable") if skip_self else None
+        self.sorted = mine[self.order] if skip_self else None
 
     def add(self, ids: np.ndarray, vectors: pd.Series) -> None:
-        wide = max(64, MAX_SCORES // len(self.names))
-        for at in range(0, len(ids), wide):
-            new_ids, new = ids[at : at + wide], self.q @ _matrix(vectors.iloc[at : at + wide]).T
-            if self.skip_self:
-                new[self.names[:, None] == new_ids] = -np.inf
-            new_ids = np.broadcast_to(new_ids.astype(str) if new_ids.dtype == object else new_ids, new.shape)
-            if self.ids is not None:
-                new_ids, new = np.concatenate([self.ids, new_ids], axis=1), np.concatenate([self.scores, new], axis=1)
-            self.ids, self.scores = best_of(new_ids, new, self.k)
+        tall = max(1, CHUNK_SCORES // CHUNK_VECTORS)
+        for at in range(0, len(ids), CHUNK_VECTORS):
+            new_ids, x = _plain(ids[at : at + CHUNK_VECTORS]), _matrix(vectors.iloc[at : at + CHUNK_VECTORS])
+            if self.ids is None:
+                self.ids = np.zeros(self.scores.shape, dtype=new_ids.dtype)
+            own, here = self._own(new_ids)
+            for low in range(0, len(self.names), tall):
+                new = self.q[low : low + tall] @ x.T
+                some = (own >= low) & (own < low + tall)
+                new[own[some] - low, here[some]] = -np.inf
+                self._take(low, new_ids, new)
+
+    def _own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which query is which of these vectors itself."""
+        if self.order is None or not len(self.names) or (self.sorted.dtype.kind == "U") != (ids.dtype.kind == "U"):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        low, high = np.searchsorted(self.sorted, ids, "left"), np.searchsorted(self.sorted, ids, "right")
+        here = np.repeat(np.arange(len(ids)), high - low)
+        steps = np.arange(len(here)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+        return self.order[np.repeat(low, high - low) + steps], here
+
+    def _take(self, low: int, ids: np.ndarray, new: np.ndarray) -> None:
+        reach = np.maximum(self.scores[low : low + len(new), -1:], np.finfo(np.float64).min)
+        row, at = np.divmod(np.flatnonzero(new >= reach), new.shape[1])
+        if len(row) > 4 * self.k * len(new):  # at first above all
+            new = np.where(np.isfinite(new), new, -np.inf)
+            found, score = best_of(np.broadcast_to(ids, new.shape), new, self.k)
+            row, found, score = np.repeat(np.arange(len(new)), found.shape[1]), found.ravel(), score.ravel()
+        else:
+            found, score = ids[at], new[row, at]
+        row, found, score = (c[np.isfinite(score)] for c in (row, found, score))
+        if not len(row):
+            return
+        rows, place = np.unique(row, return_inverse=True)
+        self.ids = self.ids.astype(np.result_type(self.ids, ids), copy=False)  # strings may be longer
+        name = np.concatenate([self.ids[low + rows].ravel(), found])
+        value = np.concatenate([self.scores[low + rows].ravel(), score])
+        owner = np.concatenate([np.repeat(np.arange(len(rows)), self.k), place])
+        order = np.lexsort((name, -value, owner))
+        first = order[np.searchsorted(owner[order], np.arange(len(rows)))[:, None] + np.arange(self.k)]
+        self.ids[low + rows], self.scores[low + rows] = name[first], value[first]
 
     def rows(self) -> Iterator[pd.DataFrame]:
         if self.ids is not None:
@@ -96,7 +140,9 @@ def _in_cells(members: DataFrame, probes: DataFrame, k: int, skip_self: bool) ->
     for cell in asked.keys() & there.keys():
         dim = max(1, asked[cell]["dim"])
         block, slab = max(1, min(MAX_COMPONENTS // dim, MAX_SCORES // (4 * k))), max(1, SLAB_COMPONENTS // dim)
-        sizes.append((cell, -(-asked[cell]["n"] // block), -(-there[cell]["n"] // slab)))
+        tasks = -(-asked[cell]["n"] * there[cell]["n"] // PRODUCTS)
+        slabs = max(-(-there[cell]["n"] // slab), int(tasks**0.5 / 2))
+        sizes.append((cell, max(-(-asked[cell]["n"] // block), -(-tasks // slabs)), slabs))
     met = F.broadcast(spark.createDataFrame(sizes, "cell int, blocks int, slabs int"))  # a row a cell
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     hashed = lambda key, c: F.pmod(F.xxhash64(key), F.col(c)).cast("int")
@@ -227,19 +273,24 @@ class CellIndex:
             radii[cell] = far
         return radii
 
-    def _cells_of(self, asked: DataFrame, choose) -> DataFrame:
-        """``(query, v, cell)`` for the cells that ``choose(batch, products with the centroids)`` gives for each query."""
+    def _lists_of(self, asked: DataFrame, choose) -> DataFrame:
+        """``(query, v, cells)``: the cells that ``choose(batch, vectors, products with the centroids)`` gives for each query, null where it gives none at all."""
         centres = self.table.sparkSession.sparkContext.broadcast(self.centres)
 
         def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if len(batch):
-                    q = _matrix(batch["v"])
-                    yield batch[["query", "v"]].assign(cells=choose(batch, q, q @ centres.value.T))
+                step = max(1, CHUNK_SCORES // len(centres.value))
+                for at in range(0, len(batch), step):
+                    part = batch.iloc[at : at + step]
+                    q = _matrix(part["v"])
+                    yield part[["query", "v"]].assign(cells=choose(part, q, q @ centres.value.T))
 
         ship(self.table.sparkSession)
         kind = asked.schema["query"].dataType.simpleString()
-        return asked.mapInPandas(look, f"query {kind}, v array<double>, cells array<int>").select("query", "v", F.explode("cells").alias("cell"))
+        return asked.mapInPandas(look, f"query {kind}, v array<double>, cells array<int>")
+
+    def _cells_of(self, asked: DataFrame, choose) -> DataFrame:
+        return self._lists_of(asked, choose).select("query", "v", F.explode("cells").alias("cell"))
 
     def _asked(self, queries: DataFrame, query_col: str) -> DataFrame:
         v = F.col(self.vector_col)
@@ -266,6 +317,10 @@ class CellIndex:
         No member's product exceeds the centroid's by more than the query's length times the
         cell's radius, so a cell whose bound is below the k-th score found is left out.
         """
+        return self._further(queries, found, k, probes, query_col).select("query", "v", F.explode("cells").alias("cell"))
+
+    def _further(self, queries: DataFrame, found: DataFrame, k: int, probes: int, query_col: str, most: float = float("inf")) -> DataFrame:
+        """As :meth:`further_cells`, as a list a query, which is null where it would have more than ``most`` cells."""
         last = found.where(F.col("rank") == k).select(F.col(query_col).alias("name"), "score")
         asked = self._asked(queries, query_col).join(last, F.col("query") == F.col("name"), "left").select("query", "v", F.coalesce("score", F.lit(float("-inf"))).alias("least"))
         radii = self.radii
@@ -276,9 +331,9 @@ class CellIndex:
             may = s + size * np.maximum(radii, 0) + slack >= batch["least"].to_numpy()[:, None]
             np.put_along_axis(may, np.argsort(-s, axis=1, kind="stable")[:, :probes], False, axis=1)
             may[:, radii < 0] = False
-            return [np.flatnonzero(row).tolist() for row in may]
+            return [None if row.sum() > most else np.flatnonzero(row).tolist() for row in may]
 
-        return self._cells_of(asked, choose)
+        return self._lists_of(asked, choose)
 
     def search_exact(self, queries: DataFrame, k: int, probes: int, query_col: str = "query_id", skip_self: bool = True, copy: int = COPY) -> DataFrame:
         """Exactly what :func:`batch_search` finds: the ``probes`` nearest cells first, then those that may still hold one of the k best.
@@ -293,16 +348,15 @@ class CellIndex:
         if most < probes + 1:
             return plain(queries)
         first = saved(self.search(queries, k, probes, query_col, skip_self))
-        cells = self.further_cells(queries, first, k, probes, query_col)
-        if copy:
-            cells = saved(cells)
-            wide = saved(cells.groupBy("query").count().where(F.col("count") > most - probes).select("query"))
-            rest = self._meet(cells.join(wide, "query", "left_anti"), k, skip_self, query_col)
-            many = plain(queries.join(wide.select(F.col("query").alias(query_col)), query_col, "left_semi").select(query_col, self.vector_col))
-            kept = first.join(wide.select(F.col("query").alias(query_col)), query_col, "left_anti")
-            return _ranked(kept.drop("rank").union(rest), k, query_col, self.id_col).union(many)
-        rest = self._meet(cells, k, skip_self, query_col)
-        return _ranked(first.drop("rank").union(rest), k, query_col, self.id_col)
+        cells = self._further(queries, first, k, probes, query_col, most - probes)
+        exploded = lambda some: some.select("query", "v", F.explode("cells").alias("cell"))
+        if not copy:
+            return _ranked(first.drop("rank").union(self._meet(exploded(cells), k, skip_self, query_col)), k, query_col, self.id_col)
+        cells = saved(cells)  # a row a query: vectors are copied for those cells only that are looked into
+        wide = cells.where("cells IS NULL").select(F.col("query").alias(query_col), F.col("v").alias(self.vector_col))
+        rest = self._meet(exploded(cells.where("cells IS NOT NULL")), k, skip_self, query_col)
+        kept = first.join(wide.select(query_col), query_col, "left_anti")
+        return _ranked(kept.drop("rank").union(rest), k, query_col, self.id_col).union(plain(wide))
 
     def probes_for(self, queries: DataFrame, k: int, recall: float, query_col: str = "query_id", sample: int = 200) -> int:
         """How many cells find ``recall`` of the exact k best of up to ``sample`` queries, picked by a hash."""
