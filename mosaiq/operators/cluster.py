@@ -15,6 +15,7 @@ from mosaiq.functions import vectors as V
 from mosaiq.operators import labels as names
 from mosaiq.operators import lloyd, stats
 from mosaiq.operators.sampling import exact_sample
+from mosaiq.runtime import ship
 
 
 @dataclass(frozen=True)
@@ -108,6 +109,7 @@ def spherical_kmeans(df: DataFrame, vector: str, id_col: str, k: int = 5, most:
     centroids are made unit again, an empty one is the zero vector, and rounds end when no
     centroid moves by more than ``tol``. Only k sums come to the driver.
     """
+    ship(df.sparkSession)
     unit = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), V.normalise(F.col(vector)).alias("u")).cache()
     some = np.array([r["u"] for r in exact_sample(unit, sample, "id", str(seed)).select("u").collect()])
     rng = np.random.default_rng(seed)
@@ -117,11 +119,11 @@ def spherical_kmeans(df: DataFrame, vector: str, id_col: str, k: int = 5, most:
         centres = np.vstack([centres, some[rng.choice(len(some), p=away / away.sum()) if away.sum() > 0 else rng.integers(len(some))]])
     inertia = 0.0
     for _ in range(most):
-        near = by_cosine(unit, "u", centres).groupBy("cluster").agg(V.sum_by_position("u").alias("s"), F.sum(2 - 2 * F.col("sim")).alias("inertia")).collect()
+        sums = lloyd.scan(unit, ["u"], [lloyd.Model("cosine", centres)], lloyd.Cosines([centres]))
         moved = np.zeros_like(centres)
-        for r in near:
-            moved[r["cluster"]] = np.array(r["s"]) / max(np.linalg.norm(r["s"]), 1e-10)
-        inertia, shift = sum(r["inertia"] for r in near), np.linalg.norm(moved - centres, axis=1).max()
+        for (_, j), line in sums.items():
+            moved[j] = line[1:] / max(np.linalg.norm(line[1:]), 1e-10)
+        inertia, shift = sum(line[0] for line in sums.values()), np.linalg.norm(moved - centres, axis=1).max()
         centres = moved
         if shift <= tol:
             break

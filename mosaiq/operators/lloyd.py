@@ -56,7 +56,7 @@ def _mixed(batch: pd.DataFrame, parts: Sequence[str]) -> Iterator[list[np.ndarra
         yield [np.stack(batch[p].iloc[at : at + CHUNK].to_numpy()).astype(np.float64) for p in parts]
 
 
-def _scan(rows: DataFrame, parts: Sequence[str], models: list[Model], each) -> dict[tuple[int, int], np.ndarray]:
+def scan(rows: DataFrame, parts: Sequence[str], models: list[Model], each) -> dict[tuple[int, int], np.ndarray]:
     """``each(x, model number)`` gives an array with a row a centroid; by model and centroid the sums of these rows over all chunks.
 
     The first column is summed by itself, since element-wise sums come from means and are not exact for counts.
@@ -74,7 +74,7 @@ def _scan(rows: DataFrame, parts: Sequence[str], models: list[Model], each) -> d
         rows = [(i, j, float(line[0]), line[1:].tolist()) for i, total in enumerate(totals) if total is not None for j, line in enumerate(total)]
         yield pd.DataFrame(rows, columns=["model", "centre", "first", "sums"])
 
-    found = rows.mapInPandas(task, "model int, centre int, first double, sums array<double>")
+    found = rows.select(*parts).mapInPandas(task, "model int, centre int, first double, sums array<double>")
     sums = found.groupBy("model", "centre").agg(F.sum("first").alias("first"), V.sum_by_position("sums").alias("sums"))
     return {(r["model"], r["centre"]): np.array([r["first"], *r["sums"]]) for r in sums.collect()}  # a row a centroid
 
@@ -104,6 +104,20 @@ class _Sums:
         return mine @ np.concatenate([np.ones((len(x), 1)), far[:, None], (x**2).sum(1)[:, None], x], axis=1)
 
 
+class Cosines:
+    """By centroid the sum of 2 - 2 cos of the rows of which it is the first with the largest cosine, and their sum; for unit rows."""
+
+    def __init__(self, centres: list[np.ndarray]) -> None:
+        self.centres = centres
+
+    def __call__(self, x: np.ndarray, i: int) -> np.ndarray:
+        sims = x @ self.centres[i].T
+        at, here = sims.argmax(1), np.arange(len(x))
+        mine = np.zeros((len(self.centres[i]), len(x)))
+        mine[at, here] = 1.0
+        return mine @ np.concatenate([(2 - 2 * sims[here, at])[:, None], x], axis=1)
+
+
 class _Silhouettes:
     """Sums and numbers of silhouettes by squared distance, from sums of the clusters."""
 
@@ -149,7 +163,7 @@ def fit_many(df: DataFrame, parts: Sequence[str], models: Sequence[Model], round
     for _ in range(rounds):
         still = []
         for group in _groups(moving):
-            sums = _scan(rows, _names(parts), group, _Sums(group))
+            sums = scan(rows, _names(parts), group, _Sums(group))
             for i, m in enumerate(group):
                 lines = np.array([sums.get((i, j), np.zeros(3 + m.centres.shape[1])) for j in range(len(m.centres))])
                 fresh = np.where(lines[:, :1] > 0, lines[:, 3:] / np.maximum(lines[:, :1], 1), m.centres)
@@ -173,9 +187,9 @@ def silhouettes(df: DataFrame, parts: Sequence[str], models: Sequence[Model]) ->
     """
     rows, found = _rows(df, parts).cache(), []
     for group in _groups(list(models)):
-        sums = _scan(rows, _names(parts), group, _Sums(group))
+        sums = scan(rows, _names(parts), group, _Sums(group))
         held = [np.array([sums.get((i, j), np.zeros(3 + m.centres.shape[1])) for j in range(len(m.centres))]) for i, m in enumerate(group)]
-        scores = _scan(rows, _names(parts), group, _Silhouettes(group, held))
+        scores = scan(rows, _names(parts), group, _Silhouettes(group, held))
         found += [float(s[0] / s[1]) if (s := scores.get((i, 0))) is not None else 0.0 for i in range(len(group))]
     rows.unpersist()
     return found
@@ -212,7 +226,7 @@ def fit_minibatch(df: DataFrame, vector: str, id_col: str, k: int, batch_rows: i
     stored = df.sparkSession.read.schema("id string, p0 array<double>, batch long").parquet(path)
     for _ in range(epochs):
         for number in range(n):
-            sums = _scan(stored.where(F.col("batch") == number).select("p0"), ["p0"], [model], _Sums([model]))
+            sums = scan(stored.where(F.col("batch") == number).select("p0"), ["p0"], [model], _Sums([model]))
             for (_, j), line in sums.items():
                 if line[0]:
                     model.sizes[j] += line[0]

@@ -56,6 +56,14 @@ def test_many_queries_are_cut_into_many_tasks(spark, monkeypatch):
     assert {(r[0], r[1]) for r in found} == {(f"r{i}", f"r{j}") for i, row in enumerate(np.argsort(-scores, axis=1)[:, :3]) for j in row}
 
 
+def test_cosine_sums():
+    x = _unit(50, 6, 4)
+    c = x[:3]
+    got, at = lloyd.Cosines([c])(x, 0), (x @ c.T).argmax(1)
+    for j in range(3):
+        assert np.allclose(got[j], [(2 - 2 * x[at == j] @ c[j]).sum(), *x[at == j].sum(0)])
+
+
 def test_fuzzy_weights_of_many_rows(spark):
     d = np.sort(np.random.default_rng(5).random((40, 6)), axis=1)
     d[0, :2] = 0
