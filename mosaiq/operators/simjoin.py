@@ -10,15 +10,19 @@ members only if the cell can hold a partner:
   their angle to the pivot, that lie within the threshold's angle of its own.
 
 A partner's cell and rings are always among these, so nothing is missed, and since that holds
-for both ends of a pair, a vector looks into its own cell and those behind it only. Cells of
-any size are cut into rings and these into blocks; a task multiplies two blocks.
+for both ends of a pair, a vector looks into its own cell and those behind it only.
+
+Rings are dealt into a bounded number of groups, and a vector is copied once for each group
+that it looks into, not for each ring: where vectors hardly cluster it is copied as often as
+there are groups. A task holds a group's members, of which there is a bounded number, and lets
+those that look into it pass, each compared with the rings within its reach.
 
 Equal vectors are joined once: pairs are between their first rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import acos
 
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 from mosaiq.functions import vectors as V
 from mosaiq.runtime import saved, ship
 
-#: Pivots at most, vectors of the sample for each, components of the sample at most, and rows on either side of a task's comparison.
+#: Pivots at most, vectors of the sample for each, components of the sample or of a task's members at most, and rows of a ring.
 MAX_PIVOTS, SAMPLE_SHARE, MAX_COMPONENTS, BLOCK = 1024, 16, 4_000_000, 1024
+#: Groups of rings at most; blocks of members that a task holds at most, and of vectors that pass it.
+GROUPS, HELD, PASSED = 64, 16, 64
 #: What angles are off by at most for rounding, near zero above all.
 SLACK = 1e-6
 
@@ -55,6 +61,7 @@ class _Dealt:
     members: DataFrame
     probes: DataFrame
     key: list[str]
+    pairs: Callable[[Iterator[pd.DataFrame], bool], Iterator[pd.DataFrame]]
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
@@ -81,7 +88,7 @@ def _spread(x: np.ndarray, n: int) -> np.ndarray:
     return x[chosen]
 
 
-def _deal(reps: DataFrame, threshold: float) -> _Dealt:
+def _deal(reps: DataFrame, threshold: float, width: str = "double") -> _Dealt:
     """Members of cells and who looks into them, by cell, ring and blocks of both; ``reps`` has ``n, within, v``, numbers unique, and is cheap to read."""
     spark = reps.sparkSession
     facts = reps.groupBy(F.size("v").alias("dim")).count().collect()
@@ -107,65 +114,119 @@ def _deal(reps: DataFrame, threshold: float) -> _Dealt:
     kind = f"n long, within {reps.schema['within'].dataType.simpleString()}, v array<double>"
     homes = saved(reps.select("n", "within", "v").mapInPandas(home, f"{kind}, dim int, cell int, angle double"))
     cells = {(r["dim"], r["cell"]): (r["radius"], max(1, -(-r["count"] // BLOCK))) for r in homes.groupBy("dim", "cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("count")).collect()}
-    known = spark.sparkContext.broadcast(cells)  # a row a pivot
+    spread: dict[int, tuple[np.ndarray, ...]] = {}
+    for dim in {d for d, _ in cells}:
+        here = sorted(c for d, c in cells if d == dim)
+        radii, rings = np.array([cells[dim, c][0] for c in here]), np.array([cells[dim, c][1] for c in here])
+        spread[dim] = np.array(here), radii, rings, np.cumsum(rings) - rings
+    known = spark.sparkContext.broadcast((spread, {d: max(1, min(GROUPS, int(x[2].sum()))) for d, x in spread.items()}))  # a row a pivot
 
     def ring_of(angle, radius, rings):
         return np.minimum((angle / max(radius, 1e-12) * rings).astype(np.int32), rings - 1)
 
+    def reached(own, own_angle, to, cell, radius, rings):
+        """Who looks into a cell, and the first and last of its rings for each."""
+        near = (own == cell) | ((cell > own) & (to <= np.minimum(radius + reach, own_angle + 2 * reach) + SLACK))
+        at = np.flatnonzero(near)
+        low, high = (ring_of(np.clip(to[at] + s * (reach + SLACK), 0, radius), radius, rings) for s in (-1, 1))
+        return at, low, high
+
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, part in batch.groupby("dim"):
-                p = shared.value.get(dim, ())
+                p, (there, radii, rings, first) = shared.value.get(dim, ()), known.value[0][dim]
+                groups = known.value[1][dim]
+                group_of = lambda place, groups=groups, every=rings.sum(): place * groups // every
                 angles = _angles(np.stack(part["v"].to_numpy()), p) if len(p) else np.zeros((len(part), 1))
                 own, own_angle = part["cell"].to_numpy(), part["angle"].to_numpy()
-                mine, visits = np.zeros(len(part), dtype=np.int32), [[] for _ in range(len(part))]
-                for (d, cell), (radius, rings) in known.value.items():
-                    if d != dim:
-                        continue
-                    to = angles[:, cell]
+                mine, steps = np.zeros(len(part), dtype=np.int32), np.zeros((len(part), groups + 1), dtype=np.int32)
+                for cell, radius, n, start in zip(there, radii, rings, first):
                     here = own == cell
-                    mine[here] = ring_of(own_angle[here], radius, rings)
-                    near = here | ((cell > own) & (to <= np.minimum(radius + reach, own_angle + 2 * reach) + SLACK))
-                    at = np.flatnonzero(near)
-                    low, high = (ring_of(np.clip(to[at] + s * (reach + SLACK), 0, radius), radius, rings) for s in (-1, 1))
-                    for i, a, b in zip(at, low, high):
-                        visits[i] += [(cell << 32) | ring for ring in range(a, b + 1)]
-                yield part.assign(ring=mine, visits=visits)[["n", "within", "v", "dim", "cell", "ring", "visits"]]
-
-    placed = saved(homes.mapInPandas(look, f"{kind}, dim int, cell int, ring int, visits array<long>"))
-    key = ["within", "dim", "place"]
-    members = placed.select("n", "within", "v", "dim", F.col("cell").alias("home"), F.shiftleft(F.col("cell").cast("long"), 32).bitwiseOR(F.col("ring").cast("long")).alias("place"))
-    probes = placed.select("n", "within", "v", "dim", F.col("cell").alias("home"), F.explode("visits").alias("place"))
-    blocks = lambda df, name: df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name)).select(*(F.col(c).alias(f"{c}_{name}") for c in key), name)
-    same = lambda name: F.col("within").eqNullSafe(F.col(f"within_{name}")) & (F.col("dim") == F.col(f"dim_{name}")) & (F.col("place") == F.col(f"place_{name}"))
-    m, p = saved(blocks(members, "km")), saved(blocks(probes, "kp"))
+                    mine[here] = ring_of(own_angle[here], radius, n)
+                    at, low, high = reached(own, own_angle, angles[:, cell], cell, radius, n)
+                    steps[at, group_of(start + low)] += 1
+                    steps[at, group_of(start + high) + 1] -= 1
+                home = group_of(first[np.searchsorted(there, own)] + mine).astype(np.int32)
+                visits = [np.flatnonzero(row).tolist() for row in np.cumsum(steps[:, :-1], axis=1) > 0]
+                yield part.assign(ring=mine, group=home, visits=visits)[["n", "within", "v", "dim", "cell", "angle", "ring", "group", "visits"]]
+
+    kind = kind.replace("array<double>", f"array<{width}>")  # as they came
+    placed = saved(homes.mapInPandas(look, f"{kind}, dim int, cell int, angle double, ring int, group int, visits array<int>"))
+    key = ["within", "dim", "group"]
+    held = ["n", "within", "v", "dim", "cell", "angle", "ring"]
+    members, probes = placed.select(*held, "group"), placed.select(*held, F.explode("visits").alias("group"))
+    most = F.greatest(F.lit(1), F.least(F.lit(HELD * BLOCK), F.floor(F.lit(MAX_COMPONENTS) / F.greatest(F.col("dim"), F.lit(1)))))
+    blocks = lambda df, name, size: df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name)).select(*(F.col(c).alias(f"{c}_{name}") for c in key), name)
+    same = lambda name: F.col("within").eqNullSafe(F.col(f"within_{name}")) & (F.col("dim") == F.col(f"dim_{name}")) & (F.col("group") == F.col(f"group_{name}"))
+    m, p = saved(blocks(members, "km", most)), saved(blocks(probes, "kp", F.lit(PASSED * BLOCK)))
     hashed = lambda k: F.pmod(F.xxhash64("n"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    row = [*key, "n", "v", "home"]
+    # Who shares a place is told by a number, as pandas would make floats of integers beside nulls.
+    w = F.col("within") + F.lit(0.0) if reps.schema["within"].dataType.simpleString() in ("float", "double") else F.col("within")  # no zero below zero
+    row = [F.xxhash64(w).alias("within"), F.coalesce(w.cast("string"), F.lit("")).alias("name"), F.col("within").isNull().alias("none"), "dim", "group", "n", "v", "cell", "angle", "ring"]
     sized = lambda df: df.join(m, same("km")).join(p, same("kp"))
+
+    def pairs(batches: Iterator[pd.DataFrame], counted: bool) -> Iterator[pd.DataFrame]:
+        """``(a, b, sim)`` by number, each pair once, or how many products are formed for it."""
+        for dim, member, part in _runs(batches, ["within", "name", "none", "dim", "group", "i", "j"]):
+            pivots, (there, radii, rings, _) = shared.value.get(dim, ()), known.value[0][dim]
+            y, their, home = _unit(member["v"]), member["n"].to_numpy(), member["cell"].to_numpy()
+            x, n = _unit(part["v"]), part["n"].to_numpy()
+            own, own_angle, ring = part["cell"].to_numpy(), part["angle"].to_numpy(), member["ring"].to_numpy()
+            for cell in np.unique(home):
+                radius, count = radii[np.searchsorted(there, cell)], rings[np.searchsorted(there, cell)]
+                to = _angles(np.stack(part["v"].to_numpy()).astype(np.float64), pivots[cell : cell + 1])[:, 0] if len(pivots) else np.zeros(len(part))
+                at, low, high = reached(own, own_angle, to, cell, radius, count)
+                for r in np.unique(ring[home == cell]):
+                    p, m = at[(low <= r) & (r <= high)], np.flatnonzero((home == cell) & (ring == r))
+                    for some in range(0, len(m), BLOCK) if len(p) else ():
+                        block = m[some : some + BLOCK]
+                        if counted:
+                            yield pd.DataFrame({"a": [0], "b": [0], "sim": [float(len(p) * len(block))]})
+                            continue
+                        sims = x[p] @ y[block].T
+                        a, b = np.divmod(np.flatnonzero(sims >= threshold), len(block))
+                        # Within a cell both look for each other: the one numbered first counts.
+                        once = (own[p][a] != cell) | (n[p][a] < their[block][b])
+                        a, b = a[once], b[once]
+                        yield pd.DataFrame({"a": n[p][a], "b": their[block][b], "sim": sims[a, b]})
+
     return _Dealt(
         sized(members).select(*row, hashed("km").alias("i"), every("kp").alias("j"), F.lit(True).alias("member")),
         sized(probes).select(*row, every("km").alias("i"), hashed("kp").alias("j"), F.lit(False).alias("member")),
-        [*key, "i", "j"],
+        ["within", "name", "none", "dim", "group", "i", "j"],
+        pairs,
     )
 
 
-def _pairs(dealt: _Dealt, threshold: float) -> DataFrame:
-    """``(a, b, sim)`` by number, each pair once."""
-
-    def task(part: pd.DataFrame) -> pd.DataFrame:
-        member = part["member"].to_numpy()
-        n, home = part["n"].to_numpy(), part["home"].to_numpy()
-        p, m = np.flatnonzero(~member), np.flatnonzero(member)
-        if not len(p) or not len(m):
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        x = _unit(part["v"])
-        sims = x[p] @ x[m].T
-        # Within a cell both look for each other: the one numbered first counts.
-        a, b = np.nonzero((sims >= threshold) & ((home[p][:, None] != home[m]) | (n[p][:, None] < n[m])))
-        return pd.DataFrame({"a": n[p][a], "b": n[m][b], "sim": sims[a, b]})
-
-    return dealt.members.union(dealt.probes).groupBy(*dealt.key).applyInPandas(task, "a long, b long, sim double")
+def _runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[tuple[int, pd.DataFrame, pd.DataFrame]]:
+    """``(dim, members, others)`` by key, members whole and others in parts; rows come by key, members first."""
+    here, waiting, held = None, [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = (batch[key] != batch[key].shift()).any(axis=1).to_numpy()
+        starts = np.flatnonzero(new)
+        for a, b in zip(starts, [*starts[1:], len(batch)]):
+            run = batch.iloc[a:b]
+            if here != tuple(run[key].iloc[0]):
+                here, waiting, held = tuple(run[key].iloc[0]), [], None
+            member = run["member"].to_numpy(dtype=bool)
+            if member.any():
+                waiting.append(run[member])
+            if not member.all() and (held is not None or waiting):
+                held = pd.concat(waiting) if held is None else held
+                waiting = []
+                others = run[~member]
+                for at in range(0, len(others), 4096):
+                    yield int(others["dim"].iloc[0]), held, others.iloc[at : at + 4096]
+
+
+def _pairs(dealt: _Dealt, counted: bool = False) -> DataFrame:
+    """``(a, b, sim)`` by number, each pair once; if ``counted``, ``sim`` sums up to the products that are formed for them."""
+    pairs = dealt.pairs
+    rows = dealt.members.union(dealt.probes).repartition(*dealt.key).sortWithinPartitions(*dealt.key, F.desc("member"))
+    return rows.mapInPandas(lambda batches: pairs(batches, counted), "a long, b long, sim double")
 
 
 def _numbered(distinct: DataFrame) -> DataFrame:
@@ -184,7 +245,7 @@ def threshold_pairs(items: DataFrame, id_col: str, vector: str, threshold: float
     """
     ship(items.sparkSession)
     reps = _numbered(distinct_vectors(items.where(F.col(id_col).isNotNull()), id_col, vector, threshold, within))
-    found = _pairs(_deal(reps, threshold), threshold)
+    found = _pairs(_deal(reps, threshold, "float" if items.schema[vector].dataType.simpleString() == "array<float>" else "double"))
     names = lambda c: reps.select(F.col("n").alias(f"n_{c}"), F.col("rep").alias(f"id_{c}"), F.col("copies").alias(f"copies_{c}"), F.col("within").alias(f"within_{c}"))
     named = found.join(names("a"), F.col("a") == F.col("n_a")).join(names("b"), F.col("b") == F.col("n_b"))
     swap = F.col("id_a") > F.col("id_b")
@@ -195,6 +256,4 @@ def threshold_pairs(items: DataFrame, id_col: str, vector: str, threshold: float
 def compared(items: DataFrame, id_col: str, vector: str, threshold: float, within: str | None = None) -> int:
     """How many products the join forms, to be held against the number of pairs."""
     dealt = _deal(_numbered(distinct_vectors(items, id_col, vector, threshold, within)), threshold)
-    count = lambda df, name: df.groupBy(*dealt.key).agg(F.count(F.lit(1)).alias(name))
-    both = count(dealt.members.withColumn("within", F.xxhash64("within")), "m").join(count(dealt.probes.withColumn("within", F.xxhash64("within")), "p"), dealt.key)
-    return both.agg(F.coalesce(F.sum(F.col("m") * F.col("p")), F.lit(0))).first()[0]
+    return int(_pairs(dealt, True).agg(F.coalesce(F.sum("sim"), F.lit(0.0))).first()[0])

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from mosaiq.functions import encode
-from mosaiq.operators import lloyd, projection, topk
+from mosaiq.operators import lloyd, projection, simjoin, topk
 
 
 def test_texts_whose_signs_cancel_are_not_zero():
@@ -56,6 +56,17 @@ def test_many_queries_are_cut_into_many_tasks(spark, monkeypatch):
     assert {(r[0], r[1]) for r in found} == {(f"r{i}", f"r{j}") for i, row in enumerate(np.argsort(-scores, axis=1)[:, :3]) for j in row}
 
 
+def test_vectors_that_do_not_cluster_are_copied_once_a_group(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "BLOCK", 64)
+    monkeypatch.setattr(simjoin, "GROUPS", 4)
+    x = _unit(800, 8, 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    reps = simjoin._numbered(simjoin.distinct_vectors(df, "id", "v", 0.3))
+    assert simjoin._deal(reps, 0.3).probes.count() <= 4 * 800
+    found = {(r["a"], r["b"]) for r in simjoin.threshold_pairs(df, "id", "v", 0.3).collect()}
+    assert found == set(zip(*(c.tolist() for c in np.nonzero(np.triu(x @ x.T, 1) >= 0.3))))
+
+
 def test_cosine_sums():
     x = _unit(50, 6, 4)
     c = x[:3]
