@@ -46,9 +46,9 @@ def _hashed(word: str) -> int:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Runs of n words, space-joined."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of n words, space-joined; the list of words is evaluated once, not once a run."""
+    runs = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
+    return F.transform(F.array(words), lambda ws: F.when(F.size(ws) >= n, runs(ws)).otherwise(F.array().cast("array<string>")))[0]
 
 
 def _last(text: Column, c: str) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from mosaiq.functions import encode
+from mosaiq.functions import text as T
 from mosaiq.operators import lloyd, projection, simjoin, topk
 
 
@@ -83,3 +84,11 @@ def test_fuzzy_weights_of_many_rows(spark):
     rows = spark.createDataFrame([(i, r[: i % 7].tolist()) for i, r in enumerate(d)], "i long, d array<double>")
     for r in rows.select("i", projection.fuzzy_weights(F.col("d"), 6).alias("w")).collect():
         assert np.allclose(r["w"], projection._fuzzy(d[r["i"] : r["i"] + 1, : r["i"] % 7], 6)[0])
+
+
+def test_runs_of_words_evaluate_the_words_once(spark):
+    rows = spark.createDataFrame([("a b c d e f g",), ("a",), ("",)], "t string")
+    found = rows.select(T.ngrams(T.tokens(F.col("t")), 2).alias("g")).collect()
+    assert [r["g"] for r in found] == [["a b", "b c", "c d", "d e", "e f", "f g"], [], []]
+    plan = rows.select(T.ngrams(T.tokens(F.col("t")), 2).alias("g"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
