@@ -56,10 +56,11 @@ def _mixed(batch: pd.DataFrame, parts: Sequence[str]) -> Iterator[list[np.ndarra
         yield [np.stack(batch[p].iloc[at : at + CHUNK].to_numpy()).astype(np.float64) for p in parts]
 
 
-def scan(rows: DataFrame, parts: Sequence[str], models: list[Model], each) -> dict[tuple[int, int], np.ndarray]:
+def scan(rows: DataFrame, parts: Sequence[str], models: list[Model], each, few: bool = False) -> dict[tuple[int, int], np.ndarray]:
     """``each(x, model number)`` gives an array with a row a centroid; by model and centroid the sums of these rows over all chunks.
 
-    The first column is summed by itself, since element-wise sums come from means and are not exact for counts.
+    The first column is summed by itself, since element-wise sums come from means and are not exact for counts. Of a
+    ``few`` rows the tasks' sums come to the driver as they are, without a shuffle.
     """
     shared = rows.sparkSession.sparkContext.broadcast((models, each))  # bounded by MAX_COMPONENTS
 
@@ -75,6 +76,12 @@ def scan(rows: DataFrame, parts: Sequence[str], models: list[Model], each) -> di
         yield pd.DataFrame(rows, columns=["model", "centre", "first", "sums"])
 
     found = rows.select(*parts).mapInPandas(task, "model int, centre int, first double, sums array<double>")
+    if few:
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        for r in found.collect():  # a row a centroid and task
+            line = np.array([r["first"], *r["sums"]])
+            totals[r["model"], r["centre"]] = totals.get((r["model"], r["centre"]), 0.0) + line
+        return totals
     sums = found.groupBy("model", "centre").agg(F.sum("first").alias("first"), V.sum_by_position("sums").alias("sums"))
     return {(r["model"], r["centre"]): np.array([r["first"], *r["sums"]]) for r in sums.collect()}  # a row a centroid
 
@@ -226,7 +233,7 @@ def fit_minibatch(df: DataFrame, vector: str, id_col: str, k: int, batch_rows: i
     stored = df.sparkSession.read.schema("id string, p0 array<double>, batch long").parquet(path)
     for _ in range(epochs):
         for number in range(n):
-            sums = scan(stored.where(F.col("batch") == number).select("p0"), ["p0"], [model], _Sums([model]))
+            sums = scan(stored.where(F.col("batch") == number).select("p0"), ["p0"], [model], _Sums([model]), few=True)
             for (_, j), line in sums.items():
                 if line[0]:
                     model.sizes[j] += line[0]

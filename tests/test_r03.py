@@ -92,3 +92,14 @@ def test_runs_of_words_evaluate_the_words_once(spark):
     assert [r["g"] for r in found] == [["a b", "b c", "c d", "d e", "e f", "f g"], [], []]
     plan = rows.select(T.ngrams(T.tokens(F.col("t")), 2).alias("g"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") == 1
+
+
+def test_a_mini_batch_is_one_stage(spark):
+    rows = spark.range(0, 3000, 1, 3).select("id", F.array((F.col("id") % 5).cast("double"), F.lit(1.0)).alias("v"))
+    spark.sparkContext.setJobGroup("mini", "mini")
+    model = lloyd.fit_minibatch(rows, "v", "id", 3, batch_rows=1000, epochs=2)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getJobInfo(j).stageIds for j in tracker.getJobIdsForGroup("mini")][: model.rounds]
+    spark.sparkContext.setJobGroup("", "")
+    assert model.rounds == 6 and model.sizes.sum() == 6000
+    assert all(len(s) == 1 for s in stages)
