@@ -8,6 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,10 @@ from mosaiq.functions import text as T
 from mosaiq.functions import vectors as V
 
 
+#: Entries of sparse rows that are weighed at a time.
+ENTRIES = 1 << 18
+
+
 class Encoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
@@ -40,24 +45,20 @@ class HashingEncoder:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-10)
 
 
-def weights(rows: pd.Series, rarity: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(row, term, weight)`` of lists of terms, some ``most`` entries at a time, a whole row at least; rows count from 0 in each part.
+def weights(lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, rarity: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(starts, term, weight)`` of rows that each have a term at least, some ``most`` entries at a time, a whole row at least.
 
-    A term weighs its count times its rarity, and a row has unit length.
+    ``lengths``, ``terms`` and ``counts`` are as :func:`mosaiq.functions.text.counted_terms`
+    gives them; ``starts`` has each row's first entry. A term weighs its count times its
+    rarity, and a row has unit length.
     """
-    at, held, parts = 0, 0, []
-    for terms in rows:
-        found, n = np.unique(np.asarray(terms, dtype=np.int64), return_counts=True)
-        if len(found):
-            w = n * rarity[found]
-            parts.append((np.full(len(found), at), found, w / np.linalg.norm(w)))
-            held += len(found)
-        at += 1
-        if held >= most:
-            yield tuple(map(np.concatenate, zip(*parts)))
-            at, held, parts = 0, 0, []
-    if parts:
-        yield tuple(map(np.concatenate, zip(*parts)))
+    ends, at, begin = np.cumsum(lengths), 0, 0
+    while at < len(lengths):
+        to = max(at + 1, int(np.searchsorted(ends, begin + most, "right")))
+        starts, term = ends[at:to] - lengths[at:to] - begin, terms[begin : ends[to - 1]]
+        w = counts[begin : ends[to - 1]] * rarity[term]
+        yield starts, term, w / np.repeat(np.sqrt(np.add.reduceat(w * w, starts)), lengths[at:to])
+        at, begin = to, int(ends[to - 1])
 
 
 class Terms:
@@ -72,11 +73,15 @@ class Terms:
         self.rarity, self.basis = rarity, basis
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.basis.shape[1]))
-        for i, text in enumerate(texts):
-            terms = pd.Series([T.terms_of(text, len(self.rarity))])
-            for _, term, weight in weights(terms, self.rarity, 1):
-                out[i] = weight @ self.basis[term]
+        return self.place(*T.counted_terms(pa.array(texts, pa.string()), len(self.rarity)))
+
+    def place(self, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The vectors of texts whose terms are counted, as :func:`mosaiq.functions.text.counted_terms` gives them."""
+        out, some, at = np.zeros((len(lengths), self.basis.shape[1])), np.flatnonzero(lengths), 0
+        for starts, term, weight in weights(lengths[some], terms, counts, self.rarity, ENTRIES):
+            for i, column in enumerate(self.basis.T):
+                out[some[at : at + len(starts)], i] = np.add.reduceat(weight * column[term], starts)
+            at += len(starts)
         return out
 
 

@@ -6,6 +6,9 @@ import hashlib
 import re
 from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +48,29 @@ def _hashed(word: str) -> int:
     return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
 
 
+def counted_terms(texts: pa.Array, buckets: int, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By text the number of its different terms, and one after the other these terms in order and how often each occurs.
+
+    Terms are those of :func:`term_buckets`; a null text has none. Some ``most`` bytes are
+    counted at a time, a whole text at least; each different word of them is hashed once.
+    """
+    ends, at, parts = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64), 0, []
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(at, to - at), "")))
+        coded = words.flatten().dictionary_encode()
+        listed = coded.dictionary.cast(pa.binary()).to_pylist()
+        hashes = np.frombuffer(b"".join(hashlib.md5(w).digest() for w in listed), ">u4")[::4]
+        bucket = np.where([w == b"" for w in listed], -1, hashes.astype(np.int64) % buckets)[coded.indices.to_numpy()]
+        row = np.repeat(np.arange(to - at), np.diff(words.offsets.to_numpy()))
+        keys = np.sort((row * buckets + bucket)[bucket >= 0])
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        row, term = np.divmod(keys[first], buckets)
+        parts.append((np.bincount(row, minlength=to - at), term, np.diff(first, append=len(keys))))
+        at = to
+    return tuple(map(np.concatenate, zip(*parts))) if parts else (np.zeros(0, dtype=np.int64),) * 3
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words, space-joined; the list of words is evaluated once, not once a run."""
     runs = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))

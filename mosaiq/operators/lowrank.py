@@ -8,23 +8,24 @@ the basis orthonormal again. The square matrix of the columns is never formed.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from mosaiq.functions import text as T
 from mosaiq.functions import vectors as V
-from mosaiq.functions.encode import Terms, weights
-from mosaiq.runtime import saved, ship
+from mosaiq.functions.encode import ENTRIES, Terms, weights
+from mosaiq.runtime import ship, stored
 
 #: Columns of the basis beyond those asked for, and rounds; more of either come nearer to the exact subspace.
 EXTRA, ROUNDS = 10, 2
 #: Rows, or entries of sparse rows, that a task multiplies at a time.
-_ROWS, _ENTRIES = 2048, 65_536
+_ROWS, _ENTRIES = 2048, ENTRIES
 
 
 def signs(rows: int, columns: int, seed: str = "42") -> np.ndarray:
@@ -39,19 +40,19 @@ def finite(vector: Column, dim: int) -> Column:
     return F.coalesce((F.size(vector) == dim) & ~bad, F.lit(False))
 
 
-def _summed(rows: DataFrame, shares: Callable[[Iterator[pd.DataFrame], np.ndarray], np.ndarray | None], basis: np.ndarray) -> np.ndarray:
+def _summed(rows: DataFrame, shares: Callable[[Iterator[pa.RecordBatch], np.ndarray], np.ndarray | None], basis: np.ndarray) -> np.ndarray:
     """The sum over all tasks of what ``shares`` gives for a task's batches: a matrix of the basis' shape."""
     ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(basis)  # columns x the basis' width
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shares(batches, shared.value)
         seen = [] if found is None else np.flatnonzero(found.any(axis=1))
         if len(seen):
-            yield pd.DataFrame({"i": seen, "s": list(found[seen])})
+            yield pa.RecordBatch.from_pydict({"i": seen, "s": list(found[seen])})
 
     total = np.zeros_like(basis)
-    for r in rows.mapInPandas(part, "i long, s array<double>").groupBy("i").agg(V.sum_by_position("s").alias("s")).collect():
+    for r in rows.mapInArrow(part, "i long, s array<double>").groupBy("i").agg(V.sum_by_position("s").alias("s")).collect():
         total[r["i"]] = r["s"]
     shared.unpersist()
     return total
@@ -103,11 +104,12 @@ def components(df: DataFrame, vector: str, dim: int, n: int, extra: int = EXTRA,
     count = facts["n"] if facts else 0
     mean = np.array(facts["s"]) / count if count else np.zeros(dim)
 
-    def shares(batches: Iterator[pd.DataFrame], basis: np.ndarray) -> np.ndarray | None:
+    def shares(batches: Iterator[pa.RecordBatch], basis: np.ndarray) -> np.ndarray | None:
         total = None
         for batch in batches:
-            for at in range(0, len(batch), _ROWS):
-                x = np.stack(batch["v"].iloc[at : at + _ROWS].to_numpy()) - mean
+            vectors = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            for at in range(0, len(vectors), _ROWS):
+                x = vectors[at : at + _ROWS] - mean
                 found = x.T @ (x @ basis)
                 total = found if total is None else total + found
         return total
@@ -120,30 +122,84 @@ def components(df: DataFrame, vector: str, dim: int, n: int, extra: int = EXTRA,
     return Components(mean, basis @ turned[:, first], np.maximum(values[first], 0) / max(1, count), square / max(1, count))
 
 
+def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """The items of all lists of a column without nulls, one after the other."""
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+
+
+def _lists(lengths: np.ndarray, items: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(items, kind))
+
+
+def count_terms(df: DataFrame, text: str, buckets: int = 1 << 14, keep: Sequence[str] = ()) -> DataFrame:
+    """The columns ``keep`` and ``terms, counts``: a text's different terms, and how often each occurs; stored, so that texts are read once.
+
+    A null text is an empty one.
+    """
+    ship(df.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *kept, texts = batch.columns
+            lengths, terms, counts = T.counted_terms(texts, buckets)
+            yield pa.RecordBatch.from_arrays([*kept, _lists(lengths, terms, pa.int32()), _lists(lengths, counts, pa.int32())], [*keep, "terms", "counts"])
+
+    rows = df.select(*keep, F.col(text))
+    lists = S.StructType([S.StructField(n, S.ArrayType(S.IntegerType())) for n in ("terms", "counts")])
+    return stored(rows.mapInArrow(count, S.StructType(rows.schema.fields[:-1] + lists.fields)))
+
+
+def placed(counted: DataFrame, model: Terms, keep: Sequence[str], out: str = "vector") -> DataFrame:
+    """``keep`` and the vectors of texts that :func:`count_terms` has counted."""
+    ship(counted.sparkSession)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *kept, _, _ = batch.columns
+            found = model.place(np.diff(batch.column("terms").offsets.to_numpy()), _flat(batch, "terms"), _flat(batch, "counts"))
+            yield pa.RecordBatch.from_arrays([*kept, _lists(np.full(len(found), found.shape[1]), found.ravel(), pa.float64())], [*keep, out])
+
+    rows = counted.select(*keep, "terms", "counts")
+    return rows.mapInArrow(place, S.StructType(rows.schema.fields[:-2]).add(out, S.ArrayType(S.DoubleType())))
+
+
 def fit_terms(df: DataFrame, text: str, dims: int, buckets: int = 1 << 14, extra: int = EXTRA, rounds: int = ROUNDS, seed: str = "42") -> Terms:
     """Fit :class:`mosaiq.functions.encode.Terms` on all rows: weights of terms, and the leading subspace of the weighted table.
 
     Terms share ``buckets`` entries, by a hash, so that the model does not grow with the
     rows. A null text is an empty one; those without words count as rows and teach nothing.
     """
-    rows = saved(df.select(T.term_buckets(F.col(text), buckets).cast("array<int>").alias("terms")))  # a scan a round follows
-    seen = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a bucket at most
+    return fit_counted(count_terms(df, text, buckets), dims, buckets, extra, rounds, seed)
+
+
+def fit_counted(rows: DataFrame, dims: int, buckets: int = 1 << 14, extra: int = EXTRA, rounds: int = ROUNDS, seed: str = "42") -> Terms:
+    """As :func:`fit_terms`, of texts that :func:`count_terms` has counted; a scan a round."""
+    rows = rows.select("terms", "counts")
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(_flat(batch, "terms"), minlength=buckets)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": seen, "n": total[seen]})
+
+    seen = rows.mapInArrow(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a bucket at most
     size = rows.count()
     rarity = np.full(buckets, np.log(1.0 + size) + 1)
     for r in seen:
         rarity[r["term"]] = np.log((1 + size) / (1 + r["n"])) + 1
 
-    def shares(batches: Iterator[pd.DataFrame], basis: np.ndarray) -> np.ndarray | None:
-        total = None
+    def shares(batches: Iterator[pa.RecordBatch], basis: np.ndarray) -> np.ndarray | None:
+        total = np.zeros(basis.T.shape)
+        columns = np.ascontiguousarray(basis.T)
         for batch in batches:
-            total = np.zeros_like(basis) if total is None else total
-            for row, column, weight in weights(batch["terms"], rarity, _ENTRIES):
-                new = np.diff(row, prepend=-1) != 0
-                places = np.add.reduceat(weight[:, None] * basis[column], np.flatnonzero(new))
-                order = np.argsort(column, kind="stable")
-                found, starts = np.unique(column[order], return_index=True)
-                total[found] += np.add.reduceat((weight[:, None] * places[np.cumsum(new) - 1])[order], starts)
-        return total
+            lengths = np.diff(batch.column("terms").offsets.to_numpy())
+            for starts, term, weight in weights(lengths[lengths > 0], _flat(batch, "terms"), _flat(batch, "counts"), rarity, _ENTRIES):
+                n = np.diff(starts, append=len(term))
+                for sums, column in zip(total, columns):
+                    places = np.add.reduceat(weight * column[term], starts)
+                    sums += np.bincount(term, weight * np.repeat(places, n), buckets)
+        return total.T
 
     basis = subspace(lambda b: _summed(rows, shares, b), buckets, dims + extra, rounds, seed)
     values, turned = np.linalg.eigh(basis.T @ _summed(rows, shares, basis))

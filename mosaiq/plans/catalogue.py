@@ -553,10 +553,9 @@ def randomised_pca(spark, sf_dir):
 
 def fitted_encoder(spark, sf_dir):
     """Documents as points in the leading subspace of their weighted terms, fitted on all of them: each point's squared length."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = lowrank.fit_terms(docs, "text", 2, TERM_BUCKETS, extra=0, rounds=2)
-    vector = encode.encoded("text", lambda: model, "array<double>")
-    return docs.withColumn("v", vector).select("doc_id", _r6(V.dot(F.col("v"), F.col("v"))).alias("kept"))
+    counted = lowrank.count_terms(_read(spark, sf_dir, "documents"), "text", TERM_BUCKETS, ["doc_id"])
+    model = lowrank.fit_counted(counted, 2, TERM_BUCKETS, extra=0, rounds=2)
+    return lowrank.placed(counted, model, ["doc_id"], "v").select("doc_id", _r6(V.dot(F.col("v"), F.col("v"))).alias("kept"))
 
 
 def label_residuals(spark, sf_dir):
