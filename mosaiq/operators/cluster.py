@@ -94,11 +94,15 @@ def regress_out(df: DataFrame, vector: str, dim: int, numeric: list[str], catego
 def bootstrap_ari(df: DataFrame, vector: str, id_col: str, k: int = 5, cap: int = 200_000, starts: int = 5, seed: int = 42) -> float:
     """Agreement of two clusterings on what two half samples share."""
     n = min(df.count() // 2, cap)
-    found = []
+    found, halves = [], []
     for i in (1, 2):
-        half = exact_sample(df, n, id_col, str(seed + i))
+        half = exact_sample(df, n, id_col, str(seed + i)).cache()
         found.append(labels(half, kmeans(half, vector, k, starts, seed + i), vector, f"c{i}").select(id_col, f"c{i}"))
-    return stats.adjusted_rand(found[0].join(found[1], id_col), "c1", "c2").first()["ari"]
+        halves.append(half)
+    agreed = stats.adjusted_rand(found[0].join(found[1], id_col), "c1", "c2").first()["ari"]
+    for half in halves:
+        half.unpersist()
+    return agreed
 
 
 def spherical_kmeans(df: DataFrame, vector: str, id_col: str, k: int = 5, most: int = 300, tol: float = 1e-4, seed: int = 42, sample: int = 20_000) -> tuple[np.ndarray, float]:
@@ -140,10 +144,12 @@ def by_cosine(df: DataFrame, vector: str, centres: np.ndarray) -> DataFrame:
 
 
 def quality(df: DataFrame, vector: str, dim: int, id_col: str, sample: int, seed: int) -> dict:
-    """Silhouette on a sample, Davies-Bouldin, Calinski-Harabasz and balance of rows with ``cluster``."""
+    """Silhouette on a sample, Davies-Bouldin, Calinski-Harabasz and balance of rows with ``cluster``, which are kept meanwhile."""
+    df = df.select(id_col, vector, "cluster").cache()
     q = stats.cluster_quality(df, "cluster", vector, dim).first()
     sil = stats.silhouette(exact_sample(df, sample, id_col, str(seed)), id_col, "cluster", vector).first()[0]
     balance = stats.imbalance(df.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))).first()["balance"]
+    df.unpersist()
     return {"silhouette": sil, "davies_bouldin": q["davies_bouldin"], "calinski_harabasz": q["calinski_harabasz"], "balance": balance}
 
 
@@ -163,8 +169,10 @@ def compare_reductions(df: DataFrame, vector: str, dim: int, id_col: str, dims:
     unit = df.select(id_col, V.normalise(F.col(vector)).alias("u")).cache()
     for name, n in [("baseline", dim), *((f"pca_{n}", n) for n in dims)]:
         arm = unit.select(id_col, F.col("u").alias("x")) if name == "baseline" else pca(unit, "u", n)[0].select(id_col, V.normalise(F.col("projected")).alias("x"))
+        arm = arm.cache()
         found = quality(labels(arm, kmeans(arm, "x", k, starts, seed), "x"), "x", n, id_col, sample, seed)
         rows.append({"method": name, "dim": n, **found, "bootstrap_ari": bootstrap_ari(arm, "x", id_col, k, starts=starts, seed=seed)})
+        arm.unpersist()
     unit.unpersist()
     return rows
 

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from mosaiq.functions import vectors as V
 from mosaiq.operators.quantiles import counts, order_statistics, percentiles
@@ -122,7 +124,7 @@ def prefix_saturation(rows: DataFrame, items: DataFrame, ordinal: str, item: str
 
 def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row ``ari``: agreement of two labellings of the same rows, from counts of label pairs."""
-    cells = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    cells = saved(pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")))  # three aggregates follow
     two = lambda c: F.sum(c * (c - 1) / 2)
     n = F.col("n").cast("double")
     index = cells.agg(two(n).alias("index"), F.sum(n).alias("all"))
@@ -133,15 +135,24 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return index.crossJoin(rows).crossJoin(cols).select(F.when(best == expected, 1.0).otherwise((F.col("index") - expected) / (best - expected)).alias("ari"))
 
 
+@F.arrow_udf(S.DoubleType())
+def _gap(x: pa.Array, y: pa.Array) -> pa.Array:
+    """Euclidean distances of vectors, all of one length, row by row."""
+    if not len(x):
+        return pa.array([], pa.float64())
+    a, b = (v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1) for v in (x, y))
+    return pa.array(np.linalg.norm(a - b, axis=1))
+
+
 def cluster_quality(df: DataFrame, label: str, vector: str, dim: int) -> DataFrame:
-    """One row ``(k, n, davies_bouldin, calinski_harabasz)`` of given labels, Euclidean."""
+    """One row ``(k, n, davies_bouldin, calinski_harabasz)`` of given labels, Euclidean; two scans of ``df``."""
+    ship(df.sparkSession)
     df = df.where(F.size(vector) == dim)
-    means = df.groupBy(label).agg(V.mean_by_position(vector).alias("c"), F.count(F.lit(1)).alias("n"))
+    means = saved(df.groupBy(label).agg(V.mean_by_position(vector).alias("c"), F.count(F.lit(1)).alias("n")))
     away = df.select(label, vector).join(F.broadcast(means.select(label, "c")), label)  # a row per cluster
-    d = V.euclidean(F.col(vector), F.col("c"))
-    spread = away.groupBy(label).agg(F.avg(d).alias("s"), F.sum(d * d).alias("within"))
-    every = df.agg(V.mean_by_position(vector).alias("m"))
-    facts = means.join(spread, label).crossJoin(every)
+    spread = away.select(label, _gap(F.col(vector), F.col("c")).alias("d")).groupBy(label).agg(F.avg("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("within"))
+    every = means.select(V.scale(F.col("c"), F.col("n")).alias("c"), "n").agg(V.sum_by_position("c").alias("s"), F.sum("n").alias("all")).select(V.scale(F.col("s"), 1 / F.col("all")).alias("m"))
+    facts = saved(means.join(spread, label).crossJoin(every))  # a row per cluster
     a, b = facts.alias("a"), facts.alias("b")
     ratio = (F.col("a.s") + F.col("b.s")) / V.euclidean(F.col("a.c"), F.col("b.c"))
     worst = a.join(b, F.col(f"a.{label}") != F.col(f"b.{label}")).groupBy(f"a.{label}").agg(F.max(ratio).alias("w")).agg(F.avg("w").alias("davies_bouldin"))

@@ -6,8 +6,11 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from mosaiq.functions import text as T
+from mosaiq.operators import stats
 from mosaiq.plans import catalogue
 
 
@@ -31,3 +34,37 @@ def test_the_encoder_reads_texts_once(spark, sf_dir):
     found = catalogue.fitted_encoder(spark, sf_dir)
     assert not [f for f in found.inputFiles() if "documents.parquet" in f]
     assert found.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def _counted(df, spark):
+    """``df``, and how many of its rows have been computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(count, df.schema), seen
+
+
+def test_quality_of_clusters_takes_two_scans(spark):
+    x = np.random.default_rng(6).normal(size=(300, 4)) + 3
+    at = [None if i % 50 == 0 else i % 3 for i in range(300)]
+    df = spark.createDataFrame([*((a, v.tolist()) for a, v in zip(at, x)), (1, [1.0]), (2, None)], "kind int, v array<double>").repartition(3)
+    rows, seen = _counted(df, spark)
+    got = stats.cluster_quality(rows, "kind", "v", 4).first()
+    assert seen.value <= 2 * 302
+    parts = [x[[a == j for a in at]] for j in range(3)]
+    c, s = [p.mean(0) for p in parts], [np.linalg.norm(p - p.mean(0), axis=1) for p in parts]
+    worst = [max((s[i].mean() + s[j].mean()) / np.linalg.norm(c[i] - c[j]) for j in range(3) if j != i) for i in range(3)]
+    n = sum(map(len, parts))
+    between = sum(len(p) * ((m - x.mean(0)) ** 2).sum() for p, m in zip(parts, c))
+    assert got["k"] == 3 and got["n"] == n and got["davies_bouldin"] == pytest.approx(np.mean(worst))
+    assert got["calinski_harabasz"] == pytest.approx(between / 2 / (sum((t**2).sum() for t in s) / (n - 3)))
+
+
+def test_agreement_of_labels_takes_one_scan(spark):
+    rows, seen = _counted(spark.range(0, 200, 1, 3).select((F.col("id") % 4).alias("a"), (F.col("id") % 7).alias("b")), spark)
+    assert -1 <= stats.adjusted_rand(rows, "a", "b").first()["ari"] < 0.1
+    assert seen.value == 200
