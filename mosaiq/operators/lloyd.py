@@ -21,6 +21,8 @@ from mosaiq.runtime import scratch, ship
 
 #: Components of all centroids in one scan at most (64 MB); with more models, groups of them take scans of their own. Rows assigned at a time.
 MAX_COMPONENTS, CHUNK = 8_000_000, 4096
+#: Distances from one centroid of each model that a task forms at a time.
+BLOCK = 1 << 18
 
 
 @dataclass
@@ -60,7 +62,8 @@ def scan(rows: DataFrame, parts: Sequence[str], models: list[Model], each, few:
     """``each(x, model number)`` gives an array with a row a centroid; by model and centroid the sums of these rows over all chunks.
 
     The first column is summed by itself, since element-wise sums come from means and are not exact for counts. Of a
-    ``few`` rows the tasks' sums come to the driver as they are, without a shuffle.
+    ``few`` rows the tasks' sums come to the driver as they are, without a shuffle. An ``each`` with a method ``every``
+    does all models of a chunk by that.
     """
     shared = rows.sparkSession.sparkContext.broadcast((models, each))  # bounded by MAX_COMPONENTS
 
@@ -69,6 +72,12 @@ def scan(rows: DataFrame, parts: Sequence[str], models: list[Model], each, few:
         totals: list = [None] * len(ours)
         for batch in batches:
             for split in _mixed(batch, parts):
+                if hasattr(add, "every"):
+                    for i, j, line in add.every(split):
+                        if totals[i] is None:
+                            totals[i] = np.zeros((len(ours[i].centres), len(line)))
+                        totals[i][j] += line
+                    continue
                 for i, model in enumerate(ours):
                     got = add(sum(w * x for w, x in zip(model.weights, split)), i)
                     totals[i] = got if totals[i] is None else totals[i] + got
@@ -99,16 +108,49 @@ def _groups(models: list[Model]) -> Iterator[list[Model]]:
 
 
 class _Sums:
-    """By centroid: how many rows, the sum of their squared distances and of their squared norms, and of themselves."""
+    """By centroid: how many rows, the sum of their squared distances and of their squared norms, and of themselves.
 
-    def __init__(self, models: list[Model]) -> None:
-        self.centres = [m.centres for m in models]
+    Rows are multiplied by the centroids of many models at a time. A weighted sum of parts is never formed: the parts side
+    by side are multiplied by the weighted centroids, and sums by part are weighted afterwards.
+    """
 
-    def __call__(self, x: np.ndarray, i: int) -> np.ndarray:
-        at, far = _nearest(x, self.centres[i])
-        mine = np.zeros((len(self.centres[i]), len(x)))
-        mine[at, np.arange(len(x))] = 1.0
-        return mine @ np.concatenate([np.ones((len(x), 1)), far[:, None], (x**2).sum(1)[:, None], x], axis=1)
+    def __init__(self, models: list[Model]) -> None:
+        self.models = models
+
+    def blocks(self, rows: int, dims: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Numbers of models with equally many centroids, their weights, and by place among a model's centroids its column: what is added to ``-2 x c`` of all."""
+        by_k: dict[int, list[int]] = {}
+        for i, m in enumerate(self.models):
+            by_k.setdefault(len(m.centres), []).append(i)
+        most = max(1, BLOCK // rows)
+        for k, numbers in by_k.items():
+            for at in range(0, len(numbers), most):
+                some = numbers[at : at + most]
+                w = np.array([self.models[i].weights for i in some])
+                c = np.array([self.models[i].centres for i in some]).reshape(len(some), k, dims).transpose(1, 0, 2)  # place, model, component
+                yield some, w, np.concatenate([*(-2 * w[:, p, None] * c for p in range(w.shape[1])), (c**2).sum(2)[:, :, None]], axis=2)
+
+    def every(self, split: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """A model's number, a centroid's, and the centroid's sums over rows of which ``split`` has the parts."""
+        n, dims, parts = *split[0].shape, len(split)
+        one = np.ones((n, 1))
+        products = [(x * y).sum(1)[:, None] for i, x in enumerate(split) for y in split[i:]]
+        z, facts = np.concatenate([*split, one], axis=1), np.concatenate([one, *products, *split], axis=1)
+        pairs = [(i, j) for i in range(parts) for j in range(i, parts)]
+        for numbers, w, table in self.blocks(n, dims):
+            best, at = z @ table[0].T, np.zeros((n, len(numbers)), dtype=np.int32)
+            for j in range(1, len(table)):
+                far = z @ table[j].T
+                np.putmask(at, far < best, j)
+                np.minimum(best, far, out=best)
+            squares = np.array([w[:, i] * w[:, j] * (1 if i == j else 2) for i, j in pairs])
+            for j in range(len(table)):
+                sums = (at == j).astype(np.float64).T @ facts  # a row a model
+                count, rest = sums[:, 0], sums[:, 1 + len(pairs) :].reshape(len(numbers), parts, dims)
+                square, total = np.einsum("pm,mp->m", squares, sums[:, 1 : 1 + len(pairs)]), np.einsum("mp,mpd->md", w, rest)
+                c = np.array([self.models[i].centres[j] for i in numbers])
+                inertia = np.maximum(square - 2 * (c * total).sum(1) + count * (c**2).sum(1), 0.0)
+                yield from zip(numbers, [j] * len(numbers), np.concatenate([count[:, None], inertia[:, None], square[:, None], total], axis=1))
 
 
 class Cosines:

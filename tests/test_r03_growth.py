@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaiq.functions import text as T
-from mosaiq.operators import stats
+from mosaiq.operators import lloyd, stats
 from mosaiq.plans import catalogue
 
 
@@ -68,3 +68,22 @@ def test_agreement_of_labels_takes_one_scan(spark):
     rows, seen = _counted(spark.range(0, 200, 1, 3).select((F.col("id") % 4).alias("a"), (F.col("id") % 7).alias("b")), spark)
     assert -1 <= stats.adjusted_rand(rows, "a", "b").first()["ari"] < 0.1
     assert seen.value == 200
+
+
+def test_many_models_are_multiplied_at_a_time(monkeypatch):
+    r = np.random.default_rng(8)
+    a, b = r.normal(size=(2, 90, 6))
+    models = [lloyd.Model(str(i), r.normal(size=(k, 6)), (1.0, float(w))) for i, (k, w) in enumerate(zip([1, 3, 3, 5, 3, 5] * 20, r.random(120) * 3))]
+    models.append(lloyd.Model("ties", np.ones((4, 6)), (2.0, 0.5)))
+    assert len(list(lloyd._Sums(models).blocks(90, 6))) == 4
+    for block in (1 << 18, 200):
+        monkeypatch.setattr(lloyd, "BLOCK", block)
+        got = {(i, j): line for i, j, line in lloyd._Sums(models).every([a, b])}
+        assert len(got) == sum(len(m.centres) for m in models)
+        for i, m in enumerate(models):
+            x = m.weights[0] * a + m.weights[1] * b
+            far = ((x[:, None] - m.centres) ** 2).sum(-1)
+            for j in range(len(m.centres)):
+                mine = far.argmin(1) == j if m.name != "ties" else np.full(90, j == 0)
+                assert got[i, j][0] == mine.sum()
+                assert np.allclose(got[i, j], [mine.sum(), far[mine, j].sum(), (x[mine] ** 2).sum(), *x[mine].sum(0)])
