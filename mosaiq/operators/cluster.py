@@ -91,9 +91,9 @@ def regress_out(df: DataFrame, vector: str, dim: int, numeric: list[str], catego
     return rows.crossJoin(F.broadcast(coefficients)).withColumn("residual", V.subtract(F.col(vector), fitted)).drop("__x", "__b")  # one row
 
 
-def bootstrap_ari(df: DataFrame, vector: str, id_col: str, k: int = 5, cap: int = 200_000, starts: int = 5, seed: int = 42) -> float:
-    """Agreement of two clusterings on what two half samples share."""
-    n = min(df.count() // 2, cap)
+def bootstrap_ari(df: DataFrame, vector: str, id_col: str, k: int = 5, starts: int = 5, seed: int = 42) -> float:
+    """Agreement of two clusterings on what two random halves of all rows share."""
+    n = df.count() // 2
     found, halves = [], []
     for i in (1, 2):
         half = exact_sample(df, n, id_col, str(seed + i)).cache()
@@ -143,34 +143,34 @@ def by_cosine(df: DataFrame, vector: str, centres: np.ndarray) -> DataFrame:
     return rows.withColumn("cluster", -F.col("__b.i")).withColumn("sim", F.col("__b.sim")).drop("__b", "__c")
 
 
-def quality(df: DataFrame, vector: str, dim: int, id_col: str, sample: int, seed: int) -> dict:
-    """Silhouette on a sample, Davies-Bouldin, Calinski-Harabasz and balance of rows with ``cluster``, which are kept meanwhile."""
+def quality(df: DataFrame, vector: str, dim: int, id_col: str) -> dict:
+    """Silhouette, Davies-Bouldin, Calinski-Harabasz and balance of all rows with ``cluster``, which are kept meanwhile."""
     df = df.select(id_col, vector, "cluster").cache()
     q = stats.cluster_quality(df, "cluster", vector, dim).first()
-    sil = stats.silhouette(exact_sample(df, sample, id_col, str(seed)), id_col, "cluster", vector).first()[0]
+    sil = stats.silhouette(df, id_col, "cluster", vector).first()[0]
     balance = stats.imbalance(df.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))).first()["balance"]
     df.unpersist()
     return {"silhouette": sil, "davies_bouldin": q["davies_bouldin"], "calinski_harabasz": q["calinski_harabasz"], "balance": balance}
 
 
-def sweep(df: DataFrame, vector: str, dim: int, id_col: str, ks: range = range(3, 8), starts: int = 3, sample: int = 2000, seed: int = 42, rounds: int = 20) -> list[dict]:
+def sweep(df: DataFrame, vector: str, dim: int, id_col: str, ks: range = range(3, 8), starts: int = 3, seed: int = 42, rounds: int = 20) -> list[dict]:
     """Quality of k-means for several k, a row each; all k and starts are fitted by the same scans, and the start of least inertia counts."""
     models = [lloyd.Model(str(k), lloyd.seeds(df, vector, id_col, k, seed + i)) for k in ks for i in range(starts)]
     fitted: dict[str, lloyd.Model] = {}
     for m in lloyd.fit_many(df, [vector], models, rounds):
         if m.name not in fitted or m.inertia < fitted[m.name].inertia:
             fitted[m.name] = m
-    return [{"k": k, **quality(lloyd.assign(df, vector, fitted[str(k)].centres), vector, dim, id_col, sample, seed)} for k in ks]
+    return [{"k": k, **quality(lloyd.assign(df, vector, fitted[str(k)].centres), vector, dim, id_col)} for k in ks]
 
 
-def compare_reductions(df: DataFrame, vector: str, dim: int, id_col: str, dims: tuple[int, ...] = (50, 100, 200), k: int = 5, starts: int = 3, sample: int = 2000, seed: int = 42) -> list[dict]:
+def compare_reductions(df: DataFrame, vector: str, dim: int, id_col: str, dims: tuple[int, ...] = (50, 100, 200), k: int = 5, starts: int = 3, seed: int = 42) -> list[dict]:
     """Quality of clusters of the unit vectors as they are and of several projections made unit again, a row each with its stability."""
     rows = []
     unit = df.select(id_col, V.normalise(F.col(vector)).alias("u")).cache()
     for name, n in [("baseline", dim), *((f"pca_{n}", n) for n in dims)]:
         arm = unit.select(id_col, F.col("u").alias("x")) if name == "baseline" else pca(unit, "u", n)[0].select(id_col, V.normalise(F.col("projected")).alias("x"))
         arm = arm.cache()
-        found = quality(labels(arm, kmeans(arm, "x", k, starts, seed), "x"), "x", n, id_col, sample, seed)
+        found = quality(labels(arm, kmeans(arm, "x", k, starts, seed), "x"), "x", n, id_col)
         rows.append({"method": name, "dim": n, **found, "bootstrap_ari": bootstrap_ari(arm, "x", id_col, k, starts=starts, seed=seed)})
         arm.unpersist()
     unit.unpersist()

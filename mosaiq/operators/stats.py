@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,11 @@ from mosaiq.functions import vectors as V
 from mosaiq.operators.quantiles import counts, order_statistics, percentiles
 from mosaiq.runtime import saved, ship
 
+#: Components of the vectors that every task is sent at a time (32 MB of doubles), and pairs that a task compares with them.
+SLAB_COMPONENTS, PAIRS = 4_000_000, 1 << 27
+#: Rows, and vectors of a slab, that a task compares at a time.
+HEIGHT, WIDTH = 256, 2048
+
 
 def crosstab(df: DataFrame, row: str, column: str, rows: DataFrame, columns: DataFrame) -> DataFrame:
     """``(row, column, n)`` for the whole grid of ``rows`` and ``columns``, zeros included."""
@@ -162,38 +168,79 @@ def cluster_quality(df: DataFrame, label: str, vector: str, dim: int) -> DataFra
     return sums.crossJoin(worst).select("k", "n", "davies_bouldin", ch.alias("calinski_harabasz"))
 
 
-def silhouette(sample: DataFrame, id_col: str, label: str, vector: str) -> DataFrame:
-    """One row ``silhouette`` of a bounded sample, Euclidean: every pair of the sample is compared.
+def silhouette(df: DataFrame, id_col: str, label: str, vector: str) -> DataFrame:
+    """One row ``silhouette``, Euclidean: every pair of rows is compared, so its time grows with the square of the rows.
 
-    Meant for some thousand rows, as :func:`mosaiq.operators.sampling.exact_sample` gives
-    them. The sample travels to every task, which compares its rows with it block by block.
+    Rows are dealt to tasks by a hash of their ids and stored. Slabs of them travel to every
+    task, one at a time; a task sums its rows' distances from the slab by cluster, so of
+    several slabs there are as many sums as clusters for each row. Rows without a label or a
+    vector are left out; vectors are of one length.
     """
-    ship(sample.sparkSession)
-    every = sample.select(id_col, label, vector).toPandas()
-    names, at = np.unique(every[label].to_numpy(), return_inverse=True)
-    x = np.stack(every[vector].to_numpy()).astype(np.float64) if len(every) else np.zeros((0, 1))
-    shared = sample.sparkSession.sparkContext.broadcast((x, np.eye(len(names))[at], names))
+    ship(df.sparkSession)
+    there = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"), V.as_double(F.col(vector)).alias("v"))
+    facts = there.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).orderBy("label").collect()  # a row a cluster
+    names, sizes = pd.Index([r["label"] for r in facts]), np.array([r["n"] for r in facts])
+    n, dim = int(sizes.sum()), max((r["dim"] for r in facts), default=0)
+    slabs = max(1, -(-n * dim // SLAB_COMPONENTS))
+    tasks = max(1, -(-n * -(-n // slabs) // PAIRS))
+    rows = saved((there.repartition(tasks, "id") if tasks > 1 else there).select("label", "v").withColumn("row", F.monotonically_increasing_id()))
+    parts = [_from_slab(rows, rows.where(F.pmod(F.xxhash64("row"), F.lit(slabs)) == i), names) for i in range(slabs)]
+    sums = parts[0]
+    if slabs > 1:
+        sums = reduce(DataFrame.union, parts).groupBy("row").agg(F.first("c").alias("c"), V.sum_by_position("sums").alias("sums"))
 
     def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, member, names = shared.value
-        sizes = member.sum(0)
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
-                y = np.stack(part[vector].to_numpy()).astype(np.float64)
-                away = np.sqrt(np.maximum((y**2).sum(1)[:, None] - 2 * y @ x.T + (x**2).sum(1), 0.0))
-                own = np.searchsorted(names, part[label].to_numpy())
-                row = np.arange(len(part))
-                sums = away @ member
+            if len(batch):
+                sums, own, row = np.stack(batch["sums"].to_numpy()), batch["c"].to_numpy(), np.arange(len(batch))
                 own_n = sizes[own] - 1  # without the row itself, whose distance is zero
                 inner = sums[row, own] / np.maximum(own_n, 1)
-                means = sums / np.maximum(sizes, 1)
+                means = sums / sizes
                 means[row, own] = np.inf
                 outer = means.min(1)
                 some = (own_n > 0) & np.isfinite(outer)
+                outer = np.where(some, outer, 0.0)
                 yield pd.DataFrame({"s": np.where(some, (outer - inner) / np.maximum(np.maximum(outer, inner), 1e-300), 0.0)})
 
-    return sample.select(label, vector).mapInPandas(scores, "s double").agg(F.avg("s").alias("silhouette"))
+    return saved(sums.select("c", "sums").mapInPandas(scores, "s double").agg(F.avg("s").alias("silhouette")))
+
+
+def _from_slab(rows: DataFrame, slab: DataFrame, names: pd.Index) -> DataFrame:
+    """``(row, c, sums)``, stored: of each row the number of its cluster, and by cluster the sum of its distances from the slab's rows."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"c": [names.get_indexer(batch["label"]).astype(np.int64).tobytes()], "v": [np.stack(batch["v"].to_numpy()).tobytes()]})
+
+    packed = slab.select("label", "v").mapInPandas(pack, "c binary, v binary").collect()  # SLAB_COMPONENTS components
+    c = np.concatenate([np.frombuffer(r["c"], np.int64) for r in packed] or [np.zeros(0, np.int64)])
+    x = np.concatenate([np.frombuffer(r["v"]) for r in packed] or [np.zeros(0)]).reshape(len(c), -1 if len(c) else 0)
+    order = np.argsort(c, kind="stable")
+    shared = rows.sparkSession.sparkContext.broadcast((c[order], x[order]))
+    del packed, c, x
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, x = shared.value
+        squares = (x**2).sum(1)
+        cuts = {at: np.flatnonzero(np.diff(c[at : at + WIDTH], prepend=-1)) for at in range(0, len(c), WIDTH)}
+        for batch in batches:
+            for start in range(0, len(batch), HEIGHT):
+                part = batch.iloc[start : start + HEIGHT]
+                y = np.stack(part["v"].to_numpy())
+                far, square = np.zeros((len(part), len(names))), (y**2).sum(1)[:, None]
+                for at, cut in cuts.items():  # where clusters begin in this part of the slab
+                    away = (-2 * y) @ x[at : at + WIDTH].T
+                    away += square
+                    away += squares[at : at + WIDTH]
+                    np.maximum(away, 0.0, out=away)
+                    np.sqrt(away, out=away)
+                    far[:, c[at : at + WIDTH][cut]] += np.add.reduceat(away, cut, axis=1)
+                yield pd.DataFrame({"row": part["row"], "c": names.get_indexer(part["label"]), "sums": list(far)})
+
+    found = saved(rows.mapInPandas(sums, "row long, c int, sums array<double>"))
+    shared.destroy()
+    return found
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:

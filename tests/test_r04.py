@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from mosaiq.operators import projection
+from mosaiq.operators import cluster, projection, stats
 from tests.test_cells import _clustered, _table
 
 
@@ -39,3 +39,52 @@ def test_tiles_hold_every_edge_from_both_ends(spark, monkeypatch):
     for tile in tiles.itertuples(index=False):
         got[:, tile.block * 8 : tile.block * 8 + 8] += projection._moves(tile, y, (a, b), (1, 2))
     assert got == pytest.approx(want)
+
+
+def _silhouette(x, at):
+    away = np.linalg.norm(x[:, None] - x[None], axis=2)
+    found = []
+    for i in range(len(x)):
+        means = {c: away[i, at == c].sum() / max(1, (at == c).sum() - (c == at[i])) for c in set(at)}
+        inner, outer = means.pop(at[i]), min(means.values(), default=0.0)
+        found.append((outer - inner) / max(outer, inner) if means and (at == at[i]).sum() > 1 else 0.0)
+    return np.mean(found)
+
+
+def test_silhouettes_of_reductions_are_over_all_rows(spark):
+    r = np.random.default_rng(9)
+    at = r.integers(0, 3, 2300)
+    x = np.eye(4)[at] + r.normal(scale=0.15, size=(2300, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    found = cluster.compare_reductions(df, "v", 4, "id", (), 3, 3)
+    assert found[0]["silhouette"] == pytest.approx(_silhouette(x / np.linalg.norm(x, axis=1, keepdims=True), at), abs=1e-9)
+
+
+def test_halves_are_of_all_rows(monkeypatch):
+    class Rows:
+        def count(self):
+            return 500_003
+
+    class Drawn(Exception):
+        pass
+
+    def draw(df, n, *rest):
+        raise Drawn(n)
+
+    monkeypatch.setattr(cluster, "exact_sample", draw)
+    with pytest.raises(Drawn, match="^250001$"):
+        cluster.bootstrap_ari(Rows(), "v", "id")
+
+
+def test_silhouette_by_slabs(spark, monkeypatch):
+    r = np.random.default_rng(10)
+    x, at = r.normal(size=(700, 3)), np.array([*r.choice(["a", "b", "c"], 699), "alone"])
+    rows = [(i // 2, str(c), v.tolist()) for i, (c, v) in enumerate(zip(at, x))]  # ids may be shared
+    df = spark.createDataFrame([*rows, (1, None, [0.0] * 3), (2, "a", None)], "id long, c string, v array<double>")
+    want = _silhouette(x, at)
+    for slab, pairs in ((4_000_000, 1 << 27), (500, 10_000)):
+        monkeypatch.setattr(stats, "SLAB_COMPONENTS", slab)
+        monkeypatch.setattr(stats, "PAIRS", pairs)
+        assert stats.silhouette(df, "id", "c", "v").first()[0] == pytest.approx(want)
+    assert stats.silhouette(df.where("c = 'a'"), "id", "c", "v").first()[0] == 0.0
+    assert stats.silhouette(df.where("false"), "id", "c", "v").first()[0] is None
